@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import lines
+from quillstone.llm import lines, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,5 +43,14 @@ SELECT page_id, host, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls)
 FROM j
 """
 
-QUERIES = {"op3_site_lines": op3_site_lines}
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
+
+
+QUERIES = {"op3_site_lines": op3_site_lines, "op4_mix_sources": op4_mix_sources, "op7_shard_documents": op7_shard_documents}
 SQL = {"op3_site_lines": OP3_SQL}
