@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<head\b.*?</head>"
 BREAKS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|nav|article|footer|header|table|tr|td|section|br|title|body|html|hr|main|aside|pre|blockquote)\b[^>]*>"
 TAGS = r"<[^>]*>"
+#: Parts of a site's pages in the join with its flagged lines.
+SALTS = 32
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -34,7 +36,7 @@ def drop_site_lines(
 
     Scale: a map-side combined count per (site, line hash) is the only wide step on lines, so a hot site is spread over its
     lines. A site's flagged lines number at most its mean lines a page over ``max_ratio``, whatever its page count, so they
-    travel as one short array per site; the join back is on the site, its large side is split by skew handling.
+    travel as one short array per site; the join back is on the site and one of SALTS parts of its pages.
 
     Edge cases: a null site is a site of its own that keeps all lines; a null text stays null with 0 lines; an empty text
     has one (blank) line; blank lines are never dropped; repeated rows are treated alike; an empty table gives an empty one;
@@ -64,12 +66,14 @@ def drop_site_lines(
         .agg(F.array_sort(F.collect_list("__line")).alias(flags))
     )
     kept = F.filter(F.col(lines), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(flags), F.xxhash64(F.trim(x))))
+    salted = flagged.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    base = base.withColumn("__salt", F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int"))
     return (
-        base.join(flagged, key, "left")
+        base.join(salted, [key, "__salt"], "left")
         .withColumn(lines, F.split(F.col(body), "\n"))
         .withColumn("__kept", F.when(F.col(flags).isNull(), F.col(lines)).otherwise(kept))
         .withColumn(out, F.when(F.col(flags).isNull(), F.col(body)).otherwise(F.array_join("__kept", "\n")))
         .withColumn(f"{prefix}n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
         .withColumn(f"{prefix}n_dropped", F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"))
-        .drop(key, body, lines, flags, "__kept")
+        .drop(key, body, lines, flags, "__kept", "__salt")
     )

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Probabilities are integers out of ONE, so that transfers of mass lose nothing.
-ONE = 1 << 40
+#: Word masses (probability times size) are integers in this part of a word, so that transfers lose nothing.
+PART_BITS = 20
 #: Units of one fold; 1 << FAN_BITS blocks of a level meet in one of the next.
 BLOCK, FAN_BITS = 64, 6
 
@@ -49,55 +49,47 @@ def _uniform(*cols: Column) -> Column:
 
 
 def _fold(units: Column, seed: int) -> Column:
-    """Pair the carried unit with the next one and move mass at random until one of the two is at 0 or ONE."""
+    """Pair the carried unit with the next one and transfer word mass at random until one of the two has none or is full.
+
+    The transfer goes either way with the odds that leave both expectations as they are, and what one unit loses the other
+    gains, so a source's expected words stay exactly what they were until its last unit.
+    """
 
     def step(state: Column, unit: Column) -> Column:
         cur, done = state["cur"], state["done"]
         a, b = cur["mass"], unit["mass"]
-        both, one = a + b, F.lit(ONE)
-        u = _uniform(cur["h"], unit["h"], F.lit(seed))
-        first = F.when(both < one, u * both < a).otherwise(u * (2 * one - both) < one - b)
-        settled = F.when(both < one, F.lit(0)).otherwise(F.lit(ONE))
-        rest = F.when(both < one, both).otherwise(both - one)
-        with_mass = lambda x, m: x.withField("mass", m.cast("long"))
-        # below ONE the first of the two takes all and the second settles at 0; else the first settles at ONE
-        keeps = F.when(first == (both < one), cur).otherwise(unit)
-        leaves = F.when(first == (both < one), unit).otherwise(cur)
-        met = F.struct(with_mass(keeps, rest).alias("cur"), F.concat(done, F.array(with_mass(leaves, settled))).alias("done"))
-        whole = (a == 0) | (a == one)
-        next_one = F.struct(unit.alias("cur"), F.concat(done, F.array(cur)).alias("done"))
-        return F.when(whole, next_one).otherwise(met)
+        full_a, full_b = F.shiftleft(cur["size"], PART_BITS), F.shiftleft(unit["size"], PART_BITS)
+        up, down = F.least(full_a - a, b), F.least(a, full_b - b)
+        rises = _uniform(cur["h"], unit["h"], F.lit(seed)) * (up + down) < down
+        moved = F.when(rises, up).otherwise(-down)
+        first, second = cur.withField("mass", a + moved), unit.withField("mass", b - moved)
+        open_first = (a + moved > 0) & (a + moved < full_a)
+        keeps, leaves = F.when(open_first, first).otherwise(second), F.when(open_first, second).otherwise(first)
+        return F.struct(keeps.alias("cur"), F.concat(done, F.array(leaves)).alias("done"))
 
     start = F.struct(units[0].alias("cur"), F.filter(units, lambda x: F.lit(False)).alias("done"))
     return F.aggregate(F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(0))), start, step)
 
 
 def pivotal_copies(units: DataFrame, seed: int) -> DataFrame:
-    """(source, doc_id, extra): 0 or 1 for each unit (source, doc_id, size, mass), with sums near their expectation.
+    """(source, doc_id, extra): 0 or 1 for each unit (source, doc_id, size, mass), whose words add up to the mass of all.
 
-    Level 0 groups units of one source and one size class into blocks of about BLOCK by hash; a fold settles all but one
-    unit of a block, whose residual mass meets those of 2**FAN_BITS blocks on the next level, then those of its source's
-    other size classes: a reduction tree whose levels shrink by BLOCK. No block grows with the data, however hot a source.
+    Level 0 groups a source's units into blocks of about BLOCK by hash; a fold, large units first, settles all but one unit
+    of a block, a small one as a rule, whose residual mass meets those of 2**FAN_BITS blocks on the next level: a reduction
+    tree whose levels shrink by BLOCK. No block grows with the data, however hot a source.
     """
     units = written(
-        units.select(
-            "source", "doc_id", "size", "mass", F.xxhash64("source", "doc_id", F.lit(seed)).alias("h"),
-            F.floor(4 * F.log2(F.col("size") + 1.0)).cast("int").alias("class"),
-        ),
-        "units",
-    )
+        units.select("source", "doc_id", "size", "mass", F.xxhash64("source", "doc_id", F.lit(seed)).alias("h")), "units"
+    )
     bits = max(0, math.ceil(math.log2(max(1, units.count()) / BLOCK)))
-    row = ["source", "doc_id", "size", "mass", "h", "class"]
+    full = F.shiftleft("size", PART_BITS)
     settled, current = [], units
-    plans = [("class", b) for b in range(bits, 0, -FAN_BITS)] + [("class", 0), ("source", 0)]
-    for kind, b in plans:
-        block = F.col("h").bitwiseAND(F.lit((1 << b) - 1))
-        keys = ["source", F.col("class").alias("k"), block.alias("b")] if kind == "class" else ["source"]
-        packed = F.array_sort(F.collect_list(F.struct("size", "h", "doc_id", "source", "mass", "class")))
-        level = written(current.groupBy(*keys).agg(packed.alias("units")).select(_fold(F.col("units"), seed).alias("s")), "level")
-        settled.append(level.select(F.explode("s.done").alias("u")).select("u.source", "u.doc_id", (F.col("u.mass") == ONE).cast("int").alias("extra")))
-        current = level.select("s.cur.*").select(*row)
-    last = F.col("mass") > _uniform(F.col("h"), F.lit(seed + 1)) * ONE
+    for b in [*range(bits, 0, -FAN_BITS), 0]:
+        packed = F.sort_array(F.collect_list(F.struct("size", "h", "doc_id", "source", "mass")), asc=False)
+        level = written(current.groupBy("source", F.col("h").bitwiseAND(F.lit((1 << b) - 1)).alias("block")).agg(packed.alias("units")).select(_fold(F.col("units"), seed).alias("s")), "level")
+        settled.append(level.select(F.explode("s.done").alias("u")).select("u.*").select("source", "doc_id", (F.col("mass") >= full).cast("int").alias("extra")))
+        current = level.select("s.cur.*")
+    last = 2 * F.col("mass") >= full  # one unit a source: rounded, so that the source misses by half a document at most
     settled.append(current.select("source", "doc_id", last.cast("int").alias("extra")))
     out = settled[0]
     for x in settled[1:]:
@@ -109,7 +101,7 @@ def mix_sources(df: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     """Add ``size``, ``source_size``, ``target`` and ``copies`` to the rows of a table with doc_id, text and source.
 
     Every document of a source is due target / source_size copies: the whole part for sure, the fraction by pivotal
-    dependent rounding, so that each source's words come within a few documents of its target and no document has more than
+    dependent rounding, so that each source's words come within half a document of its target and no document has more than
     ceil(cap) copies. The draws are hashes of ids and ``seed``: reruns agree on any cluster.
 
     Edge cases: null text and texts without words have size 0 and get the whole part only; a null source is a source (last in
@@ -124,7 +116,7 @@ def mix_sources(df: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     by_source = targets.select(F.col("source").alias("s_source"), "source_size", "target", F.floor(due).cast("int").alias("whole"), due.alias("due"))
     same = F.col("source").eqNullSafe(F.col("s_source"))
     units = narrow.where("size > 0").groupBy("source", "doc_id").agg(F.sum("size").alias("size"))
-    units = units.join(by_source, same).select("source", "doc_id", "size", F.floor((F.col("due") - F.col("whole")) * ONE).cast("long").alias("mass"))
+    units = units.join(by_source, same).select("source", "doc_id", "size", F.floor((F.col("due") - F.col("whole")) * F.col("size") * (1 << PART_BITS)).cast("long").alias("mass"))
     extra = pivotal_copies(units, seed).select(F.col("source").alias("e_source"), F.col("doc_id").alias("e_doc"), "extra")
     out = sized.join(by_source, same)
     out = out.join(extra, F.col("source").eqNullSafe(F.col("e_source")) & F.col("doc_id").eqNullSafe(F.col("e_doc")), "left")

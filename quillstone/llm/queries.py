@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import lines, mixing, sharding
+from quillstone.llm import common, lines, mixing, packing, pii, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,8 @@ LINE_RATIO, LINE_PAGES = 0.1, 5
 
 def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), "html")
-    out = lines.drop_site_lines(pages, F.col("host"), lines.page_text(F.col("html")), max_ratio=LINE_RATIO, min_pages=LINE_PAGES)
+    pages = common.written(pages.withColumn("text", lines.page_text(F.col("html"))).drop("html"), "texts")  # read three times
+    out = lines.drop_site_lines(pages, F.col("host"), F.col("text"), max_ratio=LINE_RATIO, min_pages=LINE_PAGES)
     return out.select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
@@ -52,5 +54,17 @@ def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
 
 
-QUERIES = {"op3_site_lines": op3_site_lines, "op4_mix_sources": op4_mix_sources, "op7_shard_documents": op7_shard_documents}
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), model_path=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(table(spark, sf_dir, "documents"))
+
+
+def op9_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_curve(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_site_lines, op4_mix_sources, op6_private_data, op7_shard_documents, op9_pack_curve)}
 SQL = {"op3_site_lines": OP3_SQL}
