@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, lines, mixing, packing, pii, sharding, tokens
+from quillstone.llm import common, lines, mixing, packing, perplexity, pii, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,5 +66,9 @@ def op9_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_curve(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_site_lines, op4_mix_sources, op6_private_data, op7_shard_documents, op9_pack_curve)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), drop=("text",)).drop("lang")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_site_lines, op4_mix_sources, op6_private_data, op7_shard_documents, op9_pack_curve, op10_quality_rules)}
 SQL = {"op3_site_lines": OP3_SQL}
