@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, lines, mixing, packing, perplexity, pii, sharding, tokens
+from quillstone.llm import common, jaccard, lines, mixing, packing, perplexity, pii, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), model_path=public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(table(spark, sf_dir, "documents"))
 
@@ -70,5 +74,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), drop=("text",)).drop("lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_site_lines, op4_mix_sources, op6_private_data, op7_shard_documents, op9_pack_curve, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_site_lines, op4_mix_sources, op5_jaccard_join, op6_private_data, op7_shard_documents, op9_pack_curve, op10_quality_rules)}
 SQL = {"op3_site_lines": OP3_SQL}
