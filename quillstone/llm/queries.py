@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, jaccard, lines, mixing, packing, perplexity, pii, sharding, tokens
+from quillstone.llm import common, jaccard, lines, mixing, packing, perplexity, pii, sharding, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,21 @@ def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT html, max(page_id) AS first FROM p WHERE n >= {warc.REVISIT_BYTES} GROUP BY html)
+SELECT p.page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN f.first IS NULL OR f.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.html = f.html
+"""
+
+
 def op9_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_curve(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
@@ -74,5 +89,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), drop=("text",)).drop("lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_site_lines, op4_mix_sources, op5_jaccard_join, op6_private_data, op7_shard_documents, op9_pack_curve, op10_quality_rules)}
-SQL = {"op3_site_lines": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_site_lines, op4_mix_sources, op5_jaccard_join, op6_private_data, op7_shard_documents, op8_warc_round_trip, op9_pack_curve, op10_quality_rules)}
+SQL = {"op3_site_lines": OP3_SQL, "op8_warc_round_trip": OP8_SQL}
