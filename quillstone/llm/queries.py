@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, jaccard, lines, mixing, packing, perplexity, pii, sharding, tokens, warc
+from quillstone.llm import common, jaccard, lines, mixing, packing, perplexity, pii, sharding, tokens, warc, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ SELECT page_id, host, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls)
 FROM j
 """
 
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.measure_media(webp.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -89,5 +93,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), drop=("text",)).drop("lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_site_lines, op4_mix_sources, op5_jaccard_join, op6_private_data, op7_shard_documents, op8_warc_round_trip, op9_pack_curve, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_site_lines, op4_mix_sources, op5_jaccard_join, op6_private_data, op7_shard_documents, op8_warc_round_trip, op9_pack_curve, op10_quality_rules)}
 SQL = {"op3_site_lines": OP3_SQL, "op8_warc_round_trip": OP8_SQL}
