@@ -328,3 +328,15 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> Data
     out = of_doc.join(found, F.col("rep") == F.col("node"), "left")
     component = F.coalesce(F.col("label"), F.col("rep"), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_first(df: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of a table with doc_id and text without near duplicates: of each component one row of the smallest doc_id.
+
+    Rows whose shingle set is empty, and rows without doc_id that equal no other's set, stay. Of rows that repeat a doc_id
+    one stays if that id does.
+    """
+    found = near_duplicates(df.select("doc_id", "text"), words=words, percent=percent)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
+    return named.unionByName(df.where("doc_id IS NULL"))
