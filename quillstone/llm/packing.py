@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,12 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, mix64, shuffle_partitions, utf8, word_hashes, written
+from quillstone.llm.common import arrow_limits, mix64, shuffle_partitions, utf8, written
 
 #: Dimensions that document vectors are projected to, and bits of each in the curve's key.
-DIMS, BITS = 4, 12
-#: Chunks of text whose ids a worker keeps; then it starts anew.
-MEMO = 1 << 19
+DIMS, BITS = 4, 8
+#: Words and chunks of text whose ids a worker keeps; then it starts anew.
+MEMO = 3 << 18
+#: Words joined for one call of the tokenizer.
+JOINED = 4096
+#: Texts in which the vocabulary's normal form is plain lower case and its words are those of WORD.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ \\t\\n\\r\\x0b\\x0c]*")
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \\t\\n\\r\\x0b\\x0c]+")
 
 _loaded: dict[int, tuple] = {}
 
@@ -24,41 +31,66 @@ def _tokenizer(spec: str) -> tuple:
     if (key := hash(spec)) not in _loaded:
         from tokenizers import Tokenizer
 
-        _loaded[key] = Tokenizer.from_str(spec), {}
+        tok = Tokenizer.from_str(spec)
+        bare = Tokenizer.from_str(json.dumps(json.loads(spec) | {"normalizer": None}))
+        vocab = tok.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        _loaded[key] = tok, bare, ends, {}
     return _loaded[key]
 
 
-def token_ids(texts: list[bytes], spec: str, end_id: int) -> list[bytes]:
+def _learn_words(tok, ends: np.ndarray, words: list[str], memo: dict) -> None:
+    """The ids of words, many in one call: white space parts them there, and a word's last id tells that it is the last."""
+    for i in range(0, len(words), JOINED):
+        some = words[i : i + JOINED]
+        ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u2")
+        last = np.flatnonzero(ends[ids]) + 1
+        if len(last) != len(some):  # not the words of this vocabulary after all: one by one
+            memo.update((w, np.array(tok.encode(w, add_special_tokens=False).ids, dtype="<u2").tobytes()) for w in some)
+            continue
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(some, (2 * last).tolist(), strict=True):
+            memo[w] = raw[at:end]
+            at = end
+
+
+def token_ids(texts: list[str], spec: str, end_id: int) -> list[bytes]:
     """Each text's ids and ``end_id`` as little-endian unsigned 16-bit integers.
 
-    The vocabulary drops white space and never joins across it, and ASCII white space takes no part in its normal forms:
-    a text's ids are those of its chunks in order. Chunks met before come from the worker's memo.
+    The vocabulary parts a text into words, drops white space, and encodes words one by one. A plain text is parted here;
+    words met before come from the worker's memo, the others go to the tokenizer many at a time. Any other text is parted
+    at ASCII white space only, which takes no part in its normal forms, and each chunk goes to the tokenizer as it stands.
     """
-    tok, memo = _tokenizer(spec)
-    chunks = [t.split() for t in texts]
+    tok, bare, ends, memo = _tokenizer(spec)
     if len(memo) > MEMO:
         memo.clear()
-    if fresh := list({c for cs in chunks for c in cs if c not in memo}):
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            found = tok.encode_batch([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)
-            memo.update((c, np.array(e.ids, dtype="<u2").tobytes()) for c, e in zip(some, found, strict=True))
+    plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+    parts = [WORD.findall(t.lower()) if p else utf8(t).split() for t, p in zip(texts, plain, strict=True)]
+    _learn_words(bare, ends, list(set().union(*(x for x, p in zip(parts, plain, strict=True) if p)) - memo.keys()), memo)
+    chunks = list(set().union(*(x for x, p in zip(parts, plain, strict=True) if not p)) - memo.keys())  # bytes, not str
+    for i in range(0, len(chunks), JOINED):
+        found = tok.encode_batch([c.decode("utf-8", "replace") for c in chunks[i : i + JOINED]], add_special_tokens=False)
+        memo.update((c, np.array(e.ids, dtype="<u2").tobytes()) for c, e in zip(chunks[i : i + JOINED], found, strict=True))
     end = end_id.to_bytes(2, "little")
-    return [b"".join(map(memo.__getitem__, cs)) + end for cs in chunks]
+    return [b"".join(map(memo.__getitem__, x)) + end for x in parts]
+
+
+#: A hash-drawn value in [-1, 1] of each id on each coordinate.
+_DRAWN = (mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)).view("<u2").reshape(-1, DIMS) / 32767.5 - 1).astype(np.float32)
 
 
-def curve_key(words: np.ndarray) -> int:
-    """The Hilbert key of a text from its word hashes: a hashed bag of words projected to DIMS coordinates.
+def curve_key(ids: np.ndarray) -> int:
+    """The Hilbert key of a text from its ids: a hashed bag of ids projected to DIMS coordinates.
 
-    Coordinate d is the mean of a hash-drawn sign-like value of each word, scaled to BITS bits around 0; texts that share
-    words get near coordinates, and the key keeps near points near.
+    A coordinate is the mean of a hash-drawn value of each id, scaled to BITS bits around 0; texts that share their frequent
+    ids get near coordinates, and the curve keeps near points near.
     """
-    if not len(words):
+    if not len(ids):
         return 0
-    means = [((mix64(words + np.uint64(d + 1)) >> np.uint64(40)).astype(np.float64) / (1 << 23) - 1).mean() for d in range(DIMS)]
     top = (1 << BITS) - 1
-    # means of n draws shrink as n grows; what texts share in common words remains, so the scale is fixed
-    return hilbert([min(top, max(0, int((m / 0.5 + 1) / 2 * top))) for m in means], BITS)
+    means = np.clip((_DRAWN[ids].mean(axis=0, dtype=np.float64) / 0.25 + 1) / 2 * top, 0, top)
+    return hilbert(means.astype(int).tolist(), BITS)
 
 
 def hilbert(point: list[int], bits: int) -> int:
@@ -103,9 +135,8 @@ def _direction(rank: int, n: int) -> int:
 
 def _encode(batches: Iterator[pa.RecordBatch], spec: str, end_id: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [utf8(x.as_py()) for x in batch.column(1)]
-        ids = token_ids(texts, spec, end_id)
-        keys = [curve_key(word_hashes(np.frombuffer(t, dtype=np.uint8), lower=True)) for t in texts]
+        ids = token_ids([x.as_py() or "" for x in batch.column(1)], spec, end_id)
+        keys = [curve_key(np.frombuffer(x, dtype="<u2")[:-1]) for x in ids]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
             ["doc_id", "key", "n", "ids"],
