@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<head\b.*?</head>"
 BREAKS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|nav|article|footer|header|table|tr|td|section|br|title|body|html|hr|main|aside|pre|blockquote)\b[^>]*>"
 TAGS = r"<[^>]*>"
-#: Parts of a site's pages in the join with its flagged lines.
-SALTS = 32
+#: Parts of a site's lines and pages in joins on the site.
+SALTS = 64
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -36,7 +36,7 @@ def drop_site_lines(
 
     Scale: a map-side combined count per (site, line hash) is the only wide step on lines, so a hot site is spread over its
     lines. A site's flagged lines number at most its mean lines a page over ``max_ratio``, whatever its page count, so they
-    travel as one short array per site; the join back is on the site and one of SALTS parts of its pages.
+    travel as one short array per site; joins on the site are on one of SALTS parts of its lines or pages, too.
 
     Edge cases: a null site is a site of its own that keeps all lines; a null text stays null with 0 lines; an empty text
     has one (blank) line; blank lines are never dropped; repeated rows are treated alike; an empty table gives an empty one;
@@ -58,15 +58,16 @@ def drop_site_lines(
         .agg(F.count("*").alias("__total"))
         .where(F.col("__total") >= min_pages)
     )
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    per_line = per_line.where(F.col("__n") > max_ratio * min_pages).withColumn("__salt", F.pmod("__line", F.lit(SALTS)).cast("int"))
     flagged = (
-        per_line.where(F.col("__n") > max_ratio * min_pages)
-        .join(totals, key)
+        per_line.join(totals.withColumn("__salt", parts), [key, "__salt"])
         .where(F.col("__n") > F.lit(max_ratio) * F.col("__total"))
         .groupBy(key)
         .agg(F.array_sort(F.collect_list("__line")).alias(flags))
     )
     kept = F.filter(F.col(lines), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(flags), F.xxhash64(F.trim(x))))
-    salted = flagged.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = flagged.withColumn("__salt", parts)
     base = base.withColumn("__salt", F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int"))
     return (
         base.join(salted, [key, "__salt"], "left")
