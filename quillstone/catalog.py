@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quillstone.plans import ingest
+
+QUERIES: dict = {**ingest.Q}
+SQL: dict = {**ingest.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
