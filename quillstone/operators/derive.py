@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import FUNCTION_WORDS, analyzed_terms, fold, folded_words, short_hash
+from quillstone.session import ship
 
 BLOCK_ID = ["path", "ordinal"]
 # Shapes of identifiers, definitions, constants, imports and assignments.
@@ -90,6 +91,7 @@ def _sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def raises(files: DataFrame, blocks: DataFrame) -> DataFrame:
     """(path, ordinal, name): named raise sites and the blocks that contain them: an equi-join on the file with a range."""
+    ship(files.sparkSession)
     sites = files.where("language = 'python'").select("path", "text").mapInArrow(_sites, "path string, lo int, hi int, name string")
     inside = (blocks.start_line <= sites.lo) & (sites.hi <= blocks.end_line)
     return blocks.join(sites, (blocks.path == sites.path) & inside).select(blocks.path, "ordinal", sites.name).distinct()
@@ -157,6 +159,7 @@ def defined_chunks(files: DataFrame, target: int = 4096, *, key: str = "doc_id")
     """(key, ordinal, chunk, hash) of content-defined chunks: an edit moves the cuts around it only."""
     if target < 64 or target > 1 << 20 or target & target - 1:
         raise ValueError("the target is to be a power of two from 64 to 1048576")
+    ship(files.sparkSession)
     kind = dict(files.dtypes)[key]
     rows = files.select(key, "text").mapInArrow(lambda b: _content(b, target), f"key {kind}, ordinal int, chunk binary")
     return rows.withColumnRenamed("key", key).withColumn("hash", F.sha2("chunk", 256))
