@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import ingest
+from quillstone.plans import ingest, retrieval
 
-QUERIES: dict = {**ingest.Q}
-SQL: dict = {**ingest.SQL}
+QUERIES: dict = {**ingest.Q, **retrieval.Q}
+SQL: dict = {**ingest.SQL, **retrieval.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
