@@ -31,8 +31,8 @@ def break_even(setup: Column, cold: Column, warm: Column) -> Column:
 def pareto(rows: DataFrame, *, minimize: list[str], maximize: list[str], group: str) -> DataFrame:
     """The rows of each group that no other row of it dominates; equal rows all stay, rows with nulls or NaN go.
 
-    The first measure is swept in order with the best of the second before it, which prunes most rows without comparing
-    pairs; what is left is compared within its group by an anti-join."""
+    Two measures are swept: by the first, with the best of the second so far. More are compared within their group by an
+    anti-join on distinct values."""
     measures = [(c, 1) for c in minimize] + [(c, -1) for c in maximize]
     valid = F.lit(True)
     for c, _ in measures:
@@ -41,11 +41,10 @@ def pareto(rows: DataFrame, *, minimize: list[str], maximize: list[str], group:
     signed = [(F.col(c) * sign).cast("double") for c, sign in measures]
     marked = rows.withColumns({f"__m{i}": s for i, s in enumerate(signed)})
     if len(measures) == 2:
-        before = Window.partitionBy(group).orderBy("__m0").rangeBetween(Window.unboundedPreceding, -1e-12)
-        same = Window.partitionBy(group, "__m0")
-        best, least = F.min("__m1").over(before), F.min("__m1").over(same)
-        kept = marked.withColumn("__b", best).withColumn("__l", least)
-        return kept.where((F.col("__m1") == F.col("__l")) & (F.col("__b").isNull() | (F.col("__m1") < F.col("__b")))).drop("__m0", "__m1", "__b", "__l")
+        steps = marked.groupBy(group, "__m0").agg(F.min("__m1").alias("__l"))
+        before = Window.partitionBy(group).orderBy("__m0").rowsBetween(Window.unboundedPreceding, -1)
+        steps = steps.withColumn("__b", F.min("__l").over(before)).where("__b IS NULL OR __l < __b")
+        return marked.join(steps.drop("__b"), [group, "__m0"]).where("__m1 = __l").drop("__m0", "__m1", "__l")
     other = marked.select(F.col(group).alias("__g"), *[F.col(f"__m{i}").alias(f"__o{i}") for i in range(len(measures))]).distinct()
     no_worse, better = F.lit(True), F.lit(False)
     for i in range(len(measures)):
