@@ -139,12 +139,13 @@ def prompt_blocks(df: DataFrame, column: str = "text") -> DataFrame:
 
     Adds idx, name and content; a text's first form with a match is the one used.
     """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     pair = lambda pattern: F.transform(
         F.arrays_zip(
             F.regexp_extract_all(column, F.lit(pattern), F.lit(1)).alias("name"),
             F.regexp_extract_all(column, F.lit(pattern), F.lit(2)).alias("content"),
         ),
-        lambda p: F.struct(F.trim(p["name"]).alias("name"), F.trim(p["content"]).alias("content")),
+        lambda p: F.struct(strip(p["name"]).alias("name"), strip(p["content"]).alias("content")),
     )
     heads = pair(r"(?s)\[File:\s*([^\]]+)\]\s*\n(.*?)(?=\n\[File:|\z)")
     fenced = pair(r"(?s)File:\s*([^\n]+)\n```[A-Za-z0-9_-]*\n(.*?)\n```")
