@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def event_windows(events: DataFrame, *, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """(window_start, event_type, n, total) of events (ts, event_type, value); with ``late`` a watermark bounds the state."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if late else rows
     out = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
