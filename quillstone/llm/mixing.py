@@ -113,12 +113,13 @@ def mix_sources(df: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     narrow = written(sized.select("source", "doc_id", "size"), "sizes")
     targets = written(source_targets(narrow, weights, cap), "targets")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    by_source = targets.select(F.col("source").alias("s_source"), "source_size", "target", F.floor(due).cast("int").alias("whole"), due.alias("due"))
-    same = F.col("source").eqNullSafe(F.col("s_source"))
+    by_source = targets.select(F.col("source").alias("__source"), "source_size", "target", F.floor(due).cast("int").alias("__whole"), due.alias("__due"))
+    same = F.col("source").eqNullSafe(F.col("__source"))
     units = narrow.where("size > 0").groupBy("source", "doc_id").agg(F.sum("size").alias("size"))
-    units = units.join(by_source, same).select("source", "doc_id", "size", F.floor((F.col("due") - F.col("whole")) * F.col("size") * (1 << PART_BITS)).cast("long").alias("mass"))
-    extra = pivotal_copies(units, seed).select(F.col("source").alias("e_source"), F.col("doc_id").alias("e_doc"), "extra")
+    mass = F.floor((F.col("__due") - F.col("__whole")) * F.col("size") * (1 << PART_BITS)).cast("long")
+    units = units.join(by_source, same).select("source", "doc_id", "size", mass.alias("mass"))
+    extra = pivotal_copies(units, seed).select(F.col("source").alias("__unit_source"), F.col("doc_id").alias("__unit_doc"), F.col("extra").alias("__extra"))
     out = sized.join(by_source, same)
-    out = out.join(extra, F.col("source").eqNullSafe(F.col("e_source")) & F.col("doc_id").eqNullSafe(F.col("e_doc")), "left")
-    copies = F.col("whole") + F.when(F.col("size") > 0, F.coalesce(F.col("extra"), F.lit(0))).otherwise(F.lit(0))
+    out = out.join(extra, F.col("source").eqNullSafe(F.col("__unit_source")) & F.col("doc_id").eqNullSafe(F.col("__unit_doc")), "left")
+    copies = F.col("__whole") + F.when(F.col("size") > 0, F.coalesce(F.col("__extra"), F.lit(0))).otherwise(F.lit(0))
     return out.select(*keep, "size", "source_size", "target", copies.cast("int").alias("copies"))
