@@ -20,7 +20,7 @@ EXCLUDED_DIRS = (
 )
 EXCLUDED_FILE = (
     r"(?i)(^\.env($|\.)|(^|[._-])secret|credential|(^|[._-])token(s)?\.json$|"
-    r"\.(pem|key|p12|pfx|pyc|so|dll|dylib|bin|npk)$|^id_(rsa|ed25519))"
+    r"\.(pem|key|p12|pfx|pyc|so|dll|dylib|bin)$|^id_(rsa|ed25519))"
 )
 CREDENTIALS = {
     "nvidia": r"nvapi-[A-Za-z0-9_-]{30,}",
