@@ -8,6 +8,8 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.session import ship
+
 #: Rows and bytes of one Arrow batch sent to Python; bounds a worker's memory whatever the text lengths are.
 ARROW_ROWS, ARROW_BYTES = 4096, 16 << 20
 
@@ -38,7 +40,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Bound the Arrow batches of Python functions planned from now on by rows and by bytes."""
+    """Send the package to the workers; bound the Arrow batches of functions planned from now on by rows and by bytes."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

@@ -18,8 +18,15 @@ LEAF, FAN = 8, 4
 BITS_A_SHINGLE, MAX_BITS = 4, 1 << 16
 #: Documents and shingles of a block that one task joins; larger blocks are dealt out in pairs of chunks.
 CHUNK_DOCS, CHUNK_SHINGLES = 2048, 1 << 23
-#: (signature, document) rows that a task combines before it sends them on.
-COMBINE = 1 << 22
+#: Signature rows that a task combines before it sends them on, and documents of one signature that it ties together.
+COMBINE, HOT = 1 << 21, 1024
+#: Shingles that signatures leave out: the most frequent ones, of those that at least OFTEN of a task's sets hold. Which they
+#: are, and that they are no more than FREQUENT, changes the work but no result.
+FREQUENT, OFTEN = 1 << 17, 8
+#: Documents of a signature that are compared in pairs, and from which on all are taken as able to link.
+SMALL, ALL_GLUED = 16, 1 << 15
+#: The bitmap that leaves out other documents has 1 << SLOT_BITS bits.
+SLOT_BITS = 27
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -41,16 +48,19 @@ def part_count(upper: int, percent: int) -> int:
     return differences + 1 + differences // 20 + 6
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int, n: int | None = None) -> np.ndarray:
     """Hashes such that any two sets that link share one (so that documents that share none need no comparison).
 
+    ``s`` is the set, or what is left of it and its size ``n``: any shingles may be left out, if from all sets, as they
+    cannot make what is left differ in more elements.
+
     Size classes double. Within a class all sets are dealt by hash into the same parts, more than the elements in which
     linked sets can differ, each of which spoils one part of either set: some part must be equal in both. A set signs each
     of its filled parts by its number and content. If a set has fewer filled parts than differences are possible plus one,
     it signs its empty parts too; of two linked sets either one has enough filled parts, one of which is equal in the
     other, or both sign empty parts as well. Sets near their class's upper end also sign in the next class.
     """
-    n = len(s)
+    n = len(s) if n is None else n
     out = []
     own = max(0, (n - 1).bit_length())  # sizes in (2**(own-1), 2**own]
     classes = [own]
@@ -59,10 +69,11 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     for c in classes:
         parts = part_count(1 << c, percent)
         at = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        # s is sorted, so at is too: parts are runs
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        sums = np.add.reduceat(mix64(s ^ _SALT), first)
-        out.append(mix64(sums + at[first] * _SALT + np.uint64(c + 1)))
+        first = np.empty(0, np.int64)
+        if len(s):  # s is sorted, so at is too: parts are runs
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            sums = np.add.reduceat(mix64(s ^ _SALT), first)
+            out.append(mix64(sums + at[first] * _SALT + np.uint64(c + 1)))
         possible = min(2 * (1 << c) * (100 - percent) // (100 + percent), n * (100 - percent) // percent)
         if len(first) <= possible:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[first])
@@ -70,8 +81,26 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of the sets hold, and how many."""
+    found, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    often = counts >= max(OFTEN, len(sets) // 500)
+    return found[often], counts[often]
+
+
 def _digests(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """The size of each row's shingle set and 128 bits of its content."""
+    """The size of each row's shingle set and 128 bits of its content; and rows without doc_id, with minus a count and a
+    shingle, of shingles that many of the task's sets hold."""
+    names = ["doc_id", "n", "d1", "d2"]
+    held: list[np.ndarray] = []
+    seen: set[tuple[int, int]] = set()
+
+    def frequent() -> pa.RecordBatch:
+        shingles, counts = _frequent(held)
+        held.clear()
+        none = pa.nulls(len(shingles), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(-counts, pa.int64()), pa.array(shingles.view(np.int64)), none], names)
+
     for batch in batches:
         n, d1, d2 = [], [], []
         for value in batch.column("text"):
@@ -79,46 +108,93 @@ def _digests(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             n.append(len(s))
             d1.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)))
             d2.append(int(mix64(s ^ _SALT).sum(dtype=np.uint64).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, d1, d2))], ["doc_id", "n", "d1", "d2"])
-
-
-def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (key, doc): each key's smallest document, and (smallest, other) pairs without repeats."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-    smallest = doc[head][np.cumsum(head) - 1] if len(key) else doc
-    others = ~head & (doc != smallest)
-    pairs = np.unique(np.stack([smallest[others], doc[others]], axis=1), axis=0) if others.any() else np.empty((0, 2), np.int64)
-    return key[head], doc[head], pairs
-
-
-_SIGNED = ["key", "doc", "edge"]
-
-
-def _signed_batch(keys, docs, pairs) -> pa.RecordBatch:
-    key = np.concatenate([keys.view(np.int64), pairs[:, 0]])
-    doc = np.concatenate([docs, pairs[:, 1]])
-    edge = np.concatenate([np.zeros(len(keys), bool), np.ones(len(pairs), bool)])
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(edge)], _SIGNED)
-
-
-def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(signature, document) rows, a signature's documents in this task combined to its smallest one and edges from it.
-
-    Copies of one set within a task are signed once, by the first."""
-    keys, docs, held = [], [], 0
-    copies: dict[bytes, int] = {}
+            if (d1[-1], d2[-1]) not in seen:  # a set counts once
+                seen.add((d1[-1], d2[-1]))
+                held.append(s)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, d1, d2))], names)
+        if sum(map(len, held)) > COMBINE:
+            yield frequent()
+            seen.clear()
+    yield frequent()
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Two words: the set's elements counted by hash into 32 buckets, each count modulo 16."""
+    counts = np.bincount((s >> np.uint64(20) & np.uint64(31)).astype(np.int64), minlength=32) & 15
+    return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).view(np.uint64)
+
+
+def _nibbles(words: np.ndarray) -> np.ndarray:
+    """Sketches (rows, 2) as counts (rows, 32)."""
+    raw = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 16)
+    return np.concatenate([raw & 15, raw >> 4], axis=1).astype(np.int8)
+
+
+def possible(ca, na, cb, nb, percent: int) -> np.ndarray:
+    """Whether sets with these counts and sizes can link: counts differ by no more, in all, than linked sets' elements do,
+    and going round at 16 makes differences smaller only."""
+    off = np.abs(ca - cb)
+    least = np.minimum(off, 16 - off).sum(axis=-1, dtype=np.int64)
+    return (least * (100 + percent) <= (na + nb) * (100 - percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+
+
+def _forest(doc: np.ndarray, counts: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that join up what ``possible`` joins among a signature's documents: each found one is compared with those not
+    found yet, so a group of near copies costs about its size."""
+    if len(doc) > ALL_GLUED:
+        return [(int(doc[0]), int(x)) for x in doc[1:]]
+    left, edges = np.arange(len(doc)), []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = possible(counts[i], n[i], counts[left], n[left], percent)
+            found = left[hit]
+            edges += [(int(doc[i]), int(doc[j])) for j in found]
+            queue += found.tolist()
+            left = left[~hit]
+    return edges
+
+
+def _sorted_groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+_SIGNED = ["key", "doc", "s0", "s1", "n", "edge"]
+
+
+def _signed_batch(rows: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Rows (key, doc, s0, s1, n), then edges (key: one end, doc: the other)."""
+    pairs = np.array(sorted(set(edges)), dtype=np.int64).reshape(-1, 2)
+    columns = [np.concatenate([rows[:, i], pairs[:, i] if i < 2 else np.zeros(len(pairs), np.int64)]) for i in range(5)]
+    flags = np.concatenate([np.zeros(len(rows), bool), np.ones(len(pairs), bool)])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4].astype(np.int32)), pa.array(flags)], _SIGNED)
+
+
+def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequent: bytes) -> Iterator[pa.RecordBatch]:
+    """(signature, document, sketch, size) rows; signatures leave out the ``frequent`` shingles. Copies of one set within a task are signed once, by the first; a signature
+    with over HOT documents in the task goes on with its first one, the others are tied to it by edges."""
+    parts: list[np.ndarray] = []
     edges: list[tuple[int, int]] = []
+    copies: dict[bytes, int] = {}
+    common = np.frombuffer(frequent, dtype=np.uint64)
 
     def combined() -> pa.RecordBatch:
-        nonlocal keys, docs, held, edges
-        k, d, pairs = _stars(np.concatenate(keys), np.concatenate(docs)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, 2), np.int64))
-        if edges:
-            pairs = np.concatenate([pairs, np.array(edges, dtype=np.int64)])
-        keys, docs, held, edges = [], [], 0, []
-        return _signed_batch(k, d, pairs)
-
+        rows = np.concatenate(parts) if parts else np.empty((0, 5), np.int64)
+        order = np.lexsort((rows[:, 1], rows[:, 0]))
+        starts, sizes = _sorted_groups(rows[order, 0])
+        keep = np.ones(len(rows), bool)  # in the order of documents: a partition's rows of one document compress well
+        for at, size in zip(starts[sizes > HOT].tolist(), sizes[sizes > HOT].tolist(), strict=True):
+            others = order[at + 1 : at + size]
+            keep[others] = False
+            edges.extend((int(rows[order[at], 1]), int(x)) for x in rows[others, 1])
+        out = _signed_batch(rows[keep], edges)
+        parts.clear(), edges.clear()
+        return out
+
+    held = 0
     for batch in batches:
         for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             s = shingle_set(value.as_py(), words)
@@ -129,30 +205,104 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterat
             if first != doc:
                 edges.append((first, doc))
                 continue
-            sig = signatures(s, percent)
-            keys.append(sig)
-            docs.append(np.full(len(sig), doc, dtype=np.int64))
+            rare = s
+            if len(common):
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                rare = s[common[at] != s]
+            sig = signatures(rare, percent, len(s))
+            rows = np.empty((len(sig), 5), dtype=np.int64)
+            rows[:, 0], rows[:, 1], rows[:, 4] = sig.view(np.int64), doc, len(s)
+            rows[:, 2:4] = sketch(s).view(np.int64)
+            parts.append(rows)
             held += len(sig)
             if held >= COMBINE:
                 yield combined()
                 copies.clear()
+                held = 0
     yield combined()
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of a partition that has all rows of its signatures: stars around each signature's smallest document."""
-    keys, docs, pairs = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+def _joined_up(edges: np.ndarray) -> np.ndarray:
+    """Edges from the smallest to every other document of each component of ``edges``: as few as join the same."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up] if up in parent else up
+            x = parent[x]
+        return x
+
+    for a, b in edges.tolist():
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    pairs = [(find(x), x) for x in list(parent)]
+    return np.array([p for p in pairs if p[0] != p[1]], dtype=np.int64).reshape(-1, 2)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a partition that has all rows of its signatures, which join up what the edges between documents that
+    share a signature and can link, and those that came along, join."""
+    parts, ties = [np.empty((0, 5), np.int64)], [np.empty((0, 2), np.int64)]
     for batch in batches:
-        key, doc, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        keys.append(key[~edge])
-        docs.append(doc[~edge])
+        columns = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
+        edge = batch.column("edge").to_numpy(zero_copy_only=False)
+        parts.append(columns[~edge])
         if edge.any():
-            pairs.append(np.unique(np.stack([key[edge], doc[edge]], axis=1), axis=0))
-    _, _, stars = _stars(np.concatenate(keys), np.concatenate(docs))
-    found = np.unique(np.concatenate([stars, *pairs]), axis=0)
+            ties.append(np.unique(columns[edge, :2], axis=0))
+    rows = np.concatenate(parts)
+    parts.clear()
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    same = rows[1:, 0] == rows[:-1, 0]
+    shared = np.zeros(len(rows), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    rows = rows[shared]
+    rows = rows[np.lexsort((rows[:, 4], rows[:, 1], rows[:, 0]))]
+    key, doc, n = rows[:, 0], rows[:, 1], rows[:, 4]
+    starts, sizes = _sorted_groups(key)
+    in_small = np.repeat(sizes <= SMALL, sizes)
+    for k in range(1, SMALL):  # all pairs of small groups, one distance at a time, a block of rows at a time
+        at = np.flatnonzero((key[k:] == key[:-k]) & in_small[k:])
+        for i in range(0, len(at), 1 << 18):
+            x = at[i : i + (1 << 18)]
+            y = x + k
+            hit = possible(_nibbles(rows[x, 2:4]), n[x], _nibbles(rows[y, 2:4]), n[y], percent)
+            pairs = np.stack([doc[x[hit]], doc[y[hit]]], axis=1)
+            ties.append(np.unique(np.sort(pairs, axis=1), axis=0))
+        if not len(at):
+            break
+    for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        g = slice(at, at + size)
+        if found := _forest(doc[g], _nibbles(rows[g, 2:4]), n[g], percent):
+            ties.append(np.sort(np.array(found, dtype=np.int64), axis=1))
+    found = _joined_up(np.unique(np.concatenate(ties), axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
 
 
+def _listed(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[pa.RecordBatch]:
+    """The rows whose ``slot`` is set in the bitmap: all members, and others by chance only."""
+    bits = np.frombuffer(bitmap, dtype=np.uint8)
+    for batch in batches:
+        slot = batch.column("slot").to_numpy()
+        yield batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+
+
+def _only_members(df: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``df`` (doc_id, text) that may be members (doc), by a bitmap of fixed size (1 << SLOT_BITS bits) made by
+    Spark: what is left out need not be shuffled to the join that decides."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SLOT_BITS))
+    at = members.select((slot("doc") + 1).alias("slot"))  # the bitmap functions count from 1
+    made = at.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m"))
+    bitmap = bytearray(1 << (SLOT_BITS - 3))
+    for r in made.toLocalIterator():
+        size = len(r["m"])
+        bitmap[(r["b"] - 1) * size : r["b"] * size] = r["m"]
+    shared = df.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    rows = df.select("doc_id", "text", slot("doc_id").alias("slot")).where("slot IS NOT NULL")
+    return rows.mapInArrow(lambda b: _listed(b, shared.value), "doc_id long, text string, slot long").drop("slot")
+
+
 class SignatureTree:
     """Sets in order of size, leaves of LEAF and nodes of FAN children, each with the OR of its token bitmaps, its range of
     sizes, and the most shingles of one set that share a bit with another."""
@@ -249,7 +399,7 @@ def tree_links(sets: list[np.ndarray], side: list[int], percent: int) -> list[tu
     return links
 
 
-def _join_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _join_blocks(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links of the blocks of a partition that is sorted by (block, first, second); one block is held at a time."""
     held: tuple | None = None
     docs, sets, side = [], [], []
@@ -262,24 +412,18 @@ def _join_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "first", "second")), strict=True))
-        chunks, ids, packed = batch.column("chunk").to_pylist(), batch.column("doc").to_pylist(), batch.column("packed")
-        for key, chunk, doc, value in zip(keys, chunks, ids, packed, strict=True):
+        chunks, ids, texts = batch.column("chunk").to_pylist(), batch.column("doc").to_pylist(), batch.column("text")
+        for key, chunk, doc, value in zip(keys, chunks, ids, texts, strict=True):
             if held is not None and key != held:
                 yield done()
             held = key
             docs.append(doc)
-            sets.append(np.frombuffer(value.as_buffer(), dtype=np.uint64).copy())
+            sets.append(shingle_set(value.as_py(), words))
             side.append(int(chunk != key[1]))
     if docs:
         yield done()
 
 
-def _packed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py(), words).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("block"), batch.column("chunks"), pa.array(sets, pa.binary())], ["doc", "block", "chunks", "packed"])
-
-
 def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of a table with doc_id and text.
 
@@ -287,8 +431,10 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> Data
     is the smallest doc_id that links reach, the row's own included. All links count, none is estimated:
 
     1. Equal sets become one representative (the smallest doc_id).
-    2. Signatures that any two linked sets share (see ``signatures``) give stars; their components are blocks that no link
-       leaves. A signature's documents are combined in each task before the shuffle, so copies and hot groups cost little.
+    2. Any two linked sets share a signature of what they hold besides shingles that are frequent everywhere, such as those of
+       licence texts (see ``signatures``). Documents that share one and that sizes and a small
+       sketch do not rule out are joined by an edge; the edges' components are blocks that no link leaves. Copies and a
+       signature's hot groups are combined in each task before the shuffle.
     3. In each block a signature tree, traversed against itself, finds the links; blocks beyond CHUNK_DOCS documents are
        dealt out in pairs of chunks.
     4. Links and representatives give components. Copies are never expanded into pairs.
@@ -300,14 +446,17 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> Data
     spark = df.sparkSession
     arrow_limits(spark)
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = written(df.mapInArrow(lambda b: _digests(b, words), "doc_id long, n long, d1 long, d2 long"), "digests")
+    found = written(df.mapInArrow(lambda b: _digests(b, words), "doc_id long, n long, d1 long, d2 long"), "digests")
+    sizes = found.where("n >= 0")
+    top = found.where("n < 0").groupBy("d1").agg(F.sum("n").alias("n")).orderBy("n", "d1").limit(FREQUENT).select("d1").toArrow()
+    frequent = np.sort(top["d1"].to_numpy().view(np.uint64)).tobytes()
     first = sizes.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     of_doc = written(sizes.join(first, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep"), "representatives")
     rep_of = of_doc.where("rep IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "rep", "n").dropDuplicates(["doc"])
 
-    signed = df.mapInArrow(lambda b: _sign(b, words, percent), "key long, doc long, edge boolean")
-    near = signed.repartition(shuffle_partitions(spark), "key").mapInArrow(_meet, "a long, b long")
-    near = written(near, "near")  # a signature's star is repeated in each partition
+    signed = df.mapInArrow(lambda b: _sign(b, words, percent, frequent), "key long, doc long, s0 long, s1 long, n int, edge boolean")
+    near = signed.repartition(shuffle_partitions(spark), "key").mapInArrow(lambda b: _meet(b, percent), "a long, b long")
+    near = written(near.distinct(), "near")  # an edge can come from several partitions
     near = near.join(rep_of.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a").join(rep_of.select(F.col("doc").alias("b"), F.col("rep").alias("rb")), "b")
     near = near.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     blocks = connected_components(near)
@@ -315,17 +464,17 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> Data
     totals = blocks.join(reps, F.col("node") == F.col("doc")).groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
     members = blocks.join(totals, "label").select(F.col("node").alias("doc"), F.col("label").alias("block"), chunks.alias("chunks"))
-    sets = df.join(members, F.col("doc_id") == F.col("doc")).select("doc", "block", "chunks", "text")
-    sets = sets.mapInArrow(lambda b: _packed(b, words), "doc long, block long, chunks int, packed binary")
+    members = written(members, "members")
+    sets = _only_members(df, members).join(members, F.col("doc_id") == F.col("doc")).select("doc", "block", "chunks", "text")
     sets = sets.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    # each pair of chunks once; a chunk alone is the pair with itself, or is part of any other pair's both sides
+    # each pair of chunks once, a chunk's pair with itself included
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    sets = sets.select("*", other).select("doc", "block", "chunk", "packed", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"))
+    sets = sets.select("*", other).select("doc", "block", "chunk", "text", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"))
     keys = ["block", "first", "second"]
     dealt = sets.repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
-    links = dealt.mapInArrow(lambda b: _join_blocks(b, percent), "a long, b long")
-    found = connected_components(links)
-    out = of_doc.join(found, F.col("rep") == F.col("node"), "left")
+    links = dealt.mapInArrow(lambda b: _join_blocks(b, words, percent), "a long, b long")
+    joined = connected_components(links)
+    out = of_doc.join(joined, F.col("rep") == F.col("node"), "left")
     component = F.coalesce(F.col("label"), F.col("rep"), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
