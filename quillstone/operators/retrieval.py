@@ -28,7 +28,7 @@ def bm25_scores(queries: DataFrame, postings: DataFrame, lengths: DataFrame, *,
     queries: (query_id, term), distinct; postings: (keys, term, tf); lengths: (keys, dl) of all blocks, matching or not.
     Postings are cut to query terms before anything else; corpus totals are one row that is cross-applied as a literal row.
     """
-    hits = postings.join(queries.select("term").distinct(), "term")
+    hits = postings.join(queries.select("term").distinct(), "term", "left_semi")  # goes below the postings' aggregation
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     weights = df.crossJoin(F.broadcast(totals)).select("term", "avgdl", bm25_idf(F.col("n_docs"), F.col("df")).alias("idf"))
@@ -40,7 +40,7 @@ def bm25_scores(queries: DataFrame, postings: DataFrame, lengths: DataFrame, *,
 
 def legacy_bm25_scores(queries: DataFrame, postings: DataFrame, lengths: DataFrame, *, keys: list[str]) -> DataFrame:
     """The older score: another idf, k1 and b, query terms with repeats; ``dl`` counts white-space words."""
-    hits = postings.join(queries.select("term").distinct(), "term")
+    hits = postings.join(queries.select("term").distinct(), "term", "left_semi")  # goes below the postings' aggregation
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
