@@ -66,17 +66,15 @@ SELECT conv_id, s.omitted AS omitted, md5(concat('<!-- trace: ', s.omitted, ' li
 
 
 def extractive_compress(spark: SparkSession, d: str) -> DataFrame:
-    """Documents compressed to half by their overlap with a passage; lines stand for paragraphs, which the texts lack."""
-    query = benchmark_queries(spark, d).where("query_id = 0").select("query")
-    rows = table(spark, d, "documents").select("doc_id", "text").crossJoin(F.broadcast(query))
+    """Documents compressed to half by their overlap with their first line; lines stand for paragraphs, which they lack."""
+    rows = table(spark, d, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("query"))
     return M.compress(rows, separator="\n").select("doc_id", F.size("kept_parts").cast("long").alias("n_kept"), F.array_join(F.transform("kept_parts", lambda x: x.cast("string")), ",").alias("kept"))
 
 
 _TOK = "(CASE WHEN length({0}) = 0 THEN 0 ELSE greatest(1, floor(length({0}) / 3.8::DOUBLE)) END)::BIGINT"
-SQL["extractive_compress"] = rf"""WITH q AS (SELECT list_distinct({WORDS_SQL.format("text")}) AS qw FROM benchmark WHERE item_id = 0),
-p AS (SELECT doc_id, text, string_split(text, chr(10)) AS ps, {_TOK.format("text")} AS total FROM documents),
-e AS (SELECT doc_id, total, unnest(ps) AS p, unnest(range(0, len(ps))) AS i FROM p),
-s AS (SELECT doc_id, total, i, {_TOK.format("p")} AS tok, 2.0 * len(list_intersect(qw, list_distinct({WORDS_SQL.format("p")}))) + CASE WHEN regexp_matches(trim(p), '^(?:#|##|def |class |export |public )') THEN 1.5 ELSE 0 END AS score FROM e, q),
+SQL["extractive_compress"] = rf"""WITH p AS (SELECT doc_id, text, string_split(text, chr(10)) AS ps, {_TOK.format("text")} AS total, list_distinct({WORDS_SQL.format("split_part(text, chr(10), 1)")}) AS qw FROM documents),
+e AS (SELECT doc_id, total, qw, unnest(ps) AS p, unnest(range(0, len(ps))) AS i FROM p),
+s AS (SELECT doc_id, total, i, {_TOK.format("p")} AS tok, 2.0 * len(list_intersect(qw, list_distinct({WORDS_SQL.format("p")}))) + CASE WHEN regexp_matches(trim(p), '^(?:#|##|def |class |export |public )') THEN 1.5 ELSE 0 END AS score FROM e),
 o AS (SELECT *, sum(tok) OVER w AS used, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, i ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT *, min(CASE WHEN rn > 1 AND used > greatest(500, floor(total * 0.5::DOUBLE)) THEN rn END) OVER (PARTITION BY doc_id) AS stop FROM o)
 SELECT doc_id, count(*) AS n_kept, string_agg(i::VARCHAR, ',' ORDER BY i) AS kept FROM b WHERE total <= 500 OR stop IS NULL OR rn < stop GROUP BY doc_id"""

@@ -310,16 +310,19 @@ SELECT dst.path AS path, dst.ordinal::BIGINT AS ordinal, count(*) AS n_src FROM
 
 
 def khop(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    to_supplier = items.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
-    edges = to_supplier.unionByName(to_supplier.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    seeds = table(spark, d, "part").where("p_partkey <= 20").select(F.col("p_partkey").cast("long").alias("query_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    """What each customer reaches in two hops: its nation, then the nation's region and suppliers."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    customers, nations, suppliers = (table(spark, d, t) for t in ("customer", "nation", "supplier"))
+    edges = customers.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"))
+    edges = edges.unionByName(nations.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")))
+    edges = edges.unionByName(suppliers.select(name("n", "s_nationkey").alias("src"), name("s", "s_suppkey").alias("dst")))
+    seeds = customers.select(F.col("c_custkey").cast("long").alias("query_id"), name("c", "c_custkey").alias("node"))
     return retrieval.expand(seeds, edges, depth=2).groupBy("query_id", F.col("hop").cast("long").alias("hop")).agg(F.count("*").alias("n"), F.min("node").alias("first_node"))
 
 
-SQL["khop"] = """WITH RECURSIVE i AS (SELECT DISTINCT concat('p', l_partkey) AS p, concat('s', l_suppkey) AS s FROM lineitem),
-e AS (SELECT p AS src, s AS dst FROM i UNION ALL SELECT s, p FROM i),
-w AS (SELECT p_partkey::BIGINT AS query_id, concat('p', p_partkey) AS node, 0 AS hop FROM part WHERE p_partkey <= 20
+SQL["khop"] = """WITH RECURSIVE e AS (SELECT concat('c', c_custkey) AS src, concat('n', c_nationkey) AS dst FROM customer
+  UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation UNION ALL SELECT concat('n', s_nationkey), concat('s', s_suppkey) FROM supplier),
+w AS (SELECT c_custkey::BIGINT AS query_id, concat('c', c_custkey) AS node, 0 AS hop FROM customer
       UNION SELECT query_id, dst, hop + 1 FROM w JOIN e ON node = src WHERE hop < 2),
 m AS (SELECT query_id, node, min(hop) AS hop FROM w GROUP BY ALL)
 SELECT query_id, hop::BIGINT AS hop, count(*) AS n, min(node) AS first_node FROM m WHERE hop > 0 GROUP BY ALL"""
