@@ -1,4 +1,5 @@
-"""Quality rules with n-gram perplexity: a modified Kneser-Ney model counted by Spark, and a band for each language."""
+"""Quality rules with n-gram perplexity: modified Kneser-Ney models of words and of characters counted by Spark, and bands
+for each language."""
 
 from __future__ import annotations
 
@@ -7,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, mix64, shingle_hashes, utf8, word_hashes, word_spans, written
+from quillstone.llm.common import arrow_limits, mix64, shingle_hashes, shuffle_partitions, utf8, word_hashes, word_spans, written
 
-#: The model is over characters: n-grams of ORDER symbols out of 1 << SYMBOL_BITS, so a count table has at most
+#: The model over characters: n-grams of ORDER symbols out of 1 << SYMBOL_BITS, so a count table has at most
 #: 1 << (ORDER * SYMBOL_BITS) rows whatever the corpus is: the proven bound of what is broadcast.
 ORDER, SYMBOL_BITS = 4, 5
 SYMBOLS = 1 << SYMBOL_BITS
@@ -28,6 +30,11 @@ BINS = 1000
 LANGUAGE_ROWS = 50
 #: Characters that a counting task gathers before it counts them.
 GATHER = 1 << 22
+#: The model over words: trigrams of hashed words; a text starts with two WORD_START. A counting task deals out DEAL words
+#: at once. The words after which trigrams are dealt have 1 << LOAD_BITS loads, by which frequent ones are spread.
+WORD_START, DEAL, LOAD_BITS = np.uint64(0x2545F4914F6CDD1D), 1 << 21, 16
+#: Log probabilities are summed as integers, so many to the nat: the same on any cluster.
+NAT = 1 << 24
 
 
 def _symbol_table() -> np.ndarray:
@@ -76,24 +83,33 @@ def grams(text: str) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a gram of the task's texts: counts are combined here before they are shuffled."""
+    """One row a gram of the task's texts: counts are combined here before they are shuffled. Behind the GRAMS codes come the
+    loads: how many words follow the words of each slot."""
     totals, queue, held = np.zeros(GRAMS, dtype=np.int64), [], 0
+    loads = np.zeros(1 << LOAD_BITS, dtype=np.int64)
     for batch in batches:
         for value in batch.column(0):
-            queue.append(grams(value.as_py() or ""))
+            text = value.as_py() or ""
+            queue.append(grams(text))
+            np.add.at(loads, _load_slot(_padded(text)[1:-1]), 1)
             held += len(queue[-1])
             if held >= GATHER:
                 totals += np.bincount(np.concatenate(queue), minlength=GRAMS)
                 queue, held = [], 0
     if queue:
         totals += np.bincount(np.concatenate(queue), minlength=GRAMS)
+    totals = np.concatenate([totals, loads])
     codes = np.flatnonzero(totals)
     yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(totals[codes], pa.int64())], ["gram", "n"])
 
 
 def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from counts of counts; never above the count."""
-    n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+    return _discounts_of([int((counts == k).sum()) for k in (1, 2, 3, 4)])
+
+
+def _discounts_of(n: list[int]) -> tuple[float, float, float]:
+    """The same from how many counts are 1, 2, 3 and 4."""
     if not (n[0] and n[1]):
         return 0.5, 0.5, 0.5
     y = n[0] / (n[0] + 2 * n[1])
@@ -178,15 +194,230 @@ def _score(batches: Iterator[pa.RecordBatch], codes: bytes, counts: bytes) -> It
         yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 
 
-def train(texts: DataFrame) -> tuple[bytes, bytes]:
-    """The model's store: sorted gram codes (32-bit) and their counts (64-bit), of all texts of the one-column table.
+def train(texts: DataFrame) -> tuple[bytes, bytes, np.ndarray]:
+    """The character model's store: sorted gram codes (32-bit) and their counts (64-bit), of all texts of the one-column
+    table; and the loads of the words' slots.
 
-    Counting is one pass with a combine in each task and one in Spark; at most GRAMS rows reach the driver.
+    Counting is one pass with a combine in each task and one in Spark; at most GRAMS + (1 << LOAD_BITS) rows reach the driver.
     """
     counted = texts.mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     codes, counts = counted["gram"].to_numpy().astype("<u4"), counted["n"].to_numpy().astype("<i8")
+    loads = np.zeros(1 << LOAD_BITS, dtype=np.int64)
+    loads[codes[codes >= GRAMS] - GRAMS] = counts[codes >= GRAMS]
+    codes, counts = codes[codes < GRAMS], counts[codes < GRAMS]
     order = np.argsort(codes)
-    return codes[order].tobytes(), counts[order].tobytes()
+    return codes[order].tobytes(), counts[order].tobytes(), loads
+
+
+def _padded(text: str) -> np.ndarray:
+    """Hashes of the words (lower-cased in A-Z) behind two WORD_START."""
+    return np.concatenate([np.full(2, WORD_START), word_hashes(np.frombuffer(utf8(text), dtype=np.uint8), lower=True)])
+
+
+def _load_slot(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - LOAD_BITS)).astype(np.int64)
+
+
+def spreads(loads: np.ndarray, ranges: int) -> np.ndarray:
+    """Over how many ranges each slot's words are spread, so that no slot puts over a quarter of the mean into one."""
+    return np.maximum(1, -(-loads * 4 * ranges // max(1, int(loads.sum()))))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned integers, each at the least width that holds it, byte by byte of all its values, compressed."""
+    out = []
+    for a in arrays:
+        a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+        out += [np.array([len(a), a.itemsize], dtype="<u8").tobytes(), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        n, width = np.frombuffer(raw, "<u8", 2, at).tolist()
+        planes = np.frombuffer(raw, np.uint8, n * width, at + 16).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}"))
+        at += 16 + n * width
+    return out
+
+
+def _deal(batches: Iterator[pa.RecordBatch], spread: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """A task's trigrams (w1, w2, w3) with the texts' keys, packed by range. All of one context (w1, w2) are in one range, and
+    all around w2 in as many as its slot is spread over, by w1."""
+    parts: list[np.ndarray] = []
+    keys: list[int] = []
+    held = 0
+
+    def dealt() -> pa.RecordBatch:
+        w1, w2, w3 = (np.concatenate([p[i : len(p) - 2 + i] for p in parts]) for i in range(3))
+        doc = np.repeat(np.array(keys, dtype=np.int64).view(np.uint64), [len(p) - 2 for p in parts])
+        slot = _load_slot(w2)
+        sub = mix64(w1) % spread[slot].astype(np.uint64)
+        to = (mix64((slot.astype(np.uint64) << np.uint64(32)) + sub) % np.uint64(ranges)).astype(np.int64)
+        order = np.lexsort((w1, w2, to))
+        bounds = np.searchsorted(to[order], np.arange(ranges + 1))
+        found, blobs = [], []
+        for r in np.flatnonzero(np.diff(bounds)).tolist():
+            at = order[bounds[r] : bounds[r + 1]]
+            words, index = np.unique(np.concatenate([w1[at], w2[at], w3[at]]), return_inverse=True)
+            docs, of = np.unique(doc[at], return_inverse=True)
+            found.append(r)
+            blobs.append(_pack(words, *np.split(index, 3), docs, of))
+        parts.clear(), keys.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
+
+    for batch in batches:
+        for key, value in zip(batch.column("__key").to_pylist(), batch.column("text"), strict=True):
+            words = _padded(value.as_py() or "")
+            if key is None or len(words) == 2:
+                continue
+            parts.append(words)
+            keys.append(key)
+            held += len(words)
+            if held >= DEAL:
+                yield dealt()
+                held = 0
+    if parts:
+        yield dealt()
+
+
+_COUNTED = "range int, gid int, w2 long, w3 long, n0 long, n1 long, blob binary"
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each range of a partition that is sorted by it; one range is held at a time."""
+    at, held = None, []
+    for batch in batches:
+        for row_range in np.unique(batch.column("range").to_numpy()).tolist():
+            rows = batch.filter(pa.compute.equal(batch.column("range"), row_range))
+            if at is not None and row_range != at:
+                yield at, held
+                held = []
+            at = row_range
+            held.append(rows)
+    if held:
+        yield at, held
+
+
+def _count_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each range: a row for each (w2, w3) with the number of its distinct w1 in either half of the texts, rows without w2
+    that say how many trigrams (n0, n1) have the count gid, and the range's store: for each trigram its counts, its context
+    with its totals, and its pair, sorted by the contexts' hashes, and which texts hold it. A half is the keys' lowest bit."""
+    names = ["range", "gid", "w2", "w3", "n0", "n1", "blob"]
+
+    def out(r, gid, w2, w3, n, blobs):
+        size = len(gid)
+        columns = [pa.array(np.full(size, r), pa.int32()), pa.array(gid, pa.int32())]
+        columns += [pa.nulls(size, pa.int64()) if x is None else pa.array(x.view(np.int64), pa.int64()) for x in (w2, w3)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in n), pa.array(blobs or [None] * size, pa.binary())], names)
+
+    for r, held in _by_range(batches):
+        pieces = [_unpack(x.as_py()) for b in held for x in b.column("blob")]
+        w1, w2, w3 = (np.concatenate([p[0][p[i]] for p in pieces]) for i in (1, 2, 3))
+        doc = np.concatenate([p[4][p[5]] for p in pieces]).astype(np.uint64)
+        w1, w2, w3 = (w.astype(np.uint64) for w in (w1, w2, w3))
+        pieces.clear()
+        context = mix64(mix64(w1) + w2)
+        _, first, of = np.unique(mix64(context + w3), return_index=True, return_inverse=True)
+        by = np.argsort(context[first], kind="stable")  # trigrams of a context together
+        place = np.empty(len(by), dtype=np.int64)
+        place[by] = np.arange(len(by))
+        first, of = first[by], place[of]
+        ctx = np.concatenate([[0], np.cumsum(np.diff(context[first].view(np.int64)) != 0)])
+        w2, w3 = w2[first], w3[first]
+        by = np.lexsort((w3, w2))  # pairs in the order of their words
+        new = np.concatenate([[True], (w2[by[1:]] != w2[by[:-1]]) | (w3[by[1:]] != w3[by[:-1]])])
+        at, pair = by[new], np.empty(len(by), dtype=np.int64)
+        pair[by] = np.cumsum(new) - 1
+        half = (doc & np.uint64(1)).astype(bool)
+        counts = [np.bincount(of[half == h], minlength=len(first)) for h in (False, True)]
+        n = [np.bincount(pair[c > 0], minlength=len(at)) for c in counts]
+        totals = [np.bincount(ctx, weights=x).astype(np.int64) for c in counts for x in (c, c == 1, c == 2, c > 2)]
+        docs, doc = np.unique(doc, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        store = _pack(*counts, ctx, pair, *totals, docs, counts[0] + counts[1], doc[order])
+        for i in range(0, len(at), 1 << 16):
+            some = slice(i, i + (1 << 16))
+            yield out(r, np.arange(len(at))[some], w2[at[some]], w3[at[some]], [x[some] for x in n], None)
+        k = np.arange(1, 5)
+        yield out(r, k, None, None, [np.array([(c == x).sum() for x in k]) for c in counts], None)
+        yield out(r, np.array([-1]), None, None, [np.array([(c > 0).sum()]) for c in counts], [store])
+
+
+def _cut(c: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+
+def _score_range(batches: Iterator[pa.RecordBatch], cuts: list[tuple[float, float, float]]) -> Iterator[pa.RecordBatch]:
+    """Of each range and text, the sum of its words' log probabilities there (in units of 1 / NAT) and their number."""
+    for _, held in _by_range(batches):
+        gid = np.concatenate([b.column("gid").to_numpy() for b in held])
+        blob = next(x.as_py() for b in held for x in b.column("blob").drop_null())
+        *counts, ctx, pair, t0, a0, b0, c0, t1, a1, b1, c1, docs, times, doc = _unpack(blob)
+        units = []
+        for h, (total, *less) in enumerate(((t0, a0, b0, c0), (t1, a1, b1, c1))):
+            p2 = np.concatenate([b.column(f"p{h}").to_numpy(zero_copy_only=False) for b in held])
+            below = np.empty(int(pair.max()) + 1)
+            below[gid[gid >= 0]] = p2[gid >= 0]
+            count, total = counts[h].astype(np.int64), total[ctx].astype(np.float64)
+            spare = sum(d * n for d, n in zip(cuts[h], less, strict=True))[ctx]
+            p = count - np.array([0.0, *cuts[h]])[np.minimum(count, 3)] + spare * below[pair]
+            p = np.where(total > 0, p / np.maximum(total, 1), below[pair])
+            units.append(np.repeat(np.rint(np.log(p) * NAT), times))
+        of_other = np.where(docs.astype(np.uint64)[doc] & np.uint64(1), units[0], units[1])
+        sums = np.bincount(doc, weights=of_other, minlength=len(docs))
+        columns = [docs.astype(np.uint64).view(np.int64), np.rint(sums).astype(np.int64), np.bincount(doc, minlength=len(docs))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["__key", "units", "words"])
+
+
+def word_scores(texts: DataFrame, loads: np.ndarray) -> DataFrame:
+    """(__key, word_ppl): the mean of -log p(word | two words before) of each text of a table (__key, text), where texts with
+    one key are equal. The texts are halved by their keys' lowest bit, and each is scored by the interpolated modified
+    Kneser-Ney model of the other half, in which no copy of it is: a text of odd words cannot vouch for itself.
+
+    The store grows with the corpus and is never gathered: trigrams are dealt by hash into ranges, in each of which
+    their counts and contexts are whole and sorted; pairs and words are counted over all ranges by Spark, and each range gets
+    the probabilities of its pairs. Only counts of counts reach the driver.
+    """
+    spark = texts.sparkSession
+    ranges = shuffle_partitions(spark)
+    spread = spark.sparkContext.broadcast(spreads(loads, ranges))
+    dealt = texts.mapInArrow(lambda b: _deal(b, spread.value, ranges), "range int, blob binary")
+    dealt = dealt.repartition(ranges, "range").sortWithinPartitions("range")
+    counted = written(dealt.mapInArrow(_count_range, _COUNTED), "grams")
+    pairs = written(counted.where("w2 IS NOT NULL").groupBy("w2", "w3").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
+    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    singles = written(pairs.groupBy("w3").agg(seen("n0").alias("m0"), seen("n1").alias("m1")), "words")
+
+    def small(df: DataFrame, c: str) -> tuple[float, float, float]:
+        by = {r[0]: r[1] for r in df.where(F.col(c).between(1, 4)).groupBy(c).count().collect()}
+        return _discounts_of([by.get(k, 0) for k in (1, 2, 3, 4)])
+
+    tops = {r[0]: r for r in counted.where("w2 IS NULL AND gid > 0").groupBy("gid").agg(F.sum("n0"), F.sum("n1")).collect()}
+    cuts = [_discounts_of([tops[k][1 + h] if tops else 0 for k in (1, 2, 3, 4)]) for h in (0, 1)]
+    d2 = [small(pairs, f"n{h}") for h in (0, 1)]
+    words, contexts, p = [], [], []
+    for h in (0, 1):
+        m, n, d1 = F.col(f"m{h}"), F.col(f"n{h}"), small(singles, f"m{h}")
+        total, spare, size = singles.agg(F.sum(m), F.sum(_cut(m, d1)), seen(f"m{h}")).first()
+        # the words that the half lacks share one place
+        p1 = (m - _cut(m, d1) + F.lit(spare / (size + 1))) / F.lit(float(total)) if total else F.lit(1.0)
+        words.append(p1.alias(f"u{h}"))
+        contexts += [F.sum(n).alias(f"total{h}"), F.sum(_cut(n, d2[h])).alias(f"spare{h}")]
+        p2 = (n - _cut(n, d2[h]) + F.col(f"spare{h}") * F.col(f"u{h}")) / F.col(f"total{h}")
+        p.append(F.when(F.col(f"total{h}") > 0, p2).otherwise(F.col(f"u{h}")).alias(f"p{h}"))
+    lower = pairs.join(singles.select("w3", *words), "w3").join(pairs.groupBy("w2").agg(*contexts), "w2").select("w2", "w3", *p)
+    asked = counted.where("w2 IS NOT NULL").select("range", "gid", "w2", "w3").join(lower, ["w2", "w3"])
+    none = F.lit(None)
+    asked = asked.select("range", "gid", "p0", "p1", none.cast("binary").alias("blob"))
+    stores = counted.where("blob IS NOT NULL").select("range", "gid", none.cast("double").alias("p0"), none.cast("double").alias("p1"), "blob")
+    met = asked.unionByName(stores).repartition(ranges, "range").sortWithinPartitions("range")
+    summed = met.mapInArrow(lambda b: _score_range(b, cuts), "__key long, units long, words long")
+    summed = summed.groupBy("__key").agg(F.sum("units").alias("units"), F.sum("words").alias("words"))
+    return written(summed.select("__key", (-F.col("units") / F.col("words") / NAT).alias("word_ppl")), "word-scores")
 
 
 def _median(pairs: list[tuple[int, int]]) -> int:
@@ -198,15 +429,15 @@ def _median(pairs: list[tuple[int, int]]) -> int:
     return 0
 
 
-def bands(scored: DataFrame) -> dict[str | None, tuple[float, float]]:
+def bands(scored: DataFrame, column: str) -> dict[str | None, tuple[float, float]]:
     """The least and the greatest log perplexity kept, for each language with LANGUAGE_ROWS documents; None: the others.
 
     Medians and median deviations are exact on BINS bins a nat: a histogram of integers, the same on any cluster. It has at
-    most languages times BINS times log(SYMBOLS) * 2 rows; languages below LANGUAGE_ROWS are merged before it is fetched.
+    most languages times BINS times the logarithm of the vocabulary times 2 rows; languages below LANGUAGE_ROWS are merged before it is fetched.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     sized = scored.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).where(F.col("n") >= LANGUAGE_ROWS)
-    binned = scored.groupBy(lang.alias("lang"), F.round(F.col("log_ppl") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    binned = scored.groupBy(lang.alias("lang"), F.round(F.col(column) * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     large = binned.join(sized.select("lang", F.lit(True).alias("large")), "lang", "left").withColumn("lang", F.when(F.col("large"), F.col("lang")))
     by: dict[str | None, list[tuple[int, int]]] = {None: []}
     for r in large.groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
@@ -223,31 +454,40 @@ def bands(scored: DataFrame) -> dict[str | None, tuple[float, float]]:
 
 def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds to the rows of a table with text and lang: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    log_ppl, base_failed and kept.
+    log_ppl, word_ppl, base_failed and kept.
 
     base_failed: fewer than 50 words, or over half of the words in 3-word windows that the text has twice or more. kept: not
-    base_failed, and the text's perplexity under a character model of the whole table is within its language's band. The
-    table is read twice, to count and to score; what is scored is written, without the columns in ``drop``. The model is counted over all rows and its store is
-    bounded by GRAMS, as is what a worker holds (8 bytes a gram).
-
-    Edge cases: null and empty texts have zero features, a null log_ppl and fail; a null lang is a language; languages with
+    base_failed, the text's log_ppl under a character model of the whole table is within its language's band, and its word_ppl
+    under a word model of the half of the texts that it is not in is not above its language's band (below it are texts with
+    many near copies, whose words others vouch for). The table is read three times, to count, to score characters and to deal out
+    trigrams; what is scored is written, without the columns in ``drop``. Both models are counted over all rows. The character model's store is
+    bounded by GRAMS, as is what a worker holds of it (8 bytes a gram); the word model's grows with the table and stays dealt
+    out (see ``word_scores``).
+
+    Edge cases: null and empty texts have zero features, null perplexities and fail; a null lang is a language; languages with
     fewer than LANGUAGE_ROWS passing documents share one band; repeated rows are judged alike; an empty table gives an
     empty result; columns named like a result are replaced, others pass through.
     """
     spark = df.sparkSession
     arrow_limits(spark)
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "base_failed", "kept")
-    df = df.drop(*made)
-    codes, counts = train(df.select("text"))
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "word_ppl", "base_failed", "kept")
+    df = df.drop(*made).withColumn("__key", F.xxhash64("text"))
+    codes, counts, loads = train(df.select("text"))
     store = spark.sparkContext.broadcast((codes, counts))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     schema = f"{fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
     scored = df.mapInArrow(lambda b: _score(b, *store.value), schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = written(scored.withColumn("base_failed", failed).drop(*drop), "scored")
-    limits = bands(scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()))
-    lang, others = F.coalesce(F.col("lang").cast("string"), F.lit("")), limits.pop(None)
-    low, high = F.lit(others[0]), F.lit(others[1])
-    for k, (lo, hi) in sorted(limits.items()):
-        low, high = F.when(lang == k, lo).otherwise(low), F.when(lang == k, hi).otherwise(high)
-    return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(low, high), F.lit(False)))
+    scored = scored.join(word_scores(df.select("__key", "text"), loads), "__key", "left").drop("__key")
+    kept = ~F.col("base_failed")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    for column in ("log_ppl", "word_ppl"):
+        limits = bands(scored.where(~F.col("base_failed") & F.col(column).isNotNull()), column)
+        others = limits.pop(None)
+        low, high = F.lit(others[0]), F.lit(others[1])
+        for k, (lo, hi) in sorted(limits.items()):
+            low, high = F.when(lang == k, lo).otherwise(low), F.when(lang == k, hi).otherwise(high)
+        within = F.col(column).between(low, high) if column == "log_ppl" else F.col(column) <= high
+        kept &= F.coalesce(within, F.lit(False))
+    return scored.withColumn("kept", kept)

@@ -1,0 +1,95 @@
+"""The word model of the quality rules against a plain one."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.llm import perplexity
+
+DOC = "doc_id long, text string, lang string"
+
+
+def plain_scores(texts, halves):
+    """The mean of -log p of each text's words under an interpolated modified Kneser-Ney trigram model of the other half."""
+    padded = [[None, None, *(t or "").lower().split()] for t in texts]
+    models = [plain_model([s for s, x in zip(padded, halves, strict=True) if x == h]) for h in (0, 1)]
+    return [
+        -sum(math.log(models[1 - h](g)) for g in zip(s, s[1:], s[2:])) / (len(s) - 2) if len(s) > 2 else None
+        for s, h in zip(padded, halves, strict=True)
+    ]
+
+
+def plain_model(padded):
+    levels = [Counter(), Counter(), Counter()]
+    for s in padded:
+        levels[2].update(zip(s, s[1:], s[2:]))
+    for k in (1, 0):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cuts, after = [], []
+    for c in levels:
+        n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        if n[0] and n[1]:
+            y = n[0] / (n[0] + 2 * n[1])
+            raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 1.5]
+            cuts.append([min(max(x, 0.1), k - 0.05) for x, k in zip(raw, (1, 2, 3), strict=True)])
+        else:
+            cuts.append([0.5] * 3)
+        by = defaultdict(list)
+        for g, v in c.items():
+            by[g[:-1]].append(v)
+        after.append(by)
+
+    def p(g):
+        if not g:
+            return 1 / (len(levels[0]) + 1)
+        k = len(g) - 1
+        cut, seen = (lambda v: cuts[k][min(v, 3) - 1]), after[k][g[:-1]]
+        if not seen:
+            return p(g[1:])
+        v = levels[k][g]
+        return ((v - cut(v) if v else 0) + sum(map(cut, seen)) * p(g[1:])) / sum(seen)
+
+    return p
+
+
+@pytest.mark.parametrize("deal", [1 << 21, 40])
+def test_words_are_scored_by_modified_kneser_ney(spark, monkeypatch, deal):
+    monkeypatch.setattr(perplexity, "DEAL", deal)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("the The of a stone river é 水 light".split() + [f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    texts += [texts[0], texts[1], None, "", " \n", "one"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], DOC).repartition(5)
+    got = {r.doc_id: r.word_ppl for r in perplexity.judge(df).collect()}
+    halves = [r[1] & 1 for r in sorted(df.select("doc_id", F.xxhash64("text")).collect())]
+    assert set(halves) == {0, 1}
+    for i, want in enumerate(plain_scores(texts, halves)):
+        assert (got[i] is None) == (want is None) and (want is None or math.isclose(got[i], want, abs_tol=1e-5)), (i, got[i], want)
+
+
+def test_what_is_gathered_grows_with_the_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(100)), "en") for i in range(200)]
+
+    def grams(n):
+        df = spark.createDataFrame(rows[:n], DOC).withColumn("__key", F.xxhash64("text")).repartition(3)
+        dealt = df.mapInArrow(lambda b: perplexity._deal(b, perplexity.spreads(perplexity.np.zeros(1 << 16, int), 4), 4), "range int, blob binary")
+        counted = dealt.repartition(4, "range").sortWithinPartitions("range").mapInArrow(perplexity._count_range, perplexity._COUNTED)
+        return counted.where("blob IS NOT NULL").agg(F.sum(F.col("n0") + F.col("n1"))).first()[0]
+
+    assert grams(200) > 4.5 * grams(40) > 0
+
+
+def test_shuffled_words_are_refused(spark):
+    """Texts of sentences that recur keep their band; the same words in any order do not."""
+    rng = random.Random(8)
+    sentences = [" ".join(f"{rng.choice('abcdef')}{rng.randint(0, 40)}" for _ in range(8)) for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(sentences) for _ in range(12)), "en") for i in range(200)]
+    for i in range(200, 205):
+        words = rows[i - 200][1].split()
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en"))
+    got = {r.doc_id: r.kept for r in perplexity.judge(spark.createDataFrame(rows, DOC)).collect()}
+    assert not any(got[i] for i in range(200, 205)) and sum(got[i] for i in range(200)) >= 195
