@@ -175,7 +175,8 @@ def _signed_batch(rows: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBa
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequent: bytes) -> Iterator[pa.RecordBatch]:
     """(signature, document, sketch, size) rows; signatures leave out the ``frequent`` shingles. Copies of one set within a task are signed once, by the first; a signature
-    with over HOT documents in the task goes on with its first one, the others are tied to it by edges."""
+    with over HOT documents in the task goes on with its first one, with minus its size, and the others are tied to it by
+    edges."""
     parts: list[np.ndarray] = []
     edges: list[tuple[int, int]] = []
     copies: dict[bytes, int] = {}
@@ -190,6 +191,7 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequent:
             others = order[at + 1 : at + size]
             keep[others] = False
             edges.extend((int(rows[order[at], 1]), int(x)) for x in rows[others, 1])
+            rows[order[at], 4] *= -1  # it stands for documents that its sketch and size say nothing about
         out = _signed_batch(rows[keep], edges)
         parts.clear(), edges.clear()
         return out
@@ -242,7 +244,8 @@ def _joined_up(edges: np.ndarray) -> np.ndarray:
 
 def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) of a partition that has all rows of its signatures, which join up what the edges between documents that
-    share a signature and can link, and those that came along, join."""
+    share a signature and can link, and those that came along, join. All documents of a signature are joined where one of its
+    rows stands for others (minus its size): any of those may be able to link with any of the rest."""
     parts, ties = [np.empty((0, 5), np.int64)], [np.empty((0, 2), np.int64)]
     for batch in batches:
         columns = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
@@ -259,6 +262,11 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     shared[:-1] |= same
     rows = rows[shared]
     rows = rows[np.lexsort((rows[:, 4], rows[:, 1], rows[:, 0]))]
+    starts, sizes = _sorted_groups(rows[:, 0])
+    if len(starts):
+        hot = np.repeat(np.minimum.reduceat(rows[:, 4], starts) < 0, sizes)
+        ties.append(np.unique(np.sort(np.stack([np.repeat(rows[starts, 1], sizes)[hot], rows[hot, 1]], axis=1), axis=1), axis=0))
+        rows = rows[~hot]
     key, doc, n = rows[:, 0], rows[:, 1], rows[:, 4]
     starts, sizes = _sorted_groups(key)
     in_small = np.repeat(sizes <= SMALL, sizes)
