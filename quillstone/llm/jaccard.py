@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import arrow_limits, mix64, shingle_hashes, shuffle_partitions, utf8, word_hashes, written
@@ -91,7 +91,7 @@ def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _digests(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The size of each row's shingle set and 128 bits of its content; and rows without doc_id, with minus a count and a
     shingle, of shingles that many of the task's sets hold."""
-    names = ["doc_id", "n", "d1", "d2"]
+    names = ["doc_id", "n", "d1", "d2", "id"]
     held: list[np.ndarray] = []
     seen: set[tuple[int, int]] = set()
 
@@ -99,7 +99,7 @@ def _digests(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         shingles, counts = _frequent(held)
         held.clear()
         none = pa.nulls(len(shingles), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(-counts, pa.int64()), pa.array(shingles.view(np.int64)), none], names)
+        return pa.RecordBatch.from_arrays([none, pa.array(-counts, pa.int64()), pa.array(shingles.view(np.int64)), none, none], names)
 
     for batch in batches:
         n, d1, d2 = [], [], []
@@ -111,7 +111,7 @@ def _digests(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
             if (d1[-1], d2[-1]) not in seen:  # a set counts once
                 seen.add((d1[-1], d2[-1]))
                 held.append(s)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, d1, d2))], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), batch.column("id")], names)
         if sum(map(len, held)) > COMBINE:
             yield frequent()
             seen.clear()
@@ -438,7 +438,8 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> Data
     Words (lower-cased in A-Z) make sets of shingles; two rows link when 100 * intersection >= percent * union; component_id
     is the smallest doc_id that links reach, the row's own included. All links count, none is estimated:
 
-    1. Equal sets become one representative (the smallest doc_id).
+    1. Rows are known by a hash of doc_id and text, so rows that repeat a doc_id with other texts link each by its own. Equal
+       sets become one representative.
     2. Any two linked sets share a signature of what they hold besides shingles that are frequent everywhere, such as those of
        licence texts (see ``signatures``). Documents that share one and that sizes and a small
        sketch do not rule out are joined by an edge; the edges' components are blocks that no link leaves. Copies and a
@@ -449,17 +450,30 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> Data
 
     Edge cases: null and empty texts and texts without words have an empty set and link with nothing; fewer words than a
     shingle form one; a null doc_id is no end of a link but gets the component of equal sets, else null; repeated rows are
-    equal sets; an empty table gives an empty result; other columns are ignored. doc_id is read as a long.
+    equal sets; rows of one doc_id with other texts link only if their texts do; an empty table gives an empty result; other columns are ignored. doc_id is read as a long.
     """
+    found = _linked(df, words, percent)
+    smallest = found.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id"))
+    return found.join(smallest, "component", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _row_key() -> Column:
+    """What tells rows apart: a hash of doc_id and text; null without doc_id."""
+    at = F.col("doc_id").cast("long")
+    return F.when(at.isNotNull(), F.xxhash64(at, F.col("text")))
+
+
+def _linked(df: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, id, n, component) for each row: its key and doc_id, the size of its set, and the smallest key that links reach."""
     spark = df.sparkSession
     arrow_limits(spark)
-    df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = written(df.mapInArrow(lambda b: _digests(b, words), "doc_id long, n long, d1 long, d2 long"), "digests")
+    df = df.select(_row_key().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("id"))
+    found = written(df.mapInArrow(lambda b: _digests(b, words), "doc_id long, n long, d1 long, d2 long, id long"), "digests")
     sizes = found.where("n >= 0")
     top = found.where("n < 0").groupBy("d1").agg(F.sum("n").alias("n")).orderBy("n", "d1").limit(FREQUENT).select("d1").toArrow()
     frequent = np.sort(top["d1"].to_numpy().view(np.uint64)).tobytes()
     first = sizes.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    of_doc = written(sizes.join(first, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep"), "representatives")
+    of_doc = written(sizes.join(first, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep", "id"), "representatives")
     rep_of = of_doc.where("rep IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "rep", "n").dropDuplicates(["doc"])
 
     signed = df.mapInArrow(lambda b: _sign(b, words, percent, frequent), "key long, doc long, s0 long, s1 long, n int, edge boolean")
@@ -484,16 +498,17 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> Data
     joined = connected_components(links)
     out = of_doc.join(joined, F.col("rep") == F.col("node"), "left")
     component = F.coalesce(F.col("label"), F.col("rep"), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return written(out.select(F.col("doc_id").alias("key"), "id", "n", component.alias("component")), "components")
 
 
 def keep_first(df: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of a table with doc_id and text without near duplicates: of each component one row of the smallest doc_id.
 
-    Rows whose shingle set is empty, and rows without doc_id that equal no other's set, stay. Of rows that repeat a doc_id
-    one stays if that id does.
+    Rows whose shingle set is empty, and all rows without doc_id, stay. Rows that repeat a doc_id with other texts are rows of
+    their own: each stays that is its component's first; of a component's rows of the smallest doc_id the one with the
+    smallest hash stays, and of rows that repeat doc_id and text one.
     """
-    found = near_duplicates(df.select("doc_id", "text"), words=words, percent=percent)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return named.unionByName(df.where("doc_id IS NULL"))
+    found = _linked(df.select("doc_id", "text"), words, percent).where("key IS NOT NULL")
+    keep = found.groupBy("component").agg(F.min(F.struct("id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
+    named = df.where("doc_id IS NOT NULL").withColumn("__key", _row_key()).dropDuplicates(["__key"]).join(keep, "__key", "left_semi")
+    return named.drop("__key").unionByName(df.where("doc_id IS NULL"))
