@@ -15,9 +15,12 @@ ARROW_ROWS, ARROW_BYTES = 4096, 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one where it is unset and all runs on
+    this machine (tests); elsewhere an error, as executors would write where nobody reads."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -32,10 +35,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's setting by which a finished query's shuffle files are removed at once.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, computes once, survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, computes once, survives lost executors.
+    The shuffle files of what was written go when it is there."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,7 +70,7 @@ _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15 | 1
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
@@ -65,21 +81,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-#: A random-looking 64-bit value for each byte, so that sums of value * base**i collide as random numbers do.
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+#: A random-looking 64-bit value for each byte at each of the first NEAR places of a word; values of later places are computed.
+NEAR = 64
+
 
+def _place_value(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix64((place.astype(np.uint64) << np.uint64(8)) + byte + np.uint64(0x9E3779B97F4A7C15))
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept for the next text."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, inverse, dtype=np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
+
+_VALUES = _place_value(np.arange(NEAR * 256) >> 8, (np.arange(NEAR * 256) & 255).astype(np.uint64))
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,16 +101,23 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word of UTF-8 bytes, in order; equal words have equal hashes."""
-    if not len(data):
+    """A 64-bit hash of each word of UTF-8 bytes, in order; equal words have equal hashes.
+
+    The sum of an unrelated value for each pair of place and byte, and the length: no pattern of bytes makes words collide more
+    often than chance, as it would with powers of one base modulo 2**64.
+    """
+    starts, ends = word_spans(data) if len(data) else (data, data)
+    if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    data = _LOWER[data] if lower else data
-    starts, ends = word_spans(data)
-    up, down = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts])
+    data = (_LOWER[data] if lower else data)[~_WHITE[data]]
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(data)) - np.repeat(first, lengths)
+    values = _VALUES[np.minimum(place, NEAR - 1) << 8 | data]
+    if int(lengths.max()) > NEAR:
+        far = np.flatnonzero(place >= NEAR)
+        values[far] = _place_value(place[far], data[far].astype(np.uint64))
+    return mix64(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _M1)
 
 
 _MULTIPLIERS = (2 * np.arange(1, 17, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)

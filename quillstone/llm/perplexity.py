@@ -1,60 +1,50 @@
-"""Quality rules with n-gram perplexity: modified Kneser-Ney models of words and of characters counted by Spark, and bands
-for each language."""
+"""Quality rules with n-gram perplexity: modified Kneser-Ney models of each language, counted by Spark, and bands."""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, mix64, shingle_hashes, shuffle_partitions, utf8, word_hashes, word_spans, written
-
-#: The model over characters: n-grams of ORDER symbols out of 1 << SYMBOL_BITS, so a count table has at most
-#: 1 << (ORDER * SYMBOL_BITS) rows whatever the corpus is: the proven bound of what is broadcast.
-ORDER, SYMBOL_BITS = 4, 5
-SYMBOLS = 1 << SYMBOL_BITS
-GRAMS = 1 << (ORDER * SYMBOL_BITS)
-#: Symbols other than the letters 1 to 26; 0 is the start of a text.
-START, SPACE, BREAK, DIGIT, POINT, OTHER = 0, 27, 28, 29, 30, 31
-#: A document is refused where its log perplexity is further than BAND robust deviations from its language's median, or
-#: nearer than BAND but no more than FLOOR nats away it stays: a narrow language never refuses what differs by a hair.
-BAND, FLOOR = 6.0, 0.12
+from quillstone.llm.common import arrow_limits, mix64, shingle_hashes, utf8, word_hashes, word_spans, written
+
+#: The model: n-grams of ORDER characters over 1 << SYMBOL_BITS symbols, each in one integer of 60 bits.
+ORDER, SYMBOL_BITS = 6, 10
+#: Symbols of the start of a text, of line breaks, other white space and digits. Other code points below PLAIN stand for
+#: themselves in lower case; later ones share the 256 symbols from PLAIN on by their low byte, which tells the letters of
+#: one script apart; languages have models of their own.
+START, BREAK, SPACE, DIGIT, PLAIN = 0, 10, 32, 48, 768
+#: A document is refused where its log perplexity is further than BAND robust deviations from its language's median;
+#: nearer than FLOOR nats it stays: a narrow language never refuses what differs by a hair.
+BAND, FLOOR = 6.0, 0.75
 #: Bins a nat in the histograms that medians and deviations come from.
 BINS = 1000
-#: Documents a language needs for a band of its own; the others share one.
-LANGUAGE_ROWS = 50
-#: Characters that a counting task gathers before it counts them.
-GATHER = 1 << 22
-#: The model over words: trigrams of hashed words; a text starts with two WORD_START. A counting task deals out DEAL words
-#: at once. The words after which trigrams are dealt have 1 << LOAD_BITS loads, by which frequent ones are spread.
-WORD_START, DEAL, LOAD_BITS = np.uint64(0x2545F4914F6CDD1D), 1 << 21, 16
+#: Characters that a task holds at once, and n-grams that it sorts at once.
+PIECE, GATHER = 1 << 20, 1 << 23
 #: Log probabilities are summed as integers, so many to the nat: the same on any cluster.
-NAT = 1 << 24
+NAT = 1 << 16
+#: n-grams of the model that are broadcast at most (16 bytes each); a larger one is joined, with the same results.
+BROADCAST_GRAMS = 1 << 23
 
 
 def _symbol_table() -> np.ndarray:
-    """The symbol of each code point below 0x250; later code points are letters by a hash, or OTHER."""
-    table = np.full(0x250, OTHER, dtype=np.uint8)
+    """The symbol of each code point below 1 << 16."""
+    table = np.zeros(1 << 16, dtype=np.uint16)
     for cp in range(len(table)):
         c = chr(cp)
-        base = unicodedata.normalize("NFD", c)[0].lower()
+        low = c.lower()
+        low = ord(low) if len(low) == 1 else cp
         if c in "\n\r\v\f":
             table[cp] = BREAK
         elif c.isspace():
             table[cp] = SPACE
         elif c.isdigit():
             table[cp] = DIGIT
-        elif "a" <= base <= "z":
-            table[cp] = 1 + ord(base) - ord("a")
-        elif c.isalpha():
-            table[cp] = 1 + cp % 26
-        elif c in ".,;:!?'\"-()":
-            table[cp] = POINT
+        else:
+            table[cp] = max(1, low) if low < PLAIN else PLAIN + (low & 255)
     return table
 
 
@@ -63,53 +53,81 @@ _TABLE = _symbol_table()
 
 def symbols(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    low = np.minimum(points, len(_TABLE) - 1)
-    out = _TABLE[low]
+    out = _TABLE[np.minimum(points, len(_TABLE) - 1)]
     high = points >= len(_TABLE)
     if high.any():
-        out = out.copy()
-        out[high] = 1 + (mix64(points[high].astype(np.uint64)) % np.uint64(26)).astype(np.uint8)
+        out[high] = PLAIN + (points[high] & 255)
     return out
 
 
-def grams(text: str) -> np.ndarray:
-    """The code of the ORDER symbols that end at each character, with START before the first."""
-    s = np.concatenate([np.full(ORDER - 1, START, dtype=np.uint32), symbols(text).astype(np.uint32)])
-    n = len(s) - ORDER + 1
-    out = np.zeros(n, dtype=np.uint32)
-    for i in range(ORDER):
-        out = out << SYMBOL_BITS | s[i : i + n]
-    return out
+def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams that end at each character of the texts, with STARTs before a text's first, and the texts they are of, PIECE
+    characters or so at a time: a long text comes in several pieces."""
+    held, docs, size = [], [], 0
+
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(x) for x in held])
+        s = np.concatenate(held).astype(np.uint64)
+        code = np.zeros(len(s) - ORDER + 1, dtype=np.uint64)
+        for i in range(ORDER):
+            code <<= np.uint64(SYMBOL_BITS)
+            code |= s[i : i + len(code)]
+        inside = np.ones(len(s), dtype=bool)  # n-grams begin here; not where they reach into the next text
+        for k in range(1, ORDER):
+            inside[np.cumsum(lengths) - k] = False
+        return code[inside[: len(code)]], np.repeat(np.array(docs), lengths - ORDER + 1)
+
+    start = np.full(ORDER - 1, START, dtype=np.uint16)
+    for doc, text in enumerate(texts):
+        before = start
+        for at in range(0, len(text or ""), PIECE):
+            part = np.concatenate([before, symbols(text[at : at + PIECE])])
+            before = part[-ORDER + 1 :]
+            held.append(part), docs.append(doc)
+            size += len(part)
+            if size >= PIECE:
+                yield made()
+                held, docs, size = [], [], 0
+    if held:
+        yield made()
+
+
+_COUNTS = "lang long, code long, n0 long, n1 long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a gram of the task's texts: counts are combined here before they are shuffled. Behind the GRAMS codes come the
-    loads: how many words follow the words of each slot."""
-    totals, queue, held = np.zeros(GRAMS, dtype=np.int64), [], 0
-    loads = np.zeros(1 << LOAD_BITS, dtype=np.int64)
+    """Rows (lang, code, n0, n1): how often a language's n-gram is in either half of the task's texts, combined GATHER n-grams
+    at a time; Spark combines them before the shuffle."""
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
+    size = 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for (lang, half), parts in sorted(held.items()):
+            codes = np.sort(np.concatenate(parts))
+            parts.clear()
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            n = np.diff(np.append(first, len(codes)))
+            columns = [np.full(len(n), lang), codes[first].view(np.int64), *((n, 0 * n) if half == 0 else (0 * n, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["lang", "code", "n0", "n1"])
+        held.clear()
+
     for batch in batches:
-        for value in batch.column(0):
-            text = value.as_py() or ""
-            queue.append(grams(text))
-            np.add.at(loads, _load_slot(_padded(text)[1:-1]), 1)
-            held += len(queue[-1])
-            if held >= GATHER:
-                totals += np.bincount(np.concatenate(queue), minlength=GRAMS)
-                queue, held = [], 0
-    if queue:
-        totals += np.bincount(np.concatenate(queue), minlength=GRAMS)
-    totals = np.concatenate([totals, loads])
-    codes = np.flatnonzero(totals)
-    yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(totals[codes], pa.int64())], ["gram", "n"])
-
-
-def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from counts of counts; never above the count."""
-    return _discounts_of([int((counts == k).sum()) for k in (1, 2, 3, 4)])
-
-
-def _discounts_of(n: list[int]) -> tuple[float, float, float]:
-    """The same from how many counts are 1, 2, 3 and 4."""
+        texts, lang = batch.column("text").to_pylist(), batch.column("__lang").to_numpy()
+        half = batch.column("__half").to_numpy()
+        for key in sorted(set(zip(lang.tolist(), half.tolist(), strict=True))):
+            some = np.flatnonzero((lang == key[0]) & (half == key[1])).tolist()
+            for codes, _ in _pieces([texts[i] for i in some]):
+                held.setdefault(key, []).append(codes)
+                size += len(codes)
+                if size >= GATHER:
+                    yield from counted()
+                    size = 0
+    yield from counted()
+
+
+def _discounts(n: list[int]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from how many counts are 1, 2, 3 and 4; never above the
+    count."""
     if not (n[0] and n[1]):
         return 0.5, 0.5, 0.5
     y = n[0] / (n[0] + 2 * n[1])
@@ -117,38 +135,79 @@ def _discounts_of(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True))
 
 
-def log_probabilities(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log p(last symbol | symbols before it) of every gram, from the sorted codes of those seen and their counts.
+def log_probabilities(counts: DataFrame) -> DataFrame:
+    """(lang, code, q0, q1): -log p of an n-gram's last character after those before it, in units of 1 / NAT, under the models of
+    either half, for each row of (lang, code, n0, n1).
 
-    Interpolated modified Kneser-Ney: the highest order uses counts, each lower order the number of distinct symbols seen
-    before its gram, the lowest is mixed with the uniform distribution.
+    Interpolated modified Kneser-Ney: the highest order uses counts, each lower order the number of distinct characters seen
+    before its n-gram, the lowest is mixed with the uniform distribution over all symbols. A language's n-grams are its own;
+    discounts are shared. Only counts of counts reach the driver: eight numbers an order.
     """
-    table = np.zeros((SYMBOLS,) * ORDER, dtype=np.float64)
-    table.reshape(-1)[codes] = counts
-    levels = [table]
-    while levels[0].ndim > 1:
-        levels.insert(0, (levels[0] > 0).sum(axis=0).astype(np.float64))
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for i, c in enumerate(levels):
-        d = _discounts(c[c > 0])
-        cut = np.select([c == 0, c == 1, c == 2], [0.0, d[0], d[1]], d[2])
-        total = c.sum(axis=-1, keepdims=True)
-        seen = total > 0
-        safe = np.where(seen, total, 1.0)
-        below = p if i == 0 else p[None]
-        p = np.where(seen, (c - cut) / safe + cut.sum(axis=-1, keepdims=True) / safe * below, below)
-    return np.log(p).reshape(-1).astype(np.float32)
-
-
-_models: dict[str, np.ndarray] = {}
-
-
-def _model(codes: bytes, counts: bytes) -> np.ndarray:
-    key = f"{hash(codes)}:{hash(counts)}"
-    if key not in _models:
-        _models.clear()
-        _models[key] = log_probabilities(np.frombuffer(codes, dtype="<u4"), np.frombuffer(counts, dtype="<i8"))
-    return _models[key]
+    tables = {ORDER: counts}
+    seen = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
+    for k in range(ORDER - 1, 0, -1):
+        rest = F.col("code").bitwiseAND(F.lit((1 << SYMBOL_BITS * k) - 1)).alias("code")
+        tables[k] = written(tables[k + 1].groupBy("lang", rest).agg(seen("n0"), seen("n1")), f"grams{k}")
+    times = lambda h, j: F.sum((F.col(f"n{h}") == j).cast("long")).alias(f"t{h}{j}")
+    every = [t.groupBy().agg(F.lit(k).alias("k"), *(times(h, j) for h in (0, 1) for j in (1, 2, 3, 4))) for k, t in tables.items()]
+    for t in every[1:]:
+        every[0] = every[0].unionByName(t)
+    of_order = {r["k"]: r for r in every[0].collect()}
+    below = None
+    for k in range(1, ORDER + 1):
+        cuts = [_discounts([of_order[k][f"t{h}{j}"] or 0 for j in (1, 2, 3, 4)]) for h in (0, 1)]
+        context, rest = F.shiftrightunsigned("code", SYMBOL_BITS), F.col("code").bitwiseAND(F.lit((1 << SYMBOL_BITS * (k - 1)) - 1))
+        sums = [F.sum(f"n{h}").alias(f"total{h}") for h in (0, 1)]
+        sums += [F.sum((c if j < 3 else F.col(f"n{h}") > 2).cast("long")).alias(f"s{h}{j}") for h in (0, 1) for j in (1, 2, 3) for c in [F.col(f"n{h}") == j]]
+        contexts = tables[k].groupBy("lang", context.alias("context")).agg(*sums)
+        rows = tables[k].withColumn("context", context).join(contexts, ["lang", "context"])
+        if below is None:
+            rows = rows.withColumns({f"b{h}": F.lit(1.0 / (1 << SYMBOL_BITS)) for h in (0, 1)})
+        else:
+            rows = rows.withColumn("rest", rest).join(below.select("lang", F.col("code").alias("rest"), F.col("p0").alias("b0"), F.col("p1").alias("b1")), ["lang", "rest"])
+        p = []
+        for h, d in enumerate(cuts):
+            n, total = F.col(f"n{h}"), F.col(f"total{h}")
+            cut = F.when(n == 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+            spare = sum((F.col(f"s{h}{j}") * d[j - 1] for j in (2, 3)), F.col(f"s{h}1") * d[0])
+            p.append(F.when(total > 0, (n - cut + spare * F.col(f"b{h}")) / total).otherwise(F.col(f"b{h}")).alias(f"p{h}"))
+        below = rows.select("lang", "code", *p)
+    return below.select("lang", "code", *(F.round(-F.log(f"p{h}") * NAT).cast("int").alias(f"q{h}") for h in (0, 1)))
+
+
+def _gram_hash(lang: np.ndarray | np.uint64, code: np.ndarray) -> np.ndarray:
+    return mix64(code + mix64(lang))
+
+
+class GramTable:
+    """-log p of n-grams by their hashes: sorted arrays, and where the hashes of each prefix begin."""
+
+    def __init__(self, raw: tuple[bytes, bytes, bytes]):
+        self.keys = np.frombuffer(raw[0], dtype="<u8")
+        self.q = [np.frombuffer(x, dtype="<i4") for x in raw[1:]]
+        bits = max(1, len(self.keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The places of hashes, all of which are there."""
+        at = self.first[h >> self.shift]
+        late = np.flatnonzero(self.keys[at] < h)
+        while len(late):
+            at[late] += 1
+            late = late[self.keys[at[late]] < h[late]]
+        return at
+
+
+_tables: dict[int, GramTable] = {}
+
+
+def _table(broadcast) -> GramTable:
+    """The worker's table of a broadcast, made once."""
+    if (key := hash(broadcast.value[0][:4096]) ^ len(broadcast.value[0])) not in _tables:
+        _tables.clear()
+        _tables[key] = GramTable(broadcast.value)
+    return _tables[key]
 
 
 _SIGNS = np.zeros(256, dtype=bool)
@@ -179,315 +238,103 @@ def features(text: str) -> tuple[int, int, int, int, int]:
     return n_words, word_chars, n_symbols, len(lines) - len(set(lines)), repeats
 
 
-def _score(batches: Iterator[pa.RecordBatch], codes: bytes, counts: bytes) -> Iterator[pa.RecordBatch]:
-    model = _model(codes, counts)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]
+def _measure(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
+    """Adds the features and, with a broadcast table, the sum of the n-grams' -log p under the other half's model."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        rows = np.array([features(t) for t in texts], dtype=np.int64).reshape(-1, len(names))
+        columns = list(rows.T)
+        if table is not None:
+            grams, lang = _table(table), mix64(batch.column("__lang").to_numpy().view(np.uint64))
+            half, units = batch.column("__half").to_numpy(), np.zeros(len(texts), dtype=np.int64)
+            for codes, doc in _pieces(texts):
+                at = grams.find(mix64(codes + lang[doc]))
+                q = np.where(half[doc] == 0, grams.q[1][at], grams.q[0][at])
+                first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                units[doc[first]] += np.add.reduceat(q.astype(np.int64), first)
+            columns.append(units)
+        made = [pa.array(c, pa.int64()) for c in columns]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names, *(["__units"] if table is not None else [])])
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (__key, lang, half, code, n) of the n-grams of each text, a long text's by pieces."""
     for batch in batches:
-        rows = []
-        for value in batch.column("text"):
-            text = value.as_py() or ""
-            g = grams(text)
-            rows.append((*features(text), -float(model[g].mean(dtype=np.float64)) if len(g) else None))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-        types = [*[pa.int64()] * 5, pa.float64()]
-        made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
-
-
-def train(texts: DataFrame) -> tuple[bytes, bytes, np.ndarray]:
-    """The character model's store: sorted gram codes (32-bit) and their counts (64-bit), of all texts of the one-column
-    table; and the loads of the words' slots.
-
-    Counting is one pass with a combine in each task and one in Spark; at most GRAMS + (1 << LOAD_BITS) rows reach the driver.
+        keys, lang, half = (batch.column(c).to_numpy() for c in ("__key", "__lang", "__half"))
+        for codes, doc in _pieces(batch.column("text").to_pylist()):
+            order = np.lexsort((codes, doc))
+            codes, doc = codes[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])]))
+            columns = [keys[doc[first]], lang[doc[first]], half[doc[first]], codes[first].view(np.int64), np.diff(np.append(first, len(codes)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["__key", "lang", "half", "code", "n"])
+
+
+def _joined_scores(df: DataFrame, model: DataFrame) -> DataFrame:
+    """(__key, __lang, __units) of each text by a join with the model, for one too large to broadcast."""
+    texts = df.select("__key", "__lang", "__half", "text").dropDuplicates(["__key", "__lang"])
+    spelled = texts.mapInArrow(_spelled, "__key long, lang long, half long, code long, n long")
+    q = F.when(F.col("half") == 0, F.col("q1")).otherwise(F.col("q0"))
+    return (
+        spelled.join(model, ["lang", "code"]).groupBy("__key", F.col("lang").alias("__lang"))
+        .agg(F.sum(q.cast("long") * F.col("n")).alias("__units"))
+    )
+
+
+def bands(scored: DataFrame) -> DataFrame:
+    """(__lang, low, high): the least and the greatest log_ppl kept of each language of a table (__lang, log_ppl).
+
+    Medians and median deviations are exact on BINS bins a nat: of a histogram of integers, the same on any cluster, with at
+    most as many rows a language as it has texts or bins.
     """
-    counted = texts.mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    codes, counts = counted["gram"].to_numpy().astype("<u4"), counted["n"].to_numpy().astype("<i8")
-    loads = np.zeros(1 << LOAD_BITS, dtype=np.int64)
-    loads[codes[codes >= GRAMS] - GRAMS] = counts[codes >= GRAMS]
-    codes, counts = codes[codes < GRAMS], counts[codes < GRAMS]
-    order = np.argsort(codes)
-    return codes[order].tobytes(), counts[order].tobytes(), loads
-
-
-def _padded(text: str) -> np.ndarray:
-    """Hashes of the words (lower-cased in A-Z) behind two WORD_START."""
-    return np.concatenate([np.full(2, WORD_START), word_hashes(np.frombuffer(utf8(text), dtype=np.uint8), lower=True)])
-
-
-def _load_slot(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - LOAD_BITS)).astype(np.int64)
-
-
-def spreads(loads: np.ndarray, ranges: int) -> np.ndarray:
-    """Over how many ranges each slot's words are spread, so that no slot puts over a quarter of the mean into one."""
-    return np.maximum(1, -(-loads * 4 * ranges // max(1, int(loads.sum()))))
-
+    bins = scored.groupBy("__lang", F.round(F.col("log_ppl") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    mid = bins.groupBy("__lang").agg(F.percentile("bin", 0.5, F.col("n")).alias("mid"))
+    off = bins.join(mid, "__lang").groupBy("__lang", "mid").agg(F.percentile(F.abs(F.col("bin") - F.col("mid")), 0.5, F.col("n")).alias("off"))
+    reach = F.greatest(F.lit(BAND * 1.4826 / BINS) * F.col("off"), F.lit(FLOOR))
+    return off.select("__lang", (F.col("mid") / BINS - reach).alias("low"), (F.col("mid") / BINS + reach).alias("high"))
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned integers, each at the least width that holds it, byte by byte of all its values, compressed."""
-    out = []
-    for a in arrays:
-        a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-        out += [np.array([len(a), a.itemsize], dtype="<u8").tobytes(), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
-    raw = b"".join(out)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
+def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds to the rows of a table with text and lang: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl,
+    base_failed and kept.
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    out, at = [], 0
-    while at < len(raw):
-        n, width = np.frombuffer(raw, "<u8", 2, at).tolist()
-        planes = np.frombuffer(raw, np.uint8, n * width, at + 16).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}"))
-        at += 16 + n * width
-    return out
-
-
-def _deal(batches: Iterator[pa.RecordBatch], spread: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
-    """A task's trigrams (w1, w2, w3) with the texts' keys, packed by range. All of one context (w1, w2) are in one range, and
-    all around w2 in as many as its slot is spread over, by w1."""
-    parts: list[np.ndarray] = []
-    keys: list[int] = []
-    held = 0
-
-    def dealt() -> pa.RecordBatch:
-        w1, w2, w3 = (np.concatenate([p[i : len(p) - 2 + i] for p in parts]) for i in range(3))
-        doc = np.repeat(np.array(keys, dtype=np.int64).view(np.uint64), [len(p) - 2 for p in parts])
-        slot = _load_slot(w2)
-        sub = mix64(w1) % spread[slot].astype(np.uint64)
-        to = (mix64((slot.astype(np.uint64) << np.uint64(32)) + sub) % np.uint64(ranges)).astype(np.int64)
-        order = np.lexsort((w1, w2, to))
-        bounds = np.searchsorted(to[order], np.arange(ranges + 1))
-        found, blobs = [], []
-        for r in np.flatnonzero(np.diff(bounds)).tolist():
-            at = order[bounds[r] : bounds[r + 1]]
-            words, index = np.unique(np.concatenate([w1[at], w2[at], w3[at]]), return_inverse=True)
-            docs, of = np.unique(doc[at], return_inverse=True)
-            found.append(r)
-            blobs.append(_pack(words, *np.split(index, 3), docs, of))
-        parts.clear(), keys.clear()
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
-
-    for batch in batches:
-        for key, value in zip(batch.column("__key").to_pylist(), batch.column("text"), strict=True):
-            words = _padded(value.as_py() or "")
-            if key is None or len(words) == 2:
-                continue
-            parts.append(words)
-            keys.append(key)
-            held += len(words)
-            if held >= DEAL:
-                yield dealt()
-                held = 0
-    if parts:
-        yield dealt()
-
-
-_COUNTED = "range int, gid int, w2 long, w3 long, n0 long, n1 long, blob binary"
-
-
-def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """The rows of each range of a partition that is sorted by it; one range is held at a time."""
-    at, held = None, []
-    for batch in batches:
-        for row_range in np.unique(batch.column("range").to_numpy()).tolist():
-            rows = batch.filter(pa.compute.equal(batch.column("range"), row_range))
-            if at is not None and row_range != at:
-                yield at, held
-                held = []
-            at = row_range
-            held.append(rows)
-    if held:
-        yield at, held
-
-
-def _count_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each range: a row for each (w2, w3) with the number of its distinct w1 in either half of the texts, rows without w2
-    that say how many trigrams (n0, n1) have the count gid, and the range's store: for each trigram its counts, its context
-    with its totals, and its pair, sorted by the contexts' hashes, and which texts hold it. A half is the keys' lowest bit."""
-    names = ["range", "gid", "w2", "w3", "n0", "n1", "blob"]
-
-    def out(r, gid, w2, w3, n, blobs):
-        size = len(gid)
-        columns = [pa.array(np.full(size, r), pa.int32()), pa.array(gid, pa.int32())]
-        columns += [pa.nulls(size, pa.int64()) if x is None else pa.array(x.view(np.int64), pa.int64()) for x in (w2, w3)]
-        return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in n), pa.array(blobs or [None] * size, pa.binary())], names)
-
-    for r, held in _by_range(batches):
-        pieces = [_unpack(x.as_py()) for b in held for x in b.column("blob")]
-        w1, w2, w3 = (np.concatenate([p[0][p[i]] for p in pieces]) for i in (1, 2, 3))
-        doc = np.concatenate([p[4][p[5]] for p in pieces]).astype(np.uint64)
-        w1, w2, w3 = (w.astype(np.uint64) for w in (w1, w2, w3))
-        pieces.clear()
-        context = mix64(mix64(w1) + w2)
-        _, first, of = np.unique(mix64(context + w3), return_index=True, return_inverse=True)
-        by = np.argsort(context[first], kind="stable")  # trigrams of a context together
-        place = np.empty(len(by), dtype=np.int64)
-        place[by] = np.arange(len(by))
-        first, of = first[by], place[of]
-        ctx = np.concatenate([[0], np.cumsum(np.diff(context[first].view(np.int64)) != 0)])
-        w2, w3 = w2[first], w3[first]
-        by = np.lexsort((w3, w2))  # pairs in the order of their words
-        new = np.concatenate([[True], (w2[by[1:]] != w2[by[:-1]]) | (w3[by[1:]] != w3[by[:-1]])])
-        at, pair = by[new], np.empty(len(by), dtype=np.int64)
-        pair[by] = np.cumsum(new) - 1
-        half = (doc & np.uint64(1)).astype(bool)
-        counts = [np.bincount(of[half == h], minlength=len(first)) for h in (False, True)]
-        n = [np.bincount(pair[c > 0], minlength=len(at)) for c in counts]
-        totals = [np.bincount(ctx, weights=x).astype(np.int64) for c in counts for x in (c, c == 1, c == 2, c > 2)]
-        docs, doc = np.unique(doc, return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        store = _pack(*counts, ctx, pair, *totals, docs, counts[0] + counts[1], doc[order])
-        for i in range(0, len(at), 1 << 16):
-            some = slice(i, i + (1 << 16))
-            yield out(r, np.arange(len(at))[some], w2[at[some]], w3[at[some]], [x[some] for x in n], None)
-        k = np.arange(1, 5)
-        yield out(r, k, None, None, [np.array([(c == x).sum() for x in k]) for c in counts], None)
-        yield out(r, np.array([-1]), None, None, [np.array([(c > 0).sum()]) for c in counts], [store])
-
-
-def _cut(c: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-
-
-def _score_range(batches: Iterator[pa.RecordBatch], cuts: list[tuple[float, float, float]]) -> Iterator[pa.RecordBatch]:
-    """Of each range and text, the sum of its words' log probabilities there (in units of 1 / NAT) and their number."""
-    for _, held in _by_range(batches):
-        gid = np.concatenate([b.column("gid").to_numpy() for b in held])
-        blob = next(x.as_py() for b in held for x in b.column("blob").drop_null())
-        *counts, ctx, pair, t0, a0, b0, c0, t1, a1, b1, c1, docs, times, doc = _unpack(blob)
-        units = []
-        for h, (total, *less) in enumerate(((t0, a0, b0, c0), (t1, a1, b1, c1))):
-            p2 = np.concatenate([b.column(f"p{h}").to_numpy(zero_copy_only=False) for b in held])
-            below = np.empty(int(pair.max()) + 1)
-            below[gid[gid >= 0]] = p2[gid >= 0]
-            count, total = counts[h].astype(np.int64), total[ctx].astype(np.float64)
-            spare = sum(d * n for d, n in zip(cuts[h], less, strict=True))[ctx]
-            p = count - np.array([0.0, *cuts[h]])[np.minimum(count, 3)] + spare * below[pair]
-            p = np.where(total > 0, p / np.maximum(total, 1), below[pair])
-            units.append(np.repeat(np.rint(np.log(p) * NAT), times))
-        of_other = np.where(docs.astype(np.uint64)[doc] & np.uint64(1), units[0], units[1])
-        sums = np.bincount(doc, weights=of_other, minlength=len(docs))
-        columns = [docs.astype(np.uint64).view(np.int64), np.rint(sums).astype(np.int64), np.bincount(doc, minlength=len(docs))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["__key", "units", "words"])
-
-
-def word_scores(texts: DataFrame, loads: np.ndarray) -> DataFrame:
-    """(__key, word_ppl): the mean of -log p(word | two words before) of each text of a table (__key, text), where texts with
-    one key are equal. The texts are halved by their keys' lowest bit, and each is scored by the interpolated modified
-    Kneser-Ney model of the other half, in which no copy of it is: a text of odd words cannot vouch for itself.
-
-    The store grows with the corpus and is never gathered: trigrams are dealt by hash into ranges, in each of which
-    their counts and contexts are whole and sorted; pairs and words are counted over all ranges by Spark, and each range gets
-    the probabilities of its pairs. Only counts of counts reach the driver.
-    """
-    spark = texts.sparkSession
-    ranges = shuffle_partitions(spark)
-    spread = spark.sparkContext.broadcast(spreads(loads, ranges))
-    dealt = texts.mapInArrow(lambda b: _deal(b, spread.value, ranges), "range int, blob binary")
-    dealt = dealt.repartition(ranges, "range").sortWithinPartitions("range")
-    counted = written(dealt.mapInArrow(_count_range, _COUNTED), "grams")
-    pairs = written(counted.where("w2 IS NOT NULL").groupBy("w2", "w3").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
-    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    singles = written(pairs.groupBy("w3").agg(seen("n0").alias("m0"), seen("n1").alias("m1")), "words")
-
-    def small(df: DataFrame, c: str) -> tuple[float, float, float]:
-        by = {r[0]: r[1] for r in df.where(F.col(c).between(1, 4)).groupBy(c).count().collect()}
-        return _discounts_of([by.get(k, 0) for k in (1, 2, 3, 4)])
-
-    tops = {r[0]: r for r in counted.where("w2 IS NULL AND gid > 0").groupBy("gid").agg(F.sum("n0"), F.sum("n1")).collect()}
-    cuts = [_discounts_of([tops[k][1 + h] if tops else 0 for k in (1, 2, 3, 4)]) for h in (0, 1)]
-    d2 = [small(pairs, f"n{h}") for h in (0, 1)]
-    words, contexts, p = [], [], []
-    for h in (0, 1):
-        m, n, d1 = F.col(f"m{h}"), F.col(f"n{h}"), small(singles, f"m{h}")
-        total, spare, size = singles.agg(F.sum(m), F.sum(_cut(m, d1)), seen(f"m{h}")).first()
-        # the words that the half lacks share one place
-        p1 = (m - _cut(m, d1) + F.lit(spare / (size + 1))) / F.lit(float(total)) if total else F.lit(1.0)
-        words.append(p1.alias(f"u{h}"))
-        contexts += [F.sum(n).alias(f"total{h}"), F.sum(_cut(n, d2[h])).alias(f"spare{h}")]
-        p2 = (n - _cut(n, d2[h]) + F.col(f"spare{h}") * F.col(f"u{h}")) / F.col(f"total{h}")
-        p.append(F.when(F.col(f"total{h}") > 0, p2).otherwise(F.col(f"u{h}")).alias(f"p{h}"))
-    lower = pairs.join(singles.select("w3", *words), "w3").join(pairs.groupBy("w2").agg(*contexts), "w2").select("w2", "w3", *p)
-    asked = counted.where("w2 IS NOT NULL").select("range", "gid", "w2", "w3").join(lower, ["w2", "w3"])
-    none = F.lit(None)
-    asked = asked.select("range", "gid", "p0", "p1", none.cast("binary").alias("blob"))
-    stores = counted.where("blob IS NOT NULL").select("range", "gid", none.cast("double").alias("p0"), none.cast("double").alias("p1"), "blob")
-    met = asked.unionByName(stores).repartition(ranges, "range").sortWithinPartitions("range")
-    summed = met.mapInArrow(lambda b: _score_range(b, cuts), "__key long, units long, words long")
-    summed = summed.groupBy("__key").agg(F.sum("units").alias("units"), F.sum("words").alias("words"))
-    return written(summed.select("__key", (-F.col("units") / F.col("words") / NAT).alias("word_ppl")), "word-scores")
-
-
-def _median(pairs: list[tuple[int, int]]) -> int:
-    half, acc = sum(n for _, n in pairs) / 2, 0
-    for value, n in sorted(pairs):
-        acc += n
-        if acc >= half:
-            return value
-    return 0
-
-
-def bands(scored: DataFrame, column: str) -> dict[str | None, tuple[float, float]]:
-    """The least and the greatest log perplexity kept, for each language with LANGUAGE_ROWS documents; None: the others.
-
-    Medians and median deviations are exact on BINS bins a nat: a histogram of integers, the same on any cluster. It has at
-    most languages times BINS times the logarithm of the vocabulary times 2 rows; languages below LANGUAGE_ROWS are merged before it is fetched.
-    """
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    sized = scored.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).where(F.col("n") >= LANGUAGE_ROWS)
-    binned = scored.groupBy(lang.alias("lang"), F.round(F.col(column) * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    large = binned.join(sized.select("lang", F.lit(True).alias("large")), "lang", "left").withColumn("lang", F.when(F.col("large"), F.col("lang")))
-    by: dict[str | None, list[tuple[int, int]]] = {None: []}
-    for r in large.groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
-        by.setdefault(r["lang"], []).append((r["bin"], r["n"]))
-    out = {}
-    for k, pairs in by.items():
-        pairs = pairs or [x for v in by.values() for x in v]
-        mid = _median(pairs)
-        spread = 1.4826 * _median([(abs(b - mid), n) for b, n in pairs])
-        reach = max(BAND * spread / BINS, FLOOR)
-        out[k] = (mid / BINS - reach, mid / BINS + reach)
-    return out
+    base_failed: fewer than 50 words, or over half of the words in 3-word windows that the text has twice or more. log_ppl: the
+    sum of -log p of the text's characters by word of the text, under its language's model of the half of the texts that it and
+    its copies are not in, so that odd text cannot vouch for itself. (By word, as by character repeated signs look fluent.)
+    kept: not base_failed, and log_ppl within the band of its language.
 
+    The table is read twice, to count and to score; what is scored is written, without the columns in ``drop``. Counts are of
+    all rows and grow with the table: characters are combined in each task and by Spark, and lower orders and
+    probabilities are joins and aggregations. Beyond BROADCAST_GRAMS n-grams the model is not sent to the tasks but
+    joined with the n-grams of each text, with the same results.
 
-def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds to the rows of a table with text and lang: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    log_ppl, word_ppl, base_failed and kept.
-
-    base_failed: fewer than 50 words, or over half of the words in 3-word windows that the text has twice or more. kept: not
-    base_failed, the text's log_ppl under a character model of the whole table is within its language's band, and its word_ppl
-    under a word model of the half of the texts that it is not in is not above its language's band (below it are texts with
-    many near copies, whose words others vouch for). The table is read three times, to count, to score characters and to deal out
-    trigrams; what is scored is written, without the columns in ``drop``. Both models are counted over all rows. The character model's store is
-    bounded by GRAMS, as is what a worker holds of it (8 bytes a gram); the word model's grows with the table and stays dealt
-    out (see ``word_scores``).
-
-    Edge cases: null and empty texts have zero features, null perplexities and fail; a null lang is a language; languages with
-    fewer than LANGUAGE_ROWS passing documents share one band; repeated rows are judged alike; an empty table gives an
+    Edge cases: null and empty texts have zero features, a null log_ppl and fail; null is a language of its own, and so is the
+    empty string; a language's only document is its median and stays; repeated rows are judged alike; an empty table gives an
     empty result; columns named like a result are replaced, others pass through.
     """
     spark = df.sparkSession
     arrow_limits(spark)
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "word_ppl", "base_failed", "kept")
-    df = df.drop(*made).withColumn("__key", F.xxhash64("text"))
-    codes, counts, loads = train(df.select("text"))
-    store = spark.sparkContext.broadcast((codes, counts))
+    df = df.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "base_failed", "kept")
+    key = F.xxhash64("text")
+    lang = F.when(F.col("lang").isNull(), F.lit(0)).otherwise(F.xxhash64(F.col("lang").cast("string")))
+    df = df.withColumns({"__key": key, "__lang": lang.cast("long"), "__half": key.bitwiseAND(F.lit(1)).cast("long")})
+    counts = df.select("text", "__lang", "__half").mapInArrow(_count, _COUNTS)
+    counts = written(counts.groupBy("lang", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
+    small = counts.count() <= BROADCAST_GRAMS
+    model, store = log_probabilities(counts), None
+    if small:
+        found = model.toArrow()
+        keys = _gram_hash(found["lang"].to_numpy().view(np.uint64), found["code"].to_numpy().view(np.uint64))
+        order = np.argsort(keys)
+        store = spark.sparkContext.broadcast((keys[order].tobytes(), *(found[c].to_numpy()[order].astype("<i4").tobytes() for c in ("q0", "q1"))))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema = f"{fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
-    scored = df.mapInArrow(lambda b: _score(b, *store.value), schema)
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(["__units"] if small else [])]
+    scored = df.mapInArrow(lambda b: _measure(b, store), ", ".join([fields, *(f"{c} long" for c in added)]))
+    if not small:
+        scored = scored.join(_joined_scores(df, model), ["__key", "__lang"], "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = written(scored.withColumn("base_failed", failed).drop(*drop), "scored")
-    scored = scored.join(word_scores(df.select("__key", "text"), loads), "__key", "left").drop("__key")
-    kept = ~F.col("base_failed")
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    for column in ("log_ppl", "word_ppl"):
-        limits = bands(scored.where(~F.col("base_failed") & F.col(column).isNotNull()), column)
-        others = limits.pop(None)
-        low, high = F.lit(others[0]), F.lit(others[1])
-        for k, (lo, hi) in sorted(limits.items()):
-            low, high = F.when(lang == k, lo).otherwise(low), F.when(lang == k, hi).otherwise(high)
-        within = F.col(column).between(low, high) if column == "log_ppl" else F.col(column) <= high
-        kept &= F.coalesce(within, F.lit(False))
-    return scored.withColumn("kept", kept)
+    log_ppl = F.when(F.col("n_words") > 0, F.col("__units") / F.col("n_words") / NAT)
+    scored = written(scored.withColumns({"log_ppl": log_ppl, "base_failed": failed}).drop("__units", "__key", "__half", *drop), "scored")
+    limits = bands(scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
+    return scored.join(limits, "__lang", "left").withColumn("kept", kept).drop("__lang", "low", "high")

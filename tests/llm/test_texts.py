@@ -1,7 +1,6 @@
 """Token counts, personal data, quality rules and packing against brute force."""
 
 import hashlib
-import math
 import random
 import re
 import zlib
@@ -95,56 +94,6 @@ def test_features():
         assert perplexity.features(t) == brute_features(t), repr(t)
 
 
-def plain_model(texts):
-    """Interpolated modified Kneser-Ney with dictionaries."""
-    n, size = perplexity.ORDER, perplexity.SYMBOLS
-    levels = [Counter() for _ in range(n)]
-    for t in texts:
-        s = [perplexity.START] * (n - 1) + perplexity.symbols(t).tolist()
-        levels[n - 1].update(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
-    for k in range(n - 2, -1, -1):
-        levels[k] = Counter(g[1:] for g in levels[k + 1])
-    cuts, totals = [], []
-    for c in levels:
-        r = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
-        if r[0] and r[1]:
-            y = r[0] / (r[0] + 2 * r[1])
-            d = [1 - 2 * y * r[1] / r[0], 2 - 3 * y * r[2] / r[1], 3 - 4 * y * r[3] / r[2] if r[2] else 1.5]
-            cuts.append([min(max(x, 0.1), k - 0.05) for x, k in zip(d, (1, 2, 3), strict=True)])
-        else:
-            cuts.append([0.5] * 3)
-        by = defaultdict(list)
-        for g, v in c.items():
-            by[g[:-1]].append(v)
-        totals.append(by)
-
-    def p(g):
-        if not g:
-            return 1 / size
-        k = len(g) - 1
-        seen = totals[k].get(g[:-1])
-        if not seen:
-            return p(g[1:])
-        cut = lambda v: cuts[k][min(v, 3) - 1]
-        v = levels[k].get(g, 0)
-        return ((v - cut(v) if v else 0) + sum(map(cut, seen)) * p(g[1:])) / sum(seen)
-
-    return p
-
-
-def test_model_is_modified_kneser_ney():
-    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "xyz! 12"]
-    codes, counts = np.unique(np.concatenate([perplexity.grams(t) for t in texts]), return_counts=True)
-    model, p = perplexity.log_probabilities(codes, counts), plain_model(texts)
-    rng = random.Random(3)
-    for _ in range(300):
-        g = tuple(rng.randrange(perplexity.SYMBOLS) for _ in range(4)) if rng.random() < 0.5 else tuple(perplexity.symbols(rng.choice(texts)).tolist()[:4])
-        code = sum(s << perplexity.SYMBOL_BITS * (3 - i) for i, s in enumerate(g))
-        assert math.isclose(math.exp(model[code]), p(g), rel_tol=1e-4), g
-    table = np.exp(model.reshape(-1, perplexity.SYMBOLS).astype(float)).sum(axis=1)
-    assert np.allclose(table, 1, atol=1e-3)
-
-
 def test_judge(spark):
     rng = random.Random(5)
     vocabulary = ["alpha", "beta", "gamma", "delta", "stone", "river", "light", "green", "under", "walks", "slowly", "often", "north", "wind", "paper", "table"]
