@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import arrow_limits, mix64, shingle_hashes, utf8, word_hashes, word_spans, written
@@ -27,7 +27,7 @@ PIECE, GATHER = 1 << 20, 1 << 23
 #: Log probabilities are summed as integers, so many to the nat: the same on any cluster.
 NAT = 1 << 16
 #: n-grams of the model that are broadcast at most (16 bytes each); a larger one is joined, with the same results.
-BROADCAST_GRAMS = 1 << 23
+BROADCAST_GRAMS = 1 << 22
 
 
 def _symbol_table() -> np.ndarray:
@@ -175,16 +175,29 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     return below.select("lang", "code", *(F.round(-F.log(f"p{h}") * NAT).cast("int").alias(f"q{h}") for h in (0, 1)))
 
 
-def _gram_hash(lang: np.ndarray | np.uint64, code: np.ndarray) -> np.ndarray:
-    return mix64(code + mix64(lang))
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, q): an n-gram's hash, and q0 and q1 in one integer."""
+    for batch in batches:
+        lang, code, q0, q1 = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("lang", "code", "q0", "q1"))
+        q = q0 << np.uint64(32) | q1
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (mix64(code + mix64(lang)), q)], ["key", "q"])
+
+
+def _collected(model: DataFrame) -> tuple[bytes, bytes]:
+    """The model's sorted hash arrays, 16 bytes an n-gram."""
+    found = model.mapInArrow(_hashed, "key long, q long").toArrow()
+    keys, q = (found[c].to_numpy().view(np.uint64) for c in ("key", "q"))
+    del found
+    order = np.argsort(keys)
+    return keys[order].tobytes(), q[order].tobytes()
 
 
 class GramTable:
     """-log p of n-grams by their hashes: sorted arrays, and where the hashes of each prefix begin."""
 
-    def __init__(self, raw: tuple[bytes, bytes, bytes]):
-        self.keys = np.frombuffer(raw[0], dtype="<u8")
-        self.q = [np.frombuffer(x, dtype="<i4") for x in raw[1:]]
+    def __init__(self, keys: bytes, q: bytes):
+        self.keys, both = np.frombuffer(keys, dtype="<u8"), np.frombuffer(q, dtype="<i4").reshape(-1, 2)
+        self.q = both[:, 1], both[:, 0]
         bits = max(1, len(self.keys).bit_length())
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
@@ -206,7 +219,7 @@ def _table(broadcast) -> GramTable:
     """The worker's table of a broadcast, made once."""
     if (key := hash(broadcast.value[0][:4096]) ^ len(broadcast.value[0])) not in _tables:
         _tables.clear()
-        _tables[key] = GramTable(broadcast.value)
+        _tables[key] = GramTable(*broadcast.value)
     return _tables[key]
 
 
@@ -323,10 +336,7 @@ def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
     small = counts.count() <= BROADCAST_GRAMS
     model, store = log_probabilities(counts), None
     if small:
-        found = model.toArrow()
-        keys = _gram_hash(found["lang"].to_numpy().view(np.uint64), found["code"].to_numpy().view(np.uint64))
-        order = np.argsort(keys)
-        store = spark.sparkContext.broadcast((keys[order].tobytes(), *(found[c].to_numpy()[order].astype("<i4").tobytes() for c in ("q0", "q1"))))
+        store = spark.sparkContext.broadcast(_collected(model))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(["__units"] if small else [])]
     scored = df.mapInArrow(lambda b: _measure(b, store), ", ".join([fields, *(f"{c} long" for c in added)]))
