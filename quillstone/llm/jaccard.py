@@ -25,6 +25,8 @@ COMBINE, HOT = 1 << 21, 1024
 FREQUENT, OFTEN = 1 << 17, 8
 #: Documents of a signature that are compared in pairs, and from which on all are taken as able to link.
 SMALL, ALL_GLUED = 16, 1 << 15
+#: Rows that a task takes in before it looks for whole signatures.
+MEET = 1 << 18
 #: The bitmap that leaves out other documents has 1 << SLOT_BITS bits.
 SLOT_BITS = 27
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -138,22 +140,38 @@ def possible(ca, na, cb, nb, percent: int) -> np.ndarray:
     return (least * (100 + percent) <= (na + nb) * (100 - percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
-def _forest(doc: np.ndarray, counts: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that join up what ``possible`` joins among a signature's documents: each found one is compared with those not
-    found yet, so a group of near copies costs about its size."""
-    if len(doc) > ALL_GLUED:
-        return [(int(doc[0]), int(x)) for x in doc[1:]]
-    left, edges = np.arange(len(doc)), []
+def _components(counts: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """For each of a signature's documents the first of those that ``possible`` joins it with, directly or not: each found one
+    is compared with those not found yet, so a group of near copies costs about its size."""
+    label, left = np.arange(len(n)), np.arange(len(n))
     while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
+        queue, left, top = [int(left[0])], left[1:], int(left[0])
         while queue and len(left):
             i = queue.pop()
             hit = possible(counts[i], n[i], counts[left], n[left], percent)
             found = left[hit]
-            edges += [(int(doc[i]), int(doc[j])) for j in found]
+            label[found] = top
             queue += found.tolist()
             left = left[~hit]
-    return edges
+    return label
+
+
+def _group_edges(key: int, doc: np.ndarray, home: np.ndarray, counts: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Edges that join up what ``possible`` joins among a signature's documents, or all of them where one stands for others
+    (minus its size); but not what their least signature, their home, joins already where they have it in common."""
+    size, before = np.abs(n), np.arange(len(n))
+    for h in np.unique(home[home != key]).tolist():
+        at = np.flatnonzero(home == h)
+        if len(at) > 1:
+            before[at] = at[_components(counts[at], size[at], percent)]
+    first = np.unique(before)
+    if len(first) == 1:
+        return np.empty((0, 2), np.int64)
+    together = np.zeros(len(n), np.int64) if (n < 0).any() else _components(counts, size, percent)
+    order = first[np.argsort(together[first], kind="stable")]
+    lead = np.flatnonzero(np.concatenate([[True], np.diff(together[order]) != 0]))
+    to = np.repeat(order[lead], np.diff(np.append(lead, len(order))))
+    return np.stack([doc[to], doc[order]], axis=1)[to != order]
 
 
 def _sorted_groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,37 +180,38 @@ def _sorted_groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-_SIGNED = ["key", "doc", "s0", "s1", "n", "edge"]
+_SIGNED = ["key", "doc", "home", "s0", "s1", "n", "edge"]
+_SIGNED_SCHEMA = "key long, doc long, home long, s0 long, s1 long, n int, edge boolean"
 
 
-def _signed_batch(rows: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    """Rows (key, doc, s0, s1, n), then edges (key: one end, doc: the other)."""
-    pairs = np.array(sorted(set(edges)), dtype=np.int64).reshape(-1, 2)
-    columns = [np.concatenate([rows[:, i], pairs[:, i] if i < 2 else np.zeros(len(pairs), np.int64)]) for i in range(5)]
+def _signed_batch(rows: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, doc, home, s0, s1, n), then edges (key: one end, doc: the other)."""
+    columns = [np.concatenate([rows[:, i], pairs[:, i] if i < 2 else np.zeros(len(pairs), np.int64)]) for i in range(6)]
     flags = np.concatenate([np.zeros(len(rows), bool), np.ones(len(pairs), bool)])
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4].astype(np.int32)), pa.array(flags)], _SIGNED)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5].astype(np.int32)), pa.array(flags)], _SIGNED)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequent: bytes) -> Iterator[pa.RecordBatch]:
-    """(signature, document, sketch, size) rows; signatures leave out the ``frequent`` shingles. Copies of one set within a task are signed once, by the first; a signature
-    with over HOT documents in the task goes on with its first one, with minus its size, and the others are tied to it by
-    edges."""
+    """(signature, document, its least signature, sketch, size) rows; signatures leave out the ``frequent`` shingles. Copies of
+    one set within a task are signed once, by the first; a signature with over HOT documents in the task goes on with its
+    first one, with minus its size, and the others are tied to it by edges."""
     parts: list[np.ndarray] = []
     edges: list[tuple[int, int]] = []
     copies: dict[bytes, int] = {}
     common = np.frombuffer(frequent, dtype=np.uint64)
 
     def combined() -> pa.RecordBatch:
-        rows = np.concatenate(parts) if parts else np.empty((0, 5), np.int64)
+        rows = np.concatenate(parts) if parts else np.empty((0, 6), np.int64)
         order = np.lexsort((rows[:, 1], rows[:, 0]))
         starts, sizes = _sorted_groups(rows[order, 0])
         keep = np.ones(len(rows), bool)  # in the order of documents: a partition's rows of one document compress well
+        tied = [np.array(edges, dtype=np.int64).reshape(-1, 2)]
         for at, size in zip(starts[sizes > HOT].tolist(), sizes[sizes > HOT].tolist(), strict=True):
             others = order[at + 1 : at + size]
             keep[others] = False
-            edges.extend((int(rows[order[at], 1]), int(x)) for x in rows[others, 1])
-            rows[order[at], 4] *= -1  # it stands for documents that its sketch and size say nothing about
-        out = _signed_batch(rows[keep], edges)
+            tied.append(np.stack([np.full(size - 1, rows[order[at], 1]), rows[others, 1]], axis=1))
+            rows[order[at], 5] *= -1  # it stands for documents that its sketch and size say nothing about
+        out = _signed_batch(rows[keep], _joined_up(np.unique(np.concatenate(tied), axis=0)))
         parts.clear(), edges.clear()
         return out
 
@@ -206,17 +225,18 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequent:
             first = copies.setdefault(digest, doc)
             if first != doc:
                 edges.append((first, doc))
-                continue
-            rare = s
-            if len(common):
-                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                rare = s[common[at] != s]
-            sig = signatures(rare, percent, len(s))
-            rows = np.empty((len(sig), 5), dtype=np.int64)
-            rows[:, 0], rows[:, 1], rows[:, 4] = sig.view(np.int64), doc, len(s)
-            rows[:, 2:4] = sketch(s).view(np.int64)
-            parts.append(rows)
-            held += len(sig)
+                held += 1
+            else:
+                rare = s
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    rare = s[common[at] != s]
+                sig = signatures(rare, percent, len(s)).view(np.int64)
+                rows = np.empty((len(sig), 6), dtype=np.int64)
+                rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 5] = sig, doc, sig.min(), len(s)
+                rows[:, 3:5] = sketch(s).view(np.int64)
+                parts.append(rows)
+                held += len(sig)
             if held >= COMBINE:
                 yield combined()
                 copies.clear()
@@ -242,50 +262,74 @@ def _joined_up(edges: np.ndarray) -> np.ndarray:
     return np.array([p for p in pairs if p[0] != p[1]], dtype=np.int64).reshape(-1, 2)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of a partition that has all rows of its signatures, which join up what the edges between documents that
-    share a signature and can link, and those that came along, join. All documents of a signature are joined where one of its
-    rows stands for others (minus its size): any of those may be able to link with any of the rest."""
-    parts, ties = [np.empty((0, 5), np.int64)], [np.empty((0, 2), np.int64)]
-    for batch in batches:
-        columns = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
-        edge = batch.column("edge").to_numpy(zero_copy_only=False)
-        parts.append(columns[~edge])
-        if edge.any():
-            ties.append(np.unique(columns[edge, :2], axis=0))
-    rows = np.concatenate(parts)
-    parts.clear()
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+def _met(rows: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Edges of whole signatures, from their rows sorted by them."""
     same = rows[1:, 0] == rows[:-1, 0]
     shared = np.zeros(len(rows), bool)
     shared[1:] |= same
     shared[:-1] |= same
     rows = rows[shared]
-    rows = rows[np.lexsort((rows[:, 4], rows[:, 1], rows[:, 0]))]
-    starts, sizes = _sorted_groups(rows[:, 0])
-    if len(starts):
-        hot = np.repeat(np.minimum.reduceat(rows[:, 4], starts) < 0, sizes)
-        ties.append(np.unique(np.sort(np.stack([np.repeat(rows[starts, 1], sizes)[hot], rows[hot, 1]], axis=1), axis=1), axis=0))
-        rows = rows[~hot]
-    key, doc, n = rows[:, 0], rows[:, 1], rows[:, 4]
+    rows = rows[np.lexsort((rows[:, 5], rows[:, 1], rows[:, 0]))]
+    key, doc, home, n = (rows[:, i] for i in (0, 1, 2, 5))
     starts, sizes = _sorted_groups(key)
-    in_small = np.repeat(sizes <= SMALL, sizes)
-    for k in range(1, SMALL):  # all pairs of small groups, one distance at a time, a block of rows at a time
-        at = np.flatnonzero((key[k:] == key[:-k]) & in_small[k:])
-        for i in range(0, len(at), 1 << 18):
-            x = at[i : i + (1 << 18)]
-            y = x + k
-            hit = possible(_nibbles(rows[x, 2:4]), n[x], _nibbles(rows[y, 2:4]), n[y], percent)
-            pairs = np.stack([doc[x[hit]], doc[y[hit]]], axis=1)
-            ties.append(np.unique(np.sort(pairs, axis=1), axis=0))
-        if not len(at):
+    if not len(starts):
+        return []
+    alone = (sizes > SMALL) | (np.minimum.reduceat(n, starts) < 0)
+    out, in_small = [], np.repeat(~alone, sizes)
+    for k in range(1, SMALL):  # all pairs of small groups, one distance at a time
+        x = np.flatnonzero((key[k:] == key[:-k]) & in_small[k:])
+        if not len(x):
             break
-    for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        x = x[(home[x] != home[x + k]) | (home[x] == key[x])]
+        y = x + k
+        hit = possible(_nibbles(rows[x, 3:5]), n[x], _nibbles(rows[y, 3:5]), n[y], percent)
+        out.append(np.stack([doc[x[hit]], doc[y[hit]]], axis=1))
+    for at, size in zip(starts[alone].tolist(), sizes[alone].tolist(), strict=True):
         g = slice(at, at + size)
-        if found := _forest(doc[g], _nibbles(rows[g, 2:4]), n[g], percent):
-            ties.append(np.sort(np.array(found, dtype=np.int64), axis=1))
-    found = _joined_up(np.unique(np.concatenate(ties), axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+        out.append(_group_edges(int(key[at]), doc[g], home[g], _nibbles(rows[g, 3:5]), n[g], percent))
+    return out
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a partition that has all rows of its signatures, sorted by them, which join up what the edges between
+    documents that share a signature and can link, and those that came along, join.
+
+    Documents whose least signature is the same meet at that one, and are not joined again at others. All documents of a
+    signature are joined where one of its rows stands for others (minus its size): any of those may be able to link with any
+    of the rest; so are those of a signature with over ALL_GLUED rows. No more rows than that are held besides MEET new
+    ones, and edges are sent on when there are COMBINE."""
+    ties: list[np.ndarray] = []
+    held, new = np.empty((0, 6), np.int64), []
+
+    def sent() -> pa.RecordBatch:
+        found = _joined_up(np.unique(np.sort(np.concatenate([np.empty((0, 2), np.int64), *ties]), axis=1), axis=0))
+        ties.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+
+    def whole(last: bool) -> np.ndarray:
+        rows = np.concatenate([held, *new])
+        new.clear()
+        begins = len(rows) if last or not len(rows) else int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        ties.extend(_met(rows[:begins], percent))
+        rest = rows[begins:].copy()
+        if len(rest) > ALL_GLUED:
+            ties.append(np.stack([np.full(len(rest) - 1, rest[0, 1]), rest[1:, 1]], axis=1))
+            rest = rest[:1]
+            rest[0, 5] = -abs(rest[0, 5])
+        return rest
+
+    for batch in batches:
+        columns = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)], axis=1)
+        edge = batch.column("edge").to_numpy(zero_copy_only=False)
+        new.append(columns[~edge])
+        if edge.any():
+            ties.append(columns[edge, :2])
+        if sum(map(len, new)) >= MEET:
+            held = whole(False)
+            if sum(map(len, ties)) >= COMBINE:
+                yield sent()
+    held = whole(True)
+    yield sent()
 
 
 def _listed(batches: Iterator[pa.RecordBatch], bitmap: bytes) -> Iterator[pa.RecordBatch]:
@@ -476,8 +520,8 @@ def _linked(df: DataFrame, words: int, percent: int) -> DataFrame:
     of_doc = written(sizes.join(first, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep", "id"), "representatives")
     rep_of = of_doc.where("rep IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "rep", "n").dropDuplicates(["doc"])
 
-    signed = df.mapInArrow(lambda b: _sign(b, words, percent, frequent), "key long, doc long, s0 long, s1 long, n int, edge boolean")
-    near = signed.repartition(shuffle_partitions(spark), "key").mapInArrow(lambda b: _meet(b, percent), "a long, b long")
+    signed = df.mapInArrow(lambda b: _sign(b, words, percent, frequent), _SIGNED_SCHEMA)
+    near = signed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(lambda b: _meet(b, percent), "a long, b long")
     near = written(near.distinct(), "near")  # an edge can come from several partitions
     near = near.join(rep_of.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a").join(rep_of.select(F.col("doc").alias("b"), F.col("rep").alias("rb")), "b")
     near = near.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()

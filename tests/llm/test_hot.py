@@ -39,5 +39,31 @@ def test_a_hot_row_stands_for_others(monkeypatch):
     for task in ((1, 2), (3,)):
         batch = pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array([" ".join(texts[i]) for i in task])], ["doc_id", "text"])
         signed += jaccard._sign(iter([batch]), 3, 90, frequent)
-    pairs = [(a, b) for out in jaccard._meet(iter(signed), 90) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    table = pa.Table.from_batches(signed).sort_by("key")
+    pairs = [(a, b) for out in jaccard._meet(iter(table.combine_chunks().to_batches()), 90) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
     assert sorted(pairs) == [(1, 2), (1, 3)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"ALL_GLUED": 4, "MEET": 8}])
+def test_copies_meet_once(monkeypatch, limits):
+    """Edges of a group of near copies follow its size, not how many partitions its signatures are dealt over."""
+    import pyarrow as pa
+
+    for k, v in limits.items():
+        monkeypatch.setattr(jaccard, k, v)
+    rng, base = random.Random(3), [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        texts.append(" ".join(words))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    table = pa.Table.from_batches(list(jaccard._sign(iter([batch]), 3, 90, b""))).sort_by("key")
+    of = jaccard.np.array([hash((7, k)) % 64 for k in table["key"].to_pylist()])
+    pairs = []
+    for part in range(64):
+        some = table.filter(pa.array(of == part)).combine_chunks().to_batches()
+        pairs += [(a, b) for out in jaccard._meet(iter(some), 90) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    joined = jaccard._joined_up(jaccard.np.array(pairs))
+    assert len(joined) == 299
+    assert limits or len(pairs) < 300 * 6
