@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.session import ship
 
@@ -55,6 +56,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table up to which it is broadcast in a join.
+BROADCAST_ROWS = 1 << 19
+
+
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table of narrow rows, to be broadcast in a join if it has at most ``rows`` (BROADCAST_ROWS) rows; beyond that
+    the join shuffles, and adaptive execution splits hot keys. The rows come out the same."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Send the package to the workers; bound the Arrow batches of functions planned from now on by rows and by bytes."""
     ship(spark)

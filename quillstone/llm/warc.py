@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, scratch_path, shuffle_partitions, utf8, written
+from quillstone.llm.common import arrow_limits, if_small, scratch_path, shuffle_partitions, utf8, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads from this size on are stored once; bytes of a range that a task reads; bytes fetched beyond a range at a time.
@@ -23,8 +23,13 @@ VERSION = b"WARC/1."
 DATE = "2000-01-01T00:00:00Z"
 
 
+#: Schemes of Spark's file systems that Arrow knows by other names.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path)
+    scheme, mark, rest = path.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest)
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
@@ -66,6 +71,8 @@ def write_archives(df: DataFrame, folder: str) -> DataFrame:
 
     Of rows with equal payloads of REVISIT_BYTES or more the one with the largest page_id is a response and the others
     revisit it; all others are responses. Rows that repeat that page_id are responses too. A null html is an empty payload.
+
+    Payloads stay where they are: only digests are counted, and those that repeat come back, by broadcast up to BROADCAST_ROWS.
     """
     arrow_limits(df.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit(""))
@@ -74,7 +81,7 @@ def write_archives(df: DataFrame, folder: str) -> DataFrame:
     narrow = df.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size"))
     # only digests that repeat: one row each, however many copies; counts are combined before the shuffle
     first = narrow.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = rows.join(first, "digest", "left").withColumn("refers_to", F.when(large & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+    marked = rows.join(if_small(written(first, "repeated")), "digest", "left").withColumn("refers_to", F.when(large & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
     return written(marked.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(lambda b: _write(b, folder), "path string, bytes long"), "archives")
 
 
@@ -92,6 +99,12 @@ class Range:
             self.data += self.file.read_at(min(max(end - have, STEP_BYTES), self.size - have), have)
         return self.start + len(self.data) >= end
 
+    def drop(self, at: int) -> None:
+        """Let go of the bytes before ``at``."""
+        if at - self.start >= STEP_BYTES:
+            del self.data[: at - self.start]
+            self.start = at
+
     def member(self, at: int) -> tuple[bytes, int] | None:
         """The decoded gzip member at ``at`` and its end; None unless it decodes to a record and another one or the end
         of the file follows. A candidate is refused on its first decoded bytes, before the rest is read."""
@@ -108,7 +121,7 @@ class Range:
         except zlib.error:
             return None
         end = pos - len(decode.unused_data)
-        if not out.startswith(VERSION) or (self.upto(end + len(MAGIC)) and self.data[end - self.start :][: len(MAGIC)] != MAGIC):
+        if not out.startswith(VERSION) or (self.upto(end + len(MAGIC)) and self.data[end - self.start : end - self.start + len(MAGIC)] != MAGIC):
             return None
         return bytes(out), end
 
@@ -124,6 +137,7 @@ def members(source: Range, start: int, end: int) -> Iterator[bytes]:
         if found := source.member(at):
             yield found[0]
             at = found[1]
+            source.drop(at)
         else:
             at += 1
 
