@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import if_small, written
+
 #: Elements without visible text, and the tags that end a line; both forms are legal in Java's and in RE2's syntax.
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<head\b.*?</head>"
 BREAKS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|nav|article|footer|header|table|tr|td|section|br|title|body|html|hr|main|aside|pre|blockquote)\b[^>]*>"
 TAGS = r"<[^>]*>"
-#: Parts of a site's lines and pages in joins on the site.
-SALTS = 64
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -25,56 +25,49 @@ def page_text(html: Column) -> Column:
 
 
 def drop_site_lines(
-    df: DataFrame, site: Column, text: Column, *, max_ratio: float, min_pages: int, out: str = "text", prefix: str = ""
+    df: DataFrame, site: Column, text: Column, *, max_ratio: float, min_pages: int, distinct_texts: bool = False, out: str = "text", prefix: str = ""
 ) -> DataFrame:
     """Drop the lines that appear on more than ``max_ratio`` of their site's pages.
 
     For each site the pages that contain a line (trimmed, non-blank; counted once a page) are divided by the site's page
-    total; pages of one site with equal texts count as one page in both, as whole copies are another operator's business.
-    Sites with fewer than ``min_pages`` such pages keep all lines. Adds or replaces ``out`` (the lines kept, joined by
-    line feeds) and adds ``<prefix>n_lines`` and ``<prefix>n_dropped``.
+    total. With ``distinct_texts`` pages of one site with equal texts count as one page in both, for where whole copies are
+    another operator's business. Sites with fewer than ``min_pages`` pages keep all lines. Adds or replaces ``out`` (the lines
+    kept, joined by line feeds) and adds ``<prefix>n_lines`` and ``<prefix>n_dropped``.
 
     Scale: a map-side combined count per (site, line hash) is the only wide step on lines, so a hot site is spread over its
     lines. A site's flagged lines number at most its mean lines a page over ``max_ratio``, whatever its page count, so they
-    travel as one short array per site; joins on the site are on one of SALTS parts of its lines or pages, too.
+    travel as one short array per site. Page totals and flagged lines are tables of one row a site: they are broadcast up to
+    BROADCAST_ROWS sites, so that texts stay where they are; beyond that texts are joined by site, hot sites split.
 
-    Edge cases: a null site is a site of its own that keeps all lines; a null text stays null with 0 lines; an empty text
-    has one (blank) line; blank lines are never dropped; repeated rows are treated alike; an empty table gives an empty one;
-    columns of any other name pass through.
+    Edge cases: a null site keeps all lines; a null text stays null with 0 lines; an empty text has one (blank) line; blank
+    lines are never dropped; repeated rows are pages each; texts of any length are read whole; an empty table gives an empty
+    one; columns of any other name pass through.
     """
     key, body, lines, flags = "__site", "__body", "__lines", "__flags"
     base = df.withColumn(key, site).withColumn(body, text)
+    pages = base.where(F.col(key).isNotNull() & F.col(body).isNotNull())
     distinct = F.array_distinct(F.transform(F.split(F.col(body), "\n"), lambda x: F.trim(x)))
-    pages = base.where(F.col(key).isNotNull() & F.col(body).isNotNull()).select(
-        key, F.xxhash64(body).alias("__page"), F.explode(F.filter(distinct, lambda x: x != "")).alias("__line")
-    )
-    once = pages.groupBy(key, F.xxhash64("__line").alias("__line"), "__page").agg(F.lit(1).alias("__one"))
-    per_line = once.groupBy(key, "__line").agg(F.count("*").alias("__n"))
-    totals = (
-        base.where(F.col(key).isNotNull() & F.col(body).isNotNull())
-        .select(key, F.xxhash64(body).alias("__page"))
-        .distinct()
-        .groupBy(key)
-        .agg(F.count("*").alias("__total"))
-        .where(F.col("__total") >= min_pages)
-    )
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    per_line = per_line.where(F.col("__n") > max_ratio * min_pages).withColumn("__salt", F.pmod("__line", F.lit(SALTS)).cast("int"))
+    line = F.explode(F.filter(distinct, lambda x: x != "")).alias("__line")
+    if distinct_texts:
+        once = pages.select(key, F.xxhash64(body).alias("__page"), line).select(key, F.xxhash64("__line").alias("__line"), "__page").distinct()
+        total = pages.select(key, F.xxhash64(body).alias("__page")).distinct()
+    else:
+        once, total = pages.select(key, line).select(key, F.xxhash64("__line").alias("__line")), pages.select(key)
+    total = total.groupBy(key).agg(F.count("*").alias("__total")).where(F.col("__total") >= min_pages)
+    per_line = once.groupBy(key, "__line").agg(F.count("*").alias("__n")).where(F.col("__n") > max_ratio * min_pages)
     flagged = (
-        per_line.join(totals.withColumn("__salt", parts), [key, "__salt"])
+        per_line.join(if_small(written(total, "totals")), key)
         .where(F.col("__n") > F.lit(max_ratio) * F.col("__total"))
         .groupBy(key)
         .agg(F.array_sort(F.collect_list("__line")).alias(flags))
     )
     kept = F.filter(F.col(lines), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(flags), F.xxhash64(F.trim(x))))
-    salted = flagged.withColumn("__salt", parts)
-    base = base.withColumn("__salt", F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int"))
     return (
-        base.join(salted, [key, "__salt"], "left")
+        base.join(if_small(written(flagged, "flagged")), key, "left")
         .withColumn(lines, F.split(F.col(body), "\n"))
         .withColumn("__kept", F.when(F.col(flags).isNull(), F.col(lines)).otherwise(kept))
         .withColumn(out, F.when(F.col(flags).isNull(), F.col(body)).otherwise(F.array_join("__kept", "\n")))
         .withColumn(f"{prefix}n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
         .withColumn(f"{prefix}n_dropped", F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"))
-        .drop(key, body, lines, flags, "__kept", "__salt")
+        .drop(key, body, lines, flags, "__kept")
     )

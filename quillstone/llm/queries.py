@@ -29,12 +29,12 @@ WITH p AS (
   SELECT page_id, nullif(lower(regexp_extract(url, '{lines.HOST}', 1)), '') AS host,
          regexp_replace(regexp_replace(regexp_replace(html, '{lines.HIDDEN}', '', 'g'), '{lines.BREAKS}', chr(10), 'g'), '{lines.TAGS}', '', 'g') AS body
   FROM pages),
-once AS (SELECT DISTINCT host, body, trim(l) AS line FROM (
-  SELECT host, body, unnest(string_split(body, chr(10))) AS l FROM p WHERE host IS NOT NULL AND body IS NOT NULL) WHERE trim(l) <> ''),
-totals AS (SELECT host, count(DISTINCT body) AS total FROM p WHERE host IS NOT NULL AND body IS NOT NULL GROUP BY host),
+once AS (SELECT host, unnest(list_distinct(list_transform(string_split(body, chr(10)), lambda x: trim(x)))) AS line
+         FROM p WHERE host IS NOT NULL AND body IS NOT NULL),
+totals AS (SELECT host, count(*) AS total FROM p WHERE host IS NOT NULL AND body IS NOT NULL GROUP BY host),
 flagged AS (
   SELECT host, list(line) AS flags FROM (
-    SELECT o.host, o.line, count(*) AS n, any_value(t.total) AS total FROM once o JOIN totals t ON o.host = t.host GROUP BY o.host, o.line)
+    SELECT o.host, o.line, count(*) AS n, any_value(t.total) AS total FROM once o JOIN totals t ON o.host = t.host WHERE o.line <> '' GROUP BY o.host, o.line)
   WHERE total >= {LINE_PAGES} AND n > {LINE_RATIO}::DOUBLE * total GROUP BY host),
 j AS (
   SELECT p.page_id, p.host, string_split(p.body, chr(10)) AS ls,
