@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 PART_BITS = 20
 #: Units of one fold; 1 << FAN_BITS blocks of a level meet in one of the next.
 BLOCK, FAN_BITS = 64, 6
+#: Documents of over one LARGE-th of a source's words are rounded first, so that the last open unit is a small one.
+LARGE = 64
 
 
 def word_count(text: Column) -> Column:
@@ -72,54 +74,96 @@ def _fold(units: Column, seed: int) -> Column:
 
 
 def pivotal_copies(units: DataFrame, seed: int) -> DataFrame:
-    """(source, doc_id, extra): 0 or 1 for each unit (source, doc_id, size, mass), whose words add up to the mass of all.
+    """(source, unit, size, extra): 0 or 1 for each unit (source, unit, size, mass), whose words add up to the mass of all.
 
     Level 0 groups a source's units into blocks of about BLOCK by hash; a fold, large units first, settles all but one unit
     of a block, a small one as a rule, whose residual mass meets those of 2**FAN_BITS blocks on the next level: a reduction
     tree whose levels shrink by BLOCK. No block grows with the data, however hot a source.
     """
     units = written(
-        units.select("source", "doc_id", "size", "mass", F.xxhash64("source", "doc_id", F.lit(seed)).alias("h")), "units"
+        units.select("source", "unit", "size", "mass", F.xxhash64("source", "unit", F.lit(seed)).alias("h")), "units"
     )
     bits = max(0, math.ceil(math.log2(max(1, units.count()) / BLOCK)))
     full = F.shiftleft("size", PART_BITS)
     settled, current = [], units
     for b in [*range(bits, 0, -FAN_BITS), 0]:
-        packed = F.sort_array(F.collect_list(F.struct("size", "h", "doc_id", "source", "mass")), asc=False)
+        packed = F.sort_array(F.collect_list(F.struct("size", "h", "unit", "source", "mass")), asc=False)
         level = written(current.groupBy("source", F.col("h").bitwiseAND(F.lit((1 << b) - 1)).alias("block")).agg(packed.alias("units")).select(_fold(F.col("units"), seed).alias("s")), "level")
-        settled.append(level.select(F.explode("s.done").alias("u")).select("u.*").select("source", "doc_id", (F.col("mass") >= full).cast("int").alias("extra")))
+        settled.append(level.select(F.explode("s.done").alias("u")).select("u.*").select("source", "unit", "size", (F.col("mass") >= full).cast("int").alias("extra")))
         current = level.select("s.cur.*")
     last = 2 * F.col("mass") >= full  # one unit a source: rounded, so that the source misses by half a document at most
-    settled.append(current.select("source", "doc_id", last.cast("int").alias("extra")))
+    settled.append(current.select("source", "unit", "size", last.cast("int").alias("extra")))
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)
     return out
 
 
+def _evened(extra: DataFrame, due: DataFrame) -> DataFrame:
+    """``extra`` with few units changed so that each source's words come closest to what is ``due`` (source, words).
+
+    A source's last open unit was rounded, and may be a large one. Of its units of each power of two of size one without and
+    one with an extra copy are candidates, chosen by hash; from large to small, one is changed where that brings the words
+    nearer. What is left is about half the smallest unit; a source has at most two candidates a power, whatever its size.
+    """
+    short = extra.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("got"))
+    short = short.join(due, short["source"].eqNullSafe(due["source"])).select(due["source"], (F.col("words") - F.col("got")).alias("rest"))
+    one = F.min(F.struct(F.xxhash64("unit"), F.col("unit"), F.col("size")))
+    each = extra.groupBy("source", F.length(F.bin("size")).alias("power"), "extra").agg(one.alias("u"))
+    listed = each.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("power", "extra", "u.size", "u.unit")), asc=False).alias("units"))
+    listed = listed.join(short.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+
+    def step(state: Column, u: Column) -> Column:
+        words = F.when(u["extra"] == 0, u["size"]).otherwise(-u["size"]).cast("double")
+        nearer = F.abs(state["rest"] - words) < F.abs(state["rest"])
+        changed = F.concat(state["changed"], F.array(u["unit"]))
+        return F.struct(F.when(nearer, state["rest"] - words).otherwise(state["rest"]).alias("rest"), F.when(nearer, changed).otherwise(state["changed"]).alias("changed"))
+
+    start = F.struct(F.col("rest"), F.array().cast("array<bigint>").alias("changed"))
+    changed = listed.select("source", F.explode(F.aggregate("units", start, step, lambda x: x["changed"])).alias("unit"))
+    changed = changed.select(F.col("source").alias("__s"), F.col("unit").alias("__u"))
+    found = extra.join(changed, F.col("source").eqNullSafe(F.col("__s")) & (F.col("unit") == F.col("__u")), "left")
+    return found.select("source", "unit", F.when(F.col("__u").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra")).alias("extra"))
+
+
 def mix_sources(df: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 42) -> DataFrame:
     """Add ``size``, ``source_size``, ``target`` and ``copies`` to the rows of a table with doc_id, text and source.
 
     Every document of a source is due target / source_size copies: the whole part for sure, the fraction by pivotal
-    dependent rounding, so that each source's words come within half a document of its target and no document has more than
-    ceil(cap) copies. The draws are hashes of ids and ``seed``: reruns agree on any cluster.
+    dependent rounding, a source's few large documents before the others, after which few documents are changed where that brings a source's words nearer to its target, and no
+    document has more than ceil(cap) copies. The draws are hashes of ids, texts and ``seed``: reruns agree on any cluster.
 
     Edge cases: null text and texts without words have size 0 and get the whole part only; a null source is a source (last in
-    order); rows repeating a doc_id within a source share one draw; sources without words have target 0; an empty table gives
-    an empty one; columns named like a result are replaced, others pass through.
+    order); rows without doc_id are told apart by their texts; rows repeating doc_id and text within a source share one draw;
+    sources without words have target 0; an empty table gives an empty one; columns named like a result are replaced, others
+    pass through.
     """
     keep = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = df.select(*keep, word_count(F.col("text")).alias("size"))
-    narrow = written(sized.select("source", "doc_id", "size"), "sizes")
+    unit = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    sized = df.select(*keep, word_count(F.col("text")).alias("size"), unit.alias("__unit"))
+    narrow = written(sized.select("source", F.col("__unit").alias("unit"), "size"), "sizes")
     targets = written(source_targets(narrow, weights, cap), "targets")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     by_source = targets.select(F.col("source").alias("__source"), "source_size", "target", F.floor(due).cast("int").alias("__whole"), due.alias("__due"))
     same = F.col("source").eqNullSafe(F.col("__source"))
-    units = narrow.where("size > 0").groupBy("source", "doc_id").agg(F.sum("size").alias("size"))
-    mass = F.floor((F.col("__due") - F.col("__whole")) * F.col("size") * (1 << PART_BITS)).cast("long")
-    units = units.join(by_source, same).select("source", "doc_id", "size", mass.alias("mass"))
-    extra = pivotal_copies(units, seed).select(F.col("source").alias("__unit_source"), F.col("doc_id").alias("__unit_doc"), F.col("extra").alias("__extra"))
+    fraction = F.col("__due") - F.col("__whole")
+    units = narrow.where("size > 0").groupBy("source", "unit").agg(F.sum("size").alias("size"))
+    mass = lambda share: F.floor(share * F.col("size") * (1 << PART_BITS)).cast("long").alias("mass")
+    units = units.join(by_source, same).select("source", "unit", "size", "source_size", fraction.alias("share"), (F.col("size") * LARGE > F.col("source_size")).alias("large"))
+    units = written(units, "shares")
+    first = written(pivotal_copies(units.where("large").select("source", "unit", "size", mass(F.col("share"))), seed), "large")
+    taken = first.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("words"))
+    rest = units.groupBy("source").agg(F.sum(F.expr("if(large, 0, size)")).alias("rest"), F.max(F.col("share") * F.col("source_size")).alias("all"))
+    rest = rest.join(taken.select(F.col("source").alias("s"), "words"), F.col("source").eqNullSafe(F.col("s")), "left")
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("all") - F.coalesce(F.col("words"), F.lit(0))) / F.col("rest")))
+    rest = rest.where("rest > 0").select(F.col("source").alias("s"), share.alias("left"))
+    small = units.where("not large").join(rest, F.col("source").eqNullSafe(F.col("s"))).select("source", "unit", "size", mass(F.col("left")))
+    extra = written(first.unionByName(pivotal_copies(small, seed)), "extra")
+    # a source that is due whole copies only stays as it is, to the last bit
+    words = F.when(fraction * F.col("source_size") >= 0.5, fraction * F.col("source_size"))
+    extra = _evened(extra, by_source.select(F.col("__source").alias("source"), words.alias("words")).where("words IS NOT NULL"))
+    extra = extra.select(F.col("source").alias("__unit_source"), F.col("unit").alias("__unit_of"), F.col("extra").alias("__extra"))
     out = sized.join(by_source, same)
-    out = out.join(extra, F.col("source").eqNullSafe(F.col("__unit_source")) & F.col("doc_id").eqNullSafe(F.col("__unit_doc")), "left")
+    out = out.join(extra, F.col("source").eqNullSafe(F.col("__unit_source")) & (F.col("__unit") == F.col("__unit_of")), "left")
     copies = F.col("__whole") + F.when(F.col("size") > 0, F.coalesce(F.col("__extra"), F.lit(0))).otherwise(F.lit(0))
     return out.select(*keep, "size", "source_size", "target", copies.cast("int").alias("copies"))
