@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; no document does. n_chars follows the text. Documents without a source
     are one source."""
     site = F.coalesce(F.concat(F.lit("/"), F.col("source")), F.lit(""))
-    out = lines.drop_site_lines(docs.select(*COLUMNS), site, F.col("text"), max_ratio=LINE_RATIO, min_pages=LINE_PAGES)
+    out = lines.drop_site_lines(docs.select(*COLUMNS), site, F.col("text"), max_ratio=LINE_RATIO, min_pages=LINE_PAGES, distinct_texts=True)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
