@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, mix64, shingle_hashes, shuffle_partitions, utf8, word_hashes, written
+from quillstone.llm.common import arrow_limits, mix64, shingle_hashes, shuffle_partitions, tidy, utf8, word_hashes, written
 from quillstone.llm.components import connected_components
 
 #: Documents of a leaf of the tree, and children of an inner node.
@@ -512,7 +512,7 @@ def _linked(df: DataFrame, words: int, percent: int) -> DataFrame:
     spark = df.sparkSession
     arrow_limits(spark)
     df = df.select(_row_key().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("id"))
-    found = written(df.mapInArrow(lambda b: _digests(b, words), "doc_id long, n long, d1 long, d2 long, id long"), "digests")
+    found = written(df.mapInArrow(lambda b: tidy(_digests(b, words)), "doc_id long, n long, d1 long, d2 long, id long"), "digests")
     sizes = found.where("n >= 0")
     top = found.where("n < 0").groupBy("d1").agg(F.sum("n").alias("n")).orderBy("n", "d1").limit(FREQUENT).select("d1").toArrow()
     frequent = np.sort(top["d1"].to_numpy().view(np.uint64)).tobytes()
@@ -520,8 +520,8 @@ def _linked(df: DataFrame, words: int, percent: int) -> DataFrame:
     of_doc = written(sizes.join(first, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep", "id"), "representatives")
     rep_of = of_doc.where("rep IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "rep", "n").dropDuplicates(["doc"])
 
-    signed = df.mapInArrow(lambda b: _sign(b, words, percent, frequent), _SIGNED_SCHEMA)
-    near = signed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(lambda b: _meet(b, percent), "a long, b long")
+    signed = df.mapInArrow(lambda b: tidy(_sign(b, words, percent, frequent)), _SIGNED_SCHEMA)
+    near = signed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(lambda b: tidy(_meet(b, percent)), "a long, b long")
     near = written(near.distinct(), "near")  # an edge can come from several partitions
     near = near.join(rep_of.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a").join(rep_of.select(F.col("doc").alias("b"), F.col("rep").alias("rb")), "b")
     near = near.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
@@ -538,7 +538,7 @@ def _linked(df: DataFrame, words: int, percent: int) -> DataFrame:
     sets = sets.select("*", other).select("doc", "block", "chunk", "text", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"))
     keys = ["block", "first", "second"]
     dealt = sets.repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
-    links = dealt.mapInArrow(lambda b: _join_blocks(b, words, percent), "a long, b long")
+    links = dealt.mapInArrow(lambda b: tidy(_join_blocks(b, words, percent)), "a long, b long")
     joined = connected_components(links)
     out = of_doc.join(joined, F.col("rep") == F.col("node"), "left")
     component = F.coalesce(F.col("label"), F.col("rep"), F.col("doc_id"))

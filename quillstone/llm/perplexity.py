@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, mix64, shingle_hashes, utf8, word_hashes, word_spans, written
+from quillstone.llm.common import arrow_limits, if_small, mix64, shingle_hashes, tidy, utf8, word_hashes, word_spans, written
 
 #: The model: n-grams of ORDER characters over 1 << SYMBOL_BITS symbols, each in one integer of 60 bits.
 ORDER, SYMBOL_BITS = 6, 10
@@ -23,7 +23,7 @@ BAND, FLOOR = 6.0, 0.75
 #: Bins a nat in the histograms that medians and deviations come from.
 BINS = 1000
 #: Characters that a task holds at once, and n-grams that it sorts at once.
-PIECE, GATHER = 1 << 20, 1 << 23
+PIECE, GATHER = 1 << 20, 1 << 22
 #: Log probabilities are summed as integers, so many to the nat: the same on any cluster.
 NAT = 1 << 16
 #: n-grams of the model that are broadcast at most (16 bytes each); a larger one is joined, with the same results.
@@ -331,7 +331,7 @@ def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
     key = F.xxhash64("text")
     lang = F.when(F.col("lang").isNull(), F.lit(0)).otherwise(F.xxhash64(F.col("lang").cast("string")))
     df = df.withColumns({"__key": key, "__lang": lang.cast("long"), "__half": key.bitwiseAND(F.lit(1)).cast("long")})
-    counts = df.select("text", "__lang", "__half").mapInArrow(_count, _COUNTS)
+    counts = df.select("text", "__lang", "__half").mapInArrow(lambda b: tidy(_count(b)), _COUNTS)
     counts = written(counts.groupBy("lang", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
     small = counts.count() <= BROADCAST_GRAMS
     model, store = log_probabilities(counts), None
@@ -339,12 +339,12 @@ def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
         store = spark.sparkContext.broadcast(_collected(model))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(["__units"] if small else [])]
-    scored = df.mapInArrow(lambda b: _measure(b, store), ", ".join([fields, *(f"{c} long" for c in added)]))
+    scored = df.mapInArrow(lambda b: tidy(_measure(b, store)), ", ".join([fields, *(f"{c} long" for c in added)]))
     if not small:
         scored = scored.join(_joined_scores(df, model), ["__key", "__lang"], "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     log_ppl = F.when(F.col("n_words") > 0, F.col("__units") / F.col("n_words") / NAT)
     scored = written(scored.withColumns({"log_ppl": log_ppl, "base_failed": failed}).drop("__units", "__key", "__half", *drop), "scored")
-    limits = bands(scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull()))
+    limits = if_small(written(bands(scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull())), "bands"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
     return scored.join(limits, "__lang", "left").withColumn("kept", kept).drop("__lang", "low", "high")
