@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import analytics, ingest, retrieval
+from quillstone.plans import analytics, evaluation, ingest, retrieval
 
-QUERIES: dict = {**ingest.Q, **retrieval.Q, **analytics.Q}
-SQL: dict = {**ingest.SQL, **retrieval.SQL, **analytics.SQL}
+QUERIES: dict = {**ingest.Q, **retrieval.Q, **analytics.Q, **evaluation.Q}
+SQL: dict = {**ingest.SQL, **retrieval.SQL, **analytics.SQL, **evaluation.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

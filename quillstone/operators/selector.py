@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import derive, retrieval as R, sequential
-from quillstone.session import ship
+from quillstone.operators import conflicts, derive, retrieval as R
 
 KEYS = ["path", "ordinal"]
 # Words that ask for raise sites, and words that make such a question ambiguous.
@@ -133,11 +132,10 @@ class Selector:
         return self._pack(both, self.options.budget)
 
     def _without_conflicts(self, queries: DataFrame, rows: DataFrame) -> DataFrame:
-        ship(rows.sparkSession)
         given = self.index.assigned.groupBy(*KEYS).agg(F.collect_list(F.struct("symbol", "value_hash")).alias("assigned"))
         whole = rows.join(given, KEYS, "left").join(queries.select("query_id", "query"), "query_id")
         ids = whole.withColumn("id", F.xxhash64(*KEYS)).withColumn("rank", F.col("place"))
-        left = sequential.drop_conflicts(ids.select("query_id", "query", "rank", "id", "path", "text", "assigned", "ordinal"))
+        left = conflicts.drop_conflicts(ids.select("query_id", "query", "rank", "id", "path", "text", "assigned", "ordinal"))
         return rows.join(left.select("query_id", *KEYS), ["query_id", *KEYS], "left_semi")
 
     def select(self, queries: DataFrame, query_vectors: DataFrame | None = None) -> DataFrame:

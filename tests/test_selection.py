@@ -1,6 +1,6 @@
 import math
 
-from quillstone.operators import decide, retrieval as R, sequential as S
+from quillstone.operators import conflicts, decide, retrieval as R, sequential as S
 
 
 def test_ties_go_by_path_then_ordinal(spark):
@@ -50,21 +50,35 @@ def test_expand_stops_at_depth(spark):
     assert sorted((r.node, r.hop) for r in R.expand(seeds, edges).collect()) == [("b", 1), ("c", 2)]
 
 
-BLOCKS = [{"id": i, "path": p, "text": t} for i, (p, t) in enumerate([("billing/limits.py", "TIMEOUT = 30"), ("search/limits.py", "TIMEOUT = 90"), ("legacy/limits.py", "TIMEOUT = 5")])]
-ASSIGNED = [("TIMEOUT", i, str(v)) for i, v in enumerate((30, 90, 5))]
+TIMEOUTS = [("billing/limits.py", "TIMEOUT = 30"), ("search/limits.py", "TIMEOUT = 90"), ("legacy/limits.py", "TIMEOUT = 5")]
+SELECTED = "query_id long, query string, rank long, id long, path string, text string, assigned array<struct<symbol:string,value_hash:string>>"
 
 
-def test_conflicts_follow_the_query_scope():
-    drop, decisions = S.resolve_conflicts("search TIMEOUT value", BLOCKS, ASSIGNED)
-    assert drop == {0, 2} and decisions[0][1] == 1
-    assert S.resolve_conflicts("compare TIMEOUT in search", BLOCKS, ASSIGNED)[0] == set()
-    assert S.resolve_conflicts("TIMEOUT", BLOCKS[:2], ASSIGNED)[0] == set()
-    assert S.resolve_conflicts("search", BLOCKS[:2], [("TIMEOUT", 0, "1"), ("TIMEOUT", 1, "1")])[0] == set()
+def selected(spark, *queries):
+    """Rows of queries (query, blocks (path, text, assigned pairs))."""
+    return spark.createDataFrame([(q, query, i, i, path, text, given) for q, (query, blocks) in enumerate(queries) for i, (path, text, given) in enumerate(blocks)], SELECTED)
 
 
-def test_a_loser_with_another_named_fact_stays():
-    blocks = [{"id": 0, "path": "billing/s.py", "text": "TIMEOUT = 30"}, {"id": 1, "path": "search/s.py", "text": "TIMEOUT = 90\nMAX_JOBS = 7"}]
-    assert S.resolve_conflicts("billing TIMEOUT and MAX_JOBS", blocks, [("TIMEOUT", 0, "a"), ("TIMEOUT", 1, "b")])[0] == set()
+def test_conflicts_follow_the_query_scope(spark):
+    own = [(p, t, [("TIMEOUT", t.split()[-1])]) for p, t in TIMEOUTS]
+    same = [(p, t, [("TIMEOUT", "1")]) for p, t in TIMEOUTS[:2]]
+    rows = selected(spark, ("search TIMEOUT value", own), ("compare TIMEOUT in search", own), ("TIMEOUT", own[:2]), ("search", same), ("previous search TIMEOUT", own), ("TIMEOUT", [own[0], own[2]]))
+    found = {(r.query_id, r.symbol): (r.kept, sorted(r.dropped)) for r in conflicts.decisions(rows).collect()}
+    assert found == {(0, "TIMEOUT"): (1, [0, 2]), (5, "TIMEOUT"): (0, [1])}
+    left = [(r.query_id, r.id) for r in conflicts.drop_conflicts(rows).collect()]
+    assert sorted(left) == [(0, 1), *((1, i) for i in range(3)), (2, 0), (2, 1), (3, 0), (3, 1), *((4, i) for i in range(3)), (5, 0)]
+
+
+def test_a_loser_with_another_named_fact_stays(spark):
+    blocks = [("billing/s.py", "TIMEOUT = 30", [("TIMEOUT", "a")]), ("search/s.py", "TIMEOUT = 90\nMAX_JOBS = 7", [("TIMEOUT", "b"), ("MAX_JOBS", "c")])]
+    assert conflicts.decisions(selected(spark, ("billing TIMEOUT and MAX_JOBS", blocks), ("billing TIMEOUT", [])).limit(9)).count() == 0
+
+
+def test_what_gave_way_has_no_say_later(spark):
+    """B gives way to A for the first symbol; for the second only A and C are left, and C is marked as superseded."""
+    blocks = [("api/a.py", "x", [("ALPHA", "1"), ("BETA", "1")]), ("b.py", "x", [("ALPHA", "2"), ("BETA", "2")]), ("old/api/c.py", "x", [("BETA", "3")])]
+    found = [(r.symbol, r.kept, list(r.dropped)) for r in conflicts.decisions(selected(spark, ("api ALPHA BETA", blocks))).orderBy("symbol").collect()]
+    assert found == [("ALPHA", 0, [1]), ("BETA", 0, [2])]
 
 
 def test_information_gain_rules():
