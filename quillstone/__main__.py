@@ -31,10 +31,11 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     store = Store(spark, args.store)
     if args.command in ("compile", "update"):
-        files = scan_tree(spark, args.source).select(F.xxhash64("path").alias("doc_id"), "path", "language", "text")
-        print(json.dumps(store.write(files) if args.command == "compile" else store.update(files), sort_keys=True))
+        if args.command == "compile":
+            files = scan_tree(spark, args.source).select(F.xxhash64("path").alias("doc_id"), "path", "language", "text", "mtime_ns")
+        print(json.dumps(store.write(files) if args.command == "compile" else store.update_tree(args.source), sort_keys=True))
     elif args.command == "query":
-        index = selector.Index(store.table("blocks"))
+        index = selector.Index.of_store(store)
         print(json.dumps(selector.ask(spark, index, args.question, budget=args.budget)))
     elif args.command == "verify":
         broken = {r["check"]: r["n"] for r in store.verify().collect() if r["n"]}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import keyword
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import FUNCTION_WORDS, analyzed_terms, fold, folded_words, short_hash
+from quillstone.functions.text import STOPWORDS, analyzed_terms, fold, folded_words, short_hash
 from quillstone.session import ship
 
 BLOCK_ID = ["path", "ordinal"]
@@ -42,6 +43,23 @@ def field_terms(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"f_text": of(F.col("text")), "f_name": of(F.coalesce("name", F.lit(""))), "f_path": of(stem)})
 
 
+#: How often a term of the text, the name and the path counts.
+FIELD_WEIGHTS = (1, 1, 1)
+
+
+def field_postings(blocks: DataFrame, weights: tuple[int, int, int] = FIELD_WEIGHTS) -> DataFrame:
+    """(path, ordinal, term, tf) over the three fields, weighted: one pass over the blocks, one shuffle of combined counts."""
+    fields = field_terms(blocks)
+    each = F.flatten(F.array(*(F.transform(c, lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in zip(("f_text", "f_name", "f_path"), weights, strict=True))))
+    return fields.select(*BLOCK_ID, F.explode(each).alias("t")).groupBy(*BLOCK_ID, F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
+
+
+def field_lengths(blocks: DataFrame, weights: tuple[int, int, int] = FIELD_WEIGHTS) -> DataFrame:
+    """(path, ordinal, dl) over the three fields, weighted: no shuffle."""
+    length = sum((F.size(c) * w for c, w in zip(("f_text", "f_name", "f_path"), weights, strict=True)), F.lit(0))
+    return field_terms(blocks).select(*BLOCK_ID, length.cast("long").alias("dl"))
+
+
 def symbols(blocks: DataFrame) -> DataFrame:
     """(keys, symbol, kind): definitions, then constants, then the block's own name, each name once a block."""
     tag = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("symbol"), F.lit(kind).alias("kind")))
@@ -68,13 +86,18 @@ def assignments(blocks: DataFrame, pattern: str = ASSIGNMENT, *, keys: list[str]
     return rows.where("value <> ''").select(*keys, "symbol", short_hash(F.col("value")).alias("value_hash")).distinct()
 
 
-def references(blocks: DataFrame, definitions: DataFrame) -> DataFrame:
+def references(blocks: DataFrame, definitions: DataFrame, languages: DataFrame | None = None) -> DataFrame:
     """Edges (src, dst) from blocks that use a name to the block that defines it first (by path, then ordinal).
 
-    definitions: (path, ordinal, symbol). Function words define nothing here; a block does not refer to itself.
+    definitions: (path, ordinal, symbol). Python's keywords and stop words are no names; a block does not refer to itself.
+    With ``languages`` (path, language) only files in Python or of no known language refer to anything.
     """
     at = F.struct("path", "ordinal")
-    first = definitions.where(~F.lower("symbol").isin(*sorted(FUNCTION_WORDS))).groupBy("symbol").agg(F.min(at).alias("dst"))
+    nothing = F.col("symbol").isin(*sorted(keyword.kwlist)) | F.lower("symbol").isin(*sorted(STOPWORDS))
+    first = definitions.where(~nothing).groupBy("symbol").agg(F.min(at).alias("dst"))
+    if languages is not None:
+        spoken = languages.where(F.coalesce(F.col("language"), F.lit("unknown")).isin("python", "unknown")).select("path")
+        blocks = blocks.join(spoken, "path", "left_semi")
     used = blocks.select(at.alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))).alias("symbol"))
     return used.join(first, "symbol").where("src <> dst").select("src", "dst").distinct()
 

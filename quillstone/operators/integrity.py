@@ -35,19 +35,43 @@ def file_digests(rows: DataFrame, columns: list[str], *, key: str = "path") -> D
     return leaves.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("digest"))
 
 
-def root_digest(digests: DataFrame, *, key: str = "path", fan: int = 2) -> DataFrame:
-    """One row (root): digests of files are combined by the first ``fan`` hex digits of the hash of their key, then in all.
+#: Files of one branch of the tree of digests, about.
+BRANCH_FILES = 1024
 
-    The tree has 16**fan branches, so no task gathers more than its branch and no row more than the branches' digests."""
-    branch = F.substring(F.sha2(F.col(key).cast("string").cast("binary"), 256), 1, fan)
+
+def root_digest(digests: DataFrame, *, key: str = "path") -> DataFrame:
+    """One row (root): files' digests are combined by a prefix of the hash of their key, the results by shorter prefixes, two hex
+    digits at a time, down to two digits and then in all.
+
+    The longest prefix is chosen by the number of files, so that a branch has BRANCH_FILES or so, and no step combines more
+    than 256 results: what a task gathers does not grow with the table. Tables of equal rows have equal roots."""
+    depth = 2
+    rows = digests.count()
+    while 16**depth * BRANCH_FILES < rows and depth < 12:
+        depth += 2
+    branch = F.substring(F.sha2(F.col(key).cast("string").cast("binary"), 256), 1, depth)
     leaf = F.concat(F.length(F.col(key).cast("string")).cast("string"), F.lit(":"), F.col(key).cast("string"), F.lit("="), F.col("digest"))
     joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n").cast("binary"), 256)
     branches = digests.groupBy(branch.alias("branch")).agg(joined(leaf).alias("digest"))
+    while depth > 2:
+        depth -= 2
+        part = F.concat("branch", F.lit("="), F.col("digest"))
+        branches = branches.groupBy(F.substring("branch", 1, depth).alias("up")).agg(joined(part).alias("digest")).withColumnRenamed("up", "branch")
     return branches.agg(joined(F.concat("branch", F.lit("="), F.col("digest"))).alias("root"))
 
 
-def violations(blocks: DataFrame, files: DataFrame, postings: DataFrame, terms: Column) -> DataFrame:
-    """(check, n): rows that break a rule of the store, for each rule; postings are compared with fresh ones.
+def table_digests(tables: dict[str, DataFrame], *, key: str = "path") -> DataFrame:
+    """(key, digest): SHA-256 over the sorted hashes of a file's rows in all tables, each under its table's name, columns by
+    name: whatever is stored of a file is in its digest."""
+    leaves = None
+    for name, df in sorted(tables.items()):
+        rows = df.select(key, F.sha2(F.concat(F.lit(f"{name}|"), framed(*sorted(df.columns))).cast("binary"), 256).alias("h"))
+        leaves = rows if leaves is None else leaves.unionByName(rows)
+    return leaves.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("digest"))
+
+
+def violations(blocks: DataFrame, files: DataFrame, postings: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(check, n): rows that break a rule of the store, for each rule; postings are compared with ``fresh`` ones in one pass.
 
     blocks: (path, ordinal, kind, start_line, end_line, text, n_tokens); files: (path, ...); postings: (path, ordinal, term, tf)."""
 
@@ -55,16 +79,19 @@ def violations(blocks: DataFrame, files: DataFrame, postings: DataFrame, terms:
         return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
 
     lines = F.size(F.split("text", "\n"))
-    fresh = blocks.select("path", "ordinal", F.explode(terms).alias("term")).groupBy("path", "ordinal", "term").agg(F.count("*").alias("tf"))
+    sides = [df.select("path", "ordinal", "term", F.col("tf").cast("long").alias("tf"), F.lit(s).alias("s")) for df, s in ((postings, 1), (fresh, -1))]
+    unequal = sides[0].unionByName(sides[1]).groupBy("path", "ordinal", "term", "tf").agg(F.sum("s").alias("s"))
+    unequal = unequal.agg(F.count(F.when(F.col("s") < 0, 1)).alias("missing"), F.count(F.when(F.col("s") > 0, 1)).alias("unfounded"))
+    unequal = unequal.select(F.explode(F.array(*(F.struct(F.lit(f"posting {c}").alias("check"), F.col(c).alias("n")) for c in ("missing", "unfounded")))).alias("x")).select("x.*")
     out = [
         count(blocks.join(files, "path", "left_anti"), "block without file"),
         count(files.join(blocks, "path", "left_anti"), "file without block"),
         count(blocks.where((F.col("start_line") < 1) | (F.col("end_line") - F.col("start_line") + 1 != lines)), "span geometry"),
         count(blocks.where(F.col("n_tokens") != product_tokens(F.col("text"))), "token estimate"),
         count(blocks.groupBy("path", "ordinal").agg(F.count("*").alias("c")).where("c > 1"), "ordinal twice"),
-        count(postings.join(blocks, ["path", "ordinal"], "left_anti"), "posting without block"),
-        count(fresh.join(postings, ["path", "ordinal", "term", "tf"], "left_anti"), "posting missing"),
-        count(postings.join(fresh, ["path", "ordinal", "term", "tf"], "left_anti"), "posting unfounded"),
+        postings.groupBy("path", "ordinal").agg(F.count("*").alias("c")).join(blocks.select("path", "ordinal"), ["path", "ordinal"], "left_anti")
+        .agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).select(F.lit("posting without block").alias("check"), "n"),
+        unequal,
     ]
     all_rows = out[0]
     for x in out[1:]:

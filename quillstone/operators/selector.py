@@ -46,21 +46,33 @@ def raise_names(queries: DataFrame) -> DataFrame:
 
 
 class Index:
-    """The derived tables of blocks (path, ordinal, kind, name, start_line, end_line, text, n_tokens) that channels read."""
-
-    def __init__(self, blocks: DataFrame, files: DataFrame | None = None, vectors: DataFrame | None = None, weights: tuple[int, int, int] = (1, 1, 1)):
-        self.blocks, self.vectors = blocks, vectors
-        fields = derive.field_terms(blocks)
-        parts = [derive.postings(fields, F.col(c)).withColumn("tf", F.col("tf") * w) for c, w in zip(("f_text", "f_name", "f_path"), weights, strict=True)]
-        every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-        self.postings = every.groupBy(*KEYS, "term").agg(F.sum("tf").alias("tf"))
-        length = sum((F.size(c) * w for c, w in zip(("f_text", "f_name", "f_path"), weights, strict=True)), F.lit(0))
-        self.lengths = fields.select(*KEYS, length.cast("long").alias("dl"))
+    """The tables that channels read: of a store, as they were compiled, or derived from blocks (path, ordinal, kind, name,
+    start_line, end_line, text, n_tokens)."""
+
+    def __init__(self, blocks: DataFrame, files: DataFrame | None = None, vectors: DataFrame | None = None, weights: tuple[int, int, int] = derive.FIELD_WEIGHTS):
+        self.blocks, self.vectors, self.files = blocks, vectors, files
+        self.postings, self.lengths = derive.field_postings(blocks, weights), derive.field_lengths(blocks, weights)
         self.symbols = derive.symbols(blocks).withColumn("is_def", F.lit(True))
         self.relations = derive.raises(files, blocks) if files is not None else None
-        self.edges = derive.references(blocks, self.symbols.select(*KEYS, "symbol"))
         self.assigned = derive.assignments(blocks)
 
+    @classmethod
+    def of_store(cls, store, vectors: DataFrame | None = None) -> Index:
+        """The index of a store's current state: nothing is tokenised or parsed again. ``vectors`` (path, ordinal, embedding)
+        are any encoder's."""
+        made = cls.__new__(cls)
+        segments = store.manifest()["segments"]
+        made.files, made.blocks, made.vectors = store.table("files", segments), store.table("blocks", segments), vectors
+        made.postings, made.lengths, made.relations = (store.table(t, segments) for t in ("postings", "lengths", "relations"))
+        made.symbols, made.assigned = store.table("symbols", segments).withColumn("is_def", F.lit(True)), store.table("assignments", segments)
+        return made
+
+    @property
+    def edges(self) -> DataFrame:
+        """References between blocks: whose name is defined first depends on all files, so they are joined when asked for."""
+        languages = self.files.select("path", "language") if self.files is not None else None
+        return derive.references(self.blocks, self.symbols.select(*KEYS, "symbol"), languages)
+
 
 class Selector:
     """Evidence for a table of questions at once; one question is a table of one row."""

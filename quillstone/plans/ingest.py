@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import keyword
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import legacy_tokens, product_tokens
+from quillstone.functions.text import STOPWORDS, legacy_tokens, product_tokens
 from quillstone.operators import decide, derive, integrity, messages, retrieval, split, telemetry
 from quillstone.plans.common import BLOCKS, FILES, INDEX, LINES, blocks, files, index, longs, table
 from quillstone.sources.documents import CREDENTIALS, excluded, has_credential, language_of, portable
@@ -212,7 +214,7 @@ SELECT sha256(array_to_string(list_sort(list(concat(branch, '=', digest))), chr(
 def verify_violations(spark: SparkSession, d: str) -> DataFrame:
     found, postings, _ = index(spark, d)
     broken = found.withColumn("n_tokens", F.when(F.col("doc_id") % 100 == 3, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")))
-    out = integrity.violations(broken, files(spark, d).where("doc_id % 50 <> 7"), postings.where("term <> 'the'"), derive.text_terms())
+    out = integrity.violations(broken, files(spark, d).where("doc_id % 50 <> 7"), postings.where("term <> 'the'"), postings)
     return out.where("n > 0")
 
 
@@ -303,7 +305,7 @@ def dep_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["dep_edges"] = rf"""WITH {_CAPITALS},
-f AS (SELECT symbol, min({{'path': path, 'ordinal': ordinal}}) AS dst FROM symbols WHERE lower(symbol) NOT IN ({", ".join(f"'{w}'" for w in sorted(derive.FUNCTION_WORDS))}) GROUP BY symbol),
+f AS (SELECT symbol, min({{'path': path, 'ordinal': ordinal}}) AS dst FROM symbols WHERE lower(symbol) NOT IN ({", ".join(f"'{w}'" for w in sorted(STOPWORDS))}) AND symbol NOT IN ({", ".join(f"'{w}'" for w in keyword.kwlist)}) GROUP BY symbol),
 u AS (SELECT {{'path': path, 'ordinal': ordinal}} AS src, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}'))) AS symbol FROM blocks),
 e AS (SELECT DISTINCT src, dst FROM u JOIN f USING (symbol) WHERE src <> dst)
 SELECT dst.path AS path, dst.ordinal::BIGINT AS ordinal, count(*) AS n_src FROM e GROUP BY ALL"""

@@ -66,27 +66,34 @@ def masked(text: Column) -> Column:
     return text
 
 
+def _listed(spark: SparkSession, root: str, paths: list[str] | None = None, *, content: bool) -> DataFrame:
+    reader = spark.read.format("binaryFile")
+    found = reader.option("recursiveFileLookup", True).load(root) if paths is None else reader.load(paths)
+    prefix = re.sub(r"/+$", "", root)
+    relative = F.regexp_replace(F.col("path"), "^(?:[a-z]+:)?/*" + re.escape(prefix.split(":", 1)[-1].lstrip("/")) + "/", "")
+    nanos = (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")
+    found = found.select(F.col("path").alias("uri"), relative.alias("path"), F.col("length").alias("size"), nanos, *([F.col("content")] if content else []))
+    return found.withColumn("language", language_of(F.col("path"))).where(F.col("language").isNotNull() & ~excluded(F.col("path")) & (F.col("size") > 0))
+
+
+def tree_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """(uri, path, size, mtime_ns, language) of the files below ``root`` that a scan takes; no content is read."""
+    return _listed(spark, root, content=False)
+
+
 def scan_tree(spark: SparkSession, root: str, *, known: DataFrame | None = None, strict: bool = True) -> DataFrame:
-    """The text files below ``root``: path (relative), text, sha256, size, language, mtime_ns, by path.
+    """The text files below ``root``: path (relative), text, sha256, size, language, mtime_ns.
 
     Files of other suffixes, excluded files and empty files are left out. A file over MAX_FILE_BYTES, with a NUL, not in
     UTF-8 or with a credential fails the scan where ``strict``; else it is left out. With ``known`` (path, size, mtime_ns)
-    only the contents of files whose size or time differs are read: metadata is scanned first, without contents.
+    only files whose size or time differs are opened: metadata is compared first, and the paths that differ are loaded.
     """
-    def listed(with_content: bool) -> DataFrame:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        prefix = re.sub(r"/+$", "", root)
-        relative = F.regexp_replace(F.col("path"), "^(?:[a-z]+:)?/*" + re.escape(prefix.split(":", 1)[-1].lstrip("/")) + "/", "")
-        nanos = (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")
-        columns = [F.col("path").alias("uri"), relative.alias("path"), F.col("length").alias("size"), nanos]
-        found = found.select(*columns, *([F.col("content")] if with_content else []))
-        found = found.withColumn("language", language_of(F.col("path")))
-        return found.where(F.col("language").isNotNull() & ~excluded(F.col("path")) & (F.col("size") > 0))
-
-    files = listed(True)
-    if known is not None:
-        same = listed(False).join(known.select("path", "size", "mtime_ns"), ["path", "size", "mtime_ns"], "left_semi").select("path")
-        files = files.join(same, "path", "left_anti")
+    if known is None:
+        files = _listed(spark, root, content=True)
+    else:
+        same = ["path", "size", "mtime_ns"]
+        changed = [r["uri"] for r in tree_metadata(spark, root).join(known.select(*same), same, "left_anti").select("uri").collect()]
+        files = _listed(spark, root, changed, content=True) if changed else _listed(spark, root, content=True).where("false")
     text = F.try_validate_utf8(F.col("content").cast("string"))
     files = files.withColumn("text", text)
     reason = (
@@ -100,7 +107,7 @@ def scan_tree(spark: SparkSession, root: str, *, known: DataFrame | None = None,
         files = files.withColumn("text", F.when(reason.isNull(), F.col("text")).otherwise(F.raise_error(label).cast("string")))
     else:
         files = files.where(reason.isNull())
-    return files.select("path", "text", F.sha2("content", 256).alias("sha256"), "size", "language", "mtime_ns").orderBy("path")
+    return files.select("path", "text", F.sha2("content", 256).alias("sha256"), "size", "language", "mtime_ns")
 
 
 def case_collisions(files: DataFrame) -> DataFrame:

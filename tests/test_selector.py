@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from quillstone.__main__ import main
-from quillstone.operators import derive, prompts, selector, split
+from quillstone.operators import derive, integrity, prompts, selector, split
+from quillstone.sources import documents
+from quillstone.sources.store import Store
 
 SCHEMA = "doc_id long, path string, language string, text string"
 PROJECT = [(0, "handlers/retry_policy.py", "python", "class RetryPolicy:\n    def check(self, value):\n        raise RetryLimitError(value)\n")]
@@ -85,8 +87,18 @@ def test_hashed_vectors_have_unit_length(spark):
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("LIMIT = 3\n")
+    (tmp_path / "src" / "b.py").write_text("def check(v):\n    raise RetryLimitError(v)\n")
     store = str(tmp_path / "store")
     assert main(["compile", str(tmp_path / "src"), store]) == 0
-    assert main(["update", str(tmp_path / "src"), store]) == 0 and '"unchanged": 1' in capsys.readouterr().out
+    assert main(["update", str(tmp_path / "src"), store]) == 0 and '"unchanged": 2' in capsys.readouterr().out
     assert main(["query", store, "LIMIT"]) == 0 and "a.py:1-1" in capsys.readouterr().out
     assert main(["verify", store]) == 0 and main(["stats", store]) == 0
+    asked = spark.createDataFrame([(0, "When is RetryLimitError raised?")], "query_id long, query string")
+    stored = selector.Index.of_store(Store(spark, store))
+    channels = selector.Selector(stored).channels(asked, 60)
+    assert ("relation", "b.py") in {(r.channel, r.path) for r in channels.collect()}
+    plan = channels._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all(text" not in plan  # nothing is tokenised again
+    derived = selector.Index(stored.blocks, documents.scan_tree(spark, str(tmp_path / "src")).withColumn("doc_id", F.lit(0)))
+    same = lambda a, b: integrity.same_rows(a, b.select(*a.columns)).count() == 0
+    assert same(stored.postings, derived.postings) and same(stored.relations, derived.relations)

@@ -18,18 +18,87 @@ def test_update_equals_rebuild(spark, tmp_path):
     assert store.update(spark.createDataFrame(new, SCHEMA)) == {"added": 1, "deleted": 1, "modified": 1, "unchanged": 1}
     fresh = compile_tables(spark.createDataFrame(new, SCHEMA))
     for name in TABLES:
-        assert integrity.same_rows(store.table(name), fresh[name].select(*store.table(name).columns)).count() == 0, name
+        columns = fresh[name].columns
+        assert integrity.same_rows(store.table(name).select(*columns), fresh[name]).count() == 0, name
     assert all(r.n == 0 for r in store.verify().collect())
-    assert store.vacuum() == 1 and store.load_blocks().count() > 0
+    other = Store(spark, str(tmp_path / "t"))
+    assert other.write(spark.createDataFrame(new, SCHEMA))["root_sha256"] == store.manifest()["root_sha256"] and other.manifest()["rows"] == store.manifest()["rows"]
+    assert len(store.manifest()["segments"]) == 2 and store.vacuum() == 0 and store.load_blocks().count() > 0
+    store.write(spark.createDataFrame(new, SCHEMA))
+    assert store.vacuum() == 2 and store.load_blocks().count() > 0 and len(list((tmp_path / "s").glob("manifest-*.json"))) == 1
     assert store.cached(("q",), lambda: store.load_blocks()) == store.cached(("q",), lambda: 1 / 0)
 
 
+def test_an_update_writes_and_reads_what_changed_only(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    for i in range(12):
+        (root / f"f{i}.py").write_text(f"LIMIT_{i} = {i}\n")
+    store = Store(spark, str(tmp_path / "s"))
+    store.write(documents.scan_tree(spark, str(root)).select(F.xxhash64("path").alias("doc_id"), "path", "language", "text", "mtime_ns"))
+    assert store.update_tree(str(root)) == {"added": 0, "deleted": 0, "modified": 0, "unchanged": 12} and len(store.manifest()["segments"]) == 1
+    (root / "f3.py").write_text("LIMIT_3 = 333\n")
+    (root / "f4.py").unlink()
+    (root / "new.py").write_text("def g():\n    raise KeyError\n")
+    (root / "f5.py").chmod(0)  # an unchanged file that could not be read
+    known = store.table("files").select("path", "size", "mtime_ns")
+    assert sorted(r.path for r in documents.scan_tree(spark, str(root), known=known).collect()) == ["f3.py", "new.py"]
+    assert store.update_tree(str(root)) == {"added": 1, "deleted": 1, "modified": 1, "unchanged": 10}
+    last = store.manifest()["segments"][-1]
+    for name in TABLES:
+        assert {r.path for r in spark.read.parquet(f"{store.root}/{last}/{name}").select("path").collect()} <= {"f3.py", "new.py"}, name
+    assert sorted(r.path for r in spark.read.parquet(f"{store.root}/{last}/stale").collect()) == ["f3.py", "f4.py"]
+    assert store.manifest()["rows"]["files"] == 12 and [r.name for r in store.table("relations").collect()] == ["keyerror"]
+    assert not {r.check: r.n for r in store.verify().collect() if r.n}
+    for i in range(8):  # segments are merged in time, and rows stay
+        (root / "new.py").write_text("X = " + "1" * (i + 2) + "\n")
+        store.update_tree(str(root))
+    assert len(store.manifest()["segments"]) < 8 and store.manifest()["rows"]["files"] == 12
+    assert not {r.check: r.n for r in store.verify().collect() if r.n}
+
+
+def test_readers_see_whole_states_and_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store.write(spark.createDataFrame(FILES, SCHEMA))
+    before = store.manifest()
+    monkeypatch.setattr(Store, "_publish", lambda self, segments: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.update(spark.createDataFrame(FILES[:2], SCHEMA))
+    monkeypatch.undo()
+    assert store.manifest() == before and store.table("files").count() == 3
+    late = Store(spark, store.root)
+    monkeypatch.setattr(late, "_numbers", lambda: [0])
+    with pytest.raises(ValueError, match="first"):
+        late._publish(before["segments"])
+    assert store.manifest() == before
+
+
+def test_changed_rows_are_found_in_any_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.write(spark.createDataFrame(FILES, SCHEMA))
+    segment = store.manifest()["segments"][0]
+    path = f"{store.root}/{segment}/assignments"
+    rows = [r.asDict() for r in spark.read.parquet(path).collect()]
+    rows[0]["value_hash"] = "0" * 16
+    spark.createDataFrame(rows, spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+    assert {r.check: r.n for r in store.verify().collect() if r.n} == {"file digest": 1}
+
+
+def test_the_tree_of_digests(spark, monkeypatch):
+    digests = spark.range(3000).select(F.col("id").cast("string").alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    monkeypatch.setattr(integrity, "BRANCH_FILES", 4)
+    root = integrity.root_digest(digests).first().root
+    assert root == integrity.root_digest(digests.repartition(7)).first().root
+    assert root != integrity.root_digest(digests.withColumn("digest", F.when(F.col("path") == "7", "x").otherwise(F.col("digest")))).first().root
+    assert root != integrity.root_digest(digests.where("path <> '7'")).first().root
+
+
 def test_corruption_is_found(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     store.write(spark.createDataFrame(FILES, SCHEMA))
     blocks = store.table("blocks")
     broken = blocks.withColumn("text", F.concat("text", F.lit(" more")))
-    found = {r.check: r.n for r in integrity.violations(broken, store.table("files"), store.table("postings"), derive.text_terms()).collect()}
+    found = {r.check: r.n for r in integrity.violations(broken, store.table("files"), store.table("postings"), derive.field_postings(broken)).collect()}
     assert found["posting missing"] > 0
     assert integrity.root_digest(integrity.file_digests(broken, ["text"])).first() != integrity.root_digest(integrity.file_digests(blocks, ["text"])).first()
 
@@ -40,7 +109,7 @@ def test_scan(spark, tmp_path):
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_bytes(data)
     found = documents.scan_tree(spark, str(root))
-    assert [(r.path, r.language) for r in found.collect()] == [("a.py", "python"), ("n/c.md", "markdown")]
+    assert sorted((r.path, r.language) for r in found.collect()) == [("a.py", "python"), ("n/c.md", "markdown")]
     known = spark.createDataFrame(found.collect(), found.schema)
     (root / "a.py").write_bytes(b"x = 22")
     assert [r.path for r in documents.scan_tree(spark, str(root), known=known).collect()] == ["a.py"]
