@@ -30,6 +30,7 @@ MEET = 1 << 18
 #: The bitmap that leaves out other documents has 1 << SLOT_BITS bits.
 SLOT_BITS = 27
 _SALT = np.uint64(0x5851F42D4C957F2D)
+_LAST = np.iinfo(np.int64).max
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -158,7 +159,7 @@ def _components(counts: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
 
 def _group_edges(key: int, doc: np.ndarray, home: np.ndarray, counts: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     """Edges that join up what ``possible`` joins among a signature's documents, or all of them where one stands for others
-    (minus its size); but not what their least signature, their home, joins already where they have it in common."""
+    (minus its size); but not what their home, a signature of each document, joins already where they have it in common."""
     size, before = np.abs(n), np.arange(len(n))
     for h in np.unique(home[home != key]).tolist():
         at = np.flatnonzero(home == h)
@@ -192,9 +193,10 @@ def _signed_batch(rows: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequent: bytes) -> Iterator[pa.RecordBatch]:
-    """(signature, document, its least signature, sketch, size) rows; signatures leave out the ``frequent`` shingles. Copies of
-    one set within a task are signed once, by the first; a signature with over HOT documents in the task goes on with its
-    first one, with minus its size, and the others are tied to it by edges."""
+    """(signature, document, home, sketch, size) rows; signatures leave out the ``frequent`` shingles. A document's home is its
+    least signature of those that the task has more than once, as its near copies are likely to have it too, else its least.
+    Copies of one set within a task are signed once, by the first; a signature with over HOT documents in the task goes on
+    with its first one, with minus its size, and the others are tied to it by edges."""
     parts: list[np.ndarray] = []
     edges: list[tuple[int, int]] = []
     copies: dict[bytes, int] = {}
@@ -204,6 +206,13 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequent:
         rows = np.concatenate(parts) if parts else np.empty((0, 6), np.int64)
         order = np.lexsort((rows[:, 1], rows[:, 0]))
         starts, sizes = _sorted_groups(rows[order, 0])
+        if len(rows):
+            often = np.empty(len(rows), bool)
+            often[order] = np.repeat(sizes > 1, sizes)
+            each = np.array([len(p) for p in parts])
+            least = lambda k: np.minimum.reduceat(k, np.cumsum(each) - each)
+            shared = least(np.where(often, rows[:, 0], _LAST))
+            rows[:, 2] = np.repeat(np.where(shared == _LAST, least(rows[:, 0]), shared), each)
         keep = np.ones(len(rows), bool)  # in the order of documents: a partition's rows of one document compress well
         tied = [np.array(edges, dtype=np.int64).reshape(-1, 2)]
         for at, size in zip(starts[sizes > HOT].tolist(), sizes[sizes > HOT].tolist(), strict=True):
@@ -233,7 +242,7 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequent:
                     rare = s[common[at] != s]
                 sig = signatures(rare, percent, len(s)).view(np.int64)
                 rows = np.empty((len(sig), 6), dtype=np.int64)
-                rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 5] = sig, doc, sig.min(), len(s)
+                rows[:, 0], rows[:, 1], rows[:, 5] = sig, doc, len(s)
                 rows[:, 3:5] = sketch(s).view(np.int64)
                 parts.append(rows)
                 held += len(sig)
@@ -294,7 +303,7 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     """Edges (a, b) of a partition that has all rows of its signatures, sorted by them, which join up what the edges between
     documents that share a signature and can link, and those that came along, join.
 
-    Documents whose least signature is the same meet at that one, and are not joined again at others. All documents of a
+    Documents of one home meet at that signature, and are not joined again at others. All documents of a
     signature are joined where one of its rows stands for others (minus its size): any of those may be able to link with any
     of the rest; so are those of a signature with over ALL_GLUED rows. No more rows than that are held besides MEET new
     ones, and edges are sent on when there are COMBINE."""

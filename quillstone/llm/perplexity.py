@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import arrow_limits, if_small, mix64, shingle_hashes, tidy, utf8, word_hashes, word_spans, written
 
-#: The model: n-grams of ORDER characters over 1 << SYMBOL_BITS symbols, each in one integer of 60 bits.
-ORDER, SYMBOL_BITS = 6, 10
+#: The model: n-grams of ORDER characters over 1 << SYMBOL_BITS symbols, each in one integer of 50 bits.
+ORDER, SYMBOL_BITS = 5, 10
 #: Symbols of the start of a text, of line breaks, other white space and digits. Other code points below PLAIN stand for
 #: themselves in lower case; later ones share the 256 symbols from PLAIN on by their low byte, which tells the letters of
 #: one script apart; languages have models of their own.
@@ -49,6 +49,7 @@ def _symbol_table() -> np.ndarray:
 
 
 _TABLE = _symbol_table()
+_TOP = np.uint64(1 << 63)
 
 
 def symbols(text: str) -> np.ndarray:
@@ -176,27 +177,24 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, q): an n-gram's hash, and q0 and q1 in one integer."""
+    """(key, q): an n-gram's hash, whose order as a signed integer is that of its bits, and q0 and q1 in one integer."""
     for batch in batches:
         lang, code, q0, q1 = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("lang", "code", "q0", "q1"))
         q = q0 << np.uint64(32) | q1
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (mix64(code + mix64(lang)), q)], ["key", "q"])
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (mix64(code + mix64(lang)) ^ _TOP, q)], ["key", "q"])
 
 
 def _collected(model: DataFrame) -> tuple[bytes, bytes]:
     """The model's sorted hash arrays, 16 bytes an n-gram."""
-    found = model.mapInArrow(_hashed, "key long, q long").toArrow()
-    keys, q = (found[c].to_numpy().view(np.uint64) for c in ("key", "q"))
-    del found
-    order = np.argsort(keys)
-    return keys[order].tobytes(), q[order].tobytes()
+    found = model.mapInArrow(_hashed, "key long, q long").orderBy("key").toArrow()
+    return tuple(b"".join(chunk.to_numpy().tobytes() for chunk in found[c].chunks) for c in ("key", "q"))
 
 
 class GramTable:
     """-log p of n-grams by their hashes: sorted arrays, and where the hashes of each prefix begin."""
 
     def __init__(self, keys: bytes, q: bytes):
-        self.keys, both = np.frombuffer(keys, dtype="<u8"), np.frombuffer(q, dtype="<i4").reshape(-1, 2)
+        self.keys, both = np.frombuffer(keys, dtype="<u8") ^ _TOP, np.frombuffer(q, dtype="<i4").reshape(-1, 2)
         self.q = both[:, 1], both[:, 0]
         bits = max(1, len(self.keys).bit_length())
         self.shift = np.uint64(64 - bits)

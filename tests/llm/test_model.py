@@ -26,15 +26,15 @@ def plain_symbol(c):
 
 
 def plain_grams(text, lang):
-    s = [0] * 5 + [plain_symbol(c) for c in text or ""]
-    return [(lang, *s[i : i + 6]) for i in range(len(s) - 5)]
+    s = [0] * 4 + [plain_symbol(c) for c in text or ""]
+    return [(lang, *s[i : i + 5]) for i in range(len(s) - 4)]
 
 
 def plain_model(grams):
     """Interpolated modified Kneser-Ney with dictionaries, of n-grams that begin with their language."""
-    levels = [Counter() for _ in range(6)]
-    levels[5].update(grams)
-    for k in range(4, -1, -1):
+    levels = [Counter() for _ in range(5)]
+    levels[4].update(grams)
+    for k in range(3, -1, -1):
         levels[k] = Counter((g[0], *g[2:]) for g in levels[k + 1])
     cuts, after = [], []
     for c in levels:
