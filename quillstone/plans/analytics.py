@@ -89,6 +89,16 @@ def invariant_check(spark: SparkSession, d: str) -> DataFrame:
     return M.invariants(before, after).select("conv_id", F.array_join("violations", ";").alias("violations"))
 
 
+SQL["invariant_check"] = f"""WITH m AS (SELECT conv_id, turn, role, text, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS l FROM conversations),
+c AS (SELECT *, CASE WHEN conv_id % 7 = 0 AND turn = l THEN '' WHEN conv_id % 5 = 0 AND role <> 'user' THEN 'changed' ELSE text END AS after FROM m),
+q AS ({SQL["last_user_query"]}),
+g AS (SELECT conv_id, bool_or(role <> 'user' AND text IS DISTINCT FROM after) AS other, coalesce(sum(length(text)) FILTER (WHERE role = 'user'), 0) AS o, coalesce(sum(length(after)) FILTER (WHERE role = 'user'), 0) AS n,
+ max(after) FILTER (WHERE turn = l) AS last FROM c GROUP BY conv_id),
+j AS (SELECT g.*, query, coalesce(length(query), 0) AS k FROM g LEFT JOIN q USING (conv_id))
+SELECT conv_id, concat_ws(';', CASE WHEN other THEN 'non-user message changed' END, CASE WHEN floor(greatest(0, o - k) / 3.8::DOUBLE) > {M.EMPTY_CONTEXT} AND floor(greatest(0, n - k) / 3.8::DOUBLE) <= {M.EMPTY_CONTEXT} THEN 'context destroyed' END,
+ CASE WHEN k > 0 AND NOT coalesce(contains(last, query), false) THEN 'query lost' END) AS violations FROM j"""
+
+
 def plan_choice(spark: SparkSession, d: str) -> DataFrame:
     """Three plans a conversation: as it is, cut to a half, compressed to six tenths, at prices by message role."""
     tokens = _conv(spark, d).groupBy(F.col("conv_id").alias("request_id")).agg(F.sum(legacy_tokens(F.col("text"))).alias("t"))
@@ -150,9 +160,8 @@ def latency_distribution(spark: SparkSession, d: str) -> DataFrame:
     ms = F.round(F.abs("value") * 10, 3)
     rows = table(spark, d, "events").select("event_type", ms.alias("ms"))
     return rows.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.percentile("ms", 0.5), 6).alias("median_ms"), F.round(F.element_at(F.percentile("ms", F.array(F.lit(0.0), F.lit(1.0))), 2), 6).alias("max_ms"),
-        F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.var_pop("ms"), 4).alias("var_ms"),
-    )
+        F.count("*").alias("n"), F.round(F.max("ms"), 6).alias("max_ms"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.round(F.var_pop("ms"), 4).alias("var_ms")
+    ).join(T.medians(rows, group="event_type", value="ms").select("event_type", F.round("median", 6).alias("median_ms")), "event_type")
 
 
 SQL["latency_distribution"] = """WITH e AS (SELECT event_type, round(abs(value) * 10, 3) AS ms FROM events)
@@ -160,13 +169,9 @@ SELECT event_type, count(*) AS n, round(quantile_cont(ms, 0.5), 6) AS median_ms,
 
 
 def nearest_rank_p95(spark: SparkSession, d: str) -> DataFrame:
-    """The exact value at place ceil(0.95 n) of each type by ranks: no group is gathered."""
-    rows = table(spark, d, "events").select("event_type", "value", "event_id")
-    n = rows.groupBy("event_type").agg(F.count("*").alias("n"))
-    counted = rows.groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("upto", upto).join(n, "event_type")
-    return ranked.where(F.col("upto") >= F.ceil(F.col("n") * F.lit(0.95))).groupBy("event_type").agg(F.min("value").alias("p95"))
+    """The exact value at place ceil(0.95 n) of each type, found by bins."""
+    found = T.values_at(table(spark, d, "events"), group="event_type", value="value", places={"p95": lambda n: F.ceil(n * F.lit(0.95))})
+    return found.select("event_type", "p95")
 
 
 SQL["nearest_rank_p95"] = "SELECT event_type, list_sort(list(value))[ceil(0.95::DOUBLE * count(*))::BIGINT] AS p95 FROM events GROUP BY 1"
@@ -317,7 +322,10 @@ count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS both, count(*) FILTER (WHER
 
 def family_accounting(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").withColumn("split", D.hash_split(F.col("o_orderkey")))
-    return rows.groupBy("o_orderpriority", "split").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least"), F.percentile("o_totalprice", 0.5).alias("median"), F.max("o_totalprice").alias("most"))
+    both = rows.withColumn("family", F.concat_ws("/", "o_orderpriority", "split"))
+    middle = T.medians(both, group="family", value="o_totalprice")
+    out = both.groupBy("family", "o_orderpriority", "split").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"))
+    return out.join(middle, "family").select("o_orderpriority", "split", "n", "least", "median", "most")
 
 
 SQL["family_accounting"] = """SELECT o_orderpriority, CASE WHEN concat('0x', sha256(o_orderkey::VARCHAR)[1:8])::BIGINT / 4294967295.0::DOUBLE < 0.5 THEN 'dev' ELSE 'sealed' END AS split,
@@ -386,9 +394,17 @@ SELECT doc_id, contains(t, 'the') AND contains(t, 'of and') AND contains(t, '.')
 
 def redacted_events(spark: SparkSession, d: str) -> DataFrame:
     """Event properties as maps with sensitive keys masked."""
-    fields = F.from_json("props", "map<string,string>")
+    more = F.create_map(*map(F.lit, ("Api_Key", "abc", "password_hint", "none", "kept", "plain")), F.lit("note"), F.concat(F.lit("Bearer t"), F.col("event_id").cast("string"), F.lit(" end")))
+    fields = F.map_concat(F.from_json("props", "map<string,string>"), more)
     out = table(spark, d, "events").select("event_type", F.explode(T.redact_map(fields)).alias("key", "value"))
-    return out.groupBy("event_type", "key").agg(F.count("*").alias("n"), F.count(F.when(F.col("value") == "[REDACTED]", 1)).alias("n_redacted"))
+    whole, part = F.col("value") == "[REDACTED]", F.col("value") == "Bearer [REDACTED_TOKEN] end"
+    return out.groupBy("event_type", "key").agg(F.count("*").alias("n"), F.count(F.when(whole, 1)).alias("n_redacted"), F.count(F.when(part, 1)).alias("n_masked"))
+
+
+SQL["redacted_events"] = f"""WITH m AS (SELECT event_type, unnest(list_concat(list_transform(json_keys(props), lambda k: {{'key': k, 'value': json_extract_string(props, '$.' || k)}}),
+ [{{'key': 'Api_Key', 'value': 'abc'}}, {{'key': 'password_hint', 'value': 'none'}}, {{'key': 'kept', 'value': 'plain'}}, {{'key': 'note', 'value': concat('Bearer t', event_id, ' end')}}]), recursive := true) FROM events),
+r AS (SELECT event_type, key, CASE WHEN {" OR ".join(f"contains(lower(key), '{s}')" for s in T.SENSITIVE)} THEN '[REDACTED]' ELSE regexp_replace(value, '(?i)Bearer\s+[A-Za-z0-9_\-\.]+', 'Bearer [REDACTED_TOKEN]', 'g') END AS value FROM m)
+SELECT event_type, key, count(*) AS n, count(*) FILTER (WHERE value = '[REDACTED]') AS n_redacted, count(*) FILTER (WHERE value = 'Bearer [REDACTED_TOKEN] end') AS n_masked FROM r GROUP BY ALL"""
 
 
 for _f in (

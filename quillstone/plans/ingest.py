@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import STOPWORDS, legacy_tokens, product_tokens
 from quillstone.operators import decide, derive, integrity, messages, retrieval, split, telemetry
-from quillstone.plans.common import BLOCKS, FILES, INDEX, LINES, blocks, files, index, longs, table
+from quillstone.plans.common import BLOCKS, FILES, INDEX, blocks, files, index, longs, table
 from quillstone.sources.documents import CREDENTIALS, excluded, has_credential, language_of, portable
 
 Q: dict = {}
 SQL: dict = {}
 
 
+def _odd_paths(path: Column, doc_id: Column) -> Column:
+    """Paths of which some are hidden, excluded, of an unknown suffix or no portable names."""
+    forms = [path, F.concat(F.lit(".hidden/"), path), F.concat(F.lit("node_modules/"), path), F.concat(path, F.lit(".pem")), F.concat(path, F.lit(".xyz")), F.concat(F.lit("con.a/"), path), F.concat(F.lit("x\\"), path), F.regexp_replace(path, "doc_", "my-secret_")]
+    return F.element_at(F.array(*forms), (doc_id % 8 + 1).cast("int"))
+
+
 def scan_manifest(spark: SparkSession, d: str) -> DataFrame:
     chars = F.coalesce(F.sum(F.length("text")), F.lit(0))
-    return files(spark, d).agg(
+    return files(spark, d).withColumn("path", _odd_paths(F.col("path"), F.col("doc_id"))).agg(
         F.count("*").alias("n_files"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), chars.cast("long").alias("n_chars"),
         F.greatest(F.lit(1), F.floor((chars + 2 * (F.count("*") - 1)) / 4)).cast("long").alias("available_tokens"),
         F.count(F.when(~excluded(F.col("path")) & language_of(F.col("path")).isNotNull(), 1)).alias("n_scanned"), F.count(F.when(portable(F.col("path")), 1)).alias("n_portable"),
@@ -26,7 +32,11 @@ def scan_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["scan_manifest"] = f"""WITH {FILES} SELECT count(*) AS n_files, sum(strlen(text))::BIGINT AS n_bytes, coalesce(sum(length(text)), 0)::BIGINT AS n_chars,
-greatest(1, (sum(length(text)) + 2 * (count(*) - 1)) // 4)::BIGINT AS available_tokens, count(*) AS n_scanned, count(*) AS n_portable FROM files"""
+greatest(1, (sum(length(text)) + 2 * (count(*) - 1)) // 4)::BIGINT AS available_tokens,
+count(*) FILTER (WHERE regexp_matches(p, '(?i)\\.txt$') AND NOT regexp_matches(p, '(^|/)(\\.[^/]*|node_modules)/') AND NOT regexp_matches(p, '(?i)(^|[._/-])secret[^/]*$')) AS n_scanned,
+count(*) FILTER (WHERE NOT contains(p, chr(92)) AND NOT regexp_matches(p, '(?i)(^|/)con(\\.[^/]*)?/')) AS n_portable
+FROM (SELECT *, CASE doc_id % 8 WHEN 0 THEN path WHEN 1 THEN '.hidden/' || path WHEN 2 THEN 'node_modules/' || path WHEN 3 THEN path || '.pem' WHEN 4 THEN path || '.xyz' WHEN 5 THEN 'con.a/' || path
+ WHEN 6 THEN 'x' || chr(92) || path ELSE replace(path, 'doc_', 'my-secret_') END AS p FROM files)"""
 
 
 def token_estimates(spark: SparkSession, d: str) -> DataFrame:
@@ -58,11 +68,11 @@ SELECT path, count(*) AS n_blocks, sum(n_tokens)::BIGINT AS n_tokens, max(end_li
 
 
 def block_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    rows = blocks(spark, d).withColumn("lang", F.element_at(F.split("path", "/"), 2))
-    return rows.groupBy("lang").agg(
-        F.count("*").alias("n_blocks"), F.sum("n_tokens").alias("sum_tokens"), F.avg("n_tokens").alias("mean_tokens"),
-        F.percentile("n_tokens", 0.5).alias("median_tokens"), telemetry.nearest_rank(F.collect_list("n_tokens"), 0.95).alias("p95_tokens"), F.var_pop("n_tokens").alias("var_tokens"),
-    )
+    rows = blocks(spark, d).select(F.element_at(F.split("path", "/"), 2).alias("lang"), "n_tokens")
+    moments = rows.groupBy("lang").agg(F.count("*").alias("n_blocks"), F.sum("n_tokens").alias("sum_tokens"), F.avg("n_tokens").alias("mean_tokens"), F.var_pop("n_tokens").alias("var_tokens"))
+    places = {"a": lambda n: F.floor((n + 1) / 2), "b": lambda n: F.floor(n / 2) + 1, "p95_tokens": lambda n: F.ceil(n * F.lit(0.95))}
+    at = telemetry.values_at(rows, group="lang", value="n_tokens", places=places)
+    return moments.join(at, "lang").select(*moments.columns, ((F.col("a") + F.col("b")) / 2).alias("median_tokens"), F.col("p95_tokens").cast("long").alias("p95_tokens"))
 
 
 SQL["block_stats_by_lang"] = f"""WITH {BLOCKS} SELECT split_part(path, '/', 2) AS lang, count(*) AS n_blocks, sum(n_tokens)::BIGINT AS sum_tokens, avg(n_tokens) AS mean_tokens,
@@ -97,10 +107,10 @@ SQL["redact_texts"] = f"SELECT doc_id, {_sql_redact()} <> text AS changed, md5({
 
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
     _, postings, _ = index(spark, d)
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df > 1")
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-SQL["term_stats"] = f"WITH {INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY term HAVING count(*) > 1"
+SQL["term_stats"] = f"WITH {INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY term"
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +171,9 @@ def chunk_rebuild(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-SQL["chunk_rebuild"] = "SELECT count(*) AS n, count(*) AS n_equal FROM documents"
+SQL["chunk_rebuild"] = """WITH c AS (SELECT doc_id, hex(encode(text)) AS h, unnest(range(0, greatest(1, strlen(text)), 512)) AS i FROM documents),
+b AS (SELECT doc_id, string_agg(h[2 * i + 1:2 * (i + 512)], '' ORDER BY i) AS h FROM c GROUP BY doc_id)
+SELECT count(*) AS n, count(*) FILTER (WHERE decode(unhex(coalesce(b.h, ''))) = d.text) AS n_equal FROM documents d LEFT JOIN b USING (doc_id)"""
 
 
 def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import content_terms, product_tokens
+from quillstone.functions.text import content_terms
 from quillstone.operators import derive, retrieval as R, sequential
 from quillstone.plans.common import (
     BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, benchmark_queries, benchmark_terms, blocks, bm25_sql, files, index, longs, query_terms_of, table,
@@ -69,9 +69,9 @@ SELECT * FROM r WHERE rank < 20"""
 
 
 def and_search(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks with all of a query's first four terms."""
+    """Blocks with all of a query's terms."""
     _, postings, lengths = index(spark, d)
-    terms = benchmark_queries(spark, d).select("query_id", F.explode(F.slice(query_terms_of(F.col("query")), 1, 4)).alias("term"))
+    terms = benchmark_queries(spark, d).select("query_id", F.explode(query_terms_of(F.col("query"))).alias("term"))
     scored = R.bm25_scores(terms, postings, lengths, keys=KEYS)
     return _shown(R.and_search(terms, scored, postings, keys=KEYS))
 
@@ -79,7 +79,7 @@ def and_search(spark: SparkSession, d: str) -> DataFrame:
 SQL["and_search"] = rf"""WITH {INDEX},
 qw AS (SELECT item_id AS query_id, list_filter({WORDS_SQL.format("text")}, lambda t: length(t) > 1 AND NOT list_contains([{QUERY_TERMS.split("NOT IN (")[1].rsplit("))", 1)[0]}], t)) AS ws FROM benchmark),
 qd AS (SELECT query_id, list_filter(ws, lambda t, i: list_position(ws, t) = i) AS ws FROM qw),
-query_terms AS (SELECT query_id, unnest(ws[1:4]) AS term FROM qd), {bm25_sql()},
+query_terms AS (SELECT query_id, unnest(ws) AS term FROM qd), {bm25_sql()},
 need AS (SELECT query_id, count(*) AS n FROM query_terms GROUP BY query_id), hits AS (SELECT query_id, path, ordinal, count(*) AS c FROM postings JOIN query_terms USING (term) GROUP BY ALL),
 held AS (SELECT query_id, path, ordinal FROM hits JOIN need USING (query_id) WHERE c = n),
 r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 6) AS score, {RANKED} AS rank FROM scores JOIN held USING (query_id, path, ordinal)) SELECT * FROM r WHERE rank < 10"""
@@ -178,7 +178,8 @@ def vector_floor(spark: SparkSession, d: str) -> DataFrame:
     return R.vector_channel(scaled, vectors, 5, floor=R.DENSE_FLOOR).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-SQL["vector_floor"] = "SELECT vec_id AS query_id, 5::BIGINT AS n FROM embeddings WHERE vec_id % 20 = 0 AND vec_id % 40 <> 0"
+SQL["vector_floor"] = f"""{_VECTORS.replace("embedding AS e", "list_transform(embedding, lambda x: x * CASE WHEN vec_id % 40 = 0 THEN 0.3 ELSE 1.0 END) AS e")},
+b AS (SELECT query_id, max(score) AS best FROM r GROUP BY query_id) SELECT query_id, count(*) AS n FROM r JOIN b USING (query_id) WHERE best >= {R.DENSE_FLOOR} AND rank < 5 GROUP BY query_id"""
 
 
 def _channels(spark: SparkSession, d: str) -> DataFrame:
@@ -283,6 +284,16 @@ def risk_bands(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.round(covered, 6).alias("coverage"), R.risk_band(covered, F.coalesce("overlap", F.lit(False)), F.col("text").isNull()).alias("band"))
 
 
+_FUNCTION_SQL = f"[{QUERY_TERMS.split('NOT IN (')[1].rsplit('))', 1)[0]}]"
+SQL["risk_bands"] = rf"""{_fuse_sql("1.0")}, k AS (SELECT query_id, string_agg(text, chr(10) ORDER BY place) AS text, bool_or(len(channels) > 1) AS overlap FROM placed JOIN blocks USING (path, ordinal) WHERE place < 3 GROUP BY query_id),
+q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM benchmark),
+p AS (SELECT query_id, list_concat(ws, list_filter(flatten(list_transform(ws, lambda w: CASE WHEN contains(w, '_') THEN string_split(w, '_') ELSE [] END)), lambda x: length(x) > 2),
+ list_filter(flatten(list_transform(ws, lambda w: CASE WHEN len(regexp_extract_all(w, '[a-z]+|[0-9]+')) > 1 THEN regexp_extract_all(w, '[a-z]+|[0-9]+') ELSE [] END)), lambda x: length(x) > 2)) AS ts FROM q),
+t AS (SELECT query_id, list_filter(list_distinct(ts), lambda x: length(x) > 2 AND NOT list_contains({_FUNCTION_SQL}, x)) AS ts FROM p),
+c AS (SELECT t.query_id, k.text, coalesce(overlap, false) AS overlap, CASE WHEN len(ts) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(ts, lambda x: contains(lower(coalesce(k.text, '')), x))) / len(ts)::DOUBLE END AS cov FROM t LEFT JOIN k USING (query_id))
+SELECT query_id, round(cov, 6) AS coverage, concat('uncalibrated:', CASE WHEN text IS NULL THEN 'maximum' WHEN cov >= 0.8 AND overlap THEN 'low' WHEN cov >= 0.5 OR overlap THEN 'moderate' ELSE 'high' END) AS band FROM c"""
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     top = _top(_scores(spark, d), 30).join(_sizes(blocks(spark, d)), KEYS)
     near = F.array((F.col("rank") - 1).cast("int"), (F.col("rank") + 1).cast("int"))
@@ -356,6 +367,11 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return best.join(first, "query_id").select("query_id", R.snippet(F.col("text"), F.col("term")).alias("snippet"))
 
 
+SQL["snippets"] = rf"""{BASE}, t AS (SELECT *, {RANKED} AS rank FROM scores), b AS (SELECT query_id, string_split_regex(text, '\s+') AS ts FROM t JOIN blocks USING (path, ordinal) WHERE rank = 0),
+a AS (SELECT query_id, ts, coalesce(list_position(list_transform(ts, lambda x: lower(x)), regexp_extract(lower(text), '\S+')), 0) AS pos FROM b JOIN benchmark ON item_id = query_id)
+SELECT query_id, array_to_string(ts[greatest(1, pos - 12):greatest(1, pos - 12) + 23], ' ') AS snippet FROM a"""
+
+
 def labelled_pack(spark: SparkSession, d: str) -> DataFrame:
     """Blocks under a label with their source, the label charged to the budget."""
     found = blocks(spark, d)
