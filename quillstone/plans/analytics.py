@@ -401,7 +401,7 @@ def redacted_events(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("event_type", "key").agg(F.count("*").alias("n"), F.count(F.when(whole, 1)).alias("n_redacted"), F.count(F.when(part, 1)).alias("n_masked"))
 
 
-SQL["redacted_events"] = f"""WITH m AS (SELECT event_type, unnest(list_concat(list_transform(json_keys(props), lambda k: {{'key': k, 'value': json_extract_string(props, '$.' || k)}}),
+SQL["redacted_events"] = rf"""WITH m AS (SELECT event_type, unnest(list_concat(list_transform(json_keys(props), lambda k: {{'key': k, 'value': json_extract_string(props, '$.' || k)}}),
  [{{'key': 'Api_Key', 'value': 'abc'}}, {{'key': 'password_hint', 'value': 'none'}}, {{'key': 'kept', 'value': 'plain'}}, {{'key': 'note', 'value': concat('Bearer t', event_id, ' end')}}]), recursive := true) FROM events),
 r AS (SELECT event_type, key, CASE WHEN {" OR ".join(f"contains(lower(key), '{s}')" for s in T.SENSITIVE)} THEN '[REDACTED]' ELSE regexp_replace(value, '(?i)Bearer\s+[A-Za-z0-9_\-\.]+', 'Bearer [REDACTED_TOKEN]', 'g') END AS value FROM m)
 SELECT event_type, key, count(*) AS n, count(*) FILTER (WHERE value = '[REDACTED]') AS n_redacted, count(*) FILTER (WHERE value = 'Bearer [REDACTED_TOKEN] end') AS n_masked FROM r GROUP BY ALL"""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import FUNCTION_WORDS, folded_words
 from quillstone.operators import derive, split
+from quillstone.scratch import stamp_of, written
 from quillstone.sources.documents import document_files
 
 
@@ -22,11 +25,37 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.window_blocks(files(spark, sf_dir))
 
 
+_compiled: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Tables compiled from the documents once a session, and again if these change: queries read them from the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind, stamp_of(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _compiled:
+        _compiled[key] = {name: written(df, name) for name, df in make().items()}
+    return _compiled[key]
+
+
 def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(blocks, postings, lengths) of the documents."""
-    found = blocks(spark, sf_dir)
-    terms = derive.text_terms()
-    return found, derive.postings(found, terms), derive.lengths(found, terms)
+    """(blocks, postings, lengths) of the documents, as compiled."""
+
+    def make() -> dict[str, DataFrame]:
+        found, terms = blocks(spark, sf_dir), derive.text_terms()
+        return {"blocks": found, "postings": derive.postings(found, terms), "lengths": derive.lengths(found, terms)}
+
+    made = _stored(spark, sf_dir, "blocks", make)
+    return made["blocks"], made["postings"], made["lengths"]
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of whole documents, as compiled."""
+
+    def make() -> dict[str, DataFrame]:
+        docs, terms = files(spark, sf_dir), derive.text_terms()
+        return {"postings": derive.postings(docs, terms, keys=["doc_id"]), "lengths": derive.lengths(docs, terms, keys=["doc_id"])}
+
+    made = _stored(spark, sf_dir, "documents", make)
+    return made["postings"], made["lengths"]
 
 
 def query_terms_of(text: Column) -> Column:

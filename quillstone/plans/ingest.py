@@ -226,7 +226,7 @@ SELECT sha256(array_to_string(list_sort(list(concat(branch, '=', digest))), chr(
 def verify_violations(spark: SparkSession, d: str) -> DataFrame:
     found, postings, _ = index(spark, d)
     broken = found.withColumn("n_tokens", F.when(F.col("doc_id") % 100 == 3, F.col("n_tokens") + 1).otherwise(F.col("n_tokens")))
-    out = integrity.violations(broken, files(spark, d).where("doc_id % 50 <> 7"), postings.where("term <> 'the'"), postings)
+    out = integrity.violations(broken, files(spark, d).where("doc_id % 50 <> 7"), postings.where("term <> 'the'"), derive.postings(broken, derive.text_terms()))
     return out.where("n > 0")
 
 
@@ -239,7 +239,7 @@ _TOKEN = r"\b([a-z_]{3,})\s*=\s*\"?([A-Za-z0-9]{8,})\"?"
 
 
 def conflict_sets(spark: SparkSession, d: str) -> DataFrame:
-    assigned = derive.assignments(blocks(spark, d), _TOKEN)
+    assigned = derive.assignments(index(spark, d)[0], _TOKEN)
     return retrieval.conflict_sets(assigned)
 
 
@@ -260,7 +260,7 @@ _NAMES = f"list_distinct(list_filter(regexp_extract_all(text, '\\p{{L}}+'), lamb
 
 
 def _capitals(spark: SparkSession, d: str) -> DataFrame:
-    return blocks(spark, d).select("path", "ordinal", F.explode(_names("text")).alias("symbol"), F.lit(True).alias("is_def"))
+    return index(spark, d)[0].select("path", "ordinal", F.explode(_names("text")).alias("symbol"), F.lit(True).alias("is_def"))
 
 
 _CAPITALS = rf"{BLOCKS}, symbols AS (SELECT path, ordinal, unnest({_NAMES}) AS symbol FROM blocks)"
@@ -279,7 +279,7 @@ SELECT query_id, path, ordinal::BIGINT AS ordinal, hits::BIGINT AS defs, hits, r
 
 
 def selective_names(spark: SparkSession, d: str) -> DataFrame:
-    found = blocks(spark, d)
+    found = index(spark, d)[0]
     total = found.agg(F.count("*").alias("n"))
     names = _capitals(spark, d).groupBy("symbol").agg(F.countDistinct("path", "ordinal").alias("n_blocks"))
     cap = F.greatest(F.lit(1), F.floor(F.col("n") * 0.02))
@@ -295,8 +295,7 @@ def relation_seeds(spark: SparkSession, d: str) -> DataFrame:
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[A-Za-z]+"), F.lit(0)), F.lower))
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("expanded"))
     wanted = queries.select("query_id", "expanded", F.explode("expanded").alias("name"))
-    n = blocks(spark, d).count()
-    return longs(retrieval.relation_channel(wanted, found, n, 20).select("query_id", "path", "ordinal", "rank"), "ordinal")
+    return longs(retrieval.relation_channel(wanted, found, index(spark, d)[0].count(), 20).select("query_id", "path", "ordinal", "rank"), "ordinal")
 
 
 SQL["relation_seeds"] = rf"""WITH {_CAPITALS}, rel AS (SELECT DISTINCT path, ordinal, lower(symbol) AS name FROM symbols),
@@ -310,7 +309,7 @@ SELECT * FROM r WHERE rank < 20"""
 
 
 def dep_edges(spark: SparkSession, d: str) -> DataFrame:
-    found = blocks(spark, d)
+    found = index(spark, d)[0]
     names = _capitals(spark, d).select("path", "ordinal", "symbol")
     edges = derive.references(found, names)
     return edges.groupBy(F.col("dst.path").alias("path"), F.col("dst.ordinal").cast("long").alias("ordinal")).agg(F.count("*").alias("n_src"))
@@ -392,7 +391,7 @@ SELECT path, section, count(*) AS n_lines, min(pos) AS first_line FROM g GROUP B
 
 
 def block_reuse(spark: SparkSession, d: str) -> DataFrame:
-    found = blocks(spark, d)
+    found = index(spark, d)[0]
     old, new = found.where("doc_id % 3 <> 0"), found.where("doc_id % 3 <> 1").withColumn("path", F.concat(F.lit("moved/"), F.col("path")))
     out = integrity.reuse_blocks(old, new)
     return out.agg(F.count("*").alias("n_new"), F.count("old_path").alias("n_reused"))

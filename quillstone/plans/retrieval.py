@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.text import content_terms
 from quillstone.operators import derive, retrieval as R, sequential
 from quillstone.plans.common import (
-    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, benchmark_queries, benchmark_terms, blocks, bm25_sql, files, index, longs, query_terms_of, table,
+    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, benchmark_queries, benchmark_terms, bm25_sql, document_index, files, index, longs, query_terms_of, table,
 )
 
 Q: dict = {}
@@ -99,7 +99,7 @@ SQL["bm25_b_sweep"] = f"WITH {INDEX}, {QUERY_TERMS}" + "".join(f", {bm25_sql(f's
 
 def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Weighted field postings: the text's terms once, those of the path twice."""
-    found = blocks(spark, d)
+    found = index(spark, d)[0]
     path_terms = F.regexp_extract_all(F.lower("path"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = derive.postings(found, derive.text_terms()).unionByName(derive.postings(found, path_terms).withColumn("tf", F.col("tf") * 2))
     lengths = found.select(*KEYS, (F.size(derive.text_terms()) + 2 * F.size(path_terms)).cast("long").alias("dl"))
@@ -120,8 +120,7 @@ r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 6) AS scor
 
 
 def _doc_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = files(spark, d)
-    return R.bm25_scores(benchmark_terms(spark, d), derive.postings(docs, derive.text_terms(), keys=["doc_id"]), derive.lengths(docs, derive.text_terms(), keys=["doc_id"]), keys=["doc_id"])
+    return R.bm25_scores(benchmark_terms(spark, d), *document_index(spark, d), keys=["doc_id"])
 
 
 def doc_first_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +239,7 @@ def _sizes(found: DataFrame) -> DataFrame:
 def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: lexical and symbol channels fused, packed into the default budget, one row a query."""
     fused = R.fuse(_channels(spark, d)).select("query_id", *KEYS, "place")
-    out = R.greedy_pack(benchmark_queries(spark, d), fused, _sizes(blocks(spark, d)))
+    out = R.greedy_pack(benchmark_queries(spark, d), fused, _sizes(index(spark, d)[0]))
     return out.select("query_id", F.array_join("selected", ",").alias("selected"), "n_selected", "total_tokens", "seed_failed", F.round("reduction_pct", 6).alias("reduction_pct"))
 
 
@@ -258,7 +257,7 @@ FROM benchmark LEFT JOIN f ON item_id = f.query_id, n"""
 def fill_budget(spark: SparkSession, d: str) -> DataFrame:
     """Blocks by score while their own estimates fit 1,000 tokens: no separators."""
     cost = F.greatest(F.lit(1), F.floor(F.col("chars") / F.lit(3.8))).cast("long")
-    top = _top(_scores(spark, d), 30).join(_sizes(blocks(spark, d)), KEYS)
+    top = _top(_scores(spark, d), 30).join(_sizes(index(spark, d)[0]), KEYS)
     listed = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", cost.alias("cost")))).alias("c"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"))
 
@@ -277,7 +276,7 @@ SELECT query_id, s.used AS used, s.n AS n_kept FROM s"""
 
 def risk_bands(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of each query's content terms by its three best fused blocks, and the band that follows."""
-    kept = R.fuse(_channels(spark, d)).where("place < 3").join(blocks(spark, d).select(*KEYS, "text"), KEYS)
+    kept = R.fuse(_channels(spark, d)).where("place < 3").join(index(spark, d)[0].select(*KEYS, "text"), KEYS)
     joined = kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"), F.bool_or(F.size("channels") > 1).alias("overlap"))
     out = benchmark_queries(spark, d).join(joined, "query_id", "left").withColumn("terms", content_terms(F.col("query")))
     covered = R.coverage(F.col("terms"), F.coalesce("text", F.lit("")))
@@ -295,7 +294,7 @@ SELECT query_id, round(cov, 6) AS coverage, concat('uncalibrated:', CASE WHEN te
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    top = _top(_scores(spark, d), 30).join(_sizes(blocks(spark, d)), KEYS)
+    top = _top(_scores(spark, d), 30).join(_sizes(index(spark, d)[0]), KEYS)
     near = F.array((F.col("rank") - 1).cast("int"), (F.col("rank") + 1).cast("int"))
     return top.select("query_id", F.col("rank").alias("idx"), "score", F.greatest(F.lit(1), F.floor(F.col("chars") / 4)).alias("cost"), near.alias("near"))
 
@@ -305,14 +304,14 @@ def info_gain_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grouped_pack(spark: SparkSession, d: str) -> DataFrame:
-    top = _top(_scores(spark, d), 30).join(_sizes(blocks(spark, d)), KEYS)
+    top = _top(_scores(spark, d), 30).join(_sizes(index(spark, d)[0]), KEYS)
     return sequential.grouped_pack(top.select("query_id", F.col("rank").alias("place"), F.substring_index("path", "/", 1).alias("grp"), "chars"), budget=2000)
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The blocks beside each query's best one, in its file."""
     seeds = _top(_scores(spark, d), 1).select(*KEYS)
-    return longs(R.neighbours(blocks(spark, d), seeds).select("path", "ordinal", "start_line", "end_line"), "ordinal", "start_line", "end_line")
+    return longs(R.neighbours(index(spark, d)[0], seeds).select("path", "ordinal", "start_line", "end_line"), "ordinal", "start_line", "end_line")
 
 
 SQL["neighbours"] = f"""{BASE}, t AS (SELECT path, ordinal, {RANKED} AS rank FROM scores), s AS (SELECT DISTINCT path, ordinal FROM t WHERE rank = 0)
@@ -350,7 +349,7 @@ SELECT covered, count(*) AS n FROM c GROUP BY covered"""
 
 def span_overlap(spark: SparkSession, d: str) -> DataFrame:
     spans = R.coalesce_spans(_spans(spark, d)).select("path", "start_line", "end_line")
-    found = blocks(spark, d)
+    found = index(spark, d)[0]
     a = spans.withColumn("a_id", F.concat_ws(":", "path", "start_line"))
     b = found.select("path", F.concat_ws("#", "path", "ordinal").alias("b_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
     return R.overlaps(a, b).groupBy("b_id").agg(F.count("*").alias("n"))
@@ -362,7 +361,7 @@ SELECT concat(b.path, '#', b.ordinal) AS b_id, count(*) AS n FROM blocks b JOIN
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     """A window of words around the first mention of a term in each query's best block."""
-    best = _top(_scores(spark, d), 1).join(blocks(spark, d).select(*KEYS, "text"), KEYS)
+    best = _top(_scores(spark, d), 1).join(index(spark, d)[0].select(*KEYS, "text"), KEYS)
     first = benchmark_queries(spark, d).select("query_id", F.element_at(F.regexp_extract_all(F.lower("query"), F.lit(r"\S+"), F.lit(0)), 1).alias("term"))
     return best.join(first, "query_id").select("query_id", R.snippet(F.col("text"), F.col("term")).alias("snippet"))
 
@@ -374,7 +373,7 @@ SELECT query_id, array_to_string(ts[greatest(1, pos - 12):greatest(1, pos - 12)
 
 def labelled_pack(spark: SparkSession, d: str) -> DataFrame:
     """Blocks under a label with their source, the label charged to the budget."""
-    found = blocks(spark, d)
+    found = index(spark, d)[0]
     label = F.concat(F.lit("[Source: "), F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("]\n"))
     sizes = found.select(*KEYS, (F.length(label) + F.length("text")).cast("long").alias("chars"))
     top = _top(_scores(spark, d), 30).select("query_id", *KEYS, F.col("rank").alias("place"))
