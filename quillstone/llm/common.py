@@ -3,72 +3,23 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from quillstone.scratch import if_small, scratch_path, written
 from quillstone.session import ship
 
+__all__ = [
+    "arrow_limits", "if_small", "mix64", "scratch_path", "shingle_hashes", "shuffle_partitions", "tidy", "utf8", "word_hashes", "word_spans", "written",
+]
+
 #: Rows and bytes of one Arrow batch sent to Python; bounds a worker's memory whatever the text lengths are.
 ARROW_ROWS, ARROW_BYTES = 4096, 16 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one where it is unset and all runs on
-    this machine (tests); elsewhere an error, as executors would write where nobody reads."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quillstone-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the session's JVM ends."""
-    path = f"{scratch_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-#: Spark's setting by which a finished query's shuffle files are removed at once.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, computes once, survives lost executors.
-    The shuffle files of what was written go when it is there."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Rows of a written table up to which it is broadcast in a join.
-BROADCAST_ROWS = 1 << 19
-
-
-def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A written table of narrow rows, to be broadcast in a join if it has at most ``rows`` (BROADCAST_ROWS) rows; beyond that
-    the join shuffles, and adaptive execution splits hot keys. The rows come out the same."""
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
-
-
 def arrow_limits(spark: SparkSession) -> None:
     """Send the package to the workers; bound the Arrow batches of functions planned from now on by rows and by bytes."""
     ship(spark)

@@ -24,6 +24,9 @@ JOINED = 4096
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ \\t\\n\\r\\x0b\\x0c]*")
 WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \\t\\n\\r\\x0b\\x0c]+")
 
+#: The pattern of words in the vocabulary's own description (a fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _loaded: dict[int, tuple] = {}
 
 
@@ -40,6 +43,19 @@ def _tokenizer(spec: str) -> tuple:
     return _loaded[key]
 
 
+def check_vocabulary(spec: str) -> None:
+    """Fail for a tokenizer whose words are not those that texts are parted into here, or whose ids do not fit 16 bits."""
+    read = json.loads(spec)
+    steps = [x.get("type") for x in (read.get("normalizer") or {}).get("normalizers", [])]
+    parts = (read.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = next((p["pattern"].get("Regex") for p in parts if p.get("type") == "Split"), None)
+    model = read["model"]
+    if steps != ["NFC", "Replace", "Lowercase"] or pattern != SPLIT or model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or read.get("post_processor"):
+        raise ValueError("this tokenizer parts texts into other words")
+    if max(model["vocab"].values()) >= 1 << 16 or any(t["id"] >= 1 << 16 for t in read.get("added_tokens", [])):
+        raise ValueError("ids beyond 16 bits")
+
+
 def _learn_words(tok, ends: np.ndarray, words: list[str], memo: dict) -> None:
     """The ids of words, many in one call: white space parts them there, and a word's last id tells that it is the last."""
     for i in range(0, len(words), JOINED):
@@ -180,12 +196,14 @@ def pack_curve(df: DataFrame, *, tokenizer_path: str, end_id: int = 1, length: i
     So every sequence but the last is full, no padding, and each row finds its pieces by itself.
 
     Edge cases: null and empty texts hold the end id alone; null ids and repeated rows are packed like others; a text longer
-    than a sequence spans several; an empty table gives an empty result; other columns are ignored.
+    than a sequence spans several; an empty table gives an empty result; other columns are ignored; a tokenizer with other
+    word rules or with ids beyond 16 bits is refused.
     """
     spark = df.sparkSession
     arrow_limits(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
+    check_vocabulary(spec)
     kind = dict(df.dtypes)["doc_id"]
     encoded = df.select("doc_id", "text").mapInArrow(lambda b: _encode(b, spec, end_id), f"doc_id {kind}, key long, n long, ids binary")
     encoded = written(encoded, "ids")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import written
+from quillstone.llm.common import if_small, written
 
 #: A place on a dimension: VALUE_BITS of the value, then HASH_BITS of the text's hash to part equal values.
 VALUE_BITS, HASH_BITS = 20, 40
-#: Bits settled by one histogram pass; a pass sends 2**BIN_BITS sums a node to the driver at most.
-BIN_BITS = 12
+#: Bits settled by one histogram pass: VALUE_BITS + HASH_BITS is a multiple.
+BIN_BITS = 20
 #: A median is fine enough when its bin holds at most this share of the node's weight.
 TOLERANCE = 1e-5
 #: Rows that one sort for slots handles, about.
@@ -31,74 +29,65 @@ def _places(units: DataFrame, dims: dict[str, Column]) -> DataFrame:
     return units.drop(*[f"v{i}" for i in range(len(dims))])
 
 
-def _cuts(units: DataFrame, nodes: dict[int, int], n_dims: int) -> list[tuple[int, int, int]]:
-    """(node, dimension, place) for each node of ``nodes`` (node -> shards, over 1): its widest dimension and the place
-    below which the left half's share of the weight lies. Histograms are refined BIN_BITS at a time."""
-    spans = units.where(F.col("node").isin(*nodes)).groupBy("node").agg(
-        F.sum("weight").alias("w"), *[(F.max(f"k{i}") - F.min(f"k{i}")).alias(f"s{i}") for i in range(n_dims)]
-    )
-    goal, widest, weight = {}, {}, {}
-    for r in spans.collect():
-        k = nodes[r["node"]]
-        weight[r["node"]], goal[r["node"]] = r["w"], r["w"] * (k // 2) / k
-        widest[r["node"]] = max(range(n_dims), key=lambda i, r=r: (r[f"s{i}"] >> HASH_BITS, -i))
-    open_nodes, below, prefix = set(goal), dict.fromkeys(goal, 0), dict.fromkeys(goal, 0)
-    shift = VALUE_BITS + HASH_BITS
-    while open_nodes and shift > 0:
-        step = min(BIN_BITS, shift)
-        shift -= step
-        here, place = F.lit(False), F.lit(None).cast("long")
-        for n in sorted(open_nodes):
-            key = F.col(f"k{widest[n]}")
-            inside = (F.col("node") == n) & (F.shiftright(key, shift + step) == prefix[n])
-            here, place = here | inside, F.when(inside, F.shiftright(key, shift)).otherwise(place)
-        found = defaultdict(list)
-        for r in units.where(here).groupBy("node", place.alias("bin")).agg(F.sum("weight").alias("w")).collect():
-            found[r["node"]].append((r["bin"], r["w"]))
-        for n in sorted(open_nodes):
-            bins, acc = sorted(found[n]), below[n]
-            for place_n, w in bins:
-                if acc + w > goal[n] or place_n == bins[-1][0]:
-                    break
-                acc += w
-            below[n], prefix[n] = acc, place_n
-            if w <= TOLERANCE * weight[n] or shift == 0:
-                up = acc + w - goal[n] < goal[n] - acc  # the nearer side of the last bin
-                prefix[n] = (place_n + up) << shift
-                open_nodes.discard(n)
-    return [(n, widest[n], prefix[n]) for n in goal]
+def _key(n_dims: int) -> Column:
+    """A unit's place on its node's dimension ``d``."""
+    return F.element_at(F.array(*[F.col(f"k{i}") for i in range(n_dims)]), F.col("d") + 1)
+
+
+def _cuts(units: DataFrame, nodes: DataFrame, n_dims: int) -> DataFrame:
+    """(node, d, place, k, first) for each of the nodes (node, k shards of which the first is ``first``) that has units: its widest
+    dimension and the place below which the left half's share of the weight lies.
+
+    Histograms are refined BIN_BITS at a time, of all nodes at once; what is known of a node is a row of a table, as there
+    may be many nodes.
+    """
+    inside = units.join(if_small(nodes), "node")
+    spread = [F.struct(F.shiftright(F.max(f"k{i}") - F.min(f"k{i}"), HASH_BITS).alias("s"), F.lit(-i).alias("i")) for i in range(n_dims)]
+    spans = inside.groupBy("node", "k", "first").agg(F.sum("weight").alias("w"), F.greatest(*spread).alias("widest"))
+    goal = F.col("w") * F.floor(F.col("k") / 2) / F.col("k")
+    state = spans.select("node", "k", "first", "w", (-F.col("widest.i")).alias("d"), goal.alias("goal"), F.lit(0.0).alias("below"), F.lit(0).cast("long").alias("place"), F.lit(False).alias("done"))
+    state = written(state, "spans")
+    for shift in range(VALUE_BITS + HASH_BITS - BIN_BITS, -1, -BIN_BITS):
+        open_nodes = state.where("NOT done")
+        if shift < VALUE_BITS + HASH_BITS - BIN_BITS and open_nodes.isEmpty():
+            break
+        rows = units.join(if_small(open_nodes), "node").withColumn("at", _key(n_dims)).where(F.shiftright("at", shift + BIN_BITS) == F.col("place"))
+        keep = ["node", "k", "first", "w", "d", "goal", "below"]
+        bins = rows.groupBy(*keep, F.shiftright("at", shift).alias("bin")).agg(F.sum("weight").alias("in_bin"))
+        upto = F.col("below") + F.sum("in_bin").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        one = F.struct("bin", "in_bin", "upto")
+        picked = bins.withColumn("upto", upto).groupBy(*keep).agg(F.min(F.when(F.col("upto") > F.col("goal"), one)).alias("crossed"), F.max(one).alias("last"))
+        picked = picked.select(*keep, F.coalesce("crossed", "last").alias("b")).select(*keep, "b.*")
+        before = F.col("upto") - F.col("in_bin")
+        done = (F.col("in_bin") <= TOLERANCE * F.col("w")) | F.lit(shift == 0)
+        after = (F.col("upto") - F.col("goal") < F.col("goal") - before).cast("long")  # the nearer side of the last bin
+        place = F.when(done, F.shiftleft(F.col("bin") + after, shift)).otherwise(F.col("bin"))
+        picked = picked.select("node", "k", "first", "w", "d", "goal", before.alias("below"), place.alias("place"), done.alias("done"))
+        state = written(state.where("done").unionByName(picked), "cuts")
+    return state.select("node", "d", "place", "k", "first")
 
 
 def kd_shards(units: DataFrame, dims: dict[str, Column], n_shards: int) -> DataFrame:
     """(digest, shard) for units (digest, weight, ...): a tree of weighted cuts, each along its node's widest dimension.
 
-    A node with k shards is cut where its left part holds k // 2 shards' share of its weight. Only histograms (bounded by
-    BIN_BITS and the shard count) reach the driver; the units stay where they are and only learn their node.
+    A node with k shards is cut where its left part holds k // 2 shards' share of its weight. Node n's halves are 2n and
+    2n + 1. Nodes and histograms are tables, broadcast while small; nothing of them reaches the driver, and a level's plan is
+    the same for any number of shards.
     """
-    units = written(_places(units, dims).withColumn("node", F.lit(0)), "places")
-    shards, offsets, depth = {0: n_shards}, {0: 0}, 0
-    while any(k > 1 for k in shards.values()):
-        cuts = _cuts(units, {n: k for n, k in shards.items() if k > 1}, len(dims))
-        new_shards, new_offsets = {n: k for n, k in shards.items() if k == 1}, {n: offsets[n] for n, k in shards.items() if k == 1}
-        top = max(shards) + 1
-        rows = []
-        for i, (n, d, place) in enumerate(sorted(cuts)):
-            left, right, k = top + 2 * i, top + 2 * i + 1, shards[n]
-            rows.append((n, d, place, left, right))
-            new_shards |= {left: k // 2, right: k - k // 2}
-            new_offsets |= {left: offsets[n], right: offsets[n] + k // 2}
-        if not rows:  # no unit at all
-            break
-        table = units.sparkSession.createDataFrame(rows, "node int, d int, place long, l int, r int")
-        key = F.element_at(F.array(*[F.col(f"k{i}") for i in range(len(dims))]), F.col("d") + 1)
-        units = units.join(F.broadcast(table), "node", "left")  # one row a node: bounded by the shard count
-        units = units.withColumn("node", F.when(F.col("d").isNull(), F.col("node")).when(key < F.col("place"), F.col("l")).otherwise(F.col("r")))
-        units = units.drop("d", "place", "l", "r")
-        shards, offsets, depth = new_shards, new_offsets, depth + 1
-        if depth % 4 == 0:
-            units = written(units, "nodes")
-    place = F.create_map(*[F.lit(x) for n, s in sorted(offsets.items()) for x in (n, s)])
-    return units.select("digest", F.element_at(place, F.col("node")).cast("int").alias("shard"))
+    spark = units.sparkSession
+    units = written(_places(units, dims).withColumn("node", F.lit(1).cast("long")), "places")
+    nodes = written(spark.createDataFrame([(1, n_shards, 0)], "node long, k int, first int"), "nodes")
+    for _ in range(max(0, n_shards - 1).bit_length()):
+        cuts = if_small(_cuts(units, nodes.where("k > 1"), len(dims)))
+        at = units.join(cuts.drop("k", "first"), "node", "left")
+        side = F.when(F.col("d").isNull(), F.col("node")).otherwise(2 * F.col("node") + (_key(len(dims)) >= F.col("place")).cast("long"))
+        units = written(at.withColumn("node", side).drop("d", "place"), "nodes-of-units")
+        half = F.floor(F.col("k") / 2).cast("int")
+        left = F.struct((2 * F.col("node")).alias("node"), half.alias("k"), F.col("first"))
+        right = F.struct((2 * F.col("node") + 1).alias("node"), (F.col("k") - half).alias("k"), (F.col("first") + half).alias("first"))
+        parts = nodes.where("k > 1").select(F.explode(F.array(left, right)).alias("n")).select("n.*")
+        nodes = written(nodes.where("k = 1").unionByName(parts), "nodes")
+    return units.join(if_small(nodes), "node").select("digest", F.col("first").alias("shard"))
 
 
 def shard_documents(df: DataFrame, *, target_bytes: int | None = None, n_shards: int | None = None) -> DataFrame:

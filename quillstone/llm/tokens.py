@@ -60,7 +60,7 @@ def _counts(batches: Iterator[pa.RecordBatch], model: bytes, limit: int) -> Iter
             n_bytes.append(len(utf8(text)))
             for s in segments(text):
                 queue.append((row, s))
-                held += len(s)
+                held += len(utf8(s))
                 if held >= BATCH_BYTES:
                     flush(queue, tokens)
                     held = 0

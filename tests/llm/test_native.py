@@ -1,5 +1,6 @@
 """Line dedup, mixing and sharding on edge cases, and mixing against a plain model."""
 
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -37,9 +38,9 @@ def test_line_dedup_counts_equal_pages_once(spark):
 @pytest.mark.parametrize("broadcast", [1 << 19, 0])
 def test_line_dedup_of_a_hot_site_and_of_nothing(spark, monkeypatch, broadcast):
     """A host with two thirds of all pages, one page of 50,000 lines, by either way of joining."""
-    from quillstone.llm import common
+    from quillstone import scratch
 
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", broadcast)
     rows = [(i, "hot" if i % 3 else f"h{i % 30}", "\n".join(["menu", f"line {i}", f"tenth {i % 10}", f"shared by few {i % 90}"])) for i in range(900)]
     rows.append((900, "hot", "menu\n" + "\n".join(f"long {i}" for i in range(50_000))))
     df = spark.createDataFrame(rows, "page_id long, host string, text string")
@@ -145,3 +146,47 @@ def test_sharding(spark):
     assert max(load.values()) < 1.25 * min(load.values())
     assert sharding.shard_documents(spark.createDataFrame([], DOCS), n_shards=8).count() == 0
     assert sharding.shard_documents(df, target_bytes=5000).select("shard").distinct().count() > 1
+
+
+def plain_shards(units, n_dims, n_shards):
+    """digest -> shard by sorting each node's units (digest, weight, places) along its widest dimension."""
+    out, todo = {}, [(units, n_shards, 0)]
+    while todo:
+        found, k, first = todo.pop()
+        if k == 1 or not found:
+            out |= {u[0]: first for u in found}
+            continue
+        d = max(range(n_dims), key=lambda i: ((max(u[2][i] for u in found) - min(u[2][i] for u in found)) >> sharding.HASH_BITS, -i))
+        goal, below, cut = sum(u[1] for u in found) * (k // 2) / k, 0, None
+        by = defaultdict(int)
+        for u in found:
+            by[u[2][d]] += u[1]
+        for n, (at, w) in enumerate(sorted(by.items())):
+            if below + w > goal or n == len(by) - 1:
+                cut = at + (below + w - goal < goal - below)
+                break
+            below += w
+        todo += [([u for u in found if u[2][d] < cut], k // 2, first), ([u for u in found if u[2][d] >= cut], k - k // 2, first + k // 2)]
+    return out
+
+
+@pytest.mark.parametrize("n_shards,broadcast", [(1, 1 << 19), (2, 1 << 19), (7, 1 << 19), (23, 0)])
+def test_cuts_are_weighted_medians(spark, monkeypatch, n_shards, broadcast):
+    from quillstone import scratch
+
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(n_shards)
+    rows = [(f"{i:03d}".encode(), rng.choice([1, 5, 40, 900 if i % 50 == 0 else 7]), float(rng.choice([0, 1, 1, 2, rng.random() * 9])), float(i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "digest binary, weight long, a double, b double")
+    dims = {"a": F.col("a"), "b": F.col("b")}
+    places = [(bytes(r.digest), r.weight, (r.k0, r.k1)) for r in sharding._places(df, dims).collect()]
+    got = {bytes(r.digest): r.shard for r in sharding.kd_shards(df, dims, n_shards).collect()}
+    assert got == plain_shards(places, 2, n_shards)
+
+
+def test_shards_by_target_and_clashing_columns(spark):
+    rows = corpus(200)
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("node", "weight", "size", "shard", "digest", "k0")})
+    out = sharding.shard_documents(df, target_bytes=1000).collect()
+    total = sum(r["size"] for r in out)
+    assert len({r.shard for r in out}) > 1 and max(r.shard for r in out) == -(-total // 1000) - 1

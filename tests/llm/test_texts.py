@@ -141,6 +141,16 @@ def test_ids_are_the_librarys():
         assert np.frombuffer(packing.token_ids([t], spec, 1)[0], dtype="<u2").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], repr(t)
 
 
+def test_other_vocabularies_are_refused():
+    import json
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    packing.check_vocabulary(json.dumps(spec))
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 70_000, "content": "x"}]}, {"model": {**spec["model"], "end_of_word_suffix": None}}):
+        with pytest.raises(ValueError):
+            packing.check_vocabulary(json.dumps(spec | change))
+
+
 @pytest.mark.parametrize("n,bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_steps_to_neighbours(n, bits):
     import itertools
