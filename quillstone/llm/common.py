@@ -17,7 +17,7 @@ __all__ = [
 ]
 
 #: Rows and bytes of one Arrow batch sent to Python; bounds a worker's memory whatever the text lengths are.
-ARROW_ROWS, ARROW_BYTES = 4096, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 2048, 8 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:

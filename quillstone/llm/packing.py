@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, mix64, shuffle_partitions, utf8, written
+from quillstone.llm.common import arrow_limits, mix64, shuffle_partitions, tidy, utf8, written
 
 #: Dimensions that document vectors are projected to, and bits of each in the curve's key.
 DIMS, BITS = 4, 8
@@ -205,14 +205,14 @@ def pack_curve(df: DataFrame, *, tokenizer_path: str, end_id: int = 1, length: i
         spec = f.read()
     check_vocabulary(spec)
     kind = dict(df.dtypes)["doc_id"]
-    encoded = df.select("doc_id", "text").mapInArrow(lambda b: _encode(b, spec, end_id), f"doc_id {kind}, key long, n long, ids binary")
+    encoded = df.select("doc_id", "text").mapInArrow(lambda b: tidy(_encode(b, spec, end_id)), f"doc_id {kind}, key long, n long, ids binary")
     encoded = written(encoded, "ids")
     ordered = encoded.repartitionByRange(shuffle_partitions(spark), "key", F.xxhash64("doc_id", "n"))
     ordered = ordered.sortWithinPartitions("key", F.xxhash64("doc_id", "n"), F.crc32("ids")).withColumn("part", F.spark_partition_id())
-    ordered = written(ordered.mapInArrow(_run_starts, f"doc_id {kind}, key long, n long, ids binary, part int, at long"), "run")
+    ordered = written(ordered.mapInArrow(lambda b: tidy(_run_starts(b)), f"doc_id {kind}, key long, n long, ids binary, part int, at long"), "run")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ordered.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # one row a partition of the sort: bounded by the partition count
     placed = ordered.join(F.broadcast(totals), "part").select("doc_id", (F.col("base") + F.col("at")).alias("begin"), "ids")
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return placed.mapInArrow(lambda b: _pieces(b, length), schema)
+    return placed.mapInArrow(lambda b: tidy(_pieces(b, length)), schema)

@@ -23,7 +23,7 @@ BAND, FLOOR = 6.0, 0.75
 #: Bins a nat in the histograms that medians and deviations come from.
 BINS = 1000
 #: Characters that a task holds at once, and n-grams that it sorts at once.
-PIECE, GATHER = 1 << 20, 1 << 22
+PIECE, GATHER = 1 << 18, 1 << 22
 #: Log probabilities are summed as integers, so many to the nat: the same on any cluster.
 NAT = 1 << 16
 #: n-grams of the model that are broadcast at most (16 bytes each); a larger one is joined, with the same results.
