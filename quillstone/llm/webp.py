@@ -180,16 +180,26 @@ def _distance(code: int, width: int) -> int:
 #: Headers met before: (alphabet of green, bits, value) and the codes that they gave. A header tells its own end, so a
 #: stream that goes on with the same bits has the same codes.
 _headers: list[tuple[int, int, int, list[Prefix]]] = []
-HEADERS = 16
+HEADERS = 32
+#: How often green codes were met: tables for all windows of a code are made for large images, and from its third image on.
+_met: dict[bytes, int] = {}
+
+
+def _tabled(key: bytes, total: int) -> bool:
+    if len(_met) > 1024:
+        _met.clear()
+    _met[key] = _met.get(key, 0) + 1
+    return _met[key] > 2 or total > 1 << 16
 
 
 def _read_group(bits: Bits, cache_bits: int) -> list[Prefix]:
     alphabet = 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)
     start = bits.at
     ahead = int.from_bytes(bits.data[start >> 3 : (start >> 3) + 512], "little") >> (start & 7)
-    for size, n, value, group in _headers:
+    for i, (size, n, value, group) in enumerate(_headers):
         if size == alphabet and start + n <= bits.end and ahead & ((1 << n) - 1) == value:
             bits.at += n
+            _headers.insert(0, _headers.pop(i))
             return group
     group = [_read_prefix(bits, n) for n in (alphabet, 256, 256, 256, DISTANCE_CODES)]
     if (n := bits.at - start) < 4000:
@@ -210,7 +220,7 @@ def _entropy_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarra
         groups_at = _entropy_image(bits, across, -(-height >> shift), False) >> np.uint32(8) & np.uint32(0xFFFF)
     groups = [_read_group(bits, cache_bits) for _ in range(1 if groups_at is None else int(groups_at.max()) + 1)]
     total = width * height
-    if main and groups_at is None and not cache_bits and all(c.single is not None for c in groups[0][1:]) and groups[0][0].single is None:
+    if main and groups_at is None and not cache_bits and all(c.single is not None for c in groups[0][1:4]) and groups[0][0].single is None and _tabled(groups[0][0].key, total):
         return _green_only(bits, groups[0], width, total)
     out, n = np.zeros(total, dtype=np.uint32), 0
     cache = np.zeros(1 << cache_bits, dtype=np.uint32)
@@ -280,7 +290,7 @@ def _green_only(bits: Bits, group: list[Prefix], width: int, total: int) -> np.n
                 out.append(s)
             else:
                 length, n = _value(bits, s - 256), len(out)
-                back = _distance(_value(bits, group[4].single), width)
+                back = _distance(_value(bits, group[4].read(bits)), width)
                 if back > n or n + length > total:
                     raise FormatError("a back-reference leaves the image")
                 source = bytes(out[n - back : n])
@@ -321,6 +331,8 @@ def _half_off(a, corner):
     return _clamp(a + np.sign(delta) * (abs(delta) >> 1))
 
 
+#: Of the modes the two that the encoder uses.
+LEFT, TOP = 1, 2
 #: What each mode predicts from the pixels at the left, top, top right and top left.
 MODES = (
     lambda le, t, tr, tl: np.array([255, 0, 0, 0]),
@@ -352,6 +364,15 @@ def predicted(rows: np.ndarray, x: int, y: int, modes: np.ndarray, shift: int) -
 
 def _undo_predictor(argb: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
     rows = _channels(argb).astype(np.int64)
+    if (modes == LEFT).all() or (modes == TOP).all():  # sums along rows or columns, modulo 256
+        rows[0, 0] += [255, 0, 0, 0]
+        if modes.flat[0] == LEFT:
+            rows[:, 0] = rows[:, 0].cumsum(axis=0)
+            rows = rows.cumsum(axis=1)
+        else:
+            rows[0] = rows[0].cumsum(axis=0)
+            rows = rows.cumsum(axis=0)
+        return _joined((rows & 255).astype(np.uint8))
     for y in range(rows.shape[0]):
         for x in range(rows.shape[1]):
             rows[y, x] = (rows[y, x] + predicted(rows, x, y, modes, shift)) & 255
@@ -444,23 +465,27 @@ def _decode_argb(data: bytes) -> tuple[np.ndarray, int, bool]:
     return argb, size, has_alpha
 
 
+def decode_all(data: bytes) -> Iterator[np.ndarray]:
+    """The pixels of each of the lossless WebP files in ``data``, one behind the other."""
+    while data:
+        argb, size, has_alpha = _decode_argb(data)
+        pixels = np.ascontiguousarray(_channels(argb)[..., [1, 2, 3, 0]])
+        if not has_alpha:
+            pixels[..., 3] = 255
+        yield pixels
+        data = data[size:]
+
+
 def decode(data: bytes) -> np.ndarray:
     """The pixels of a lossless WebP file: an array (height, width, 4) of red, green, blue and alpha."""
-    argb, _, has_alpha = _decode_argb(data)
-    pixels = np.ascontiguousarray(_channels(argb)[..., [1, 2, 3, 0]])
-    if not has_alpha:
-        pixels[..., 3] = 255
-    return pixels
+    if not data:
+        raise FormatError("no WebP header")
+    return next(decode_all(data))
 
 
 def decode_samples(data: bytes) -> bytes:
-    """The grey samples (green) of the images in ``data``, one behind the other, row by row."""
-    out = []
-    while data:
-        argb, size, _ = _decode_argb(data)
-        out.append((argb >> np.uint32(8) & np.uint32(0xFF)).astype(np.uint8).tobytes())
-        data = data[size:]
-    return b"".join(out)
+    """The grey samples of the images in ``data``, one behind the other, row by row, from their pixel arrays."""
+    return b"".join(pixels[..., 1].tobytes() for pixels in decode_all(data))
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
@@ -570,33 +595,40 @@ def _preset(extra: bytes | None) -> np.ndarray:
 
 
 class Preset:
-    """A green code with its header bits and the bit text of each literal."""
+    """A green code with its header bits, and the bit text of each literal. Red and blue are 0, alpha is ``alpha``; distances
+    have the one code of the pixel to the left, or with ``far`` a code for any."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: np.ndarray, alpha: int = 255, far: bool = False):
         self.lengths = balanced_lengths(weights, 12)
         out = Writer()
         codes = put_prefix(out, self.lengths)
-        for symbol, size in ((0, 256), (0, 256), (255, 256)):
-            one = np.zeros(size, dtype=np.uint8)
-            one[symbol] = 1
-            put_prefix(out, one)
-        distance = np.zeros(DISTANCE_CODES, dtype=np.uint8)
-        distance[prefix_symbol(1 + NEAR.index((1, 0)))[0]] = 1  # the pixel to the left
-        put_prefix(out, distance)
+        for symbol in (0, 0, alpha):
+            put_prefix(out, _only(256, symbol))
+        nearest = prefix_symbol(1 + NEAR.index((1, 0)))[0]
+        self.distance_codes = put_prefix(out, balanced_lengths(np.ones(DISTANCE_CODES)) if far else _only(DISTANCE_CODES, nearest))
         self.header = "".join(out.parts)
-        self.literal = [format(codes[s][0], f"0{codes[s][1]}b") for s in range(256)]
-        self.length_codes = {s: codes[256 + s] for s in range(LENGTH_CODES)}
+        self.literal = [format(codes[s][0], f"0{codes[s][1]}b") if s in codes else "" for s in range(256)]
+        self.length_codes = {s: codes[256 + s] for s in range(LENGTH_CODES) if 256 + s in codes}
+
+
+def _only(size: int, symbol: int) -> np.ndarray:
+    out = np.zeros(size, dtype=np.uint8)
+    out[symbol] = 1
+    return out
 
 
-@functools.lru_cache(maxsize=1)
-def presets() -> tuple[list[Preset], np.ndarray]:
+@functools.lru_cache(maxsize=8)
+def presets(alpha: int = 255, far: bool = False) -> tuple[list[Preset], np.ndarray]:
     """Green codes that images share, so that a decoder builds each table once; and their literal lengths as a matrix."""
-    found = [Preset(_preset(e)) for e in (None, *EXTRAS)]
+    found = [Preset(_preset(e), alpha, far) for e in (None, *EXTRAS)]
     return found, np.array([p.lengths[:256] for p in found], dtype=np.int64)
 
 
-#: Runs of one sample that become a literal and a back-reference.
+#: Runs of one sample that become a literal and a back-reference; lines that do if they came before in the image.
 RUN = re.compile(rb"(.)\1{15,4095}", re.DOTALL)
+LINE = re.compile(rb"[^\n]{24,4095}\n")
+#: The farthest back that a reference reaches.
+REACH = (1 << 20) - 120
 
 
 def _container(stream: bytes) -> bytes:
@@ -611,28 +643,135 @@ def _start(width: int, height: int, alpha: bool) -> Writer:
     return out
 
 
-def encode_samples(payload: bytes) -> bytes:
-    """Grey images of BLOCK samples a row for a payload of whole rows: green is coded with the preset that is shortest,
-    red and blue are green's (subtract green), runs are back-references."""
-    out = []
-    for at in range(0, len(payload), BLOCK * MAX_ROWS):
-        part = payload[at : at + BLOCK * MAX_ROWS]
-        found, matrix = presets()
-        best = found[int(np.argmin(matrix @ np.bincount(np.frombuffer(part, dtype=np.uint8), minlength=256)))]
-        bits = _start(BLOCK, len(part) // BLOCK, False)
-        for value, n in ((1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)):  # one transform, no cache, one group
-            bits.put(value, n)
-        bits.parts.append(best.header)
-        done, literal = 0, best.literal
-        for m in RUN.finditer(part):
-            bits.parts.extend(map(literal.__getitem__, part[done : m.start() + 1]))
-            symbol, extra, n = prefix_symbol(m.end() - m.start() - 1)
-            bits.code(best.length_codes[symbol])
+def _copies(data: bytes) -> list[tuple[int, int, int]]:
+    """(start, end, how far back) of samples that repeat: runs, and whole lines that came before."""
+    out = [(m.start() + 1, m.end(), 1) for m in RUN.finditer(data)]
+    seen: dict[bytes, int] = {}
+    lines = []
+    for m in LINE.finditer(data):
+        at = seen.get(m[0])
+        if at is not None and m.start() - at <= REACH:
+            lines.append((m.start(), m.end(), m.start() - at))
+        seen[m[0]] = m.start()
+    if not lines:
+        return out
+    taken, end = [], 0
+    for c in sorted(lines + out, key=lambda c: (c[0], -c[1])):
+        if c[0] >= end:
+            taken.append(c)
+            end = c[1]
+    return taken
+
+
+def _put_samples(bits: Writer, data: bytes, code: Preset, copies: list[tuple[int, int, int]]) -> None:
+    """The coded samples: literals, and references for the copies."""
+    done, literal = 0, code.literal
+    left = 1 + NEAR.index((1, 0))
+    for start, end, back in copies:
+        bits.parts.extend(map(literal.__getitem__, data[done:start]))
+        for codes, value in ((code.length_codes, end - start), (code.distance_codes, left if back == 1 else back + 120)):
+            symbol, extra, n = prefix_symbol(value)
+            bits.code(codes[symbol])
             bits.put(extra, n)
-            done = m.end()
-        bits.parts.extend(map(literal.__getitem__, part[done:]))
-        out.append(_container(bits.bytes()))
-    return b"".join(out)
+        done = end
+    bits.parts.extend(map(literal.__getitem__, data[done:]))
+
+
+def _put_constant(bits: Writer, green: int) -> None:
+    """A transform's image whose pixels are all of one green: prefix codes of one symbol, and no bit a pixel."""
+    bits.put(0, 1)
+    for size, symbol in ((256 + LENGTH_CODES, green), (256, 0), (256, 0), (256, 0), (DISTANCE_CODES, 0)):
+        put_prefix(bits, _only(size, symbol))
+
+
+def _put_palette(bits: Writer, values: list[int]) -> None:
+    """The palette transform: its colours are greys, each stored as what it adds to the one before."""
+    bits.put(1, 1)
+    bits.put(PALETTE, 2)
+    bits.put(len(values) - 1, 8)
+    bits.put(0, 1)
+    steps = [values[0], *(b - a for a, b in zip(values, values[1:]))]
+    alphas = [255] + [0] * (len(values) - 1)
+    codes = []
+    for size, found in ((256 + LENGTH_CODES, steps), (256, steps), (256, steps), (256, alphas)):
+        codes.append(put_prefix(bits, balanced_lengths(np.bincount(found, minlength=size))))
+    put_prefix(bits, _only(DISTANCE_CODES, 0))
+    for step, alpha in zip(steps, alphas, strict=True):
+        for code, symbol in zip(codes, (step, step, step, alpha), strict=True):
+            bits.code(code[symbol])
+
+
+def _packed(part: bytes, values: list[int]) -> bytes:
+    """Samples as indices into at most 16 values, several to a byte."""
+    pack = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+    width = 8 >> pack
+    index = np.searchsorted(values, np.frombuffer(part, dtype=np.uint8)).astype(np.uint8).reshape(-1, 1 << pack)
+    return (index << (np.arange(1 << pack, dtype=np.uint8) * width)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+def _residuals(part: bytes, mode: int) -> np.ndarray:
+    """What a predictor of the pixel to the left, or of the one above, leaves of the samples."""
+    rows = np.frombuffer(part, dtype=np.uint8).reshape(-1, BLOCK)
+    out = rows.copy()
+    if mode == LEFT:
+        out[:, 1:] -= rows[:, :-1]
+        out[1:, 0] -= rows[:-1, 0]
+    else:
+        out[1:] -= rows[:-1]
+        out[0, 1:] -= rows[0, :-1]
+    return out
+
+
+def _encode_image(part: bytes) -> bytes:
+    bits = _start(BLOCK, len(part) // BLOCK, False)
+    counts = np.bincount(np.frombuffer(part, dtype=np.uint8), minlength=256)
+    values = np.flatnonzero(counts).tolist()
+    if len(values) <= 16:
+        _put_palette(bits, values)
+        bits.put(0, 3)  # no more transforms, no cache, one group
+        data = _packed(part, values)
+        weights = np.concatenate([np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256), np.zeros(LENGTH_CODES, dtype=np.int64)])
+        copies = [(m.start() + 1, m.end(), 1) for m in RUN.finditer(data)]
+        for start, end, _ in copies:
+            weights[256 + prefix_symbol(end - start)[0]] += 1
+        code = Preset(weights)
+        bits.parts.append(code.header)
+        _put_samples(bits, data, code, copies)
+        return _container(bits.bytes())
+    found, matrix = presets()
+    sizes = matrix @ counts
+    best, mode = int(sizes.min()), None
+    for m in (LEFT, TOP):
+        size = int((matrix @ np.bincount(_residuals(part, m).reshape(-1), minlength=256)).min()) + 128
+        if size < best:
+            best, mode = size, m
+    data, alpha = part, 255
+    if mode is not None:
+        bits.put(1, 1)
+        bits.put(PREDICTOR, 2)
+        bits.put(7, 3)  # tiles of 512 pixels
+        _put_constant(bits, mode)
+        rest = _residuals(part, mode)
+        data, alpha = rest.tobytes(), 0
+        sizes = matrix @ np.bincount(rest.reshape(-1), minlength=256)
+    bits.put(1, 1)
+    bits.put(SUBTRACT_GREEN, 2)
+    bits.put(0, 3)
+    copies = _copies(data)
+    code = presets(alpha, any(back > 1 for *_, back in copies))[0][int(np.argmin(sizes))]
+    bits.parts.append(code.header)
+    _put_samples(bits, data, code, copies)
+    return _container(bits.bytes())
+
+
+def encode_samples(payload: bytes) -> bytes:
+    """Grey images of BLOCK samples a row for a payload of whole rows, each coded the shorter way.
+
+    Samples of at most 16 values go by a palette, several to a byte. Else green is coded with the preset that is shortest, of
+    the samples or of what a predictor leaves of them if that is less; red and blue are green's (subtract green). Runs and
+    lines that came before are back-references. A cache and cross-colour do not shorten greys.
+    """
+    return b"".join(_encode_image(payload[at : at + BLOCK * MAX_ROWS]) for at in range(0, len(payload), BLOCK * MAX_ROWS))
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------

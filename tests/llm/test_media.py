@@ -31,6 +31,37 @@ def test_several_images(monkeypatch):
     assert webp.decode_samples(webp.encode_samples(payload)) == payload
 
 
+def transforms_of(media):
+    bits = webp.Bits(webp._chunk(media)[0])
+    bits.read(8)
+    width, height = bits.read(14) + 1, bits.read(14) + 1
+    bits.read(4)
+    return [t[0] for t in webp._read_transforms(bits, width, height)[0]]
+
+
+def test_the_encoder_takes_the_shorter_way():
+    """Few values go by a palette, ramps and repeated rows by a predictor, lines that came before by references."""
+    rng = random.Random(5)
+    text = lambda n: bytes(rng.choices(b"etaoin shrdlucmf", k=n))
+    row = os.urandom(576)
+    lines = b"".join(rng.choice([text(60) + b",.;:!?\n"]) for _ in range(6))
+    cases = {
+        "one": (b"a" * 3000, [webp.PALETTE]), "two": (bytes(rng.choices(b"ab", k=3000)), [webp.PALETTE]), "four": (bytes(rng.choices(b"abc", k=3000)), [webp.PALETTE]),
+        "sixteen": (bytes(rng.choices(b"0123456789|\n", k=3000)), [webp.PALETTE]), "ramp": (bytes(3 * i & 255 for i in range(6000)), [webp.PREDICTOR, webp.SUBTRACT_GREEN]),
+        "rows": (row * 20, [webp.PREDICTOR, webp.SUBTRACT_GREEN]), "text": (text(9000) + b",.;:!?", [webp.SUBTRACT_GREEN]), "lines": (lines * 40, [webp.SUBTRACT_GREEN]), "noise": (os.urandom(5000), [webp.SUBTRACT_GREEN]),
+    }
+    for name, (raw, kinds) in cases.items():
+        payload = webp.padded(raw)
+        for _ in range(4):  # by the general loop first, then by tables
+            media = webp.encode_samples(payload)
+            assert transforms_of(media) == kinds, name
+            assert webp.decode_samples(media) == payload, name
+        pixels = webp.decode(media)
+        assert all(pixels[..., c].tobytes() == payload for c in range(3)) and (pixels[..., 3] == 255).all()
+    assert len(webp.encode_samples(webp.padded(cases["lines"][0]))) < len(lines * 40) // 8
+    assert len(webp.encode_samples(webp.padded(cases["two"][0]))) < 600
+
+
 def put_image(out, argb, cache_bits=0, main=True, back=None):
     """An entropy-coded image of literals, cache hits and, at pixels in ``back``, references (length, distance code)."""
     out.put(int(cache_bits > 0), 1)
