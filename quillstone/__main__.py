@@ -1,4 +1,4 @@
-"""Command line: compile, update, query, verify and stats of a store; analyze of a trace log."""
+"""Command line: compile, update, query, verify and stats of a store; analyze of a trace log, and explain of one of its requests."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillstone", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, arguments in {"compile": ("source", "store"), "update": ("source", "store"), "query": ("store", "question"), "verify": ("store",), "stats": ("store",), "analyze": ("traces",)}.items():
+    for name, arguments in {"compile": ("source", "store"), "update": ("source", "store"), "query": ("store", "question"), "verify": ("store",), "stats": ("store",), "analyze": ("traces",), "explain": ("traces", "request")}.items():
         sub = commands.add_parser(name)
         for a in arguments:
             sub.add_argument(a)
@@ -25,10 +25,16 @@ def main(argv: list[str] | None = None) -> int:
     from quillstone.sources.store import Store
 
     if args.command == "analyze":
-        traces = spark.read.json(args.traces)
+        traces = telemetry.valid_traces(spark.read.json(args.traces), required=("token_basis",))
         found = telemetry.rollup(traces, ["token_basis", "mode", "evidence_mode"])
         print(json.dumps([r.asDict() for r in found.collect()]))
         return 0
+    if args.command == "explain":
+        traces = spark.read.json(args.traces)
+        hidden = {c: telemetry.redact(F.col(c)) for c, t in traces.dtypes if t == "string"}
+        found = telemetry.trace_of(traces.withColumn("request_id", F.col("request_id").cast("string")).withColumns(hidden), args.request).toJSON().collect()
+        print(found[0] if found else "null")
+        return int(not found)
     store = Store(spark, args.store)
     if args.command in ("compile", "update"):
         if args.command == "compile":

@@ -99,6 +99,15 @@ def violations(blocks: DataFrame, files: DataFrame, postings: DataFrame, fresh:
     return all_rows
 
 
+def contracts(rows: DataFrame, schema: dict[str, str], rules: dict[str, Column]) -> DataFrame:
+    """(check, n): columns that are missing, of another type or not foreseen, and rows that break a rule or leave it open."""
+    found = dict(rows.dtypes)
+    off = sum(found.get(c) != t for c, t in schema.items()) + sum(c not in schema for c in found)
+    broken = rows.agg(*(F.count(F.when(~F.coalesce(rule, F.lit(False)), 1)).alias(name) for name, rule in rules.items()))
+    each = F.array(F.struct(F.lit("schema").alias("check"), F.lit(off).cast("long").alias("n")), *(F.struct(F.lit(n).alias("check"), F.col(n).alias("n")) for n in rules))
+    return broken.select(F.explode(each).alias("x")).select("x.*")
+
+
 def reuse_blocks(old: DataFrame, new: DataFrame) -> DataFrame:
     """New blocks (path, ordinal, kind, name, text) with the old block (old_path, old_ordinal) of equal kind, name and
     text that each takes over, one for one in order; null where there is none left."""

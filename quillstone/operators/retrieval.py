@@ -224,6 +224,41 @@ def document_first(block_scores: DataFrame, doc_scores: DataFrame, n_docs: int)
     return block_scores.join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
 
 
+def document_routes(block_scores: DataFrame, doc_scores: DataFrame, *, mode: str, k: int = CANDIDATES, keys: list[str] | None = None) -> DataFrame:
+    """(query_id, keys, rank) of blocks (query_id, keys, doc_id, score) routed by their documents' scores.
+
+    ``flat`` ranks blocks alone; ``gateN`` those of each query's best N documents; ``balanced4`` takes the best block of each
+    of four documents, then the second ones; ``escape4`` fuses that with ``flat`` by reciprocal ranks; ``passage_parent4``
+    gates by the documents of the best blocks."""
+    keys = keys or ["path", "ordinal"]
+    ranked = top_k(block_scores, k, by=score_order())
+    if mode == "flat":
+        return ranked.select("query_id", *keys, "rank")
+    if mode == "passage_parent4":
+        parents = ranked.groupBy("query_id", "doc_id").agg((-F.min("rank")).cast("double").alias("score"))
+        return top_k(document_first(block_scores, parents, 4), k, by=score_order()).select("query_id", *keys, "rank")
+    if mode.startswith("gate"):
+        return top_k(document_first(block_scores, doc_scores, int(mode[4:])), k, by=score_order()).select("query_id", *keys, "rank")
+    best = top_k(doc_scores, 4, by=[F.round("score", 6).desc(), F.col("doc_id")]).select("query_id", "doc_id", F.col("rank").alias("doc_rank"))
+    turn = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(*score_order()))
+    dealt = block_scores.join(best, ["query_id", "doc_id"]).withColumn("turn", turn)
+    balanced = top_k(dealt.where(F.col("turn") <= k), k, by=[F.col("turn"), F.col("doc_rank")]).select("query_id", *keys, "rank")
+    if mode == "balanced4":
+        return balanced
+    if mode != "escape4":
+        raise ValueError(f"unknown mode {mode}")
+    both = ranked.select("query_id", *keys, F.col("rank").alias("a")).join(balanced.withColumnRenamed("rank", "b"), ["query_id", *keys], "full")
+    score = F.coalesce(1.0 / (60 + F.col("a")), F.lit(0.0)) + F.coalesce(1.0 / (60 + F.col("b")), F.lit(0.0))
+    return top_k(both.withColumn("fused", F.round(score, 9)), k, by=[F.col("fused").desc(), F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last()]).select("query_id", *keys, "rank")
+
+
+def trim_tail(rows: DataFrame, *, budget: int) -> DataFrame:
+    """Rows (query_id, place, chars) without those at the end that take a query's joined text over the budget."""
+    order = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    used = F.sum("chars").over(order) + 2 * (F.count("*").over(order) - 1)
+    return rows.withColumn("__used", F.greatest(F.lit(1), F.floor(used / 4))).where(F.col("__used") <= budget).drop("__used")
+
+
 def conflict_sets(assigned: DataFrame, *, keys: list[str] | None = None) -> DataFrame:
     """(symbol, n_blocks, n_values) of symbols that several blocks assign different values."""
     keys = keys or ["path", "ordinal"]

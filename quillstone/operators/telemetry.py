@@ -120,6 +120,28 @@ def audit(inputs: DataFrame, outputs: DataFrame, usage: DataFrame) -> DataFrame:
     )
 
 
+def valid_traces(traces: DataFrame, *, numbers: tuple[str, ...] = ("original_tokens", "optimized_tokens"), required: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """Traces as they are, if all have what is required and counts that are numbers from 0 on; one that has not fails the job."""
+    bad = F.lit(False)
+    for c in required:
+        bad = bad | F.col(c).isNull()
+    for c in numbers:
+        bad = bad | F.col(c).isNull() | (F.col(c) < 0)
+    first = required[0]
+    return traces.withColumn(first, F.when(bad, F.raise_error(F.lit("malformed trace")).cast(dict(traces.dtypes)[first])).otherwise(F.col(first)))
+
+
+def trace_of(traces: DataFrame, request_id) -> DataFrame:
+    """The first trace of a request; no row if there is none."""
+    return traces.where(F.col("request_id") == F.lit(request_id)).limit(1)
+
+
+def retention_by(rows: DataFrame, *, mode: str, value: str, baseline: str) -> DataFrame:
+    """(mode, value, pct): each mode's value as per cent of the baseline mode's; null where that is 0 or missing."""
+    base = rows.where(F.col(mode) == baseline).agg(F.max(value).alias("__base"))  # one row
+    return rows.crossJoin(F.broadcast(base)).select(mode, value, F.round(retention(F.col(value), F.col("__base")), 6).alias("pct"))
+
+
 def retention(part: Column, base: Column) -> Column:
     """A percentage of a base, null where the base is 0."""
     return 100.0 * part / F.nullif(base, F.lit(0))

@@ -100,7 +100,7 @@ def operation_names(query: str) -> tuple[list[str], list[str]]:
     if not fenced:
         begins = [0, *(m.start() for m in re.finditer(r"^(?:async[ \t]+)?(?:def|class)[ \t]+", query, re.M))]
         regions = [(i, query[i:]) for i in sorted(set(begins))]
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, int, str]] = []
     notes: set[str] = set()
     for begin, text in regions[:REGIONS]:
         try:
@@ -110,7 +110,7 @@ def operation_names(query: str) -> tuple[list[str], list[str]]:
         nodes = list(ast.walk(tree))
         if len(nodes) > PARSE_NODES:
             return [], ["static_parse_limit"]
-        place = lambda n, b=begin: (b + n.lineno * PARSE_CHARS, n.col_offset)
+        place = lambda n, b=begin: (b, n.lineno, n.col_offset)
         for node in nodes:
             if isinstance(node, ast.Call):
                 target = node.func

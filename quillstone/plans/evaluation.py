@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import STOPWORDS
-from quillstone.operators import evaluate as E, views as V
-from quillstone.plans.common import BLOCKS, benchmark_queries, blocks, files, table
+from quillstone.operators import decide as D, derive, evaluate as E, integrity, messages as M, retrieval as R, telemetry as T, views as V
+from quillstone.plans.common import BLOCKS, benchmark_queries, benchmark_terms, blocks, document_index, files, index, table
 
 Q: dict = {}
 SQL: dict = {}
@@ -223,7 +223,136 @@ SQL["scoped_passages"] = f"""WITH {BLOCKS} SELECT b.path, b.start_line::BIGINT A
 WHERE d.lang = 'en' AND d.source IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 2)"""
 
 
+def _routed(spark: SparkSession, d: str):
+    blocks_of, postings, lengths = index(spark, d)
+    scored = R.bm25_scores(benchmark_terms(spark, d), postings, lengths, keys=["path", "ordinal"])
+    scored = scored.join(blocks_of.select("path", "ordinal", "doc_id"), ["path", "ordinal"])
+    return scored, R.bm25_scores(benchmark_terms(spark, d), *document_index(spark, d), keys=["doc_id"])
+
+
+_MODES = ("flat", "gate1", "gate16", "balanced4", "escape4", "passage_parent4")
+
+
+def doc_first_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The five best blocks of each way of going by documents first."""
+    scored, docs, out = *_routed(spark, d), None
+    for mode in _MODES:
+        found = R.document_routes(scored, docs, mode=mode).where("rank < 5").select(F.lit(mode).alias("mode"), "query_id", "path", F.col("ordinal").cast("long").alias("ordinal"), F.col("rank").cast("long").alias("rank"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _doc_first_sql() -> str:
+    from quillstone.plans.retrieval import _DOCS, BASE
+
+    order = "round(score, 6) DESC, path, ordinal"
+    gate = lambda n: f"SELECT s.query_id, s.path, s.ordinal, row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 6) DESC, s.path, s.ordinal) - 1 AS rank FROM sd s JOIN dranks k ON k.query_id = s.query_id AND k.doc_id = s.doc_id WHERE drank < {n}"
+    return f"""{BASE}, {_DOCS}, sd AS (SELECT s.*, b.doc_id FROM scores s JOIN blocks b USING (path, ordinal)),
+fl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) - 1 AS rank FROM sd QUALIFY rank < 60),
+g1 AS ({gate(1)}), g16 AS ({gate(16)}),
+tu AS (SELECT s.*, drank, row_number() OVER (PARTITION BY s.query_id, s.doc_id ORDER BY {order.replace("score", "s.score").replace("path", "s.path").replace("ordinal", "s.ordinal")}) AS turn FROM sd s JOIN dranks k ON k.query_id = s.query_id AND k.doc_id = s.doc_id WHERE drank < 4),
+ba AS (SELECT query_id, path, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY turn, drank) - 1 AS rank FROM tu QUALIFY rank < 60),
+es AS (SELECT query_id, path, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(1.0::DOUBLE / (60 + fl.rank), 0) + coalesce(1.0::DOUBLE / (60 + ba.rank), 0), 9) DESC, fl.rank NULLS LAST, ba.rank NULLS LAST) - 1 AS rank
+       FROM fl FULL JOIN ba USING (query_id, path, ordinal)),
+pa AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS n FROM fl GROUP BY query_id, doc_id),
+pp AS (SELECT s.query_id, s.path, s.ordinal, row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 6) DESC, s.path, s.ordinal) - 1 AS rank FROM sd s JOIN pa USING (query_id, doc_id) WHERE n <= 4),
+every AS (SELECT 'flat' AS mode, query_id, path, ordinal, rank FROM fl UNION ALL SELECT 'gate1', * FROM g1 UNION ALL SELECT 'gate16', * FROM g16 UNION ALL SELECT 'balanced4', * FROM ba UNION ALL SELECT 'escape4', * FROM es UNION ALL SELECT 'passage_parent4', * FROM pp)
+SELECT mode, query_id, path, ordinal::BIGINT AS ordinal, rank FROM every WHERE rank < 5"""
+
+
+SQL["doc_first_modes"] = _doc_first_sql()
+
+
+def trimmed_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's ten best blocks less those at the end that take it over 700 tokens."""
+    found, postings, lengths = index(spark, d)
+    top = R.top_k(R.bm25_scores(benchmark_terms(spark, d), postings, lengths, keys=["path", "ordinal"]), 10, by=R.score_order())
+    sized = top.join(found.select("path", "ordinal", F.length("text").cast("long").alias("chars")), ["path", "ordinal"]).select("query_id", F.col("rank").alias("place"), "chars")
+    return R.trim_tail(sized, budget=700).groupBy("query_id").agg(F.count("*").alias("n_kept"), F.sum("chars").alias("chars"))
+
+
+def _trim_sql() -> str:
+    from quillstone.plans.common import RANKED
+    from quillstone.plans.retrieval import BASE
+
+    return f"""{BASE}, t AS (SELECT query_id, path, ordinal, {RANKED} AS rank FROM scores), s AS (SELECT query_id, rank, length(text) AS chars FROM t JOIN blocks USING (path, ordinal) WHERE rank < 10),
+u AS (SELECT *, sum(chars) OVER (PARTITION BY query_id ORDER BY rank) + 2 * rank AS used FROM s)
+SELECT query_id, count(*) AS n_kept, sum(chars)::BIGINT AS chars FROM u WHERE greatest(1, used // 4) <= 700 GROUP BY query_id"""
+
+
+SQL["trimmed_packs"] = _trim_sql()
+
+
+def risk_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Ordinal risks and bands of orders, whose keys give coverage, margin and indirection."""
+    k = F.col("o_orderkey")
+    score = M.risk_score((k % 11) / 10.0, (k % 7) / 10.0, (k % 5) / 4.0, k % 3 == 0)
+    return table(spark, d, "orders").select("o_orderkey", F.round(score, 6).alias("risk"), M.score_band(F.round(score, 6)).alias("band"))
+
+
+SQL["risk_scores"] = """WITH k AS (SELECT o_orderkey, (o_orderkey % 11) / 10.0::DOUBLE AS c, (o_orderkey % 7) / 10.0::DOUBLE AS m, (o_orderkey % 5) / 4.0::DOUBLE AS t, o_orderkey % 3 = 0 AS dy FROM orders),
+r AS (SELECT o_orderkey, round(greatest(0, least(1, 0.7::DOUBLE * (1 - greatest(0, least(1, c))) + 0.3::DOUBLE * (1 - CASE WHEN t > 0 THEN greatest(0, least(1, m / t)) ELSE 0 END) + CASE WHEN dy THEN 0.15::DOUBLE ELSE 0 END)), 6) AS risk FROM k)
+SELECT o_orderkey, risk, concat('uncalibrated:', CASE WHEN risk < 0.20 THEN 'low' WHEN risk < 0.50 THEN 'moderate' ELSE 'high' END) AS band FROM r"""
+
+
+def superseded_turns(spark: SparkSession, d: str) -> DataFrame:
+    """What turns declare superseded, where every fourth one does."""
+    text = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("Please disregard the Old Region "), F.col("conv_id").cast("string"), F.lit(", we moved. "), F.col("text"))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", M.superseded(text).alias("phrase")).where("phrase IS NOT NULL")
+
+
+SQL["superseded_turns"] = rf"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN concat('Please disregard the Old Region ', conv_id, ', we moved. ', text) ELSE text END AS x FROM conversations),
+p AS (SELECT conv_id, turn, lower(trim(regexp_extract(x, '{M.SUPERSEDED}', 1))) AS phrase FROM t) SELECT * FROM p WHERE length(phrase) > 2"""
+
+
+def orphan_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Stored chunks that no document refers to any more, once every third one is gone."""
+    chunks = derive.fixed_chunks(table(spark, d, "documents"), 4096)
+    return derive.orphan_chunks(derive.chunk_store(chunks), chunks.where("doc_id % 3 <> 0")).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("n_bytes"))
+
+
+SQL["orphan_chunks"] = """WITH c AS (SELECT doc_id, hex(encode(text)) AS h, unnest(range(0, strlen(text), 4096)) AS i FROM documents), p AS (SELECT doc_id, h[2 * i + 1:2 * (i + 4096)] AS chunk FROM c),
+o AS (SELECT chunk FROM p WHERE doc_id % 3 = 0 EXCEPT SELECT chunk FROM p WHERE doc_id % 3 <> 0) SELECT count(*) AS n, coalesce(sum(length(chunk) // 2), 0)::BIGINT AS n_bytes FROM o"""
+
+
+def request_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_nationkey", D.fingerprint("n_name", "n_nationkey", "n_regionkey").alias("fingerprint"))
+
+
+SQL["request_fingerprints"] = """SELECT n_nationkey, sha256(concat('{"n_name":"', n_name, '","n_nationkey":', n_nationkey, ',"n_regionkey":', n_regionkey, '}')) AS fingerprint FROM nation"""
+
+
+def retention_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the sources' documents as per cent of a baseline source's."""
+    rows = table(spark, d, "documents").groupBy("lang").agg(F.sum("n_chars").cast("long").alias("chars"))
+    return T.retention_by(rows, mode="lang", value="chars", baseline="en")
+
+
+SQL["retention_by_source"] = """WITH r AS (SELECT lang, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang)
+SELECT lang, chars, round(100.0::DOUBLE * chars / nullif((SELECT max(chars) FROM r WHERE lang = 'en'), 0), 6) AS pct FROM r"""
+
+
+def trace_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One event by its id, of validated ones."""
+    traces = table(spark, d, "events").select(F.col("event_id").alias("request_id"), "event_type", F.floor(F.abs("value")).cast("long").alias("original_tokens"), F.lit(0).alias("optimized_tokens"))
+    return T.trace_of(T.valid_traces(traces), 77).select("request_id", "event_type", "original_tokens")
+
+
+SQL["trace_lookup"] = "SELECT event_id AS request_id, event_type, floor(abs(value))::BIGINT AS original_tokens FROM events WHERE event_id = 77"
+
+
+def store_contracts(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of which some break a rule, under a schema that is off by a type and a column."""
+    rows = blocks(spark, d).select("path", "ordinal", F.when(F.col("doc_id") % 10 == 3, 0).otherwise(F.col("start_line")).alias("start_line"), "end_line", F.when(F.col("doc_id") % 10 == 4, F.lit(None)).otherwise(F.col("n_tokens")).alias("n_tokens"))
+    schema = {"path": "string", "ordinal": "bigint", "start_line": "int", "end_line": "int", "n_tokens": "bigint", "text": "string"}
+    return integrity.contracts(rows, schema, {"lines": (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")), "tokens": F.col("n_tokens") > 0})
+
+
+SQL["store_contracts"] = f"""WITH {BLOCKS} SELECT 'schema' AS check, 2::BIGINT AS n UNION ALL SELECT 'lines', count(*) FILTER (WHERE doc_id % 10 = 3) FROM blocks UNION ALL SELECT 'tokens', count(*) FILTER (WHERE doc_id % 10 = 4) FROM blocks"""
+
+
 for _f in (
+    doc_first_modes, trimmed_packs, risk_scores, superseded_turns, orphan_chunks, request_fingerprints, retention_by_source, trace_lookup, store_contracts,
     arm_summary, arm_outcomes, corpus_comparison, failure_split, arm_economics, category_accuracy, pareto_summary, msc_efficiency, prepended, attributed_retention,
     expanded_terms, spelling_additions, question_views, intent_modes, operation_views, scoped_passages,
 ):
