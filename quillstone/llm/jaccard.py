@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, mix64, shingle_hashes, shuffle_partitions, tidy, utf8, word_hashes, written
+from quillstone.llm.common import arrow_limits, if_small, mix64, shingle_hashes, shuffle_partitions, tidy, utf8, word_hashes, written
 from quillstone.llm.components import connected_components
 
 #: Documents of a leaf of the tree, and children of an inner node.
@@ -396,12 +396,13 @@ class SignatureTree:
         return node * width, min(len(self.sets), (node + 1) * width)
 
 
-def tree_links(sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], side: list[int], percent: int, parts: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that join up all sets which links join: a spanning forest, found by traversing the tree against itself.
 
     A pair of nodes is left out when its size ranges cannot link, when the shared bits of its bitmaps plus the shingles that
     may share one are fewer than the least overlap of its smallest sets, or when all of both is joined already. What leaves
-    remain is compared bitmap by bitmap, then exactly. With ``side`` 0 and 1, pairs of one side are left out.
+    remain is compared bitmap by bitmap, then exactly. With ``side`` 0 and 1, pairs of one side are left out. Sets of one of
+    ``parts`` are joined from the start.
     """
     if len(sets) < 2:
         return []
@@ -409,6 +410,8 @@ def tree_links(sets: list[np.ndarray], side: list[int], percent: int) -> list[tu
     bits = min(MAX_BITS, 1 << max(6, (BITS_A_SHINGLE * most - 1).bit_length()))
     tree = SignatureTree(sets, bits)
     label, sides, links = np.arange(len(sets)), np.array([side[i] for i in tree.order]), []
+    if parts is not None:
+        label = np.unique(np.array(parts)[tree.order], return_inverse=True)[1]
     two_sided = len(set(side)) > 1
 
     def joined(a: tuple[int, int], b: tuple[int, int]) -> bool:
@@ -463,28 +466,81 @@ def tree_links(sets: list[np.ndarray], side: list[int], percent: int) -> list[tu
 def _join_blocks(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links of the blocks of a partition that is sorted by (block, first, second); one block is held at a time."""
     held: tuple | None = None
-    docs, sets, side = [], [], []
+    docs, sets, side, parts = [], [], [], []
 
     def done() -> pa.RecordBatch:
-        links = tree_links(sets, side, percent)
+        links = tree_links(sets, side, percent, parts)
         pairs = [[docs[i] for i, _ in links], [docs[j] for _, j in links]]
-        docs.clear(), sets.clear(), side.clear()
+        docs.clear(), sets.clear(), side.clear(), parts.clear()
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
 
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "first", "second")), strict=True))
         chunks, ids, texts = batch.column("chunk").to_pylist(), batch.column("doc").to_pylist(), batch.column("text")
-        for key, chunk, doc, value in zip(keys, chunks, ids, texts, strict=True):
+        for key, chunk, doc, part, value in zip(keys, chunks, ids, batch.column("part").to_pylist(), texts, strict=True):
             if held is not None and key != held:
                 yield done()
             held = key
             docs.append(doc)
+            parts.append(part)
             sets.append(shingle_set(value.as_py(), words))
             side.append(int(chunk != key[1]))
     if docs:
         yield done()
 
 
+def _links(sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of sets (doc, block, part, chunk, low, high, text): each chunk of a block meets its chunks from low to high,
+    itself included, once. What is one part is joined already."""
+    other = F.explode(F.sequence("low", "high")).alias("other")
+    dealt = sets.select("doc", "block", "part", "chunk", "text", other)
+    dealt = dealt.select("doc", "block", "part", "chunk", "text", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"))
+    keys = ["block", "first", "second"]
+    dealt = dealt.repartition(shuffle_partitions(sets.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(lambda b: tidy(_join_blocks(b, words, percent)), "a long, b long")
+
+
+def _chunked(sets: DataFrame, by: list[str]) -> DataFrame:
+    """``sets`` with the number of chunks that their group of ``by`` takes, and the chunk of each."""
+    sizes = sets.groupBy(*by).agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    count = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    out = sets.join(if_small(written(sizes.select(*by, count.alias("chunks")), "chunks")), by)
+    return out.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+
+
+def _large_links(sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links of the sets (doc, block, n, text) of large blocks, whose chunks cannot all meet: a group of near copies would move
+    with its square.
+
+    Chunks are joined alone first, and what is joined is a part of its block. Then one document of each part meets those of
+    all others, by which groups of near copies become one part as a rule. What is left are documents outside their block's
+    largest part: they meet all others of the block, so all pairs are compared or joined, and a text moves as often as
+    there are chunks of those.
+    """
+    sets = written(_chunked(sets, ["block"]).drop("chunks"), "large-blocks")
+    alone = sets.withColumns({"part": F.col("doc"), "low": F.col("chunk"), "high": F.col("chunk")})
+    found = written(_links(alone, words, percent), "links")
+
+    def parted(found: DataFrame) -> DataFrame:
+        top = connected_components(found)
+        return sets.drop("chunk").join(top, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("label", "doc")).drop("node", "label")
+
+    first = _chunked(parted(found).where("part = doc"), ["block"])
+    first = first.withColumns({"low": F.lit(0), "high": F.col("chunks") - 1})
+    found = written(found.unionByName(_links(first, words, percent)), "links")
+    every = written(parted(found), "parted")
+    size = every.groupBy("block", "part").agg(F.count("*").alias("docs"))
+    largest = size.groupBy("block").agg(F.max(F.struct("docs", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    largest = if_small(written(largest.select("block", F.col("m.part").alias("largest")), "largest"))
+    left = every.join(largest, "block").withColumn("outside", F.col("part") != F.col("largest"))
+    left = _chunked(left, ["block", "outside"])
+    of = lambda side: F.max(F.when(F.col("outside") == side, F.col("chunks")))
+    counts = if_small(written(left.groupBy("block").agg(of(True).alias("others"), (of(True) + of(False)).alias("all")), "counts"))
+    left = left.join(counts, "block").withColumns({"low": F.lit(0), "high": F.when(F.col("outside"), F.col("all")).otherwise(F.col("others")) - 1})
+    left = left.withColumn("chunk", F.when(F.col("outside"), F.col("chunk")).otherwise(F.col("chunk") + F.col("others")))
+    return found.unionByName(_links(left, words, percent))
+
+
 def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of a table with doc_id and text.
 
@@ -498,7 +554,7 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> Data
        sketch do not rule out are joined by an edge; the edges' components are blocks that no link leaves. Copies and a
        signature's hot groups are combined in each task before the shuffle.
     3. In each block a signature tree, traversed against itself, finds the links; blocks beyond CHUNK_DOCS documents are
-       dealt out in pairs of chunks.
+       dealt out in chunks, then by what is joined so far (see ``_large_links``).
     4. Links and representatives give components. Copies are never expanded into pairs.
 
     Edge cases: null and empty texts and texts without words have an empty set and link with nothing; fewer words than a
@@ -537,17 +593,15 @@ def _linked(df: DataFrame, words: int, percent: int) -> DataFrame:
     blocks = connected_components(near)
     reps = rep_of.where("doc = rep").select("doc", "n")
     totals = blocks.join(reps, F.col("node") == F.col("doc")).groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
-    members = blocks.join(totals, "label").select(F.col("node").alias("doc"), F.col("label").alias("block"), chunks.alias("chunks"))
+    large = (F.col("docs") > CHUNK_DOCS) | (F.col("shingles") > CHUNK_SHINGLES)
+    members = blocks.join(totals.select("label", large.alias("large")), "label").select(F.col("node").alias("doc"), F.col("label").alias("block"), "large")
     members = written(members, "members")
-    sets = _only_members(df, members).join(members, F.col("doc_id") == F.col("doc")).select("doc", "block", "chunks", "text")
-    sets = sets.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    # each pair of chunks once, a chunk's pair with itself included
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    sets = sets.select("*", other).select("doc", "block", "chunk", "text", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"))
-    keys = ["block", "first", "second"]
-    dealt = sets.repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
-    links = dealt.mapInArrow(lambda b: tidy(_join_blocks(b, words, percent)), "a long, b long")
+    sets = _only_members(df, members).join(members, F.col("doc_id") == F.col("doc")).select("doc", "block", "large", "text")
+    whole = {"part": F.col("doc"), "chunk": F.lit(0), "low": F.lit(0), "high": F.lit(0)}
+    links = _links(sets.where("NOT large").withColumns(whole), words, percent)
+    if not members.where("large").isEmpty():
+        big = sets.where("large").join(reps.withColumnRenamed("doc", "rep"), F.col("doc") == F.col("rep")).select("doc", "block", "n", "text")
+        links = links.unionByName(_large_links(big, words, percent))
     joined = connected_components(links)
     out = of_doc.join(joined, F.col("rep") == F.col("node"), "left")
     component = F.coalesce(F.col("label"), F.col("rep"), F.col("doc_id"))

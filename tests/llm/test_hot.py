@@ -67,3 +67,28 @@ def test_copies_meet_once(monkeypatch, limits):
     joined = jaccard._joined_up(jaccard.np.array(pairs))
     assert len(joined) == 299
     assert limits or len(pairs) < 300 * 6
+
+
+def test_large_blocks_move_by_what_is_not_joined(spark, monkeypatch):
+    """A block of one large group of near copies, smaller ones and lone texts, in many chunks: all links count, and texts do not
+    move with the square of the block."""
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", 16)
+    monkeypatch.setattr(jaccard, "HOT", 2)  # whatever shares a signature is one block
+    rng, rows = random.Random(5), []
+    base = [f"w{i}" for i in range(150)]
+    for group, size in ((0, 220), (1, 30), (2, 20)):
+        own = [w if i % 4 else f"g{group}{w}" for i, w in enumerate(base)]
+        for _ in range(size):
+            words = list(own)
+            words[rng.randrange(150)] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, " ".join(w if rng.random() < 0.8 else f"y{i}" for w in base)) for i in range(20)]
+    rng.shuffle(rows)
+    moved = []
+    whole = jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda sets, words, percent: (moved.append(sets.agg({"high": "sum", "low": "sum", "*": "count"}).first()), whole(sets, words, percent))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, words=3, percent=90).collect()}
+    assert got == brute(rows, 3, 90)
+    copies = sum(r["sum(high)"] - r["sum(low)"] + r["count(1)"] for r in moved if r["count(1)"])
+    assert len(moved) == 4 and copies < len(rows) * (len(rows) / 16) / 2
