@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.scratch import written
+
 
 def choose(options: DataFrame, *, requests: int, storage: int, slo_ms: float | None = None, key: str | None = None) -> DataFrame:
     """Options with ``reasons`` against each and ``chosen``: the eligible one with the least setup + requests * request time,
@@ -101,6 +103,21 @@ def fingerprint(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def with_previous(rows: DataFrame, *, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the value of the row before in its group's order, null for the first. The rows are sorted by ranges, not by
+    group in one task each; a range's first row takes the last of the range before, of which there is one row a range."""
+    place = [*group, *order]
+    dealt = rows.repartitionByRange(*place).sortWithinPartitions(*place).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    dealt = written(dealt, "ordered")
+    key = F.struct(*group)
+    last = dealt.groupBy("__part").agg(F.max_by(F.struct(key.alias("g"), F.col(value).alias("v")), "__at").alias("end"))
+    last = last.select("__part", F.lag("end").over(Window.orderBy("__part")).alias("__end"))
+    inside = Window.partitionBy("__part").orderBy("__at")
+    before = F.coalesce(F.lag(F.struct(key.alias("g"), F.col(value).alias("v"))).over(inside), F.col("__end"))
+    out = dealt.join(F.broadcast(last), "__part", "left").withColumn("__before", before)
+    return out.withColumn(name, F.when(F.col("__before.g").eqNullSafe(key), F.col("__before.v"))).drop("__part", "__at", "__end", "__before")
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """How many leading elements two arrays share."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))

@@ -102,13 +102,20 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that are met at once, and up to which number they are broadcast.
+QUERY_BLOCK, SENT_QUERIES = 1024, 1 << 14
+
+
 def vector_channel(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, *, floor: float | None = None, id_col: str = "vec_id") -> DataFrame:
     """The nearest vectors of each query by dot product: every query against all vectors, a block of queries at a time.
 
-    queries: (query_id, query): a stated query set, sent to all tasks; its size is the caller's bound. Each task keeps its
-    best k a query, so only k rows a query and task are shuffled. With ``floor`` queries whose best is below it get none."""
-    packed = queries.agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
-    every = vectors.crossJoin(F.broadcast(packed)).select(id_col, "embedding", F.explode("qs").alias("q"))
+    queries: (query_id, query): a stated query set, in blocks of QUERY_BLOCK. Up to SENT_QUERIES go to all tasks; more are met
+    partition by partition, without being sent anywhere whole. Each task keeps its best k a query, so only k rows a query
+    and task are shuffled. With ``floor`` queries whose best is below it get none."""
+    n = queries.count()
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK))))
+    packed = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "query")).alias("qs")).select("qs")
+    every = vectors.crossJoin(F.broadcast(packed) if n <= SENT_QUERIES else packed).select(id_col, "embedding", F.explode("qs").alias("q"))
     scored = every.select("q.query_id", id_col, dot("q.query", "embedding").alias("score"))
     out = top_k(scored, k, by=[F.round("score", 6).desc(), F.col(id_col)])
     if floor is None:

@@ -350,8 +350,8 @@ count(*) AS n, sum(doc_id)::BIGINT AS sum_ids FROM documents GROUP BY 1"""
 
 
 def common_prefix(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("source", "lang").orderBy("text", "doc_id")
-    rows = table(spark, d, "documents").withColumn("before", F.lag("text").over(order)).where("before IS NOT NULL")
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    rows = decide.with_previous(docs, group=["source", "lang"], order=["text", "doc_id"], value="text", name="before").where("before IS NOT NULL")
     words = lambda c: F.split(c, " ")
     return rows.select("doc_id", decide.common_prefix_bytes(F.col("before"), F.col("text")).alias("n_bytes"), decide.common_prefix(words("before"), words("text")).alias("n_words"))
 

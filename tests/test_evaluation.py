@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import evaluate, integrity, retrieval, telemetry, views
+from quillstone.operators import decide, evaluate, integrity, retrieval, telemetry, views
 
 ROWS = "corpus string, method string, task string, transport boolean, success boolean, request string"
 
@@ -76,3 +76,24 @@ def test_contracts(spark):
 def test_tails_are_trimmed(spark):
     rows = spark.createDataFrame([(1, 0, 40), (1, 1, 40), (1, 2, 1), (2, 0, 4000)], "query_id long, place long, chars long")
     assert sorted((r.query_id, r.place) for r in retrieval.trim_tail(rows, budget=20).collect()) == [(1, 0), (1, 1)]
+
+
+def test_the_row_before_in_order(spark):
+    rows = [(i % 3 or None, i * 7 % 50, f"t{i}") for i in range(150)] + [(1, 3, "x"), (1, 3, "x")]
+    df = spark.createDataFrame(rows, "g int, k int, v string").repartition(3)
+    got = decide.with_previous(df, group=["g"], order=["k", "v"], value="v", name="before").collect()
+    by = {}
+    for g, k, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        by.setdefault(g, []).append((k, v))
+    want = sorted(((g, k, v, vs[i - 1][1] if i else None) for g, vs in by.items() for i, (k, v) in enumerate(vs)), key=repr)
+    assert sorted(((r.g, r.k, r.v, r.before) for r in got), key=repr) == want
+
+
+def test_many_queries_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(40)], "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    rows = lambda: sorted(map(tuple, retrieval.vector_channel(queries, vectors, 3).select("query_id", "vec_id", "rank").collect()))
+    sent = rows()
+    monkeypatch.setattr(retrieval, "SENT_QUERIES", 0)
+    assert rows() == sent and len(sent) == 42
