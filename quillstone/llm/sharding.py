@@ -10,7 +10,7 @@ from quillstone.llm.common import if_small, written
 #: A place on a dimension: VALUE_BITS of the value, then HASH_BITS of the text's hash to part equal values.
 VALUE_BITS, HASH_BITS = 20, 40
 #: Bits settled by one histogram pass: VALUE_BITS + HASH_BITS is a multiple.
-BIN_BITS = 20
+BIN_BITS = 15
 #: A median is fine enough when its bin holds at most this share of the node's weight.
 TOLERANCE = 1e-5
 #: Rows that one sort for slots handles, about.
