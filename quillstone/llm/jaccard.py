@@ -25,8 +25,8 @@ COMBINE, HOT = 1 << 21, 1024
 FREQUENT, OFTEN = 1 << 17, 8
 #: Documents of a signature that are compared in pairs, and from which on all are taken as able to link.
 SMALL, ALL_GLUED = 16, 1 << 15
-#: Rows that a task takes in before it looks for whole signatures.
-MEET = 1 << 18
+#: Rows that a task takes in before it looks for whole signatures, and rows of a partition, about: more texts, more partitions.
+MEET, PARTITION_ROWS = 1 << 18, 1 << 19
 #: The bitmap that leaves out other documents has 1 << SLOT_BITS bits.
 SLOT_BITS = 27
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -586,7 +586,10 @@ def _linked(df: DataFrame, words: int, percent: int) -> DataFrame:
     rep_of = of_doc.where("rep IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "rep", "n").dropDuplicates(["doc"])
 
     signed = df.mapInArrow(lambda b: tidy(_sign(b, words, percent, frequent)), _SIGNED_SCHEMA)
-    near = signed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(lambda b: tidy(_meet(b, percent)), "a long, b long")
+    shingles = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # a set of the mean size of its class signs twice in so many parts at most
+    partitions = max(shuffle_partitions(spark), part_count(shingles, percent) * 3 // 2 // PARTITION_ROWS)
+    near = signed.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(lambda b: tidy(_meet(b, percent)), "a long, b long")
     near = written(near.distinct(), "near")  # an edge can come from several partitions
     near = near.join(rep_of.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a").join(rep_of.select(F.col("doc").alias("b"), F.col("rep").alias("rb")), "b")
     near = near.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()

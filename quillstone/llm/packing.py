@@ -18,6 +18,8 @@ from quillstone.llm.common import arrow_limits, mix64, shuffle_partitions, tidy,
 DIMS, BITS = 4, 8
 #: Words and chunks of text whose ids a worker keeps; then it starts anew.
 MEMO = 3 << 18
+#: Ids of one range of the sort, about.
+RANGE_IDS = 1 << 22
 #: Words joined for one call of the tokenizer.
 JOINED = 4096
 #: Texts in which the vocabulary's normal form is plain lower case and its words are those of WORD.
@@ -207,7 +209,9 @@ def pack_curve(df: DataFrame, *, tokenizer_path: str, end_id: int = 1, length: i
     kind = dict(df.dtypes)["doc_id"]
     encoded = df.select("doc_id", "text").mapInArrow(lambda b: tidy(_encode(b, spec, end_id)), f"doc_id {kind}, key long, n long, ids binary")
     encoded = written(encoded, "ids")
-    ordered = encoded.repartitionByRange(shuffle_partitions(spark), "key", F.xxhash64("doc_id", "n"))
+    # at least as many ranges as hold RANGE_IDS each
+    total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ordered = encoded.repartitionByRange(max(shuffle_partitions(spark), total // RANGE_IDS), "key", F.xxhash64("doc_id", "n"))
     ordered = ordered.sortWithinPartitions("key", F.xxhash64("doc_id", "n"), F.crc32("ids")).withColumn("part", F.spark_partition_id())
     ordered = written(ordered.mapInArrow(lambda b: tidy(_run_starts(b)), f"doc_id {kind}, key long, n long, ids binary, part int, at long"), "run")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
