@@ -85,8 +85,9 @@ def token_ids(texts: list[str], spec: str, end_id: int) -> list[bytes]:
         memo.clear()
     plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
     parts = [WORD.findall(t.lower()) if p else utf8(t).split() for t, p in zip(texts, plain, strict=True)]
-    _learn_words(bare, ends, list(set().union(*(x for x, p in zip(parts, plain, strict=True) if p)) - memo.keys()), memo)
-    chunks = list(set().union(*(x for x, p in zip(parts, plain, strict=True) if not p)) - memo.keys())  # bytes, not str
+    new = lambda which: [w for w in set().union(*(x for x, p in zip(parts, plain, strict=True) if p is which)) if w not in memo]
+    _learn_words(bare, ends, new(True), memo)
+    chunks = new(False)  # bytes, not str
     for i in range(0, len(chunks), JOINED):
         found = tok.encode_batch([c.decode("utf-8", "replace") for c in chunks[i : i + JOINED]], add_special_tokens=False)
         memo.update((c, np.array(e.ids, dtype="<u2").tobytes()) for c, e in zip(chunks[i : i + JOINED], found, strict=True))
@@ -94,67 +95,57 @@ def token_ids(texts: list[str], spec: str, end_id: int) -> list[bytes]:
     return [b"".join(map(memo.__getitem__, x)) + end for x in parts]
 
 
-#: A hash-drawn value in [-1, 1] of each id on each coordinate.
-_DRAWN = (mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)).view("<u2").reshape(-1, DIMS) / 32767.5 - 1).astype(np.float32)
+#: A hash-drawn odd number from -65535 to 65535 of each id on each coordinate.
+_DRAWN = 2 * mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)).view("<u2").reshape(-1, DIMS).astype(np.int32) - 65535
+#: Texts whose ids are projected at once, about this many of them.
+PROJECTED = 1 << 20
 
 
-def curve_key(ids: np.ndarray) -> int:
-    """The Hilbert key of a text from its ids: a hashed bag of ids projected to DIMS coordinates.
+def curve_keys(texts: list[bytes]) -> np.ndarray:
+    """The Hilbert keys of texts from their ids (with an end id each, which does not count): a hashed bag of ids projected to
+    DIMS coordinates.
 
     A coordinate is the mean of a hash-drawn value of each id, scaled to BITS bits around 0; texts that share their frequent
-    ids get near coordinates, and the curve keeps near points near.
+    ids get near coordinates, and the curve keeps near points near. Sums are of integers. Without ids the key is 0.
     """
-    if not len(ids):
-        return 0
+    lengths = np.array([len(x) // 2 for x in texts], dtype=np.int64)
+    sums, at = np.empty((len(texts), DIMS), dtype=np.int64), 0
+    while at < len(texts):
+        stop = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), PROJECTED, side="right")))
+        ids = np.frombuffer(b"".join(texts[at:stop]), dtype="<u2")
+        first = np.cumsum(lengths[at:stop]) - lengths[at:stop]
+        sums[at:stop] = np.add.reduceat(_DRAWN[ids], first, axis=0, dtype=np.int64) - _DRAWN[ids[first + lengths[at:stop] - 1]]
+        at = stop
     top = (1 << BITS) - 1
-    means = np.clip((_DRAWN[ids].mean(axis=0, dtype=np.float64) / 0.25 + 1) / 2 * top, 0, top)
-    return hilbert(means.astype(int).tolist(), BITS)
-
-
-def hilbert(point: list[int], bits: int) -> int:
-    """A point's place on the Hilbert curve through the cube of 2**bits cells a side, by Gray-code rotation per level."""
-    n, place, entry, turn = len(point), 0, 0, 0
-    mask = (1 << n) - 1
+    means = sums / np.maximum(lengths - 1, 1)[:, None] / 65535
+    points = np.clip((means / 0.25 + 1) / 2 * top, 0, top).astype(np.int64)
+    return np.where(lengths > 1, hilbert(points, BITS), 0)
+
+
+def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
+    """Points' (rows') places on the Hilbert curve through the cube of 2**bits cells a side, by Gray-code rotation per level."""
+    n = points.shape[1]
+    ranks = np.arange(1 << n)
+    gray = ranks ^ (ranks >> 1)
+    of_gray = np.argsort(gray)
+    enters = np.concatenate([[0], gray[(ranks[1:] - 1) // 2 * 2]])  # the corner where the curve enters a rank's sub-cube
+    ones = np.array([int(x ^ (x + 1)).bit_length() - 1 for x in ranks.tolist()])  # trailing ones
+    across = np.concatenate([[0], ones[ranks[1:] - (ranks[1:] % 2 == 0)] % n])  # the axis along which it crosses it
+    left = lambda x, k: (x << k | x >> (n - k)) & ((1 << n) - 1)
+    place, entry, turn = (np.zeros(len(points), dtype=np.int64) for _ in range(3))
     for level in range(bits - 1, -1, -1):
-        cell = sum(((p >> level) & 1) << i for i, p in enumerate(point))
-        cell = _rotate_right(cell ^ entry, turn + 1, n)
-        rank = cell  # inverse Gray code
-        shift = cell >> 1
-        while shift:
-            rank ^= shift
-            shift >>= 1
+        cell = ((points >> level & 1) << np.arange(n)).sum(axis=1)
+        rank = of_gray[left(cell ^ entry, n - (turn + 1) % n)]
         place = place << n | rank
-        entry ^= _rotate_left(_entry(rank), turn + 1, n)
-        turn = (turn + _direction(rank, n) + 1) % n
-        entry &= mask
+        entry ^= left(enters[rank], (turn + 1) % n)
+        turn = (turn + across[rank] + 1) % n
     return place
 
 
-def _rotate_left(x: int, k: int, n: int) -> int:
-    k %= n
-    return (x << k | x >> (n - k)) & ((1 << n) - 1)
-
-
-def _rotate_right(x: int, k: int, n: int) -> int:
-    return _rotate_left(x, n - k % n, n)
-
-
-def _entry(rank: int) -> int:
-    """The corner where the curve enters the sub-cube of this rank."""
-    even = 2 * ((rank - 1) // 2) if rank else 0
-    return even ^ (even >> 1)
-
-
-def _direction(rank: int, n: int) -> int:
-    """The axis along which the curve crosses the sub-cube of this rank."""
-    ones = lambda x: (~x & (x + 1)).bit_length() - 1  # noqa: E731  trailing ones
-    return 0 if rank == 0 else ones(rank - 1 if rank % 2 == 0 else rank) % n
-
-
 def _encode(batches: Iterator[pa.RecordBatch], spec: str, end_id: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = token_ids([x.as_py() or "" for x in batch.column(1)], spec, end_id)
-        keys = [curve_key(np.frombuffer(x, dtype="<u2")[:-1]) for x in ids]
+        keys = curve_keys(ids)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
             ["doc_id", "key", "n", "ids"],

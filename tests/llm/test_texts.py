@@ -155,11 +155,21 @@ def test_other_vocabularies_are_refused():
 def test_hilbert_steps_to_neighbours(n, bits):
     import itertools
 
-    order = sorted((packing.hilbert(list(p), bits), p) for p in itertools.product(range(1 << bits), repeat=n))
+    points = list(itertools.product(range(1 << bits), repeat=n))
+    order = sorted(zip(packing.hilbert(np.array(points), bits).tolist(), points, strict=True))
     assert [k for k, _ in order] == list(range(1 << n * bits))
     assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for (_, p), (_, q) in zip(order, order[1:]))
 
 
+def test_curve_keys_do_not_depend_on_neighbours(monkeypatch):
+    rng = random.Random(3)
+    texts = [np.array([rng.randrange(49_000) for _ in range(rng.choice([0, 1, 5, 300]))] + [1], dtype="<u2").tobytes() for _ in range(60)]
+    keys = packing.curve_keys(texts).tolist()
+    monkeypatch.setattr(packing, "PROJECTED", 7)
+    assert keys == packing.curve_keys(texts).tolist() == [packing.curve_keys([t])[0] for t in texts]
+    assert all(k == 0 for k, t in zip(keys, texts, strict=True) if len(t) == 2) and len(set(keys)) > 20 and packing.curve_keys([]).tolist() == []
+
+
 def test_pack(spark):
     from tokenizers import Tokenizer
 
