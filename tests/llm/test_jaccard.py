@@ -90,6 +90,23 @@ def test_repeats_nulls_and_nothing(spark):
     assert jaccard.near_duplicates(df.where("false")).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Texts of 40,000 words: near copies link, and those at the limit follow the exact share."""
+    rng = random.Random(6)
+    base = [f"w{rng.randint(0, 10**9)}" for _ in range(40_000)]
+
+    def changed(n):
+        words = list(base)
+        for at in rng.sample(range(0, 40_000, 10), n):
+            words[at] = f"x{at}"
+        return " ".join(words)
+
+    rows = [(1, " ".join(base)), (2, changed(400)), (3, changed(3000)), (4, "a " * 60_000), (5, "a " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, words=3, percent=90).collect()}
+    assert got == brute(rows, 3, 90) and [got[i][1] for i in range(1, 6)] == [1, 1, 3, 4, 4]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 101), (None, 3)], "a long, b long")
     labels = {r.node: r.label for r in components.connected_components(edges).collect()}
