@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +98,28 @@ def pareto_summary(rows: DataFrame, *, keys: list[str]) -> DataFrame:
     )
 
 
+#: Shares of a Poisson draw of mean 1 that are at most 0, 1, 2 and so on.
+_AT_MOST = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+
+
+def bootstrap_interval(rows: DataFrame, *, by: list[str], key: str, value: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """(by, n, mean, low, high): the mean of paired differences and the central 95 % of its resampled values.
+
+    A resample counts each pair as often as a Poisson draw of mean 1 says, which a hash of its key, the resample and ``seed``
+    gives: pairs stay where they are, sums are combined before the shuffle, and reruns agree. A resample without pairs
+    is left out; without pairs there is no row.
+    """
+    pairs = rows.where(F.col(value).isNotNull()).select(*by, F.col(key).cast("string").alias("__key"), F.col(value).cast("double").alias("__d"))
+    observed = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("__d").alias("mean"))
+    drawn = F.md5(F.concat_ws("|", "__key", F.col("__r").cast("string"), F.lit(str(seed))).cast("binary"))
+    share = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    times = sum(((F.col("__u") >= t).cast("int") for t in _AT_MOST[1:]), (F.col("__u") >= _AT_MOST[0]).cast("int"))
+    each = pairs.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__u", share).withColumn("__w", times)
+    means = each.groupBy(*by, "__r").agg(F.sum(F.col("__w") * F.col("__d")).alias("s"), F.sum("__w").alias("w")).where("w > 0").withColumn("m", F.col("s") / F.col("w"))
+    ends = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return observed.join(ends, by) if by else observed.crossJoin(F.broadcast(ends)).where("n > 0")
+
+
 def msc_efficiency(needed: Column, selected: Column, needed_unit: Column, selected_unit: Column) -> Column:
     """Needed over selected tokens in per cent; null where the units they were measured in differ, or nothing was selected."""
     return F.when(needed_unit.eqNullSafe(selected_unit) & (selected > 0), F.round(100.0 * needed / selected, 2))

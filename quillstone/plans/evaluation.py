@@ -104,6 +104,23 @@ round(100.0::DOUBLE * avg((task % 5) / 4.0::DOUBLE), 1) AS recall_pct, round(100
 round(quantile_cont(latency, 0.5), 2) AS median_latency FROM obs GROUP BY ALL"""
 
 
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """What each method adds to the first one's successes, with the interval that 100 resamples give."""
+    rows = _observations(spark, d).where("budget = 512")
+    base = rows.where("method = 'm0'").select("task", F.col("success").cast("int").alias("b"))
+    pairs = rows.where("method <> 'm0'").join(base, "task").withColumn("d", F.col("success").cast("int") - F.col("b"))
+    out = E.bootstrap_interval(pairs, by=["method"], key="task", value="d", resamples=100)
+    return out.select("method", "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
+SQL["paired_bootstrap"] = f"""WITH {_OBS}, p AS (SELECT a.method, a.task, a.success::INT - b.success::INT AS d FROM obs a JOIN obs b ON a.task = b.task AND b.method = 'm0' AND b.budget = 512 WHERE a.budget = 512 AND a.method <> 'm0'),
+u AS (SELECT method, r, d, concat('0x', md5(concat(task, '|', r, '|0'))[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM p, range(100) t(r)),
+w AS (SELECT method, r, d, {" + ".join(f"(u >= {t!r}::DOUBLE)::INT" for t in E._AT_MOST)} AS w FROM u),
+m AS (SELECT method, r, sum(w * d) / sum(w)::DOUBLE AS m FROM w GROUP BY ALL HAVING sum(w) > 0),
+e AS (SELECT method, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY method)
+SELECT method, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM (SELECT method, count(*) AS n, avg(d) AS mean FROM p GROUP BY method) JOIN e USING (method)"""
+
+
 def msc_efficiency(spark: SparkSession, d: str) -> DataFrame:
     """Order keys as token counts, measured in blocks or lines."""
     unit = lambda c: F.when(F.col(c) % 3 == 0, "line").when(F.col(c) % 3 == 1, "block")
@@ -353,7 +370,7 @@ SQL["store_contracts"] = f"""WITH {BLOCKS} SELECT 'schema' AS check, 2::BIGINT A
 
 for _f in (
     doc_first_modes, trimmed_packs, risk_scores, superseded_turns, orphan_chunks, request_fingerprints, retention_by_source, trace_lookup, store_contracts,
-    arm_summary, arm_outcomes, corpus_comparison, failure_split, arm_economics, category_accuracy, pareto_summary, msc_efficiency, prepended, attributed_retention,
+    paired_bootstrap, arm_summary, arm_outcomes, corpus_comparison, failure_split, arm_economics, category_accuracy, pareto_summary, msc_efficiency, prepended, attributed_retention,
     expanded_terms, spelling_additions, question_views, intent_modes, operation_views, scoped_passages,
 ):
     Q[_f.__name__] = _f

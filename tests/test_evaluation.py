@@ -97,3 +97,15 @@ def test_many_queries_are_not_sent(spark, monkeypatch):
     sent = rows()
     monkeypatch.setattr(retrieval, "SENT_QUERIES", 0)
     assert rows() == sent and len(sent) == 42
+
+
+def test_the_bootstrap_is_that_of_the_draws(spark):
+    rows = [(g, i, float(d)) for g, n in (("a", 5), ("b", 400)) for i in range(n) for d in [(i * 7 % 5) - 2]] + [("a", 99, None)]
+    df = spark.createDataFrame(rows, "g string, k long, d double")
+    ask = lambda x: {r.g: (r.n, r["mean"], r.low, r.high) for r in evaluate.bootstrap_interval(x, by=["g"], key="k", value="d", resamples=200).collect()}
+    got = ask(df)
+    assert got == ask(df.repartition(5)) and got["a"][0] == 5 and got["b"][0] == 400
+    mean = sum(d for g, _, d in rows if g == "b") / 400
+    spread = (sum((d - mean) ** 2 for g, _, d in rows if g == "b") / 400 / 400) ** 0.5
+    assert abs(got["b"][1] - mean) < 1e-9 and abs(got["b"][2] - (mean - 1.96 * spread)) < 0.5 * spread and abs(got["b"][3] - (mean + 1.96 * spread)) < 0.5 * spread
+    assert evaluate.bootstrap_interval(df.where("false"), by=["g"], key="k", value="d", resamples=5).count() == 0

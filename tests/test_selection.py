@@ -1,5 +1,3 @@
-import math
-
 from quillstone.operators import conflicts, decide, retrieval as R, sequential as S
 
 
@@ -98,10 +96,6 @@ def test_views_and_clauses():
     assert len(S.clauses("Do this. Then that and more")) > 1 and S.clauses("one") == ["one"]
 
 
-def test_bootstrap_has_a_fixed_seed():
-    pairs = [(0, 1), (1, 1), (0, 0), (1, 0), (0, 1)]
-    assert S.paired_bootstrap(pairs) == S.paired_bootstrap(pairs) and math.isclose(S.paired_bootstrap(pairs)[0], 0.2)
-
 
 def test_pareto_keeps_ties_and_drops_nulls(spark):
     rows = spark.createDataFrame([("g", 1.0, 5.0), ("g", 1.0, 5.0), ("g", 2.0, 4.0), ("g", None, 9.0), ("g", 2.0, 6.0)], "grp string, cost double, gain double")
