@@ -109,3 +109,22 @@ def test_the_bootstrap_is_that_of_the_draws(spark):
     spread = (sum((d - mean) ** 2 for g, _, d in rows if g == "b") / 400 / 400) ** 0.5
     assert abs(got["b"][1] - mean) < 1e-9 and abs(got["b"][2] - (mean - 1.96 * spread)) < 0.5 * spread and abs(got["b"][3] - (mean + 1.96 * spread)) < 0.5 * spread
     assert evaluate.bootstrap_interval(df.where("false"), by=["g"], key="k", value="d", resamples=5).count() == 0
+
+
+def test_frontiers_of_three_measures(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b"]), float(rng.randint(0, 9)), float(rng.randint(0, 9)), float(rng.randint(0, 9)), i) for i in range(300)] + [("a", None, 1.0, 1.0, 999)]
+    got = {r.i for r in decide.pareto(spark.createDataFrame(rows, "g string, x double, y double, z double, i int"), minimize=["x", "y"], maximize=["z"], group="g").collect()}
+    worse = lambda p, q: q[0] == p[0] and q[1] <= p[1] and q[2] <= p[2] and q[3] >= p[3] and q[1:4] != p[1:4]
+    whole = rows[:-1]
+    assert got == {p[4] for p in whole if not any(worse(p, q) for q in whole)}
+
+
+def test_choice_without_a_key(spark):
+    rows = [("b", 5.0, 1.0, 9, True, True, "e", 3.0), ("a", 5.0, 1.0, 9, True, True, "e", 3.0), ("c", 0.0, 0.0, 9, False, True, "e", 3.0), ("d", 0.0, 0.0, 99, True, True, " ", None)]
+    df = spark.createDataFrame(rows, "name string, setup_ms double, request_ms double, storage_bytes long, compatible boolean, quality_passed boolean, evidence string, p95_ms double")
+    got = {r.name: (r.chosen, list(r.reasons)) for r in decide.choose(df, requests=10, storage=50, slo_ms=5.0).collect()}
+    assert got == {"a": (True, []), "b": (False, []), "c": (False, ["incompatible"]), "d": (False, ["no evidence", "storage", "latency"])}
+    assert not any(r.chosen for r in decide.choose(df.where("name = 'c'"), requests=1, storage=50).collect())
