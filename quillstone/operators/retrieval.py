@@ -259,6 +259,26 @@ def document_routes(block_scores: DataFrame, doc_scores: DataFrame, *, mode: str
     return top_k(both.withColumn("fused", F.round(score, 9)), k, by=[F.col("fused").desc(), F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last()]).select("query_id", *keys, "rank")
 
 
+def pack_views(rows: DataFrame, *, budget: int, mode: str) -> DataFrame:
+    """(query_id, kept, used) of candidates (query_id, place, full, compact), the lengths of a text and of its shorter view: in
+    order, those that still fit. ``raw`` takes full texts, ``compact`` the views, ``rescue`` the view where the full text does
+    not fit. kept: structs of place and view, a query's candidates being bounded by its channels."""
+    views = {"raw": ("full",), "compact": ("compact",), "rescue": ("full", "compact")}[mode]
+    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "full", "compact"))).alias("c"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<place:bigint,view:string>>").alias("kept"))
+
+    def step(s: Column, c: Column) -> Column:
+        out = s
+        for view in reversed(views):
+            total = s["used"] + c[view] + F.when(F.size(s["kept"]) > 0, 2).otherwise(0)
+            taken = F.struct(c["place"].cast("long").alias("place"), F.lit(view).alias("view"))
+            fits = F.greatest(F.lit(1), F.floor(total / 4)) <= budget
+            out = F.when(fits, F.struct(total.cast("long").alias("used"), F.concat(s["kept"], F.array(taken)).alias("kept"))).otherwise(out)
+        return out
+
+    return listed.select("query_id", F.aggregate("c", start, step).alias("s")).select("query_id", "s.kept", "s.used")
+
+
 def trim_tail(rows: DataFrame, *, budget: int) -> DataFrame:
     """Rows (query_id, place, chars) without those at the end that take a query's joined text over the budget."""
     order = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)

@@ -288,6 +288,37 @@ def trimmed_packs(spark: SparkSession, d: str) -> DataFrame:
     return R.trim_tail(sized, budget=700).groupBy("query_id").agg(F.count("*").alias("n_kept"), F.sum("chars").alias("chars"))
 
 
+def view_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's twelve best blocks in 900 tokens: whole, by their first lines, or by these where the whole does not fit."""
+    found, postings, lengths = index(spark, d)
+    top = R.top_k(R.bm25_scores(benchmark_terms(spark, d), postings, lengths, keys=["path", "ordinal"]), 12, by=R.score_order())
+    short = F.length(F.substring_index("text", "\n", 1)).cast("long")
+    sized = top.join(found.select("path", "ordinal", F.length("text").cast("long").alias("full"), short.alias("compact")), ["path", "ordinal"]).select("query_id", F.col("rank").alias("place"), "full", "compact")
+    out = None
+    for mode in ("raw", "compact", "rescue"):
+        kept = F.array_join(F.transform("kept", lambda k: F.concat(k["place"].cast("string"), F.substring(k["view"], 1, 1))), ",")
+        made = R.pack_views(sized, budget=900, mode=mode).select(F.lit(mode).alias("mode"), "query_id", kept.alias("kept"), "used")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _views_sql() -> str:
+    from quillstone.plans.common import RANKED
+    from quillstone.plans.retrieval import BASE
+
+    fits = lambda v: f"greatest(1, (a.used + x.{v} + CASE WHEN len(a.kept) > 0 THEN 2 ELSE 0 END) // 4) <= 900"
+    take = lambda v: f"{{'used': a.used + x.{v} + CASE WHEN len(a.kept) > 0 THEN 2 ELSE 0 END, 'kept': list_append(a.kept, concat(x.place, '{v[0]}')), 'place': 0::BIGINT, 'f': 0::BIGINT, 'c': 0::BIGINT}}"
+    fold = lambda *vs: f"list_reduce(c, lambda a, x: CASE {' '.join(f'WHEN {fits(v)} THEN {take(v)}' for v in vs)} ELSE a END, {{'used': 0::BIGINT, 'kept': []::VARCHAR[], 'place': 0::BIGINT, 'f': 0::BIGINT, 'c': 0::BIGINT}})"
+    modes = {"raw": ("f",), "compact": ("c",), "rescue": ("f", "c")}
+    return f"""{BASE}, t AS (SELECT query_id, path, ordinal, {RANKED} AS rank FROM scores),
+s AS (SELECT query_id, list({{'used': 0::BIGINT, 'kept': []::VARCHAR[], 'place': rank::BIGINT, 'f': length(text)::BIGINT, 'c': length(split_part(text, chr(10), 1))::BIGINT}} ORDER BY rank) AS c
+      FROM t JOIN blocks USING (path, ordinal) WHERE rank < 12 GROUP BY query_id),
+""" + ", ".join(f"{m} AS (SELECT '{m}' AS mode, query_id, {fold(*vs)} AS r FROM s)" for m, vs in modes.items()) + "\n" + " UNION ALL ".join(f"SELECT mode, query_id, array_to_string(r.kept, ',') AS kept, r.used AS used FROM {m}" for m in modes)
+
+
+SQL["view_packs"] = _views_sql()
+
+
 def _trim_sql() -> str:
     from quillstone.plans.common import RANKED
     from quillstone.plans.retrieval import BASE
@@ -369,7 +400,7 @@ SQL["store_contracts"] = f"""WITH {BLOCKS} SELECT 'schema' AS check, 2::BIGINT A
 
 
 for _f in (
-    doc_first_modes, trimmed_packs, risk_scores, superseded_turns, orphan_chunks, request_fingerprints, retention_by_source, trace_lookup, store_contracts,
+    view_packs, doc_first_modes, trimmed_packs, risk_scores, superseded_turns, orphan_chunks, request_fingerprints, retention_by_source, trace_lookup, store_contracts,
     paired_bootstrap, arm_summary, arm_outcomes, corpus_comparison, failure_split, arm_economics, category_accuracy, pareto_summary, msc_efficiency, prepended, attributed_retention,
     expanded_terms, spelling_additions, question_views, intent_modes, operation_views, scoped_passages,
 ):

@@ -91,11 +91,16 @@ def test_grouped_order_is_least_served_first():
 
 
 def test_views_and_clauses():
-    assert S.pack_views([("x" * 400, "y" * 40)], 20, "rescue") == [(0, "y" * 40)]
-    assert S.pack_views([("x" * 400, "y" * 40)], 20) == []
     assert len(S.clauses("Do this. Then that and more")) > 1 and S.clauses("one") == ["one"]
 
 
+def test_views_rescue_what_does_not_fit(spark):
+    rows = spark.createDataFrame([(1, 0, 400, 40), (1, 1, 20, 10), (1, 2, 900, 900), (2, 0, 900, 900)], "query_id long, place long, full long, compact long")
+    got = {m: {r.query_id: ([(k.place, k.view) for k in r.kept], r.used) for r in R.pack_views(rows, budget=20, mode=m).collect()} for m in ("raw", "compact", "rescue")}
+    assert got["raw"] == {1: ([(1, "full")], 20), 2: ([], 0)} and got["compact"] == {1: ([(0, "compact"), (1, "compact")], 52), 2: ([], 0)}
+    assert got["rescue"] == {1: ([(0, "compact"), (1, "full")], 62), 2: ([], 0)}
+
+
 
 def test_pareto_keeps_ties_and_drops_nulls(spark):
     rows = spark.createDataFrame([("g", 1.0, 5.0), ("g", 1.0, 5.0), ("g", 2.0, 4.0), ("g", None, 9.0), ("g", 2.0, 6.0)], "grp string, cost double, gain double")
