@@ -9,22 +9,16 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import conflicts, derive, retrieval as R
+from quillstone.operators.views import ABSTAIN_WORDS, ACTION_WORDS
 
 KEYS = ["path", "ordinal"]
-# Words that ask for raise sites, and words that make such a question ambiguous.
-ACTION = frozenset("raise raises raised raising throw throws thrown".split())
-BLOCKERS = frozenset(
-    """not no never neither nor without cannot avoid avoids avoided avoiding prevent prevents prevented preventing
-    catch catches caught catching handle handles handled handling suppress suppresses suppressed suppressing
-    mention mentions mentioned mentioning literal literals string strings""".split()
-)
 SURFACE = r"(?<![\p{L}\p{N}_])[\p{L}_][\p{L}\p{N}_]*(?:\.[\p{L}_][\p{L}\p{N}_]*)*"
 
 
 @dataclass(frozen=True)
 class Options:
     """budget and limit are the token budget and the candidates of a channel; weights those of the text, name and path
-    fields; floor the least similarity at which the vector channel counts."""
+    fields; floor the least similarity at which the vector channel counts; intent when a question asks for raise sites."""
 
     budget: int = R.BUDGET
     limit: int = R.CANDIDATES
@@ -32,17 +26,21 @@ class Options:
     floor: float = R.DENSE_FLOOR
     expand: bool = False
     drop_conflicts: bool = False
+    intent: str = "conservative"
     canonical: bool = False
 
 
-def raise_names(queries: DataFrame) -> DataFrame:
-    """(query_id, name, expanded): names that a question asks raise sites of; none where it denies or catches them."""
+def raise_names(queries: DataFrame, intent: str = "conservative") -> DataFrame:
+    """(query_id, name, expanded): names that a question asks raise sites of. ``conservative``: none where it denies or catches
+    them; ``action``: it is to name the action; ``original``: any name counts; ``disabled``: none does."""
     whole = F.transform(F.regexp_extract_all("query", F.lit(SURFACE), F.lit(0)), F.lower)
     rows = queries.withColumn("whole", F.array_distinct(whole))
     rows = rows.withColumn("expanded", F.array_distinct(F.concat("whole", F.flatten(F.transform("whole", lambda w: F.split(w, r"\."))))))
     lits = lambda ws: F.array(*map(F.lit, sorted(ws)))
-    asked = F.arrays_overlap("whole", lits(ACTION)) & ~F.arrays_overlap("whole", lits(BLOCKERS)) & ~F.col("query").rlike(r"(?i)\b\w+n['’]t\b")
-    return rows.where(asked).select("query_id", "expanded", F.explode(F.array_except("expanded", lits(ACTION))).alias("name"))
+    acts = F.arrays_overlap("whole", lits(ACTION_WORDS))
+    clear = ~F.arrays_overlap("whole", lits(ABSTAIN_WORDS)) & ~F.col("query").rlike(r"(?i)\b\w+n['’]t\b")
+    asked = {"conservative": acts & clear, "action": acts, "original": F.lit(True), "disabled": F.lit(False)}[intent]
+    return rows.where(asked).select("query_id", "expanded", F.explode(F.array_except("expanded", lits(ACTION_WORDS))).alias("name"))
 
 
 class Index:
@@ -93,7 +91,7 @@ class Selector:
         idents = queries.select("query_id", F.explode(T.identifier_candidates(F.col("query"))).alias("symbol"))
         found = {"symbol": R.symbol_channel(idents, self.index.symbols, limit), "lexical": self._lexical(queries, limit)}
         if self.index.relations is not None:
-            found["relation"] = R.relation_channel(raise_names(queries), self.index.relations, self.index.blocks.count(), limit)
+            found["relation"] = R.relation_channel(raise_names(queries, self.options.intent), self.index.relations, self.index.blocks.count(), limit)
         if self.index.vectors is not None and query_vectors is not None:
             ids = self.index.vectors.withColumn("block", F.struct(*KEYS))
             near = R.vector_channel(query_vectors, ids, limit, floor=self.options.floor, id_col="block")

@@ -21,6 +21,9 @@ def test_relation_channel_needs_positive_intent(spark):
     queries = spark.createDataFrame(list(enumerate(questions)), "query_id long, query string")
     found = {r.query_id for r in selector.Selector(index).channels(queries, 60).where("channel = 'relation'").collect()}
     assert found == {0}
+    for intent, wanted in (("disabled", set()), ("action", {0, 2, 3}), ("original", {0, 1, 2, 3})):
+        options = selector.Options(intent=intent)
+        assert {r.query_id for r in selector.Selector(index, options).channels(queries, 60).where("channel = 'relation'").collect()} == wanted, intent
 
 
 def test_spelling_alias_and_path_queries_hit(spark):
