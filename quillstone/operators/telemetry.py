@@ -36,10 +36,15 @@ def redact_map(fields: Column) -> Column:
     return F.transform_values(fields, of)
 
 
+def redact_json(text: Column) -> Column:
+    """JSON text with the texts of sensitive keys masked whole, at any depth, and secrets in others."""
+    key = r'"([^"\\]*(?:' + "|".join(SENSITIVE) + r')[^"\\]*)"'
+    return redact(F.regexp_replace(text, "(?i)" + key + r'\s*:\s*"(?:[^"\\]|\\.)*"', '"$1":"[REDACTED]"'))
+
+
 def write_traces(traces: DataFrame, path: str) -> None:
-    """Append traces, redacted, as JSON lines."""
-    text = [f.name for f in traces.schema.fields if f.dataType.simpleString() == "string"]
-    traces.withColumns({c: redact(F.col(c)) for c in text}).write.mode("append").json(path)
+    """Append traces, redacted, as JSON lines: texts of sensitive keys whole, secrets in any text, at any depth."""
+    traces.select(redact_json(F.to_json(F.struct(*traces.columns)))).write.mode("append").text(path)
 
 
 def rollup(traces: DataFrame, keys: list[str], *, original: str = "original_tokens", optimized: str = "optimized_tokens") -> DataFrame:

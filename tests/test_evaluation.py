@@ -128,3 +128,12 @@ def test_choice_without_a_key(spark):
     got = {r.name: (r.chosen, list(r.reasons)) for r in decide.choose(df, requests=10, storage=50, slo_ms=5.0).collect()}
     assert got == {"a": (True, []), "b": (False, []), "c": (False, ["incompatible"]), "d": (False, ["no evidence", "storage", "latency"])}
     assert not any(r.chosen for r in decide.choose(df.where("name = 'c'"), requests=1, storage=50).collect())
+
+
+def test_nested_secrets_do_not_reach_the_log(spark, tmp_path):
+    rows = [("r1", {"Api_Key": 'a"b', "note": "Bearer abc.def"}, [("sk-" + "a" * 24, "kept")])]
+    df = spark.createDataFrame(rows, "request_id string, headers map<string,string>, calls array<struct<body:string,client_secret:string>>")
+    telemetry.write_traces(df, str(tmp_path / "log"))
+    row = spark.read.json(str(tmp_path / "log")).first()
+    assert row.headers.Api_Key == "[REDACTED]" and row.headers.note == "Bearer [REDACTED_TOKEN]"
+    assert row.calls[0].body == "[REDACTED_API_KEY]" and row.calls[0].client_secret == "[REDACTED]" and row.request_id == "r1"
