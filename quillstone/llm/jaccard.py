@@ -16,8 +16,8 @@ from quillstone.llm.components import connected_components
 LEAF, FAN = 8, 4
 #: Bits of a token bitmap a shingle of the block's largest set, at most MAX_BITS.
 BITS_A_SHINGLE, MAX_BITS = 4, 1 << 16
-#: Documents and shingles of a block that one task joins; larger blocks are dealt out in pairs of chunks.
-CHUNK_DOCS, CHUNK_SHINGLES = 2048, 1 << 23
+#: Documents and shingles of a block that one task joins; larger blocks are dealt out in pairs of chunks, up to DIRECT chunks.
+CHUNK_DOCS, CHUNK_SHINGLES, DIRECT = 2048, 1 << 23, 8
 #: Signature rows that a task combines before it sends them on, and documents of one signature that it ties together.
 COMBINE, HOT = 1 << 21, 1024
 #: Shingles that signatures leave out: the most frequent ones, of those that at least OFTEN of a task's sets hold. Which they
@@ -522,7 +522,7 @@ def _large_links(sets: DataFrame, words: int, percent: int) -> DataFrame:
     found = written(_links(alone, words, percent), "links")
 
     def parted(found: DataFrame) -> DataFrame:
-        top = connected_components(found)
+        top = if_small(written(connected_components(found), "parts"))  # texts stay where they are if there are few
         return sets.drop("chunk").join(top, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("label", "doc")).drop("node", "label")
 
     first = _chunked(parted(found).where("part = doc"), ["block"])
@@ -554,7 +554,7 @@ def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> Data
        sketch do not rule out are joined by an edge; the edges' components are blocks that no link leaves. Copies and a
        signature's hot groups are combined in each task before the shuffle.
     3. In each block a signature tree, traversed against itself, finds the links; blocks beyond CHUNK_DOCS documents are
-       dealt out in chunks, then by what is joined so far (see ``_large_links``).
+       dealt out in pairs of chunks, those beyond DIRECT chunks by what is joined so far (see ``_large_links``).
     4. Links and representatives give components. Copies are never expanded into pairs.
 
     Edge cases: null and empty texts and texts without words have an empty set and link with nothing; fewer words than a
@@ -596,12 +596,12 @@ def _linked(df: DataFrame, words: int, percent: int) -> DataFrame:
     blocks = connected_components(near)
     reps = rep_of.where("doc = rep").select("doc", "n")
     totals = blocks.join(reps, F.col("node") == F.col("doc")).groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    large = (F.col("docs") > CHUNK_DOCS) | (F.col("shingles") > CHUNK_SHINGLES)
-    members = blocks.join(totals.select("label", large.alias("large")), "label").select(F.col("node").alias("doc"), F.col("label").alias("block"), "large")
-    members = written(members, "members")
-    sets = _only_members(df, members).join(members, F.col("doc_id") == F.col("doc")).select("doc", "block", "large", "text")
-    whole = {"part": F.col("doc"), "chunk": F.lit(0), "low": F.lit(0), "high": F.lit(0)}
-    links = _links(sets.where("NOT large").withColumns(whole), words, percent)
+    chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    members = blocks.join(totals.select("label", chunks.alias("chunks")), "label").select(F.col("node").alias("doc"), F.col("label").alias("block"), "chunks")
+    members = written(members.withColumn("large", F.col("chunks") > DIRECT), "members")
+    sets = _only_members(df, members).join(members, F.col("doc_id") == F.col("doc")).select("doc", "block", "chunks", "large", "text")
+    pairs = {"part": F.col("doc"), "chunk": F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"), "low": F.lit(0), "high": F.col("chunks") - 1}
+    links = _links(sets.where("NOT large").withColumns(pairs), words, percent)
     if not members.where("large").isEmpty():
         big = sets.where("large").join(reps.withColumnRenamed("doc", "rep"), F.col("doc") == F.col("rep")).select("doc", "block", "n", "text")
         links = links.unionByName(_large_links(big, words, percent))

@@ -73,6 +73,7 @@ def test_large_blocks_move_by_what_is_not_joined(spark, monkeypatch):
     """A block of one large group of near copies, smaller ones and lone texts, in many chunks: all links count, and texts do not
     move with the square of the block."""
     monkeypatch.setattr(jaccard, "CHUNK_DOCS", 16)
+    monkeypatch.setattr(jaccard, "DIRECT", 2)
     monkeypatch.setattr(jaccard, "HOT", 2)  # whatever shares a signature is one block
     rng, rows = random.Random(5), []
     base = [f"w{i}" for i in range(150)]

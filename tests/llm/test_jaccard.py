@@ -53,7 +53,7 @@ def families(seed, n=40):
 
 
 @pytest.mark.parametrize("words,percent,seed", [(3, 90, 1), (5, 80, 2)])
-@pytest.mark.parametrize("limits", [{}, {"CHUNK_DOCS": 16, "SMALL": 2, "HOT": 3}])
+@pytest.mark.parametrize("limits", [{}, {"CHUNK_DOCS": 16, "SMALL": 2, "HOT": 3}, {"CHUNK_DOCS": 16, "DIRECT": 1, "SMALL": 2, "HOT": 3}])
 def test_all_links_count(spark, monkeypatch, words, percent, seed, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard, k, v)
