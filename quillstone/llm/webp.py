@@ -722,10 +722,20 @@ def _residuals(part: bytes, mode: int) -> np.ndarray:
     return out
 
 
+def _literal_counts(samples: np.ndarray) -> np.ndarray:
+    """How often each sample is a literal: runs do not count, looked for where one value makes up a quarter of all."""
+    counts = np.bincount(samples, minlength=256)
+    if 4 * counts.max() > len(samples):
+        data = samples.tobytes()
+        for m in RUN.finditer(data):
+            counts[data[m.start()]] -= m.end() - m.start() - 1
+    return counts
+
+
 def _encode_image(part: bytes) -> bytes:
     bits = _start(BLOCK, len(part) // BLOCK, False)
-    counts = np.bincount(np.frombuffer(part, dtype=np.uint8), minlength=256)
-    values = np.flatnonzero(counts).tolist()
+    samples = np.frombuffer(part, dtype=np.uint8)
+    values = np.flatnonzero(np.bincount(samples, minlength=256)).tolist()
     if len(values) <= 16:
         _put_palette(bits, values)
         bits.put(0, 3)  # no more transforms, no cache, one group
@@ -739,10 +749,10 @@ def _encode_image(part: bytes) -> bytes:
         _put_samples(bits, data, code, copies)
         return _container(bits.bytes())
     found, matrix = presets()
-    sizes = matrix @ counts
+    sizes = matrix @ _literal_counts(samples)
     best, mode = int(sizes.min()), None
     for m in (LEFT, TOP):
-        size = int((matrix @ np.bincount(_residuals(part, m).reshape(-1), minlength=256)).min()) + 128
+        size = int((matrix @ _literal_counts(_residuals(part, m).reshape(-1))).min()) + 128
         if size < best:
             best, mode = size, m
     data, alpha = part, 255
@@ -753,7 +763,7 @@ def _encode_image(part: bytes) -> bytes:
         _put_constant(bits, mode)
         rest = _residuals(part, mode)
         data, alpha = rest.tobytes(), 0
-        sizes = matrix @ np.bincount(rest.reshape(-1), minlength=256)
+        sizes = matrix @ _literal_counts(rest.reshape(-1))
     bits.put(1, 1)
     bits.put(SUBTRACT_GREEN, 2)
     bits.put(0, 3)

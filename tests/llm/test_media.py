@@ -43,12 +43,12 @@ def test_the_encoder_takes_the_shorter_way():
     """Few values go by a palette, ramps and repeated rows by a predictor, lines that came before by references."""
     rng = random.Random(5)
     text = lambda n: bytes(rng.choices(b"etaoin shrdlucmf", k=n))
-    row = os.urandom(576)
+    row = rng.randbytes(576)
     lines = b"".join(rng.choice([text(60) + b",.;:!?\n"]) for _ in range(6))
     cases = {
         "one": (b"a" * 3000, [webp.PALETTE]), "two": (bytes(rng.choices(b"ab", k=3000)), [webp.PALETTE]), "four": (bytes(rng.choices(b"abc", k=3000)), [webp.PALETTE]),
         "sixteen": (bytes(rng.choices(b"0123456789|\n", k=3000)), [webp.PALETTE]), "ramp": (bytes(3 * i & 255 for i in range(6000)), [webp.PREDICTOR, webp.SUBTRACT_GREEN]),
-        "rows": (row * 20, [webp.PREDICTOR, webp.SUBTRACT_GREEN]), "text": (text(9000) + b",.;:!?", [webp.SUBTRACT_GREEN]), "lines": (lines * 40, [webp.SUBTRACT_GREEN]), "noise": (os.urandom(5000), [webp.SUBTRACT_GREEN]),
+        "rows": (row * 20, [webp.PREDICTOR, webp.SUBTRACT_GREEN]), "text": (text(9000) + b",.;:!?", [webp.SUBTRACT_GREEN]), "lines": (lines * 40, [webp.SUBTRACT_GREEN]), "noise": (rng.randbytes(5000), [webp.SUBTRACT_GREEN]),
     }
     for name, (raw, kinds) in cases.items():
         payload = webp.padded(raw)
