@@ -29,6 +29,10 @@ SMALL, ALL_GLUED = 16, 1 << 15
 MEET, PARTITION_ROWS = 1 << 18, 1 << 19
 #: The bitmap that leaves out other documents has 1 << SLOT_BITS bits.
 SLOT_BITS = 27
+#: A signature's low bits: its size class, and whether its part is empty.
+CLASS, EMPTY = 63, 64
+#: Times that documents which share too few signatures are taken out, and the share of rows below which it is not worth while.
+ROUNDS, LEAST_OUT = 4, 0.05
 _SALT = np.uint64(0x5851F42D4C957F2D)
 _LAST = np.iinfo(np.int64).max
 
@@ -51,6 +55,11 @@ def part_count(upper: int, percent: int) -> int:
     return differences + 1 + differences // 20 + 6
 
 
+def most_differences(n, c, percent: int):
+    """The most elements in which a set of size n can differ from one that links with it and signs in class c too."""
+    return np.minimum(2 * (1 << c) * (100 - percent) // (100 + percent), n * (100 - percent) // percent)
+
+
 def signatures(s: np.ndarray, percent: int, n: int | None = None) -> np.ndarray:
     """Hashes such that any two sets that link share one (so that documents that share none need no comparison).
 
@@ -61,8 +70,11 @@ def signatures(s: np.ndarray, percent: int, n: int | None = None) -> np.ndarray:
     linked sets can differ, each of which spoils one part of either set: some part must be equal in both. A set signs each
     of its filled parts by its number and content. If a set has fewer filled parts than differences are possible plus one,
     it signs its empty parts too; of two linked sets either one has enough filled parts, one of which is equal in the
-    other, or both sign empty parts as well. Sets near their class's upper end also sign in the next class.
+    other, or both sign empty parts as well. Sets near their class's upper end also sign in the next class. The low bits
+    tell the class and empty parts, as a set shares as many signatures of a class with each that it links with as it has
+    filled parts beyond the differences that are possible.
     """
+    sign = lambda x, c, low: mix64(x + np.uint64(c + 1)) & np.uint64(~(CLASS | EMPTY) & (1 << 64) - 1) | np.uint64(c | low)
     n = len(s) if n is None else n
     out = []
     own = max(0, (n - 1).bit_length())  # sizes in (2**(own-1), 2**own]
@@ -76,11 +88,10 @@ def signatures(s: np.ndarray, percent: int, n: int | None = None) -> np.ndarray:
         if len(s):  # s is sorted, so at is too: parts are runs
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             sums = np.add.reduceat(mix64(s ^ _SALT), first)
-            out.append(mix64(sums + at[first] * _SALT + np.uint64(c + 1)))
-        possible = min(2 * (1 << c) * (100 - percent) // (100 + percent), n * (100 - percent) // percent)
-        if len(first) <= possible:
+            out.append(sign(sums + at[first] * _SALT, c, 0))
+        if len(first) <= most_differences(n, c, percent):
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[first])
-            out.append(mix64(empty * _SALT + np.uint64(c + 1)))
+            out.append(sign(empty * _SALT, c, EMPTY))
     return np.concatenate(out)
 
 
@@ -92,9 +103,9 @@ def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """The size of each row's shingle set and 128 bits of its content; and rows without doc_id, with minus a count and a
-    shingle, of shingles that many of the task's sets hold."""
-    names = ["doc_id", "n", "d1", "d2", "id"]
+    """The size of each row's shingle set, 128 bits of its content and its sketch; and rows without doc_id, with minus a count
+    and a shingle, of shingles that many of the task's sets hold."""
+    names = ["doc_id", "n", "d1", "d2", "id", "s0", "s1"]
     held: list[np.ndarray] = []
     seen: set[tuple[int, int]] = set()
 
@@ -102,19 +113,21 @@ def _digests(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         shingles, counts = _frequent(held)
         held.clear()
         none = pa.nulls(len(shingles), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(-counts, pa.int64()), pa.array(shingles.view(np.int64)), none, none], names)
+        return pa.RecordBatch.from_arrays([none, pa.array(-counts, pa.int64()), pa.array(shingles.view(np.int64)), none, none, none, none], names)
 
     for batch in batches:
-        n, d1, d2 = [], [], []
+        n, d1, d2, sketches = [], [], [], []
         for value in batch.column("text"):
             s = shingle_set(value.as_py(), words)
             n.append(len(s))
             d1.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)))
             d2.append(int(mix64(s ^ _SALT).sum(dtype=np.uint64).view(np.int64)))
+            sketches.append(sketch(s).view(np.int64))
             if (d1[-1], d2[-1]) not in seen:  # a set counts once
                 seen.add((d1[-1], d2[-1]))
                 held.append(s)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), batch.column("id")], names)
+        both = np.array(sketches, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), batch.column("id"), *map(pa.array, both)], names)
         if sum(map(len, held)) > COMBINE:
             yield frequent()
             seen.clear()
@@ -231,11 +244,13 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequent:
             if doc is None or not len(s):
                 continue
             digest = mix64(s).sum(dtype=np.uint64).tobytes() + mix64(s ^ _SALT).sum(dtype=np.uint64).tobytes()
-            first = copies.setdefault(digest, doc)
-            if first != doc:
-                edges.append((first, doc))
-                held += 1
+            first = copies.get(digest)
+            if first is not None:
+                if first != doc:  # a repeated row is signed once
+                    edges.append((first, doc))
+                    held += 1
             else:
+                copies[digest] = doc
                 rare = s
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -253,6 +268,54 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequent:
     yield combined()
 
 
+#: Kinds of narrow rows: a signature and its document, one that stands for others too, the ends of an edge, and a document
+#: with the signatures of a class that it shares with each document that it links with.
+ROW, STANDS, EDGE, NEED = range(4)
+_NARROW = "key long, doc long, kind int"
+
+
+def _narrow_batch(key, doc, kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(kind, pa.int32())], ["key", "doc", "kind"])
+
+
+def _narrow(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """What ``_sign`` gives as narrow rows: homes, sketches and sizes would move with each signature, and among many partitions
+    hardly compress, as few rows of a document meet in one. Rows of kind NEED hold (document, class << 32 | signatures)."""
+    for batch in batches:
+        key, doc, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "n"))
+        edge = batch.column("edge").to_numpy(zero_copy_only=False)
+        yield _narrow_batch(key, doc, np.where(edge, EDGE, np.where(n < 0, STANDS, ROW)))
+        key, doc, n = key[~edge], doc[~edge], np.abs(n[~edge])
+        if len(key):
+            c = key & CLASS
+            at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (c[1:] != c[:-1])]))
+            filled = np.add.reduceat((key & EMPTY == 0).astype(np.int64), at)  # without those that another stands for
+            need = np.maximum(0, filled - most_differences(n[at], c[at], percent))
+            yield _narrow_batch(doc[at], c[at] << 32 | need, np.full(len(at), NEED))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, doc and falling kind: once each, those of keys that several documents have or one that stands for
+    others; other kinds of rows as they come. One row is held between batches."""
+    held, sent = np.empty((0, 3), np.int64), None
+    for batch in batches:
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
+        if (other := rows[rows[:, 2] > STANDS]).size:
+            yield _narrow_batch(*other.T)
+        rows = np.concatenate([held, rows[rows[:, 2] <= STANDS]])
+        before = np.concatenate([rows[:1] if sent is None else sent, rows[:-1]])[: len(rows)]
+        same, again = rows[:, 0] == before[:, 0], (rows[:, :2] == before[:, :2]).all(axis=1)
+        if sent is None:
+            same[:1] = again[:1] = False
+        rows, same = rows[~again], same[~again]
+        if not len(rows):
+            continue
+        kept = same | (rows[:, 2] == STANDS)
+        kept[:-1] |= same[1:]
+        held, sent = (rows[:0], rows[-1:]) if kept[-1] else (rows[-1:], rows[-2:-1] if len(rows) > 1 else sent)
+        yield _narrow_batch(*rows[kept].T)
+
+
 def _joined_up(edges: np.ndarray) -> np.ndarray:
     """Edges from the smallest to every other document of each component of ``edges``: as few as join the same."""
     parent: dict[int, int] = {}
@@ -541,6 +604,38 @@ def _large_links(sets: DataFrame, words: int, percent: int) -> DataFrame:
     return found.unionByName(_links(left, words, percent))
 
 
+def _only_shared(rows: DataFrame, partitions: int) -> DataFrame:
+    return rows.repartition(partitions, "key").sortWithinPartitions("key", "doc", F.desc("kind")).mapInArrow(lambda b: tidy(_shared(b)), _NARROW)
+
+
+def _near(signed: DataFrame, rep_of: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join up what the narrow rows ``signed`` join; ``rep_of`` (doc, rep, n, s0, s1) knows all documents.
+
+    Copies give way to their representative. Then, a few times, documents go that share fewer signatures of a class than they
+    would with any one that they link with, or so many only with those that went: chance alone, which grows with the corpus,
+    would join large sets to blocks that nothing else rules out. Rows that stand for others stay. Homes, sketches and sizes
+    are joined to what is left.
+    """
+    parts, to = shuffle_partitions(signed.sparkSession), rep_of.select("doc", "rep")
+    rows = signed.where(F.col("kind") <= STANDS).join(to, "doc").select("key", F.col("rep").alias("doc"), "kind")
+    need = signed.where(F.col("kind") == NEED).select(F.col("key").alias("doc"), F.shiftright("doc", 32).alias("c"), F.col("doc").bitwiseAND(0xFFFFFFFF).alias("need"))
+    need = need.join(to, "doc").groupBy(F.col("rep").alias("doc"), "c").agg(F.min("need").alias("need"))
+    need, c = written(need.where("need > 0"), "need"), F.col("key").bitwiseAND(CLASS)
+    rows = written(_only_shared(rows, parts), "shared")
+    for _ in range(ROUNDS):
+        has = rows.groupBy("doc", c.alias("c")).agg(F.sum((F.col("key").bitwiseAND(EMPTY) == 0).cast("long")).alias("has"))
+        few = has.join(need, ["doc", "c"]).where("has < need").select("doc", "c")
+        left = rows.withColumn("c", c).join(few.withColumn("few", F.lit(True)), ["doc", "c"], "left").where((F.col("kind") == STANDS) | F.col("few").isNull())
+        size, rows = rows.count(), written(_only_shared(left.select("key", "doc", "kind"), parts), "shared")
+        if size - rows.count() <= size * LEAST_OUT:
+            break
+    homes = rows.groupBy("doc").agg(F.min("key").alias("home")).join(rep_of.where("doc = rep").drop("rep"), "doc")
+    n = F.when(F.col("kind") == STANDS, -F.col("n")).otherwise(F.col("n")).cast("int")
+    rows = rows.join(homes, "doc").select("key", "doc", "home", "s0", "s1", n.alias("n"), F.lit(False).alias("edge"))
+    met = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: tidy(_meet(b, percent)), "a long, b long")
+    return met.unionByName(signed.where(F.col("kind") == EDGE).select(F.col("key").alias("a"), F.col("doc").alias("b")))
+
+
 def near_duplicates(df: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of a table with doc_id and text.
 
@@ -577,20 +672,19 @@ def _linked(df: DataFrame, words: int, percent: int) -> DataFrame:
     spark = df.sparkSession
     arrow_limits(spark)
     df = df.select(_row_key().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("id"))
-    found = written(df.mapInArrow(lambda b: tidy(_digests(b, words)), "doc_id long, n long, d1 long, d2 long, id long"), "digests")
+    found = written(df.mapInArrow(lambda b: tidy(_digests(b, words)), "doc_id long, n long, d1 long, d2 long, id long, s0 long, s1 long"), "digests")
     sizes = found.where("n >= 0")
     top = found.where("n < 0").groupBy("d1").agg(F.sum("n").alias("n")).orderBy("n", "d1").limit(FREQUENT).select("d1").toArrow()
     frequent = np.sort(top["d1"].to_numpy().view(np.uint64)).tobytes()
     first = sizes.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    of_doc = written(sizes.join(first, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep", "id"), "representatives")
-    rep_of = of_doc.where("rep IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "rep", "n").dropDuplicates(["doc"])
+    of_doc = written(sizes.join(first, ["n", "d1", "d2"], "left").select("doc_id", "n", "rep", "id", "s0", "s1"), "representatives")
+    rep_of = of_doc.where("rep IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "rep", "n", "s0", "s1").dropDuplicates(["doc"])
 
-    signed = df.mapInArrow(lambda b: tidy(_sign(b, words, percent, frequent)), _SIGNED_SCHEMA)
+    signed = df.mapInArrow(lambda b: tidy(_narrow(_sign(b, words, percent, frequent), percent)), _NARROW)
     shingles = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # a set of the mean size of its class signs twice in so many parts at most
     partitions = max(shuffle_partitions(spark), part_count(shingles, percent) * 3 // 2 // PARTITION_ROWS)
-    near = signed.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(lambda b: tidy(_meet(b, percent)), "a long, b long")
-    near = written(near.distinct(), "near")  # an edge can come from several partitions
+    near = written(_near(written(_only_shared(signed, partitions), "signed"), rep_of, percent).distinct(), "near")  # an edge can come from several partitions
     near = near.join(rep_of.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), "a").join(rep_of.select(F.col("doc").alias("b"), F.col("rep").alias("rb")), "b")
     near = near.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     blocks = connected_components(near)

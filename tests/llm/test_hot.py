@@ -93,3 +93,34 @@ def test_large_blocks_move_by_what_is_not_joined(spark, monkeypatch):
     assert got == brute(rows, 3, 90)
     copies = sum(r["sum(high)"] - r["sum(low)"] + r["count(1)"] for r in moved if r["count(1)"])
     assert len(moved) == 4 and copies < len(rows) * (len(rows) / 16) / 2
+
+
+def test_large_sets_that_share_by_chance_do_not_move(spark, monkeypatch):
+    """Large sets that share a passage, and a signature or two of hundreds, but are far from linking: no block holds them, and
+    their signatures move as a key and a document, without what is the same for all signatures of a document."""
+    rng, rows, moved = random.Random(5), [], []
+    words = [[f"w{i}_{rng.random()}" for _ in range(1500)] for i in range(40)]
+    for i in range(39):
+        words[i + 1][:300] = words[i][-300:]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(100, " ".join(words[0][:-20]))]
+    sets = [jaccard.shingle_set(text, 5) for _, text in rows]
+    signed = [jaccard.signatures(s, 80) for s in sets]
+    assert sum(len(jaccard.np.intersect1d(a, b)) > 0 for a, b in zip(signed[:39], signed[1:40], strict=True)) > 20
+    whole = jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda sets, words, percent: (moved.append(sets.count()), whole(sets, words, percent))[1])
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: 0 if i == 100 else i for i, _ in rows}
+    assert moved == [2]
+    batch = jaccard.pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    narrow = list(jaccard._narrow(jaccard._sign(iter([batch]), 5, 80, b""), 80))
+    assert {tuple(b.schema.names) for b in narrow} == {("key", "doc", "kind")}
+    table = jaccard.pa.Table.from_batches(narrow).sort_by([("key", "ascending"), ("doc", "ascending"), ("kind", "descending")])
+    key, doc, kind = (table[c].to_pylist() for c in table.column_names)
+    held = {}
+    for k, d, at in zip(key, doc, kind, strict=True):
+        if at <= jaccard.STANDS:
+            held.setdefault(k, set()).add(d)
+    for size in (1, 7, 1 << 20):  # where batches end makes no difference
+        out = jaccard.pa.Table.from_batches(list(jaccard._shared(iter(table.combine_chunks().to_batches(max_chunksize=size)))))
+        some = sorted((k, d) for k, d, at in zip(*(out[c].to_pylist() for c in out.column_names), strict=True) if at <= jaccard.STANDS)
+        assert some == sorted((k, d) for k, ds in held.items() if len(ds) > 1 for d in ds)
