@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,10 +185,13 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (mix64(code + mix64(lang)) ^ _TOP, q)], ["key", "q"])
 
 
-def _collected(model: DataFrame) -> tuple[bytes, bytes]:
-    """The model's sorted hash arrays, 16 bytes an n-gram."""
+def _collected(model: DataFrame) -> tuple[str, bytes, bytes]:
+    """The digest of the model's sorted hash arrays, and these: 16 bytes an n-gram."""
     found = model.mapInArrow(_hashed, "key long, q long").orderBy("key").toArrow()
-    return tuple(b"".join(chunk.to_numpy().tobytes() for chunk in found[c].chunks) for c in ("key", "q"))
+    keys, q = (b"".join(chunk.to_numpy().tobytes() for chunk in found[c].chunks) for c in ("key", "q"))
+    digest = hashlib.sha256(keys)
+    digest.update(q)
+    return digest.hexdigest(), keys, q
 
 
 class GramTable:
@@ -210,15 +214,16 @@ class GramTable:
         return at
 
 
-_tables: dict[int, GramTable] = {}
+_tables: dict[str, GramTable] = {}
 
 
 def _table(broadcast) -> GramTable:
-    """The worker's table of a broadcast, made once."""
-    if (key := hash(broadcast.value[0][:4096]) ^ len(broadcast.value[0])) not in _tables:
+    """The worker's table of a broadcast, made once; known by the digest of all it holds, as workers outlive a model."""
+    digest, keys, q = broadcast.value
+    if digest not in _tables:
         _tables.clear()
-        _tables[key] = GramTable(*broadcast.value)
-    return _tables[key]
+        _tables[digest] = GramTable(keys, q)
+    return _tables[digest]
 
 
 _SIGNS = np.zeros(256, dtype=bool)
@@ -293,7 +298,7 @@ def _joined_scores(df: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def bands(scored: DataFrame) -> DataFrame:
-    """(__lang, low, high): the least and the greatest log_ppl kept of each language of a table (__lang, log_ppl).
+    """(__lang, __low, __high): the least and the greatest log_ppl kept of each language of a table (__lang, log_ppl).
 
     Medians and median deviations are exact on BINS bins a nat: of a histogram of integers, the same on any cluster, with at
     most as many rows a language as it has texts or bins.
@@ -302,7 +307,7 @@ def bands(scored: DataFrame) -> DataFrame:
     mid = bins.groupBy("__lang").agg(F.percentile("bin", 0.5, F.col("n")).alias("mid"))
     off = bins.join(mid, "__lang").groupBy("__lang", "mid").agg(F.percentile(F.abs(F.col("bin") - F.col("mid")), 0.5, F.col("n")).alias("off"))
     reach = F.greatest(F.lit(BAND * 1.4826 / BINS) * F.col("off"), F.lit(FLOOR))
-    return off.select("__lang", (F.col("mid") / BINS - reach).alias("low"), (F.col("mid") / BINS + reach).alias("high"))
+    return off.select("__lang", (F.col("mid") / BINS - reach).alias("__low"), (F.col("mid") / BINS + reach).alias("__high"))
 
 
 def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -344,5 +349,5 @@ def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
     log_ppl = F.when(F.col("n_words") > 0, F.col("__units") / F.col("n_words") / NAT)
     scored = written(scored.withColumns({"log_ppl": log_ppl, "base_failed": failed}).drop("__units", "__key", "__half", *drop), "scored")
     limits = if_small(written(bands(scored.where(~F.col("base_failed") & F.col("log_ppl").isNotNull())), "bands"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
-    return scored.join(limits, "__lang", "left").withColumn("kept", kept).drop("__lang", "low", "high")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("__low"), F.col("__high")), F.lit(False))
+    return scored.join(limits, "__lang", "left").withColumn("kept", kept).drop("__lang", "__low", "__high")
