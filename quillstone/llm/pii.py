@@ -20,7 +20,8 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"://[^\s\"'<>]+")
-VALUE = re.compile(r"[\x20\t]*(?:(?:no|number|nr)\.?)?[\x20\t]*[:=#]?[\x20\t]*[\"']?([A-Za-z0-9][A-Za-z0-9_/+-]{5,})")
+#: Blanks are taken once and for all at each place, so that a run of them is read once.
+VALUE = re.compile(r"[\x20\t]*+(?:(?:no|number|nr)\.?)?[\x20\t]*+[:=#]?[\x20\t]*+[\"']?([A-Za-z0-9][A-Za-z0-9_/+-]{5,})")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 #: Public shapes of access keys, by the prefix that anchors them (fixed values).
@@ -34,9 +35,11 @@ KEYS = {
     "xoxp-": re.compile(r"xoxp-[0-9A-Za-z-]{20,}"),
     "AIza": re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
     "sk-": re.compile(r"sk-[0-9A-Za-z_-]{20,}"),
-    "eyJ": re.compile(r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
+    "eyJ": re.compile(r"eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"),
     "-----BEGIN ": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
 }
+#: The rest of a token's first part: where none begins at a place of it, none begins at a later one.
+PART = re.compile(r"[0-9A-Za-z_-]*+")
 #: Words before an account identifier or a secret.
 CUES = (
     "account", "acct", "iban", "passport", "ssn", "token", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "secret", "user_id", "customer_id",
@@ -92,7 +95,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     check digits fit, key from the prefixes of access keys.
     """
     out: list[tuple[str, int, int]] = []
-    end = dict.fromkeys(KINDS, 0)
+    end, dead = dict.fromkeys(KINDS, 0), 0
     for last, (kind, size) in _automaton().iter(text):
         at = last - size + 1
         if kind == "digit":
@@ -130,9 +133,12 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 if "@" in m[0] or "?" in m[0]:  # user information or query parameters: the parts that tell of a person
                     out.append(("url", start, m.end()))
         elif kind.startswith("key "):
-            if at >= end["key"] and not text[max(0, at - 1) : at].isalnum() and (m := KEYS[kind[4:]].match(text, at)):
-                end["key"] = m.end()
-                out.append(("key", at, m.end()))
+            if at >= end["key"] and not (at < dead and kind == "key eyJ") and not text[max(0, at - 1) : at].isalnum():
+                if m := KEYS[kind[4:]].match(text, at):
+                    end["key"] = m.end()
+                    out.append(("key", at, m.end()))
+                elif kind == "key eyJ":
+                    dead = PART.match(text, at).end()
         elif not (text[at - 1 : at].isalnum() or text[last + 1 : last + 2].isalnum()) and (m := VALUE.match(text, last + 1)):
             if m.start(1) >= end["account"] and any(c in DIGITS for c in m[1]):
                 end["account"] = m.end(1)
