@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import if_small, written
 
-#: Elements without visible text, and the tags that end a line; both forms are legal in Java's and in RE2's syntax.
-HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<head\b.*?</head>"
-BREAKS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|nav|article|footer|header|table|tr|td|section|br|title|body|html|hr|main|aside|pre|blockquote)\b[^>]*>"
-TAGS = r"<[^>]*>"
+#: Elements without visible text, and the tags that end a line; both forms are legal in Java's and in RE2's syntax. An element
+#: without an end takes the rest, and a tag ends before the next one begins, so that no start is searched for twice.
+HIDDEN = r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)|<head\b.*?(?:</head>|\z)"
+BREAKS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|nav|article|footer|header|table|tr|td|section|br|title|body|html|hr|main|aside|pre|blockquote)\b[^<>]*>"
+TAGS = r"<[^<>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -20,7 +21,8 @@ def host_of(url: Column) -> Column:
 
 
 def page_text(html: Column) -> Column:
-    """Visible text of a page: hidden elements go, block tags become line breaks, other tags go."""
+    """Visible text of a page: hidden elements go (one without an end, with all that follows), block tags become line breaks,
+    other tags go. A ``<`` that another one follows before any ``>`` is text."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BREAKS, "\n"), TAGS, "")
 
 
