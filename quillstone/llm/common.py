@@ -13,7 +13,7 @@ from quillstone.scratch import if_small, scratch_path, written
 from quillstone.session import ship
 
 __all__ = [
-    "arrow_limits", "if_small", "mix64", "scratch_path", "shingle_hashes", "shuffle_partitions", "tidy", "utf8", "word_hashes", "word_spans", "written",
+    "arrow_limits", "if_small", "joined_texts", "lowered", "mix64", "outside_of", "scratch_path", "shingle_hashes", "shuffle_partitions", "tidy", "utf8", "word_hashes", "word_spans", "written",
 ]
 
 #: Rows and bytes of one Arrow batch sent to Python; bounds a worker's memory whatever the text lengths are.
@@ -67,24 +67,24 @@ def _place_value(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
 _VALUES = _place_value(np.arange(NEAR * 256) >> 8, (np.arange(NEAR * 256) & 255).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+``."""
+def word_spans(data: np.ndarray, outside: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, or of the runs of bytes that are not ``outside``."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)
-    inside[1:-1] = ~_WHITE[data]
+    inside[1:-1] = ~outside[data]
     step = np.diff(inside)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word of UTF-8 bytes, in order; equal words have equal hashes.
+def word_hashes(data: np.ndarray, lower: bool = False, outside: np.ndarray = _WHITE) -> np.ndarray:
+    """A 64-bit hash of each word of UTF-8 bytes, in order; equal words have equal hashes. ``outside`` as in ``word_spans``.
 
     The sum of an unrelated value for each pair of place and byte, and the length: no pattern of bytes makes words collide more
     often than chance, as it would with powers of one base modulo 2**64.
     """
-    starts, ends = word_spans(data) if len(data) else (data, data)
+    starts, ends = word_spans(data, outside) if len(data) else (data, data)
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    data = (_LOWER[data] if lower else data)[~_WHITE[data]]
+    data = (_LOWER[data] if lower else data)[~outside[data]]
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(data)) - np.repeat(first, lengths)
@@ -109,5 +109,25 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def outside_of(*ranges: tuple[int, int]) -> np.ndarray:
+    """The bytes in none of the ranges (ends included), as a mask over all 256."""
+    mask = np.ones(256, dtype=bool)
+    for a, b in ranges:
+        mask[a : b + 1] = False
+    return mask
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
+def joined_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends) of a batch's texts in one array, a line feed behind each; ends are where the next text begins. Null is empty."""
+    raw = [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+    ends = np.cumsum(np.array([len(t) + 1 for t in raw], dtype=np.int64))
+    return np.frombuffer(b"".join(t + b"\n" for t in raw), dtype=np.uint8), ends
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

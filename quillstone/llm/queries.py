@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, jaccard, lines, mixing, packing, perplexity, pii, sharding, tokens, warc, webp
+from quillstone.llm import common, jaccard, lines, mixing, packing, perplexity, pii, resample, sharding, tokens, warc, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,5 +93,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), drop=("text",)).drop("lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_site_lines, op4_mix_sources, op5_jaccard_join, op6_private_data, op7_shard_documents, op8_warc_round_trip, op9_pack_curve, op10_quality_rules)}
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_site_lines, op4_mix_sources, op5_jaccard_join, op6_private_data, op7_shard_documents, op8_warc_round_trip, op9_pack_curve, op10_quality_rules, op13_resample)}
 SQL = {"op3_site_lines": OP3_SQL, "op8_warc_round_trip": OP8_SQL}
