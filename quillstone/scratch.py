@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Spark's setting by which a finished query's shuffle files are removed at once.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows of a written table up to which it is broadcast in a join.
-BROADCAST_ROWS = 1 << 19
+#: Rows of a written table, and bytes of its compressed files, up to which it is broadcast in a join.
+BROADCAST_ROWS, BROADCAST_BYTES = 1 << 19, 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -50,10 +50,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def file_bytes(df: DataFrame) -> int:
+    """The length of the files of a table read from files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A written table of narrow rows, to be broadcast in a join if it has at most ``rows`` (BROADCAST_ROWS) rows; beyond that
-    the join shuffles, and adaptive execution splits hot keys. The rows come out the same."""
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+    """A written table, to be broadcast in a join if it has at most ``rows`` (BROADCAST_ROWS) rows in files of at most
+    BROADCAST_BYTES; beyond that the join shuffles, and adaptive execution splits hot keys. The rows come out the same."""
+    small = file_bytes(df) <= BROADCAST_BYTES and df.count() <= (BROADCAST_ROWS if rows is None else rows)
+    return F.broadcast(df) if small else df
 
 
 def stamp_of(spark: SparkSession, path: str) -> tuple:
