@@ -59,7 +59,7 @@ def discard(df: DataFrame) -> None:
 
 def file_bytes(df: DataFrame) -> int:
     """The length of the files of a table read from files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
