@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quillstone.scratch import if_small, scratch_path, written
+from quillstone.scratch import discard, if_small, scratch_path, written
 from quillstone.session import ship
 
 __all__ = [
-    "arrow_limits", "if_small", "joined_texts", "lowered", "mix64", "outside_of", "scratch_path", "shingle_hashes", "shuffle_partitions", "tidy", "utf8", "word_hashes", "word_spans", "written",
+    "arrow_limits", "discard", "if_small", "joined_texts", "lowered", "mix64", "outside_of", "ranked", "scratch_path", "shingle_hashes", "shuffle_partitions", "tidy", "utf8", "word_hashes", "word_spans", "written",
 ]
 
 #: Rows and bytes of one Arrow batch sent to Python; bounds a worker's memory whatever the text lengths are.
@@ -41,6 +42,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one range of a sort that numbers rows, about.
+RANGE_ROWS = 1 << 20
+
+
+def ranked(rows: DataFrame, order: list, at: str) -> DataFrame:
+    """Adds ``at``: each row's place from 1 in the order of all rows, which is to be a total one. Rows are range-sorted; a range's
+    rows are numbered in it, and a row a range tells how many are before. ``rows`` is read twice."""
+    parts = max(shuffle_partitions(rows.sparkSession), rows.count() // RANGE_ROWS)
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn(at, place).join(F.broadcast(base), "__part").withColumn(at, (F.col(at) + F.col("__before")).cast("long")).drop("__part", "__before")
+
+
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, jaccard, lines, mixing, packing, perplexity, pii, resample, sharding, tokens, wand, warc, webp
+from quillstone.llm import common, jaccard, lines, mixing, packing, perplexity, phrases, pii, resample, sharding, tokens, wand, warc, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), drop=("text",)).drop("lang")
 
 
+def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.cut_repeats(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wand.search(wand.Index.of(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -117,5 +122,5 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_site_lines, op4_mix_sources, op5_jaccard_join, op6_private_data, op7_shard_documents, op8_warc_round_trip, op9_pack_curve, op10_quality_rules, op12_block_max_wand, op13_resample)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_site_lines, op4_mix_sources, op5_jaccard_join, op6_private_data, op7_shard_documents, op8_warc_round_trip, op9_pack_curve, op10_quality_rules, op11_repeated_phrases, op12_block_max_wand, op13_resample)}
 SQL = {"op3_site_lines": OP3_SQL, "op8_warc_round_trip": OP8_SQL, "op12_block_max_wand": OP12_SQL}

@@ -7,15 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, joined_texts, lowered, outside_of, shuffle_partitions, tidy, word_spans, written
+from quillstone.llm.common import arrow_limits, joined_texts, lowered, outside_of, ranked, tidy, word_spans, written
 
 #: Words: digits, small letters and all that is not ASCII.
 OUTSIDE = outside_of((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
-#: Rows of one range of the sort that ranks documents, about; bytes of a word up to which words are read side by side.
-RANGE_ROWS, NEAR = 1 << 20, 64
+#: Bytes of a word up to which words are read side by side.
+NEAR = 64
 #: CRC-32's polynomial, bits reversed (a fixed value).
 POLYNOMIAL = 0xEDB88320
 
@@ -153,18 +153,6 @@ def bucket_gains(documents: DataFrame, target: DataFrame, *, n: int, buckets: in
     return both.crossJoin(F.broadcast(sums)).select("bucket", F.floor(1000.0 * F.log(ratio)).alias("gain"))
 
 
-def ranked(rows: DataFrame, order: list, at: str) -> DataFrame:
-    """Adds ``at``: each row's place from 1 in the order of all rows, which is to be a total one. Rows are range-sorted; a range's
-    rows are numbered in it, and a row a range tells how many are before."""
-    parts = max(shuffle_partitions(rows.sparkSession), rows.count() // RANGE_ROWS)
-    dealt = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy("__part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))  # one row a range
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.withColumn(at, place).join(F.broadcast(base), "__part").withColumn(at, (F.col(at) + F.col("__before")).cast("long")).drop("__part", "__before")
-
-
 def resample(documents: DataFrame, target: DataFrame, *, n: int = 1, buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: int = 2024) -> DataFrame:
     """doc_id, n_features, weight, score and rank for each row of a table with doc_id and text.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import resample
+from quillstone.llm import common, resample
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -84,7 +84,7 @@ def test_empty_tables(spark):
 
 def test_ranks_of_equal_rows_and_many_ranges(spark, monkeypatch):
     """A third of the rows are one row, over many ranges of the sort."""
-    monkeypatch.setattr(resample, "RANGE_ROWS", 50)
+    monkeypatch.setattr(common, "RANGE_ROWS", 50)
     docs = [(i, "some words of text here " * (i % 7)) for i in range(400)] + [(7, "one row many times " * 5)] * 200
     target = ["text here"]
     df = spark.createDataFrame(docs, "doc_id long, text string")
