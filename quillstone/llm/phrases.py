@@ -144,15 +144,16 @@ def _letter(i: int) -> str:
 
 
 class Phrases:
-    """An automaton over words of the phrases of ``window`` words that texts of smaller documents hold."""
+    """An automaton over words of phrases of ``window`` words: of each text of a document those that begin at its words from
+    ``low`` to ``high``."""
 
-    def __init__(self, texts: list[tuple[int, bytes]], window: int):
+    def __init__(self, texts: list[tuple[int, bytes, int, int]], window: int):
         import ahocorasick
 
         self.letters: dict[bytes, str] = {}
         self.window, least = window, {}
-        for doc_id, text in texts:
-            word = "".join([self.letters.get(w) or self.letters.setdefault(w, _letter(len(self.letters))) for w in text.split()])
+        for doc_id, text, low, high in texts:
+            word = "".join([self.letters.get(w) or self.letters.setdefault(w, _letter(len(self.letters))) for w in text.split()[max(0, low) : high + window]])
             for i in range(len(word) - window + 1):
                 phrase = word[i : i + window]
                 if least.get(phrase, doc_id) >= doc_id:
@@ -184,11 +185,11 @@ def _locate(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     now, texts, phrases = None, [], None
     for batch in batches:
         rows = []
-        for chunk, kind, no, doc_id, at, words in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "no", "doc_id", "at", "words")), strict=True):
+        for chunk, kind, no, doc_id, at, low, high, words in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "no", "doc_id", "at", "low", "high", "words")), strict=True):
             if chunk != now:
                 now, texts, phrases = chunk, [], None
             if kind == 0:
-                texts.append((doc_id, words))
+                texts.append((doc_id, words, low - at, high - at))
                 continue
             if phrases is None:
                 phrases, texts = Phrases(texts, window), []
@@ -227,7 +228,7 @@ def cut_repeats(df: DataFrame, *, window: int = 13) -> DataFrame:
        windows; marks of one text only go, combined before the shuffle. Windows under the others are hashed (96 bits), and
        those that two texts hold are known by the first document that has them.
     2. Automata are compiled by chunks of the documents' pieces: a chunk gets the texts of just those pieces of smaller
-       documents that hold a window which also occurs in it.
+       documents that hold a window which also occurs in it, and compiles what lies between the first and the last such window.
     3. The pieces of all documents pass their chunk's automaton, which finds each occurrence, word by word: hashes decide only
        what is looked at.
 
@@ -259,13 +260,15 @@ def cut_repeats(df: DataFrame, *, window: int = 13) -> DataFrame:
     windows = written(pieces.select("no", "at", "words").mapInArrow(lambda b: tidy(_hash_windows(b, window)), "h long, g int, place long"), "windows")
     chunks = max(shuffle_partitions(spark), windows.count() // CHUNK)
     chunk = lambda no, piece: F.pmod(F.xxhash64(no, F.floor(piece / TOGETHER)), F.lit(chunks)).alias("chunk")
-    no_of, piece_of = (lambda c: F.shiftright(c, PLACE)), (lambda c: F.floor(F.col(c).bitwiseAND((1 << PLACE) - 1) / PIECE).cast("int"))
+    no_of, word_of = (lambda c: F.shiftright(c, PLACE)), (lambda c: F.col(c).bitwiseAND((1 << PLACE) - 1).cast("int"))
+    piece_of = lambda c: F.floor(word_of(c) / PIECE).cast("int")
     first = windows.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(no_of("first") < no_of("last"))
     met = windows.join(first, ["h", "g"]).where(no_of("place") > no_of("first"))
-    routes = met.select(chunk(no_of("place"), piece_of("place")), no_of("first").alias("no"), piece_of("first").alias("piece")).distinct()
-    columns = ["chunk", "kind", "no", "doc_id", "at", "words"]
+    routes = met.select(chunk(no_of("place"), piece_of("place")), no_of("first").alias("no"), piece_of("first").alias("piece"), word_of("first").alias("word"))
+    routes = routes.groupBy("chunk", "no", "piece").agg(F.min("word").alias("low"), F.max("word").alias("high"))
+    columns = ["chunk", "kind", "no", "doc_id", "at", "low", "high", "words"]
     phrases = written(routes, "routes").join(pieces, ["no", "piece"]).withColumn("kind", F.lit(0)).select(*columns)
-    streamed = pieces.withColumns({"chunk": chunk(F.col("no"), F.col("piece")), "kind": F.lit(1)}).select(*columns)
+    streamed = pieces.withColumns({"chunk": chunk(F.col("no"), F.col("piece")), "kind": F.lit(1), "low": F.lit(None).cast("int"), "high": F.lit(None).cast("int")}).select(*columns)
     dealt = phrases.unionByName(streamed).repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind")
     spans = dealt.mapInArrow(lambda b: tidy(_locate(b, window)), "no long, start int, stop int")
     spans = spans.groupBy("no").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
