@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, discard, if_small, ranked, shingle_hashes, shuffle_partitions, tidy, utf8, word_hashes, word_spans, written
+from quillstone.llm.common import arrow_limits, discard, ranked, shingle_hashes, shuffle_partitions, tidy, utf8, word_hashes, word_spans, written
 
 #: Words of the shingles whose least hash marks a window.
 SHINGLE = 5
@@ -232,8 +232,8 @@ def cut_repeats(df: DataFrame, *, window: int = 13) -> DataFrame:
     3. The pieces of all documents pass their chunk's automaton, which finds each occurrence, word by word: hashes decide only
        what is looked at.
 
-    Scale: whole texts are not shuffled while what is joined to them is small, and once, by document, beyond that; copies of a
-    text are one document for all steps. Frequent marks, windows and passages are combined in each task, and the joins
+    Scale: texts are shuffled twice, by document, to meet their marks and to meet what goes; nothing that grows with the table is
+    broadcast. Copies of a text are one document for all steps. Frequent marks, windows and passages are combined in each task, and the joins
     they are in can be split. A long document is dealt to many chunks. Memory follows a chunk or one text.
 
     Edge cases: null and empty texts have no words; a row without doc_id keeps all words and takes none from others; rows that
@@ -247,14 +247,14 @@ def cut_repeats(df: DataFrame, *, window: int = 13) -> DataFrame:
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", th, tg, "text")
     marks = written(named.select("th", "text").mapInArrow(lambda b: tidy(_mark(b, window)), "mark long, th long, at int, n int"), "marks")
     shared = written(marks.groupBy("mark").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("mark"), "shared")
-    runs = marks.join(if_small(shared), "mark").select("th", "at", "n").distinct().groupBy("th").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    runs = marks.join(shared.hint("merge"), "mark").select("th", "at", "n").distinct().groupBy("th").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     # the first document of each text, numbered in their order
     keys = named.select("doc_id", "th", "tg")
     firsts = written(keys.groupBy("th", "tg").agg(F.min("doc_id").alias("doc_id")), "firsts")
     numbered = ranked(firsts, [F.col("doc_id"), F.col("th"), F.col("tg")], "no")
     wanted = written(numbered.join(runs, "th"), "wanted")
     discard(marks)
-    cut = named.join(if_small(wanted), ["doc_id", "th", "tg"]).select("no", "doc_id", "text", "runs")
+    cut = named.join(wanted.hint("merge"), ["doc_id", "th", "tg"]).select("no", "doc_id", "text", "runs")
     pieces = written(cut.mapInArrow(lambda b: tidy(_cut(b, window)), "no long, doc_id long, piece int, at int, words binary"), "pieces")
 
     windows = written(pieces.select("no", "at", "words").mapInArrow(lambda b: tidy(_hash_windows(b, window)), "h long, g int, place long"), "windows")
@@ -278,7 +278,7 @@ def cut_repeats(df: DataFrame, *, window: int = 13) -> DataFrame:
     copies = copies.select("doc_id", "th", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans"))
     gone = written(own.unionByName(copies), "spans")
     discard(windows)
-    rows = docs.withColumn("th", th).join(if_small(gone), ["doc_id", "th"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
+    rows = docs.withColumn("th", th).join(gone.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
     kind = dict(df.dtypes)["doc_id"]
     out = rows.mapInArrow(lambda b: tidy(_keep(b, window)), "doc_id long, n_words long, n_removed long, text string")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
