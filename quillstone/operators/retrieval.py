@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.vectors import nearest
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 LEGACY_K1, LEGACY_B = 1.5, 0.75
 RRF_K, CANDIDATES, BUDGET, WIDEN = 60, 60, 2000, 4
@@ -97,31 +99,18 @@ def relation_channel(wanted: DataFrame, relations: DataFrame, n_blocks: int, k:
     return top_k(hits.withColumn("late", some & ~F.col("scoped")), k, by=[F.col("late"), F.col("path"), F.col("ordinal")]).drop("expanded", "scoped", "late")
 
 
-def dot(a: str | Column, b: str | Column) -> Column:
-    product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
-
-
-#: Queries that are met at once, and up to which number they are broadcast.
-QUERY_BLOCK, SENT_QUERIES = 1024, 1 << 14
+def floored(ranked: DataFrame, floor: float | None) -> DataFrame:
+    """Ranked rows without those of queries whose best score is below the floor."""
+    if floor is None:
+        return ranked
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return ranked.withColumn("best", best).where(F.col("best") >= floor).drop("best")
 
 
 def vector_channel(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, *, floor: float | None = None, id_col: str = "vec_id") -> DataFrame:
-    """The nearest vectors of each query by dot product: every query against all vectors, a block of queries at a time.
-
-    queries: (query_id, query): a stated query set, in blocks of QUERY_BLOCK. Up to SENT_QUERIES go to all tasks; more are met
-    partition by partition, without being sent anywhere whole. Each task keeps its best k a query, so only k rows a query
-    and task are shuffled. With ``floor`` queries whose best is below it get none."""
-    n = queries.count()
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK))))
-    packed = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "query")).alias("qs")).select("qs")
-    every = vectors.crossJoin(F.broadcast(packed) if n <= SENT_QUERIES else packed).select(id_col, "embedding", F.explode("qs").alias("q"))
-    scored = every.select("q.query_id", id_col, dot("q.query", "embedding").alias("score"))
-    out = top_k(scored, k, by=[F.round("score", 6).desc(), F.col(id_col)])
-    if floor is None:
-        return out
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return out.withColumn("best", best).where(F.col("best") >= floor).drop("best")
+    """The nearest vectors of each query by dot product, every query against all vectors; see ``vectors.nearest``, and
+    ``vectors.VectorIndex`` for an index that skips."""
+    return nearest(queries, vectors, k, floor=floor, id_col=id_col)
 
 
 def and_search(queries: DataFrame, scored: DataFrame, postings: DataFrame, *, keys: list[str], k: int = 10) -> DataFrame:

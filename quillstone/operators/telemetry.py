@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.session import ship
+
 # Shapes of secrets and names of sensitive keys.
 SECRETS = (
     (r"nvapi-[A-Za-z0-9_\-]{30,}", "[REDACTED_NVIDIA_KEY]"),
@@ -36,14 +41,63 @@ def redact_map(fields: Column) -> Column:
     return F.transform_values(fields, of)
 
 
+#: A string, a mark or any other run of a JSON text, each read once whatever its length.
+TOKEN = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]++', re.S)
+BLANKS = re.compile(r"\s*")
+_PYTHON = [(re.compile(p), label) for p, label in SECRETS]
+
+
+def redacted(text: str) -> str:
+    """A JSON text with the value of every sensitive key masked, whatever its type and depth, and secrets in all other strings;
+    the rest stays as it is written. What is no JSON is masked whole if it names a sensitive key, else where it has secrets."""
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        named = any(s in text.lower() for s in SENSITIVE)
+        return json.dumps("[REDACTED]") if named else _masked(text)
+    out, at, name = [], 0, ""  # name: the last string, a key if a colon follows
+    hide, depth = False, 0  # whether a value is being left out, and its open brackets
+    for m in TOKEN.finditer(text):
+        t = m[0]
+        if hide:
+            depth += (t in "{[") - (t in "}]")
+            if depth == 0:
+                out.append(json.dumps("[REDACTED]"))
+                hide, at = False, m.end()
+            continue
+        out.append(text[at : m.start()])
+        at = m.end()
+        if t == ":" and any(s in name.lower() for s in SENSITIVE):
+            hide = True
+            at = BLANKS.match(text, at).end()
+            out += t, text[m.end() : at]
+        elif t[0] == '"':
+            name = json.loads(t)
+            clean = _masked(name)
+            out.append(t if clean == name else json.dumps(clean, ensure_ascii=False))
+        else:
+            out.append(t)
+    return "".join([*out, text[at:]])
+
+
+def _masked(text: str) -> str:
+    for pattern, label in _PYTHON:
+        text = pattern.sub(label, text)
+    return text
+
+
+def _redacted_all(texts: pd.Series) -> pd.Series:
+    return texts.map(redacted, na_action="ignore")
+
+
 def redact_json(text: Column) -> Column:
-    """JSON text with the texts of sensitive keys masked whole, at any depth, and secrets in others."""
-    key = r'"([^"\\]*(?:' + "|".join(SENSITIVE) + r')[^"\\]*)"'
-    return redact(F.regexp_replace(text, "(?i)" + key + r'\s*:\s*"(?:[^"\\]|\\.)*"', '"$1":"[REDACTED]"'))
+    """JSON text with the values of sensitive keys masked whole, at any depth, and secrets in other strings; null stays null."""
+    ship(SparkSession.active())
+    return F.pandas_udf(_redacted_all, "string")(text)
 
 
 def write_traces(traces: DataFrame, path: str) -> None:
-    """Append traces, redacted, as JSON lines: texts of sensitive keys whole, secrets in any text, at any depth."""
+    """Append traces, redacted, as JSON lines: any value of a sensitive key, secrets in any text, at any depth."""
     traces.select(redact_json(F.to_json(F.struct(*traces.columns)))).write.mode("append").text(path)
 
 

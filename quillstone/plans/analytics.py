@@ -407,9 +407,23 @@ r AS (SELECT event_type, key, CASE WHEN {" OR ".join(f"contains(lower(key), '{s}
 SELECT event_type, key, count(*) AS n, count(*) FILTER (WHERE value = '[REDACTED]') AS n_redacted, count(*) FILTER (WHERE value = 'Bearer [REDACTED_TOKEN] end') AS n_masked FROM r GROUP BY ALL"""
 
 
+def redacted_json(spark: SparkSession, d: str) -> DataFrame:
+    """Traces as nested JSON: values of sensitive keys go whatever their type and depth, numbers and lists too."""
+    n, props = F.col("event_id").cast("string"), F.col("props")
+    q = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    made = q('{"props":', props, ',"auth":{"Api_Key":{"value":"', n, '","n":[', n, ',{"x":1}]},"user":"u', n, '","calls":[{"password":', n,
+             '},{"note":"Bearer t', n, ' end","at":1.50}]},"secret_text":"', F.repeat(q("\\\"", n), 500), '","credentials":null,"last":"a\\nb"}')
+    rows = table(spark, d, "events").select("event_id", "event_type", T.redact_json(made).alias("json"))
+    return rows.select("event_id", F.get_json_object("json", "$.auth.user").alias("user"), F.md5(F.col("json").cast("binary")).alias("json_md5"))
+
+
+SQL["redacted_json"] = """SELECT event_id, concat('u', event_id) AS "user", md5(concat('{"props":', props, ',"auth":{"Api_Key":"[REDACTED]","user":"u', event_id, '","calls":[{"password":"[REDACTED]"},{"note":"Bearer [REDACTED_TOKEN] end","at":1.50}]},"secret_text":"[REDACTED]","credentials":"[REDACTED]","last":"a\\nb"}')) AS json_md5 FROM events"""
+
+
 for _f in (
     convo_classify, convo_compact, last_user_query, trace_compact, extractive_compress, invariant_check, plan_choice, trace_rollup, strategy_histogram, comparable_totals,
     latency_distribution, nearest_rank_p95, event_stream_rollup, audit_join, pareto_frontier, option_choice, break_even, recall_by_budget, recall_pivot, cost_frontier, macro_retention,
     arm_pairs, common_cohort, paired_discordants, family_accounting, ambiguous_queries, best_attempt, two_level_average, planned_observed, quotes, needle_retention, redacted_events,
+    redacted_json,
 ):
     Q[_f.__name__] = _f

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import FUNCTION_WORDS, folded_words
 from quillstone.operators import derive, split
+from quillstone.operators.blockmax import BlockPostings
 from quillstone.scratch import stamp_of, written
 from quillstone.sources.documents import document_files
 
@@ -47,6 +48,19 @@ def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return made["blocks"], made["postings"], made["lengths"]
 
 
+def block_index(spark: SparkSession, sf_dir: str) -> BlockPostings:
+    """The documents' postings by blocks with their largest contributions, as compiled."""
+    keys = ["path", "ordinal"]
+
+    def make() -> dict[str, DataFrame]:
+        _, postings, lengths = index(spark, sf_dir)
+        made = BlockPostings.of(postings, lengths, keys=keys)
+        return {"blocks": made.blocks, "places": made.places}
+
+    made = _stored(spark, sf_dir, "block maxima", make)
+    return BlockPostings(made["blocks"], made["places"], keys)
+
+
 def document_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(postings, lengths) of whole documents, as compiled."""
 

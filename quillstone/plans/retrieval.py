@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import content_terms
 from quillstone.operators import derive, retrieval as R, sequential
+from quillstone.operators.vectors import VectorIndex
 from quillstone.plans.common import (
-    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, benchmark_queries, benchmark_terms, bm25_sql, document_index, files, index, longs, query_terms_of, table,
+    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, benchmark_queries, benchmark_terms, block_index, bm25_sql, document_index, files, index, longs, query_terms_of, table,
 )
 
 Q: dict = {}
@@ -31,7 +32,8 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(_top(_scores(spark, d)))
+    """The best blocks, from postings whose blocks are read where they can reach the threshold."""
+    return _shown(block_index(spark, d).top(benchmark_terms(spark, d), R.CANDIDATES))
 
 
 SQL["lexical_topk"] = f"""{BASE}, r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 6) AS score, {RANKED} AS rank FROM scores) SELECT * FROM r WHERE rank < 60"""
@@ -39,9 +41,8 @@ SQL["lexical_topk"] = f"""{BASE}, r AS (SELECT query_id, path, ordinal::BIGINT A
 
 def boundary_ties(spark: SparkSession, d: str) -> DataFrame:
     """All blocks as good as the tenth: ties at the boundary stay."""
-    scored = _scores(spark, d).withColumn("score", F.round("score", 2))
-    out = R.top_k(scored, 10, by=[F.col("score").desc()], ties=True)
-    return longs(out.select("query_id", "path", "ordinal", "score", "rank"), "ordinal")
+    out = block_index(spark, d).top(benchmark_terms(spark, d), 10, digits=2, ties=True)
+    return longs(out.select("query_id", "path", "ordinal", F.round("score", 2).alias("score"), "rank"), "ordinal")
 
 
 SQL["boundary_ties"] = f"""{BASE}, r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 2) AS score, rank() OVER (PARTITION BY query_id ORDER BY round(score, 2) DESC) - 1 AS rank FROM scores)
@@ -161,13 +162,20 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of every twentieth vector among all, from an inverted file whose cells are skipped by an exact bound."""
+    queries, every = _vectors(spark, d)
+    return VectorIndex.of(every).search(queries, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def vector_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an index, blocks of queries against blocks of vectors."""
     return R.vector_channel(*_vectors(spark, d), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 _VECTORS = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(q.e, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS score FROM q, embeddings v),
 r AS (SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) - 1 AS rank FROM s)"""
-SQL["vector_topk"] = _VECTORS + " SELECT * FROM r WHERE rank < 10"
+SQL["vector_topk"] = SQL["vector_scan"] = _VECTORS + " SELECT * FROM r WHERE rank < 10"
 
 
 def vector_floor(spark: SparkSession, d: str) -> DataFrame:
@@ -446,7 +454,7 @@ f AS (SELECT query_id, min(drank) FILTER (WHERE hit) AS first FROM h GROUP BY qu
 SELECT k::BIGINT AS k, count(*) AS n, count(*) FILTER (WHERE first < k) AS n_hit FROM f, (VALUES (1), (5), (20)) v(k) GROUP BY k"""
 
 for _f in (
-    lexical_topk, boundary_ties, lexical_topk_legacy, and_search, bm25_b_sweep, field_bm25, doc_first_gate, doc_first_soft, vector_topk, vector_floor, rrf_fusion, rrf_weighted,
+    lexical_topk, boundary_ties, lexical_topk_legacy, and_search, bm25_b_sweep, field_bm25, doc_first_gate, doc_first_soft, vector_topk, vector_scan, vector_floor, rrf_fusion, rrf_weighted,
     interleave, greedy_pack, fill_budget, risk_bands, info_gain_select, grouped_pack, neighbours, coalesce_spans, span_coverage, span_overlap, snippets, labelled_pack, widened,
     spelling_index, clause_rrf, evidence_recall,
 ):

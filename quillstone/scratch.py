@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Spark's setting by which a finished query's shuffle files are removed at once.
@@ -69,6 +69,22 @@ def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+#: Rows of one range of a sort that numbers rows, about.
+RANGE_ROWS = 1 << 20
+
+
+def numbered(rows: DataFrame, order: list, at: str) -> DataFrame:
+    """Adds ``at``: each row's place from 0 in the order of all rows, which is to be a total one. Rows are range-sorted; a range's
+    rows are numbered in it, and a row a range tells how many are before. ``rows`` is read twice, the result is written."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    base = dealt.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    out = dealt.withColumn(at, place).join(F.broadcast(base), "__part").withColumn(at, (F.col(at) + F.col("__before")).cast("long"))
+    return written(out.drop("__part", "__before"), "numbered")
+
+
 def stamp_of(spark: SparkSession, path: str) -> tuple:
     """What tells versions of a file or folder apart: its files' paths, lengths and times."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
