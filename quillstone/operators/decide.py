@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.skyline import frontier
 from quillstone.scratch import written
 
 
-#: Parts of a group in which rows of three measures or more are compared before all that is left of it is.
-PARETO_PARTS = 64
-
-
 def choose(options: DataFrame, *, requests: int, storage: int, slo_ms: float | None = None, key: str | None = None) -> DataFrame:
     """Options with ``reasons`` against each and ``chosen``: the eligible one with the least setup + requests * request time,
     then storage, then name, of all or of each ``key``."""
@@ -38,8 +35,8 @@ def break_even(setup: Column, cold: Column, warm: Column) -> Column:
 def pareto(rows: DataFrame, *, minimize: list[str], maximize: list[str], group: str) -> DataFrame:
     """The rows of each group that no other row of it dominates; equal rows all stay, rows with nulls or NaN go.
 
-    Two measures are swept: by the first, with the best of the second so far. More are compared by an anti-join on distinct
-    values, within parts of their group first, so that only what its part does not dominate meets the whole group."""
+    One or two measures are swept: by the first, with the best of the second so far. More are compared by a grid and chunks, see
+    ``skyline.frontier``."""
     measures = [(c, 1) for c in minimize] + [(c, -1) for c in maximize]
     valid = F.lit(True)
     for c, _ in measures:
@@ -53,21 +50,13 @@ def pareto(rows: DataFrame, *, minimize: list[str], maximize: list[str], group:
         steps = steps.withColumn("__b", F.min("__l").over(before)).where("__b IS NULL OR __l < __b")
         return marked.join(steps.drop("__b"), [group, "__m0"]).where("__m1 = __l").drop("__m0", "__m1", "__l")
     values = [f"__m{i}" for i in range(len(measures))]
-    no_worse, better = F.lit(True), F.lit(False)
-    for i in range(len(measures)):
-        no_worse, better = no_worse & (F.col(f"__o{i}") <= F.col(f"__m{i}")), better | (F.col(f"__o{i}") < F.col(f"__m{i}"))
-
-    def undominated(df: DataFrame, parts: int) -> DataFrame:
-        dealt = df.withColumn("__p", F.pmod(F.xxhash64(*values), F.lit(parts)))
-        other = dealt.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), *[F.col(v).alias(f"__o{i}") for i, v in enumerate(values)])
-        return dealt.join(other, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")) & no_worse & better, "left_anti").drop("__p")
-
-    points = marked.select(group, *values).distinct()
-    points = undominated(undominated(points, PARETO_PARTS), 1)
+    groups = marked.select(group).distinct().withColumn("gid", F.monotonically_increasing_id())
+    groups = written(groups, "groups").withColumnRenamed(group, "__g")
+    points = marked.join(groups, F.col(group).eqNullSafe(F.col("__g"))).select("gid", *values).distinct()
+    kept = frontier(points, values).join(groups, "gid").select("__g", *[F.col(v).alias(f"__o{i}") for i, v in enumerate(values)])
     same = F.col(group).eqNullSafe(F.col("__g"))
     for i, v in enumerate(values):
         same = same & (F.col(v) == F.col(f"__o{i}"))
-    kept = points.select(F.col(group).alias("__g"), *[F.col(v).alias(f"__o{i}") for i, v in enumerate(values)])
     return marked.join(kept, same, "left_semi").drop(*values)
 
 
