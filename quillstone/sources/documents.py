@@ -86,12 +86,19 @@ def scan_tree(spark: SparkSession, root: str, *, known: DataFrame | None = None,
 
     Files of other suffixes, excluded files and empty files are left out. A file over MAX_FILE_BYTES, with a NUL, not in
     UTF-8 or with a credential fails the scan where ``strict``; else it is left out. With ``known`` (path, size, mtime_ns)
-    only files whose size or time differs are opened: metadata is compared first, and the paths that differ are loaded.
+    only files whose size or time differs are opened: metadata is compared first. Below a mounted folder the paths that
+    differ stay in a table, and tasks read what they have (strictly, see ``tree.read_checked``); in a store that only Spark
+    reads, or where not ``strict``, they are listed by the driver for its reader. ``tree.checked_tree`` scans a mounted tree with
+    limits.
     """
+    from quillstone.sources.tree import local_root, read_listed
+
+    same = ["path", "size", "mtime_ns"]
+    if known is not None and strict and (mounted := local_root(root)):
+        return read_listed(mounted, tree_metadata(spark, root).join(known.select(*same), same, "left_anti"))
     if known is None:
         files = _listed(spark, root, content=True)
     else:
-        same = ["path", "size", "mtime_ns"]
         changed = [r["uri"] for r in tree_metadata(spark, root).join(known.select(*same), same, "left_anti").select("uri").collect()]
         files = _listed(spark, root, changed, content=True) if changed else _listed(spark, root, content=True).where("false")
     text = F.try_validate_utf8(F.col("content").cast("string"))
