@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import decide, passages
+from quillstone.operators import chunks, decide, derive, encoders, passages
 from quillstone.operators.modules import Definitions
 from quillstone.plans.common import INDEX, QUERY_TERMS, RANKED, benchmark_queries, benchmark_terms, block_index, bm25_sql, files, index, table
 
@@ -126,5 +126,42 @@ def pareto_three(spark: SparkSession, d: str) -> DataFrame:
 SQL["pareto_three"] = """SELECT o_orderkey, o_orderpriority FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderpriority = a.o_orderpriority AND b.o_totalprice <= a.o_totalprice AND b.o_orderdate <= a.o_orderdate
   AND b.o_custkey >= a.o_custkey AND (b.o_totalprice < a.o_totalprice OR b.o_orderdate < a.o_orderdate OR b.o_custkey > a.o_custkey))"""
 
-for _f in (definition_links, definition_closures, passage_modes, pareto_three):
+def chunk_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks in a store that has lost some and holds some others wrongly: what is found out about each document."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    refs = derive.fixed_chunks(docs, 512)
+    hurt = F.when(F.col("hash").startswith("11"), F.concat("chunk", F.lit(b"!"))).otherwise(F.col("chunk"))
+    store = derive.chunk_store(refs).where(~F.col("hash").startswith("00")).withColumn("chunk", hurt)
+    wanted = docs.select("doc_id", F.octet_length("text").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return chunks.verify(refs, store, wanted, key="doc_id")
+
+
+SQL["chunk_verify"] = """WITH c AS (SELECT doc_id, hex(encode(text)) AS h, unnest(range(0, strlen(text), 512)) AS i FROM documents),
+p AS (SELECT doc_id, sha256(unhex(h[2 * i + 1:2 * (i + 512)])) AS hash FROM c),
+n AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE hash LIKE '00%') AS n_missing, count(*) FILTER (WHERE hash LIKE '11%') AS n_damaged FROM p GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n_missing > 0 THEN 'missing' WHEN n_damaged > 0 THEN 'damaged' ELSE 'ok' END AS status, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_missing, 0) AS n_missing, coalesce(n_damaged, 0) AS n_damaged
+FROM documents LEFT JOIN n USING (doc_id)"""
+
+
+def ngram_dense(spark: SparkSession, d: str) -> DataFrame:
+    """The documents nearest to each passage by hashed words and runs of characters: the encoder slot's baseline."""
+    queries = benchmark_queries(spark, d).withColumnRenamed("query", "text")
+    out = encoders.score_blocks(queries, table(spark, d, "documents"), encoders.HashedGrams(), 5, keys=["doc_id"])
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+_GRAMS = r"""SELECT id, w AS g, 1.0::DOUBLE AS v FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM {0})
+  UNION ALL SELECT id, lower(substring(text, i, 3)), 0.5::DOUBLE FROM (SELECT id, text, unnest(range(1, length(text) - 1)) AS i FROM {0})"""
+SQL["ngram_dense"] = f"""WITH ds AS (SELECT doc_id AS id, text FROM documents), qs AS (SELECT item_id AS id, text FROM benchmark),
+dg AS ({_GRAMS.replace("{0}", "ds")}), qg AS ({_GRAMS.replace("{0}", "qs")}),
+h AS (SELECT g, (concat('0x', substr(md5(g), 1, 8))::BIGINT) % 1024 AS c FROM (SELECT g FROM dg UNION SELECT g FROM qg)),
+dv AS (SELECT id, c, sum(v * n) AS v FROM (SELECT id, g, any_value(v) AS v, count(*) AS n FROM dg GROUP BY id, g, v) JOIN h USING (g) GROUP BY id, c),
+qv AS (SELECT id, c, sum(v * n) AS v FROM (SELECT id, g, any_value(v) AS v, count(*) AS n FROM qg GROUP BY id, g, v) JOIN h USING (g) GROUP BY id, c),
+dn AS (SELECT id, sqrt(sum(v * v)) AS n FROM dv GROUP BY id), qn AS (SELECT id, sqrt(sum(v * v)) AS n FROM qv GROUP BY id),
+s AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.v * d.v) / any_value(qn.n) / any_value(dn.n) AS score FROM qv q JOIN dv d ON q.c = d.c JOIN qn ON qn.id = q.id JOIN dn ON dn.id = d.id GROUP BY ALL),
+a AS (SELECT q.id AS query_id, d.id AS doc_id, coalesce(score, 0) AS score FROM qs q CROSS JOIN ds d LEFT JOIN s ON s.query_id = q.id AND s.doc_id = d.id),
+r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) - 1 AS rank FROM a) SELECT * FROM r WHERE rank < 5"""
+
+
+for _f in (chunk_verify, ngram_dense, definition_links, definition_closures, passage_modes, pareto_three):
     Q[_f.__name__] = _f

@@ -200,14 +200,14 @@ class Store:
         return list(self._cache[key])
 
     def vacuum(self) -> int:
-        """Remove what the current manifest does not name; how many segments went."""
-        current, last = set(self.manifest()["segments"]), self._numbers()[-1]
+        """Remove what the current manifest does not name, and vectors of other states; how many segments went."""
+        current, last, mine = set(self.manifest()["segments"]), self._numbers()[-1], f"vectors-{self.manifest()['root_sha256'][:32]}-"
         root, fs = self._fs(self.root)
         gone = 0
         for s in fs.listStatus(root):
             name = s.getPath().getName()
             old = (m := _MANIFEST.match(name)) and int(m[1]) < last
-            if old or (s.isDirectory() and name not in current):
+            if old or (s.isDirectory() and name not in current and not name.startswith(mine)):
                 fs.delete(s.getPath(), True)
-                gone += s.isDirectory()
+                gone += s.isDirectory() and not name.startswith("vectors-")
         return gone
