@@ -220,12 +220,18 @@ CASE WHEN acts AND NOT unclear THEN array_to_string(list_filter(['valueerror', '
 
 
 def operation_views(spark: SparkSession, d: str) -> DataFrame:
-    """Code made of pages' numbers: what it calls."""
-    code = F.concat(F.lit("Explain this.\n```python\nwith lock.acquire():\n    store.put_"), F.col("page_id").cast("string"), F.lit("(key=1, **rest)\n    eval(other(2))\n```\n"))
-    return V.operations(table(spark, d, "pages").select(F.col("page_id").alias("query_id"), code.alias("query"))).select("query_id", F.array_join("operations", " ").alias("operations"), F.array_join("uncertainty", " ").alias("uncertainty"))
-
-
-SQL["operation_views"] = "SELECT page_id AS query_id, concat('acquire put_', page_id, ' key=1 eval other') AS operations, 'dynamic_behavior_unresolved dynamic_keyword_arguments_unresolved' AS uncertainty FROM pages"
+    """Each turn of a conversation with its words as calls, some of them passed on: what the code calls, each once."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    calls = F.transform(words, lambda w, i: F.when(i % 3 == 0, F.concat(F.lit("do_"), w, F.lit("(n="), i.cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("x.do_"), w, F.lit("()"))))
+    last = F.when(F.col("turn") % 2 == 0, F.lit("eval(x, **rest)\n")).otherwise("")
+    code = F.concat(F.lit("Explain this.\n```python\n"), F.array_join(calls, "\n"), F.lit("\n"), last, F.lit("```\n"))
+    rows = table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), code.alias("query"))
+    return V.operations(rows).select("query_id", F.array_join("operations", " ").alias("operations"), F.array_join("uncertainty", ", ").alias("uncertainty"))
+
+
+SQL["operation_views"] = """WITH w AS (SELECT concat(conv_id, '/', turn) AS query_id, turn, regexp_extract_all(lower(text), '[a-z]{3,}') AS ws FROM conversations),
+n AS (SELECT query_id, turn, list_concat(flatten(list_transform(ws, lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN [concat('do_', x), concat('n=', i - 1)] ELSE [concat('do_', x)] END)), CASE WHEN turn % 2 = 0 THEN ['eval'] ELSE [] END) AS ns FROM w)
+SELECT query_id, array_to_string(list_filter(ns, lambda x, i: list_position(ns, x) = i), ' ') AS operations, CASE WHEN turn % 2 = 0 THEN 'unpacked keywords, what eval reaches' ELSE '' END AS uncertainty FROM n"""
 
 
 def scoped_passages(spark: SparkSession, d: str) -> DataFrame:

@@ -12,10 +12,12 @@ def test_operations_are_what_code_calls():
     text = "Why?\n```python\nimport os\nwith pool.lease as x, open('f') as g:\n    run.job(a, key=b, **rest)\n    table[0](1)\n    getattr(x, 'y')\n```\ntext call() here\n```\nsecond(2)\n```\n"
     names, notes = views.operation_names(text)
     assert names == ["lease", "open", "job", "key=b", "getattr", "second"]
-    assert notes == ["dynamic_behavior_unresolved", "dynamic_call_target_unresolved", "dynamic_keyword_arguments_unresolved"]
+    assert notes == ["a computed call target", "unpacked keywords", "what getattr reaches"]
     assert views.operation_names("Explain this, please.\ndef f():\n    g(h(1))\n") == (["g", "h"], [])
     assert views.operation_names("no code at all, really") == ([], [])
-    assert views.operation_names("x" * 70_000) == ([], ["static_parse_limit"])
+    assert views.operation_names("x" * 70_000) == ([], ["code too long to parse"])
+    many = "".join(f"```py\nf{i}(a=[ 1 ])\n```\n" for i in range(20)) + "```\nbroken(\n```\n```js\nno()\n```\n```\nopen_ended()\n"
+    assert views.operation_names(many) == ([x for i in range(20) for x in ((f"f{i}", "a=[1]") if i == 0 else (f"f{i}",))], [])
     assert views.operation_names("") == ([], [])
 
 
