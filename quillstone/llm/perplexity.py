@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, if_small, mix64, shingle_hashes, tidy, utf8, word_hashes, word_spans, written
+from quillstone.llm.common import arrow_limits, if_small, mix64, shingle_hashes, shuffle_partitions, tidy, utf8, word_hashes, word_spans, written
 
 #: The model: n-grams of ORDER characters over 1 << SYMBOL_BITS symbols, each in one integer of 50 bits.
 ORDER, SYMBOL_BITS = 5, 10
@@ -27,8 +27,9 @@ BINS = 1000
 PIECE, GATHER = 1 << 18, 1 << 22
 #: Log probabilities are summed as integers, so many to the nat: the same on any cluster.
 NAT = 1 << 16
-#: n-grams of the model that are broadcast at most (16 bytes each); a larger one is joined, with the same results.
-BROADCAST_GRAMS = 1 << 22
+#: n-grams of the model that are broadcast at most (16 bytes each); of a larger one each chunk of texts, of CHUNK_CHARS characters or
+#: so, gets what it holds, with the same results.
+BROADCAST_GRAMS, CHUNK_CHARS = 1 << 22, 1 << 24
 
 
 def _symbol_table() -> np.ndarray:
@@ -262,39 +263,92 @@ def _measure(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatc
         rows = np.array([features(t) for t in texts], dtype=np.int64).reshape(-1, len(names))
         columns = list(rows.T)
         if table is not None:
-            grams, lang = _table(table), mix64(batch.column("__lang").to_numpy().view(np.uint64))
-            half, units = batch.column("__half").to_numpy(), np.zeros(len(texts), dtype=np.int64)
-            for codes, doc in _pieces(texts):
-                at = grams.find(mix64(codes + lang[doc]))
-                q = np.where(half[doc] == 0, grams.q[1][at], grams.q[0][at])
-                first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                units[doc[first]] += np.add.reduceat(q.astype(np.int64), first)
-            columns.append(units)
+            columns.append(_units(texts, batch.column("__lang").to_numpy(), batch.column("__half").to_numpy(), _table(table)))
         made = [pa.array(c, pa.int64()) for c in columns]
         yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names, *(["__units"] if table is not None else [])])
 
 
-def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (__key, lang, half, code, n) of the n-grams of each text, a long text's by pieces."""
+def _codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, lang, code) of the n-grams of a chunk's texts, each once for GATHER n-grams or so of the task."""
+    held: dict[tuple[int, int], list[np.ndarray]] = {}
+    size = 0
+
+    def distinct() -> Iterator[pa.RecordBatch]:
+        for (chunk, lang), parts in sorted(held.items()):
+            codes = np.unique(np.concatenate(parts))
+            parts.clear()
+            columns = [np.full(len(codes), chunk), np.full(len(codes), lang), codes.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["chunk", "lang", "code"])
+        held.clear()
+
+    for batch in batches:
+        texts, lang, chunk = batch.column("text").to_pylist(), batch.column("__lang").to_numpy(), batch.column("chunk").to_numpy()
+        for key in sorted(set(zip(chunk.tolist(), lang.tolist(), strict=True))):
+            some = np.flatnonzero((chunk == key[0]) & (lang == key[1])).tolist()
+            for codes, _ in _pieces([texts[i] for i in some]):
+                held.setdefault(key, []).append(codes)
+                size += len(codes)
+                if size >= GATHER:
+                    yield from distinct()
+                    size = 0
+    yield from distinct()
+
+
+def _hashed_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = next(_hashed(iter([batch])))
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), *made.columns], ["chunk", "key", "q"])
+
+
+def _units(texts: list[str], lang: np.ndarray, half: np.ndarray, grams: GramTable) -> np.ndarray:
+    """The sum of each text's n-grams' -log p under the other half's model."""
+    lang, units = mix64(lang.view(np.uint64)), np.zeros(len(texts), dtype=np.int64)
+    for codes, doc in _pieces(texts):
+        at = grams.find(mix64(codes + lang[doc]))
+        q = np.where(half[doc] == 0, grams.q[1][at], grams.q[0][at])
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        units[doc[first]] += np.add.reduceat(q.astype(np.int64), first)
+    return units
+
+
+def _score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__key, __lang, __units) of texts. Rows come chunk by chunk, in each the sorted hash arrays of its n-grams before the texts."""
+    now, keys, q, grams = None, [], [], None
     for batch in batches:
-        keys, lang, half = (batch.column(c).to_numpy() for c in ("__key", "__lang", "__half"))
-        for codes, doc in _pieces(batch.column("text").to_pylist()):
-            order = np.lexsort((codes, doc))
-            codes, doc = codes[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])]))
-            columns = [keys[doc[first]], lang[doc[first]], half[doc[first]], codes[first].view(np.int64), np.diff(np.append(first, len(codes)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["__key", "lang", "half", "code", "n"])
-
-
-def _joined_scores(df: DataFrame, model: DataFrame) -> DataFrame:
-    """(__key, __lang, __units) of each text by a join with the model, for one too large to broadcast."""
-    texts = df.select("__key", "__lang", "__half", "text").dropDuplicates(["__key", "__lang"])
-    spelled = texts.mapInArrow(_spelled, "__key long, lang long, half long, code long, n long")
-    q = F.when(F.col("half") == 0, F.col("q1")).otherwise(F.col("q0"))
-    return (
-        spelled.join(model, ["lang", "code"]).groupBy("__key", F.col("lang").alias("__lang"))
-        .agg(F.sum(q.cast("long") * F.col("n")).alias("__units"))
-    )
+        chunk, kind = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(batch)]])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part = batch.slice(a, b - a)
+            if not len(part):
+                continue
+            if chunk[a] != now:
+                now, keys, q, grams = chunk[a], [], [], None
+            if kind[a] == 0:
+                keys.append(part.column("key").to_numpy().tobytes())
+                q.append(part.column("q").to_numpy().tobytes())
+                continue
+            if grams is None:
+                grams, keys, q = GramTable(b"".join(keys), b"".join(q)), [], []
+            lang, half = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("__lang", "__half"))
+            units = _units(part.column("text").to_pylist(), lang, half, grams)
+            yield pa.RecordBatch.from_arrays([part.column("__key"), part.column("__lang"), pa.array(units)], ["__key", "__lang", "__units"])
+
+
+def _chunk_scores(df: DataFrame, model: DataFrame, n_grams: int) -> DataFrame:
+    """(__key, __lang, __units) of each text for a model too large to broadcast: distinct texts are dealt to chunks, each chunk gets the
+    sorted hash arrays of those n-grams that it holds, once each, and its texts are looked up there. A chunk is bounded, and
+    so are its arrays, whatever the model's size."""
+    chunks = max(shuffle_partitions(df.sparkSession), n_grams // CHUNK_CHARS)
+    texts = df.select("__key", "__lang", "__half", "text").where(F.length("text") > 0).dropDuplicates(["__key", "__lang"])
+    texts = written(texts.withColumn("chunk", F.pmod(F.xxhash64("__key", "__lang"), F.lit(chunks)).cast("long")).repartition(chunks, "chunk"), "chunks")
+    codes = texts.select("chunk", "__lang", "text").mapInArrow(lambda b: tidy(_codes_of(b)), "chunk long, lang long, code long")
+    found = codes.join(model, ["lang", "code"]).select("chunk", "lang", "code", "q0", "q1")
+    arrays = written(found.mapInArrow(_hashed_chunks, "chunk long, key long, q long"), "arrays")
+    none = lambda *kinds: [F.lit(None).cast(kind).alias(name) for name, kind in kinds]
+    rows = arrays.select("chunk", F.lit(0).alias("kind"), "key", "q", *none(("__key", "long"), ("__lang", "long"), ("__half", "long"), ("text", "string")))
+    rows = rows.unionByName(texts.select("chunk", F.lit(1).alias("kind"), *none(("key", "long"), ("q", "long")), "__key", "__lang", "__half", "text"))
+    dealt = rows.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind", "key")
+    return dealt.mapInArrow(lambda b: tidy(_score_chunks(b)), "__key long, __lang long, __units long")
 
 
 def bands(scored: DataFrame) -> DataFrame:
@@ -321,8 +375,8 @@ def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
 
     The table is read twice, to count and to score; what is scored is written, without the columns in ``drop``. Counts are of
     all rows and grow with the table: characters are combined in each task and by Spark, and lower orders and
-    probabilities are joins and aggregations. Beyond BROADCAST_GRAMS n-grams the model is not sent to the tasks but
-    joined with the n-grams of each text, with the same results.
+    probabilities are joins and aggregations. Beyond BROADCAST_GRAMS n-grams the model is not sent to the tasks:
+    distinct texts are dealt to chunks, and each chunk gets sorted hash arrays of its own n-grams, with the same results.
 
     Edge cases: null and empty texts have zero features, a null log_ppl and fail; null is a language of its own, and so is the
     empty string; a language's only document is its median and stays; repeated rows are judged alike; an empty table gives an
@@ -336,7 +390,8 @@ def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
     df = df.withColumns({"__key": key, "__lang": lang.cast("long"), "__half": key.bitwiseAND(F.lit(1)).cast("long")})
     counts = df.select("text", "__lang", "__half").mapInArrow(lambda b: tidy(_count(b)), _COUNTS)
     counts = written(counts.groupBy("lang", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
-    small = counts.count() <= BROADCAST_GRAMS
+    n_codes, n_grams = counts.agg(F.count("*"), F.coalesce(F.sum(F.col("n0") + F.col("n1")), F.lit(0))).first()
+    small = n_codes <= BROADCAST_GRAMS
     model, store = log_probabilities(counts), None
     if small:
         store = spark.sparkContext.broadcast(_collected(model))
@@ -344,7 +399,7 @@ def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(["__units"] if small else [])]
     scored = df.mapInArrow(lambda b: tidy(_measure(b, store)), ", ".join([fields, *(f"{c} long" for c in added)]))
     if not small:
-        scored = scored.join(_joined_scores(df, model), ["__key", "__lang"], "left")
+        scored = scored.join(_chunk_scores(df, model, n_grams), ["__key", "__lang"], "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     log_ppl = F.when(F.col("n_words") > 0, F.col("__units") / F.col("n_words") / NAT)
     scored = written(scored.withColumns({"log_ppl": log_ppl, "base_failed": failed}).drop("__units", "__key", "__half", *drop), "scored")

@@ -71,7 +71,7 @@ def plain_scores(rows, halves):
     return [-sum(math.log(models[1 - h](g)) for g in grams[t, lang]) / words(t) if words(t) else None for (_, t, lang), h in zip(rows, halves, strict=True)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"PIECE": 37, "GATHER": 500}, {"BROADCAST_GRAMS": 0, "PIECE": 64}])
+@pytest.mark.parametrize("limits", [{}, {"PIECE": 37, "GATHER": 500}, {"BROADCAST_GRAMS": 0, "PIECE": 64}, {"BROADCAST_GRAMS": 0, "CHUNK_CHARS": 200, "GATHER": 300}])
 def test_scores_are_those_of_modified_kneser_ney(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(perplexity, k, v)
