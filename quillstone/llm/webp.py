@@ -817,6 +817,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for value in batch.column("media"):
             media = value.as_py()
+            if media is None:
+                rows.append((None,) * len(names))
+                continue
             back = decode_samples(media)
             rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
@@ -838,10 +841,14 @@ def store_texts(df: DataFrame) -> DataFrame:
 
 
 def measure_media(df: DataFrame) -> DataFrame:
-    """Decode the images of a table with doc_id, n_bytes and media; digests and features of the samples read back."""
+    """Decode the images of a table with doc_id, n_bytes and media; digests and features of the samples read back.
+
+    Edge cases: null media have null digests and features; bytes that are no lossless WebP are an error; null ids and repeated
+    rows pass through; other columns are ignored; an empty table gives an empty result.
+    """
     kind = dict(df.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return df.mapInArrow(_measure, schema)
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(_measure, schema)
 
 
 def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -277,3 +277,10 @@ def test_work_a_record_does_not_grow_with_the_range(tmp_path):
         source = warc.Range(f, 0, len(one) * 3000, len(one) * 3000)
         held = [len(source.data) for _ in warc.members(source, 0, len(one) * 3000)]
     assert len(held) == 3000 and held[-1] <= 2 * warc.STEP_BYTES + len(one)
+
+
+def test_null_media_and_other_columns(spark):
+    stored = webp.store_texts(spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string"))
+    rows = stored.unionByName(spark.createDataFrame([(3, 0, None)], "doc_id long, n_bytes long, media binary")).selectExpr("*", "1 AS feature")
+    got = {r.doc_id: r for r in webp.measure_media(rows).collect()}
+    assert got[3].payload_sha256 is None and got[3].feature is None and got[1].payload_bytes == got[2].payload_bytes == 576
