@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from quillstone.scratch import discard, if_small, scratch_path, written
 from quillstone.session import ship
 
 __all__ = [
-    "arrow_limits", "discard", "if_small", "joined_texts", "lowered", "mix64", "outside_of", "ranked", "scratch_path", "shingle_hashes", "shuffle_partitions", "tidy", "utf8", "word_hashes", "word_spans", "written",
+    "arrow_limits", "discard", "fresh_names", "if_small", "joined_texts", "lowered", "mix64", "outside_of", "own_names", "ranked", "scratch_path", "shingle_hashes", "shuffle_partitions", "tidy", "utf8", "word_hashes", "word_spans", "written",
 ]
 
 #: Rows and bytes of one Arrow batch sent to Python; bounds a worker's memory whatever the text lengths are.
@@ -38,6 +39,29 @@ def tidy(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass
 
 
+def own_names(operator):
+    """For operators whose helper columns begin with two underscores: columns of the table that do so, too, have other names inside
+    and their own again in the result."""
+
+    @functools.wraps(operator)
+    def apart(df: DataFrame, *args, **kwargs) -> DataFrame:
+        inside = {c: f"kept {i} {c}" for i, c in enumerate(df.columns) if c.startswith("__")}
+        out = operator(df.withColumnsRenamed(inside), *args, **kwargs) if inside else operator(df, *args, **kwargs)
+        return out.withColumnsRenamed({v: k for k, v in inside.items()}) if inside else out
+
+    return apart
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of the table has."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

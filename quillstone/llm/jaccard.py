@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, if_small, mix64, shingle_hashes, shuffle_partitions, tidy, utf8, word_hashes, written
+from quillstone.llm.common import arrow_limits, if_small, mix64, own_names, shingle_hashes, shuffle_partitions, tidy, utf8, word_hashes, written
 from quillstone.llm.components import connected_components
 
 #: Documents of a leaf of the tree, and children of an inner node.
@@ -705,6 +705,7 @@ def _linked(df: DataFrame, words: int, percent: int) -> DataFrame:
     return written(out.select(F.col("doc_id").alias("key"), "id", "n", component.alias("component")), "components")
 
 
+@own_names
 def keep_first(df: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of a table with doc_id and text without near duplicates: of each component one row of the smallest doc_id.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import if_small, written
+from quillstone.llm.common import fresh_names, if_small, written
 
 #: Elements without visible text, and the tags that end a line; both forms are legal in Java's and in RE2's syntax. An element
 #: without an end takes the rest, and a tag ends before the next one begins, so that no start is searched for twice.
@@ -45,7 +45,7 @@ def drop_site_lines(
     lines are never dropped; repeated rows are pages each; texts of any length are read whole; an empty table gives an empty
     one; columns of any other name pass through.
     """
-    key, body, lines, flags = "__site", "__body", "__lines", "__flags"
+    key, body, lines, flags, left = fresh_names(df, "__site", "__body", "__lines", "__flags", "__kept")
     base = df.withColumn(key, site).withColumn(body, text)
     pages = base.where(F.col(key).isNotNull() & F.col(body).isNotNull())
     distinct = F.array_distinct(F.transform(F.split(F.col(body), "\n"), lambda x: F.trim(x)))
@@ -67,9 +67,9 @@ def drop_site_lines(
     return (
         base.join(if_small(written(flagged, "flagged")), key, "left")
         .withColumn(lines, F.split(F.col(body), "\n"))
-        .withColumn("__kept", F.when(F.col(flags).isNull(), F.col(lines)).otherwise(kept))
-        .withColumn(out, F.when(F.col(flags).isNull(), F.col(body)).otherwise(F.array_join("__kept", "\n")))
+        .withColumn(left, F.when(F.col(flags).isNull(), F.col(lines)).otherwise(kept))
+        .withColumn(out, F.when(F.col(flags).isNull(), F.col(body)).otherwise(F.array_join(left, "\n")))
         .withColumn(f"{prefix}n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-        .withColumn(f"{prefix}n_dropped", F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"))
-        .drop(key, body, lines, flags, "__kept")
+        .withColumn(f"{prefix}n_dropped", F.coalesce(F.size(lines) - F.size(left), F.lit(0)).cast("long"))
+        .drop(key, body, lines, flags, left)
     )

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import written
+from quillstone.llm.common import own_names, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Word masses (probability times size) are integers in this part of a word, so that transfers lose nothing.
@@ -126,6 +126,7 @@ def _evened(extra: DataFrame, due: DataFrame) -> DataFrame:
     return found.select("source", "unit", F.when(F.col("__u").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra")).alias("extra"))
 
 
+@own_names
 def mix_sources(df: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, seed: int = 42) -> DataFrame:
     """Add ``size``, ``source_size``, ``target`` and ``copies`` to the rows of a table with doc_id, text and source.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_limits, if_small, mix64, shingle_hashes, shuffle_partitions, tidy, utf8, word_hashes, word_spans, written
+from quillstone.llm.common import arrow_limits, if_small, mix64, own_names, shingle_hashes, shuffle_partitions, tidy, utf8, word_hashes, word_spans, written
 
 #: The model: n-grams of ORDER characters over 1 << SYMBOL_BITS symbols, each in one integer of 50 bits.
 ORDER, SYMBOL_BITS = 5, 10
@@ -364,6 +364,7 @@ def bands(scored: DataFrame) -> DataFrame:
     return off.select("__lang", (F.col("mid") / BINS - reach).alias("__low"), (F.col("mid") / BINS + reach).alias("__high"))
 
 
+@own_names
 def judge(df: DataFrame, *, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds to the rows of a table with text and lang: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_ppl,
     base_failed and kept.
