@@ -98,6 +98,17 @@ def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS first FROM w GROUP BY k),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM w JOIN f USING (k) WHERE first < doc_id),
+l AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+t AS (SELECT r, count(*) AS kept, string_agg(word, ' ' ORDER BY p) AS text FROM l ANTI JOIN g USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""
+
+
 def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wand.search(wand.Index.of(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -122,5 +133,22 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
 
 
+_WORDS13 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {resample.POLYNOMIAL}::BIGINT) ELSE c >> 1 END) AS c FROM range(256) v(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS13}, []) AS ws FROM documents), b AS (SELECT coalesce({_WORDS13}, []) AS ws FROM benchmark),
+dw AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(ws) AS word FROM d) GROUP BY ALL), bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM b) GROUP BY ALL),
+words AS (SELECT word, list_transform(range(0, strlen(word)), lambda i: concat('0x', substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS bytes FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+crc AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 10000 AS bucket FROM words, tab),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM dw JOIN crc USING (word) GROUP BY bucket), t AS (SELECT bucket, sum(n)::BIGINT AS t FROM bw JOIN crc USING (word) GROUP BY bucket),
+z AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS ss, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS tt),
+gains AS (SELECT c.bucket, floor(1000.0::DOUBLE * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain FROM (SELECT DISTINCT bucket FROM crc) c LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), z),
+q AS (SELECT r, sum(n * gain)::BIGINT AS weight FROM dw JOIN crc USING (word) JOIN gains USING (bucket) GROUP BY r),
+e AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+      (coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((concat('0x', substr(sha256(concat('2024:', doc_id)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score FROM d LEFT JOIN q USING (r)),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, sum((n_features >= 20)::INT) OVER () AS able FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (10 * able) // 100 THEN place END::BIGINT AS rank FROM k
+"""
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lossless_webp, op3_site_lines, op4_mix_sources, op5_jaccard_join, op6_private_data, op7_shard_documents, op8_warc_round_trip, op9_pack_curve, op10_quality_rules, op11_repeated_phrases, op12_block_max_wand, op13_resample)}
-SQL = {"op3_site_lines": OP3_SQL, "op8_warc_round_trip": OP8_SQL, "op12_block_max_wand": OP12_SQL}
+SQL = {"op3_site_lines": OP3_SQL, "op8_warc_round_trip": OP8_SQL, "op11_repeated_phrases": OP11_SQL, "op12_block_max_wand": OP12_SQL, "op13_resample": OP13_SQL}

@@ -116,3 +116,11 @@ def test_query_against_brute_force(spark, sf_dir):
     out = queries.op11_repeated_phrases(spark, sf_dir)
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()), key=repr) == want
     assert sum(k for _, _, k, _ in want) > 1000
+
+
+def test_query_equals_sql(spark, sf_dir):
+    from oracle import connect, rows_of_query, rows_of_sql
+
+    from quillstone.llm import queries
+
+    assert rows_of_query(queries.op11_repeated_phrases(spark, sf_dir)) == rows_of_sql(connect(sf_dir), queries.OP11_SQL)

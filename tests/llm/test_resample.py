@@ -99,3 +99,11 @@ def test_query_against_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in read("documents").select("doc_id", "text").collect()]
     target = [r.text for r in read("benchmark").select("text").collect()]
     assert got(queries.op13_resample(spark, sf_dir)) == plain(docs, target, 1, 10_000, 10, 20)
+
+
+def test_query_equals_sql(spark, sf_dir):
+    from oracle import connect, rows_of_query, rows_of_sql
+
+    from quillstone.llm import queries
+
+    assert rows_of_query(queries.op13_resample(spark, sf_dir)) == rows_of_sql(connect(sf_dir), queries.OP13_SQL)
