@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -282,7 +283,7 @@ def _codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        texts, lang, chunk = batch.column("text").to_pylist(), batch.column("__lang").to_numpy(), batch.column("chunk").to_numpy()
+        texts, lang, chunk = _unzipped(batch.column("text")), batch.column("__lang").to_numpy(), batch.column("chunk").to_numpy()
         for key in sorted(set(zip(chunk.tolist(), lang.tolist(), strict=True))):
             some = np.flatnonzero((chunk == key[0]) & (lang == key[1])).tolist()
             for codes, _ in _pieces([texts[i] for i in some]):
@@ -294,6 +295,22 @@ def _codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from distinct()
 
 
+def _zipped(batches: Iterator[pa.RecordBatch], zipped: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of texts that the task has not met before; texts are compressed one by one, if they are not yet ``zipped``."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        keys = zip(batch.column("__key").to_pylist(), batch.column("__lang").to_pylist(), strict=True)
+        some = batch.take(pa.array([i for i, key in enumerate(keys) if not (key in seen or seen.add(key))], pa.int64()))
+        if not zipped:
+            packed = pa.array([zlib.compress(utf8(t), 3) for t in some.column("text").to_pylist()], pa.binary())
+            some = pa.RecordBatch.from_arrays([packed if c == "text" else some.column(c) for c in some.schema.names], some.schema.names)
+        yield some
+
+
+def _unzipped(column: pa.Array) -> list[str]:
+    return [zlib.decompress(t).decode("utf-8", "surrogatepass") for t in column.to_pylist()]
+
+
 def _hashed_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = next(_hashed(iter([batch])))
@@ -330,22 +347,25 @@ def _score_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if grams is None:
                 grams, keys, q = GramTable(b"".join(keys), b"".join(q)), [], []
             lang, half = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("__lang", "__half"))
-            units = _units(part.column("text").to_pylist(), lang, half, grams)
+            units = _units(_unzipped(part.column("text")), lang, half, grams)
             yield pa.RecordBatch.from_arrays([part.column("__key"), part.column("__lang"), pa.array(units)], ["__key", "__lang", "__units"])
 
 
 def _chunk_scores(df: DataFrame, model: DataFrame, n_grams: int) -> DataFrame:
     """(__key, __lang, __units) of each text for a model too large to broadcast: distinct texts are dealt to chunks, each chunk gets the
     sorted hash arrays of those n-grams that it holds, once each, and its texts are looked up there. A chunk is bounded, and
-    so are its arrays, whatever the model's size."""
+    so are its arrays, whatever the model's size. Copies of a text are left out by each task, and then by its chunk; texts are
+    compressed, as they move twice."""
     chunks = max(shuffle_partitions(df.sparkSession), n_grams // CHUNK_CHARS)
-    texts = df.select("__key", "__lang", "__half", "text").where(F.length("text") > 0).dropDuplicates(["__key", "__lang"])
-    texts = written(texts.withColumn("chunk", F.pmod(F.xxhash64("__key", "__lang"), F.lit(chunks)).cast("long")).repartition(chunks, "chunk"), "chunks")
+    columns = "__key long, __lang long, __half long, text binary"
+    texts = df.select("__key", "__lang", "__half", "text").where(F.length("text") > 0).mapInArrow(lambda b: tidy(_zipped(b, False)), columns)
+    texts = texts.withColumn("chunk", F.pmod(F.xxhash64("__key", "__lang"), F.lit(chunks)).cast("long")).repartition(chunks, "chunk")
+    texts = written(texts.mapInArrow(lambda b: tidy(_zipped(b, True)), columns + ", chunk long"), "chunks")
     codes = texts.select("chunk", "__lang", "text").mapInArrow(lambda b: tidy(_codes_of(b)), "chunk long, lang long, code long")
     found = codes.join(model, ["lang", "code"]).select("chunk", "lang", "code", "q0", "q1")
     arrays = written(found.mapInArrow(_hashed_chunks, "chunk long, key long, q long"), "arrays")
     none = lambda *kinds: [F.lit(None).cast(kind).alias(name) for name, kind in kinds]
-    rows = arrays.select("chunk", F.lit(0).alias("kind"), "key", "q", *none(("__key", "long"), ("__lang", "long"), ("__half", "long"), ("text", "string")))
+    rows = arrays.select("chunk", F.lit(0).alias("kind"), "key", "q", *none(("__key", "long"), ("__lang", "long"), ("__half", "long"), ("text", "binary")))
     rows = rows.unionByName(texts.select("chunk", F.lit(1).alias("kind"), *none(("key", "long"), ("q", "long")), "__key", "__lang", "__half", "text"))
     dealt = rows.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind", "key")
     return dealt.mapInArrow(lambda b: tidy(_score_chunks(b)), "__key long, __lang long, __units long")
