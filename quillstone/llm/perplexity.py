@@ -362,7 +362,7 @@ def _chunk_scores(df: DataFrame, model: DataFrame, n_grams: int) -> DataFrame:
     texts = texts.withColumn("chunk", F.pmod(F.xxhash64("__key", "__lang"), F.lit(chunks)).cast("long")).repartition(chunks, "chunk")
     texts = written(texts.mapInArrow(lambda b: tidy(_zipped(b, True)), columns + ", chunk long"), "chunks")
     codes = texts.select("chunk", "__lang", "text").mapInArrow(lambda b: tidy(_codes_of(b)), "chunk long, lang long, code long")
-    found = codes.join(model, ["lang", "code"]).select("chunk", "lang", "code", "q0", "q1")
+    found = codes.join(written(model, "model"), ["lang", "code"]).select("chunk", "lang", "code", "q0", "q1")
     arrays = written(found.mapInArrow(_hashed_chunks, "chunk long, key long, q long"), "arrays")
     none = lambda *kinds: [F.lit(None).cast(kind).alias(name) for name, kind in kinds]
     rows = arrays.select("chunk", F.lit(0).alias("kind"), "key", "q", *none(("__key", "long"), ("__lang", "long"), ("__half", "long"), ("text", "binary")))
