@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import legacy_tokens
-from quillstone.operators import decide as D, derive, messages as M, retrieval as R, telemetry as T
-from quillstone.plans.common import QUERY_TERMS, WORDS_SQL, benchmark_queries, benchmark_terms, table
+from quillstone.operators import decide as D, messages as M, retrieval as R, telemetry as T
+from quillstone.plans.common import QUERY_TERMS, WORDS_SQL, benchmark_queries, benchmark_terms, document_shelf, table
+from quillstone.scratch import if_small
 from quillstone.streaming.traces import event_windows
 
 Q: dict = {}
@@ -232,13 +233,12 @@ SQL["break_even"] = "SELECT p_partkey, CASE WHEN p_size > 10 THEN floor(p_retail
 def _arms(spark: SparkSession, d: str) -> DataFrame:
     """Recall of each passage's document among the best 1, 2, 4, 8 by two arms: all terms, and long terms only."""
     docs = table(spark, d, "documents")
-    postings, lengths = derive.postings(docs, derive.text_terms(), keys=["doc_id"]), derive.lengths(docs, derive.text_terms(), keys=["doc_id"])
     out = None
     for arm, terms in (("all", benchmark_terms(spark, d)), ("long", benchmark_terms(spark, d).where(F.length("term") > 6))):
-        top = R.top_k(R.bm25_scores(terms, postings, lengths, keys=["doc_id"]), 8, by=[F.round("score", 6).desc(), F.col("doc_id")])
-        rows = top.select(F.lit(arm).alias("arm"), "query_id", "doc_id", "rank")
-        out = rows if out is None else out.unionByName(rows)
-    held = out.join(docs.select("doc_id", "text"), "doc_id").join(benchmark_queries(spark, d), "query_id")
+        rows = if_small(document_shelf(spark, d).top(terms, 8)).select(F.lit(arm).alias("arm"), "query_id", "doc_id", "rank")
+        met = docs.select("doc_id", "text").join(rows, "doc_id")
+        out = met if out is None else out.unionByName(met)
+    held = out.join(benchmark_queries(spark, d), "query_id")
     hit = held.select("arm", "query_id", "rank", F.contains("text", F.col("query")).cast("int").alias("hit"))
     first = hit.groupBy("arm", "query_id").agg(F.coalesce(F.min(F.when(F.col("hit") == 1, F.col("rank"))), F.lit(99)).alias("first"))
     points = first.select("arm", "query_id", "first", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))).alias("budget"))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import content_terms
 from quillstone.operators import derive, retrieval as R, sequential
+from quillstone.operators.shelves import Shelf
 from quillstone.operators.vectors import VectorIndex
 from quillstone.plans.common import (
-    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, benchmark_queries, benchmark_terms, block_index, bm25_sql, document_index, files, index, longs, query_terms_of, table,
+    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, benchmark_queries, benchmark_terms, block_shelf, block_table, bm25_sql, document_shelf, files, longs, query_terms_of, table,
 )
+from quillstone.scratch import if_small
 
 Q: dict = {}
 SQL: dict = {}
@@ -18,13 +20,9 @@ KEYS = ["path", "ordinal"]
 BASE = f"WITH {INDEX}, {QUERY_TERMS}, {bm25_sql()}"
 
 
-def _scores(spark: SparkSession, d: str, **kw) -> DataFrame:
-    _, postings, lengths = index(spark, d)
-    return R.bm25_scores(benchmark_terms(spark, d), postings, lengths, keys=KEYS, **kw)
-
-
-def _top(scored: DataFrame, k: int = R.CANDIDATES, **kw) -> DataFrame:
-    return R.top_k(scored, k, by=R.score_order(), **kw)
+def _top(spark: SparkSession, d: str, k: int = R.CANDIDATES) -> DataFrame:
+    """(query_id, path, ordinal, score, rank): each query's best blocks, few enough to be sent to what they are joined with."""
+    return if_small(block_shelf(spark, d).top(benchmark_terms(spark, d), k).drop("b"))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -32,8 +30,8 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The best blocks, from postings whose blocks are read where they can reach the threshold."""
-    return _shown(block_index(spark, d).top(benchmark_terms(spark, d), R.CANDIDATES))
+    """Each query's best blocks: a task ranks its own ones for all queries."""
+    return _shown(_top(spark, d))
 
 
 SQL["lexical_topk"] = f"""{BASE}, r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 6) AS score, {RANKED} AS rank FROM scores) SELECT * FROM r WHERE rank < 60"""
@@ -41,7 +39,7 @@ SQL["lexical_topk"] = f"""{BASE}, r AS (SELECT query_id, path, ordinal::BIGINT A
 
 def boundary_ties(spark: SparkSession, d: str) -> DataFrame:
     """All blocks as good as the tenth: ties at the boundary stay."""
-    out = block_index(spark, d).top(benchmark_terms(spark, d), 10, digits=2, ties=True)
+    out = block_shelf(spark, d).top(benchmark_terms(spark, d), 10, digits=2, ties=True)
     return longs(out.select("query_id", "path", "ordinal", F.round("score", 2).alias("score"), "rank"), "ordinal")
 
 
@@ -71,10 +69,7 @@ SELECT * FROM r WHERE rank < 20"""
 
 def and_search(spark: SparkSession, d: str) -> DataFrame:
     """Blocks with all of a query's terms."""
-    _, postings, lengths = index(spark, d)
-    terms = benchmark_queries(spark, d).select("query_id", F.explode(query_terms_of(F.col("query"))).alias("term"))
-    scored = R.bm25_scores(terms, postings, lengths, keys=KEYS)
-    return _shown(R.and_search(terms, scored, postings, keys=KEYS))
+    return _shown(block_shelf(spark, d).top(benchmark_terms(spark, d), 10, whole=True))
 
 
 SQL["and_search"] = rf"""WITH {INDEX},
@@ -87,30 +82,22 @@ r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 6) AS scor
 
 
 def bm25_b_sweep(spark: SparkSession, d: str) -> DataFrame:
-    _, postings, lengths = index(spark, d)
-    terms, out = benchmark_terms(spark, d), None
-    for b in (0.0, 0.25, 0.5, 0.75, 1.0):
-        top = _top(R.bm25_scores(terms, postings, lengths, keys=KEYS, b=b), 1).select(F.lit(b).alias("b"), "query_id", "path")
-        out = top if out is None else out.unionByName(top)
-    return out
+    """Each query's best block by five values of b, all in one pass over the blocks."""
+    return block_shelf(spark, d).top(benchmark_terms(spark, d), 1, b=(0.0, 0.25, 0.5, 0.75, 1.0)).select("b", "query_id", "path")
 
 
 SQL["bm25_b_sweep"] = f"WITH {INDEX}, {QUERY_TERMS}" + "".join(f", {bm25_sql(f's{i}', b=b)}, r{i} AS (SELECT {b}::DOUBLE AS b, query_id, path, {RANKED} AS rank FROM s{i})" for i, b in enumerate(("0.0", "0.25", "0.5", "0.75", "1.0"))) + "\n" + " UNION ALL ".join(f"SELECT b, query_id, path FROM r{i} WHERE rank = 0" for i in range(5))
 
 
-def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Weighted field postings: the text's terms once, those of the path twice."""
-    found = index(spark, d)[0]
+def _field_shelf(spark: SparkSession, d: str) -> Shelf:
+    """Weighted fields: the text's terms once, those of the path twice."""
     path_terms = F.regexp_extract_all(F.lower("path"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = derive.postings(found, derive.text_terms()).unionByName(derive.postings(found, path_terms).withColumn("tf", F.col("tf") * 2))
-    lengths = found.select(*KEYS, (F.size(derive.text_terms()) + 2 * F.size(path_terms)).cast("long").alias("dl"))
-    return rows.groupBy(*KEYS, "term").agg(F.sum("tf").alias("tf")), lengths
+    return Shelf.of(block_table(spark, d), F.concat(derive.text_terms(), path_terms, path_terms), keys=KEYS)
 
 
 def field_bm25(spark: SparkSession, d: str) -> DataFrame:
-    postings, lengths = _paths(spark, d)
     terms = benchmark_terms(spark, d).unionByName(benchmark_queries(spark, d).select("query_id", F.lit("fr").alias("term"))).distinct()
-    return _shown(_top(R.bm25_scores(terms, postings, lengths, keys=KEYS), 10))
+    return _shown(_field_shelf(spark, d).top(terms, 10))
 
 
 SQL["field_bm25"] = rf"""WITH {INDEX}, {QUERY_TERMS}, qt AS (SELECT * FROM query_terms UNION SELECT item_id, 'fr' FROM benchmark),
@@ -120,15 +107,15 @@ fl AS (SELECT path, ordinal, dl + 2 * len(regexp_extract_all(lower(path), '[\p{{
 r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 6) AS score, {RANKED} AS rank FROM scores) SELECT * FROM r WHERE rank < 10"""
 
 
-def _doc_scores(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25_scores(benchmark_terms(spark, d), *document_index(spark, d), keys=["doc_id"])
+def _best_docs(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): each query's best documents, few enough to be sent to what they are joined with."""
+    return if_small(document_shelf(spark, d).top(benchmark_terms(spark, d), k).drop("b"))
 
 
 def doc_first_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of each query's four best documents only."""
-    ids = files(spark, d).select("path", "doc_id")
-    scored = _scores(spark, d).join(ids, "path")
-    return _shown(_top(R.document_first(scored, _doc_scores(spark, d), 4), 10))
+    """Blocks of each query's four best documents only: no others are scored."""
+    scored = block_shelf(spark, d).scores_of(benchmark_terms(spark, d), _best_docs(spark, d, 4), ["doc_id"])
+    return _shown(R.top_k(scored, 10, by=R.score_order()))
 
 
 _DOCS = rf"""dterms AS (SELECT doc_id, unnest({WORDS_SQL.format("text")}) AS term FROM documents), dpost AS (SELECT doc_id, term, count(*) AS tf FROM dterms GROUP BY ALL),
@@ -144,9 +131,8 @@ r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 6) AS scor
 
 def doc_first_soft(spark: SparkSession, d: str) -> DataFrame:
     """Block ranks and their documents' ranks fused."""
-    ids = files(spark, d).select("path", "doc_id")
-    top = _top(_scores(spark, d)).join(ids, "path")
-    docs = R.top_k(_doc_scores(spark, d), R.CANDIDATES, by=[F.round("score", 6).desc(), F.col("doc_id")]).select("query_id", "doc_id", F.col("rank").alias("doc_rank"))
+    top = block_table(spark, d).select("doc_id", *KEYS).join(_top(spark, d), KEYS)
+    docs = _best_docs(spark, d, R.CANDIDATES).select("query_id", "doc_id", F.col("rank").alias("doc_rank"))
     fused = top.join(docs, ["query_id", "doc_id"], "left").withColumn("score", 1 / (60 + F.col("rank")) + F.coalesce(1 / (60 + F.col("doc_rank")), F.lit(0.0)))
     return _shown(R.top_k(fused.drop("rank"), 10, by=[F.round("score", 9).desc(), F.col("path"), F.col("ordinal")]))
 
@@ -192,7 +178,7 @@ b AS (SELECT query_id, max(score) AS best FROM r GROUP BY query_id) SELECT query
 def _channels(spark: SparkSession, d: str) -> DataFrame:
     from quillstone.plans.ingest import _capitals, _names
 
-    lexical = _top(_scores(spark, d)).select("query_id", F.lit("lexical").alias("channel"), *KEYS, "rank")
+    lexical = _top(spark, d).select("query_id", F.lit("lexical").alias("channel"), *KEYS, "rank")
     wanted = benchmark_queries(spark, d).select("query_id", F.explode(_names("query")).alias("symbol"))
     symbol = R.symbol_channel(wanted, _capitals(spark, d)).select("query_id", F.lit("symbol").alias("channel"), *KEYS, "rank")
     return lexical.unionByName(symbol)
@@ -247,7 +233,7 @@ def _sizes(found: DataFrame) -> DataFrame:
 def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: lexical and symbol channels fused, packed into the default budget, one row a query."""
     fused = R.fuse(_channels(spark, d)).select("query_id", *KEYS, "place")
-    out = R.greedy_pack(benchmark_queries(spark, d), fused, _sizes(index(spark, d)[0]))
+    out = R.greedy_pack(benchmark_queries(spark, d), fused, _sizes(block_table(spark, d)))
     return out.select("query_id", F.array_join("selected", ",").alias("selected"), "n_selected", "total_tokens", "seed_failed", F.round("reduction_pct", 6).alias("reduction_pct"))
 
 
@@ -265,7 +251,7 @@ FROM benchmark LEFT JOIN f ON item_id = f.query_id, n"""
 def fill_budget(spark: SparkSession, d: str) -> DataFrame:
     """Blocks by score while their own estimates fit 1,000 tokens: no separators."""
     cost = F.greatest(F.lit(1), F.floor(F.col("chars") / F.lit(3.8))).cast("long")
-    top = _top(_scores(spark, d), 30).join(_sizes(index(spark, d)[0]), KEYS)
+    top = _top(spark, d, 30).join(_sizes(block_table(spark, d)), KEYS)
     listed = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", cost.alias("cost")))).alias("c"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"))
 
@@ -284,7 +270,7 @@ SELECT query_id, s.used AS used, s.n AS n_kept FROM s"""
 
 def risk_bands(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of each query's content terms by its three best fused blocks, and the band that follows."""
-    kept = R.fuse(_channels(spark, d)).where("place < 3").join(index(spark, d)[0].select(*KEYS, "text"), KEYS)
+    kept = R.fuse(_channels(spark, d)).where("place < 3").join(block_table(spark, d).select(*KEYS, "text"), KEYS)
     joined = kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"), F.bool_or(F.size("channels") > 1).alias("overlap"))
     out = benchmark_queries(spark, d).join(joined, "query_id", "left").withColumn("terms", content_terms(F.col("query")))
     covered = R.coverage(F.col("terms"), F.coalesce("text", F.lit("")))
@@ -302,7 +288,7 @@ SELECT query_id, round(cov, 6) AS coverage, concat('uncalibrated:', CASE WHEN te
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    top = _top(_scores(spark, d), 30).join(_sizes(index(spark, d)[0]), KEYS)
+    top = _top(spark, d, 30).join(_sizes(block_table(spark, d)), KEYS)
     near = F.array((F.col("rank") - 1).cast("int"), (F.col("rank") + 1).cast("int"))
     return top.select("query_id", F.col("rank").alias("idx"), "score", F.greatest(F.lit(1), F.floor(F.col("chars") / 4)).alias("cost"), near.alias("near"))
 
@@ -312,14 +298,14 @@ def info_gain_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grouped_pack(spark: SparkSession, d: str) -> DataFrame:
-    top = _top(_scores(spark, d), 30).join(_sizes(index(spark, d)[0]), KEYS)
+    top = _top(spark, d, 30).join(_sizes(block_table(spark, d)), KEYS)
     return sequential.grouped_pack(top.select("query_id", F.col("rank").alias("place"), F.substring_index("path", "/", 1).alias("grp"), "chars"), budget=2000)
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The blocks beside each query's best one, in its file."""
-    seeds = _top(_scores(spark, d), 1).select(*KEYS)
-    return longs(R.neighbours(index(spark, d)[0], seeds).select("path", "ordinal", "start_line", "end_line"), "ordinal", "start_line", "end_line")
+    seeds = _top(spark, d, 1).select(*KEYS)
+    return longs(R.neighbours(block_table(spark, d), seeds).select("path", "ordinal", "start_line", "end_line"), "ordinal", "start_line", "end_line")
 
 
 SQL["neighbours"] = f"""{BASE}, t AS (SELECT path, ordinal, {RANKED} AS rank FROM scores), s AS (SELECT DISTINCT path, ordinal FROM t WHERE rank = 0)
@@ -357,7 +343,7 @@ SELECT covered, count(*) AS n FROM c GROUP BY covered"""
 
 def span_overlap(spark: SparkSession, d: str) -> DataFrame:
     spans = R.coalesce_spans(_spans(spark, d)).select("path", "start_line", "end_line")
-    found = index(spark, d)[0]
+    found = block_table(spark, d)
     a = spans.withColumn("a_id", F.concat_ws(":", "path", "start_line"))
     b = found.select("path", F.concat_ws("#", "path", "ordinal").alias("b_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
     return R.overlaps(a, b).groupBy("b_id").agg(F.count("*").alias("n"))
@@ -369,7 +355,7 @@ SELECT concat(b.path, '#', b.ordinal) AS b_id, count(*) AS n FROM blocks b JOIN
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     """A window of words around the first mention of a term in each query's best block."""
-    best = _top(_scores(spark, d), 1).join(index(spark, d)[0].select(*KEYS, "text"), KEYS)
+    best = _top(spark, d, 1).join(block_table(spark, d).select(*KEYS, "text"), KEYS)
     first = benchmark_queries(spark, d).select("query_id", F.element_at(F.regexp_extract_all(F.lower("query"), F.lit(r"\S+"), F.lit(0)), 1).alias("term"))
     return best.join(first, "query_id").select("query_id", R.snippet(F.col("text"), F.col("term")).alias("snippet"))
 
@@ -381,10 +367,10 @@ SELECT query_id, array_to_string(ts[greatest(1, pos - 12):greatest(1, pos - 12)
 
 def labelled_pack(spark: SparkSession, d: str) -> DataFrame:
     """Blocks under a label with their source, the label charged to the budget."""
-    found = index(spark, d)[0]
+    found = block_table(spark, d)
     label = F.concat(F.lit("[Source: "), F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("]\n"))
     sizes = found.select(*KEYS, (F.length(label) + F.length("text")).cast("long").alias("chars"))
-    top = _top(_scores(spark, d), 30).select("query_id", *KEYS, F.col("rank").alias("place"))
+    top = _top(spark, d, 30).select("query_id", *KEYS, F.col("rank").alias("place"))
     return R.greedy_pack(benchmark_queries(spark, d), top, sizes, budget=1000).select("query_id", "n_selected", "total_tokens")
 
 
@@ -397,7 +383,7 @@ SELECT item_id AS query_id, coalesce(s.n, 0) AS n_selected, CASE WHEN coalesce(s
 
 def widened(spark: SparkSession, d: str) -> DataFrame:
     """Queries that find nothing among the first few are asked again with four times the limit."""
-    top = _top(_scores(spark, d), 5 * R.WIDEN).where("ordinal > 0")
+    top = _top(spark, d, 5 * R.WIDEN).where("ordinal > 0")
     first = top.where("rank < 5").groupBy("query_id").agg(F.count("*").alias("n_first"))
     wide = top.groupBy("query_id").agg(F.count("*").alias("n_wide"))
     out = benchmark_queries(spark, d).select("query_id").join(first, "query_id", "left").join(wide, "query_id", "left")
@@ -423,10 +409,9 @@ SELECT strip_accents(lower(form)) AS norm, count(*) AS n_forms, min(form) AS fir
 
 def clause_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Each sentence of a query ranks blocks by itself; the ranks are fused."""
-    _, postings, lengths = index(spark, d)
     parts = benchmark_queries(spark, d).select("query_id", F.posexplode(F.split("query", r"[.;?!]\s+")).alias("clause", "text"))
     terms = parts.select((F.col("query_id") * 1000 + F.col("clause")).alias("query_id"), F.explode(query_terms_of(F.col("text"))).alias("term"))
-    top = _top(R.bm25_scores(terms, postings, lengths, keys=KEYS), 20)
+    top = block_shelf(spark, d).top(terms, 20)
     fused = top.groupBy(F.floor(F.col("query_id") / 1000).alias("query_id"), *KEYS).agg(F.sum(1.0 / (60 + F.col("rank"))).alias("score"))
     return _shown(R.top_k(fused, 10, by=[F.round("score", 9).desc(), F.col("path"), F.col("ordinal")]))
 
@@ -439,10 +424,9 @@ r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 6) AS scor
 
 def evidence_recall(spark: SparkSession, d: str) -> DataFrame:
     """Whether the best documents of each passage hold it: recall by cut-off."""
-    docs = R.top_k(_doc_scores(spark, d), 20, by=[F.round("score", 6).desc(), F.col("doc_id")])
     texts = table(spark, d, "documents").select("doc_id", "text")
     flat = lambda c: F.regexp_replace(c, r"\s+", " ")
-    held = docs.join(benchmark_queries(spark, d), "query_id").join(texts, "doc_id").select("query_id", "rank", F.contains(flat("text"), flat("query")).cast("int").alias("hit"))
+    held = texts.join(_best_docs(spark, d, 20), "doc_id").join(benchmark_queries(spark, d), "query_id").select("query_id", "rank", F.contains(flat("text"), flat("query")).cast("int").alias("hit"))
     first = held.groupBy("query_id").agg(F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
     cut = first.select("query_id", "first", F.explode(F.array(*map(F.lit, (1, 5, 20)))).alias("k"))
     return cut.groupBy(F.col("k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.count(F.when(F.col("first") < F.col("k"), 1)).alias("n_hit"))
