@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import chunks, decide, derive, encoders, passages
 from quillstone.operators.modules import Definitions
-from quillstone.plans.common import INDEX, QUERY_TERMS, RANKED, benchmark_queries, benchmark_terms, block_index, bm25_sql, files, index, table
+from quillstone.plans.common import INDEX, QUERY_TERMS, RANKED, benchmark_queries, benchmark_terms, block_shelf, block_table, bm25_sql, files, table
+from quillstone.scratch import if_small, written
 
 Q: dict = {}
 SQL: dict = {}
@@ -85,9 +86,10 @@ FROM c JOIN p ON c.depth = p.depth AND c.query_id = p.query_id GROUP BY c.query_
 
 def passage_modes(spark: SparkSession, d: str) -> DataFrame:
     """Each query's best block as a passage in four modes, narrowed to the block where the passage does not fit."""
-    found, every = index(spark, d)[0], files(spark, d)
-    best = block_index(spark, d).top(benchmark_terms(spark, d), 1).select("query_id", F.col("rank").cast("int").alias("rank"), "path", "ordinal")
-    texts = every.select("path", F.regexp_replace("text", "\r\n?", "\n").alias("text"))
+    best = block_shelf(spark, d).top(benchmark_terms(spark, d), 1).select("query_id", F.col("rank").cast("int").alias("rank"), "path", "ordinal")
+    named = if_small(written(best.select("path").distinct(), "paths"))
+    found = written(block_table(spark, d).drop("text").join(named, "path", "left_semi"), "near")  # of a file a query
+    texts = written(files(spark, d).select("path", F.regexp_replace("text", "\r\n?", "\n").alias("text")).join(named, "path", "left_semi"), "texts")
     out = None
     for mode in passages.REACH:
         options = passages.passage_options(best, found, texts, mode)
