@@ -139,3 +139,26 @@ def test_nested_secrets_do_not_reach_the_log(spark, tmp_path):
     row = spark.read.json(str(tmp_path / "log")).first()
     assert row.headers.Api_Key == "[REDACTED]" and row.headers.note == "Bearer [REDACTED_TOKEN]"
     assert row.calls[0].body == "[REDACTED_API_KEY]" and row.calls[0].client_secret == "[REDACTED]" and row.request_id == "r1"
+
+
+def test_draws_of_a_bootstrap_are_dealt(spark, monkeypatch):
+    """One draw a key and resample, whatever groups the key has, over as many tasks as the draws ask for."""
+    import hashlib
+
+    rows = [(g, i, float((i * 7 + len(g)) % 4 - 1)) for g in ("a", "bb") for i in range(40 + len(g))] + [("a", 3, 2.0)]
+    df = spark.createDataFrame(rows, "g string, k long, d double")
+    monkeypatch.setattr(evaluate, "DRAWS", 50)
+    out = evaluate.bootstrap_interval(df, by=["g"], key="k", value="d", resamples=20)
+    got = {r.g: (r.n, r["mean"], r.low, r.high) for r in out.collect()}
+    weight = lambda k, r: sum(int(hashlib.md5(f"{k}|{r}|0".encode()).hexdigest()[:8], 16) / 2**32 >= t for t in evaluate._AT_MOST)
+
+    def at(values, share):
+        values, place = sorted(values), share * (len(values) - 1)
+        low = int(place)
+        return values[low] + (place - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+
+    for g in ("a", "bb"):
+        mine = [(k, d) for h, k, d in rows if h == g]
+        means = [sum(weight(k, r) * d for k, d in mine) / sum(weight(k, r) for k, _ in mine) for r in range(20)]
+        want = (len(mine), sum(d for _, d in mine) / len(mine), at(means, 0.025), at(means, 0.975))
+        assert all(abs(x - y) < 1e-9 for x, y in zip(got[g], want, strict=True))
