@@ -10,7 +10,8 @@ from quillstone.operators import derive, retrieval as R, sequential
 from quillstone.operators.shelves import Shelf
 from quillstone.operators.vectors import VectorIndex
 from quillstone.plans.common import (
-    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, benchmark_queries, benchmark_terms, block_shelf, block_table, bm25_sql, document_shelf, files, longs, query_terms_of, table,
+    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, asked_blocks, benchmark_queries, benchmark_terms, block_shelf, block_table, blocks_at, bm25_sql, document_shelf, files, longs,
+    query_terms_of, table,
 )
 from quillstone.scratch import if_small
 
@@ -22,7 +23,7 @@ BASE = f"WITH {INDEX}, {QUERY_TERMS}, {bm25_sql()}"
 
 def _top(spark: SparkSession, d: str, k: int = R.CANDIDATES) -> DataFrame:
     """(query_id, path, ordinal, score, rank): each query's best blocks, few enough to be sent to what they are joined with."""
-    return if_small(block_shelf(spark, d).top(benchmark_terms(spark, d), k).drop("b"))
+    return if_small(asked_blocks(spark, d).top(benchmark_terms(spark, d), k).drop("b"))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -355,7 +356,8 @@ SELECT concat(b.path, '#', b.ordinal) AS b_id, count(*) AS n FROM blocks b JOIN
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     """A window of words around the first mention of a term in each query's best block."""
-    best = _top(spark, d, 1).join(block_table(spark, d).select(*KEYS, "text"), KEYS)
+    best = _top(spark, d, 1)
+    best = blocks_at(spark, d, best).select(*KEYS, "text").join(best, KEYS)
     first = benchmark_queries(spark, d).select("query_id", F.element_at(F.regexp_extract_all(F.lower("query"), F.lit(r"\S+"), F.lit(0)), 1).alias("term"))
     return best.join(first, "query_id").select("query_id", R.snippet(F.col("text"), F.col("term")).alias("snippet"))
 
