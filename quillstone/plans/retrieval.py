@@ -40,7 +40,7 @@ SQL["lexical_topk"] = f"""{BASE}, r AS (SELECT query_id, path, ordinal::BIGINT A
 
 def boundary_ties(spark: SparkSession, d: str) -> DataFrame:
     """All blocks as good as the tenth: ties at the boundary stay."""
-    out = block_shelf(spark, d).top(benchmark_terms(spark, d), 10, digits=2, ties=True)
+    out = asked_blocks(spark, d).top(benchmark_terms(spark, d), 10, digits=2, ties=True)
     return longs(out.select("query_id", "path", "ordinal", F.round("score", 2).alias("score"), "rank"), "ordinal")
 
 
