@@ -10,7 +10,7 @@ from quillstone.operators import derive, retrieval as R, sequential
 from quillstone.operators.shelves import Shelf
 from quillstone.operators.vectors import VectorIndex
 from quillstone.plans.common import (
-    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, asked_blocks, benchmark_queries, benchmark_terms, block_shelf, block_table, blocks_at, bm25_sql, document_shelf, files, longs,
+    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, asked_blocks, benchmark_queries, benchmark_terms, block_rows, block_shelf, block_table, blocks_at, bm25_sql, document_shelf, files, longs,
     query_terms_of, table,
 )
 from quillstone.scratch import if_small
@@ -90,15 +90,15 @@ def bm25_b_sweep(spark: SparkSession, d: str) -> DataFrame:
 SQL["bm25_b_sweep"] = f"WITH {INDEX}, {QUERY_TERMS}" + "".join(f", {bm25_sql(f's{i}', b=b)}, r{i} AS (SELECT {b}::DOUBLE AS b, query_id, path, {RANKED} AS rank FROM s{i})" for i, b in enumerate(("0.0", "0.25", "0.5", "0.75", "1.0"))) + "\n" + " UNION ALL ".join(f"SELECT b, query_id, path FROM r{i} WHERE rank = 0" for i in range(5))
 
 
-def _field_shelf(spark: SparkSession, d: str) -> Shelf:
-    """Weighted fields: the text's terms once, those of the path twice."""
+def _field_shelf(spark: SparkSession, d: str, terms: DataFrame) -> Shelf:
+    """Weighted fields: the text's terms once, those of the path twice; postings of the asked terms."""
     path_terms = F.regexp_extract_all(F.lower("path"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return Shelf.of(block_table(spark, d), F.concat(derive.text_terms(), path_terms, path_terms), keys=KEYS)
+    return Shelf.asked(block_rows(spark, d), F.concat(derive.text_terms(), path_terms, path_terms), terms, keys=KEYS)
 
 
 def field_bm25(spark: SparkSession, d: str) -> DataFrame:
     terms = benchmark_terms(spark, d).unionByName(benchmark_queries(spark, d).select("query_id", F.lit("fr").alias("term"))).distinct()
-    return _shown(_field_shelf(spark, d).top(terms, 10))
+    return _shown(_field_shelf(spark, d, terms).top(terms, 10))
 
 
 SQL["field_bm25"] = rf"""WITH {INDEX}, {QUERY_TERMS}, qt AS (SELECT * FROM query_terms UNION SELECT item_id, 'fr' FROM benchmark),
