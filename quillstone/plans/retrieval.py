@@ -70,7 +70,7 @@ SELECT * FROM r WHERE rank < 20"""
 
 def and_search(spark: SparkSession, d: str) -> DataFrame:
     """Blocks with all of a query's terms."""
-    return _shown(block_shelf(spark, d).top(benchmark_terms(spark, d), 10, whole=True))
+    return _shown(asked_blocks(spark, d).top(benchmark_terms(spark, d), 10, whole=True))
 
 
 SQL["and_search"] = rf"""WITH {INDEX},
