@@ -181,7 +181,7 @@ def _channels(spark: SparkSession, d: str) -> DataFrame:
 
     lexical = _top(spark, d).select("query_id", F.lit("lexical").alias("channel"), *KEYS, "rank")
     wanted = benchmark_queries(spark, d).select("query_id", F.explode(_names("query")).alias("symbol"))
-    symbol = R.symbol_channel(wanted, _capitals(spark, d)).select("query_id", F.lit("symbol").alias("channel"), *KEYS, "rank")
+    symbol = R.symbol_channel(wanted, _capitals(spark, d, block_rows(spark, d))).select("query_id", F.lit("symbol").alias("channel"), *KEYS, "rank")
     return lexical.unionByName(symbol)
 
 
