@@ -10,7 +10,7 @@ from quillstone.operators import derive, retrieval as R, sequential
 from quillstone.operators.shelves import Shelf
 from quillstone.operators.vectors import VectorIndex
 from quillstone.plans.common import (
-    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, asked_blocks, benchmark_queries, benchmark_terms, block_rows, block_shelf, block_table, blocks_at, bm25_sql, document_shelf, files, longs,
+    BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, asked_blocks, asked_documents, benchmark_queries, benchmark_terms, block_rows, block_shelf, block_table, blocks_at, bm25_sql, files, longs,
     query_terms_of, table,
 )
 from quillstone.scratch import if_small
@@ -110,7 +110,7 @@ r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 6) AS scor
 
 def _best_docs(spark: SparkSession, d: str, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): each query's best documents, few enough to be sent to what they are joined with."""
-    return if_small(document_shelf(spark, d).top(benchmark_terms(spark, d), k).drop("b"))
+    return if_small(asked_documents(spark, d).top(benchmark_terms(spark, d), k).drop("b"))
 
 
 def doc_first_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +132,7 @@ r AS (SELECT query_id, path, ordinal::BIGINT AS ordinal, round(score, 6) AS scor
 
 def doc_first_soft(spark: SparkSession, d: str) -> DataFrame:
     """Block ranks and their documents' ranks fused."""
-    top = block_table(spark, d).select("doc_id", *KEYS).join(_top(spark, d), KEYS)
+    top = files(spark, d).select("doc_id", "path").join(_top(spark, d), "path")
     docs = _best_docs(spark, d, R.CANDIDATES).select("query_id", "doc_id", F.col("rank").alias("doc_rank"))
     fused = top.join(docs, ["query_id", "doc_id"], "left").withColumn("score", 1 / (60 + F.col("rank")) + F.coalesce(1 / (60 + F.col("doc_rank")), F.lit(0.0)))
     return _shown(R.top_k(fused.drop("rank"), 10, by=[F.round("score", 9).desc(), F.col("path"), F.col("ordinal")]))
