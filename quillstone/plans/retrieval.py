@@ -115,7 +115,7 @@ def _best_docs(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 def doc_first_gate(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of each query's four best documents only: no others are scored."""
-    scored = block_shelf(spark, d).scores_of(benchmark_terms(spark, d), _best_docs(spark, d, 4), ["doc_id"])
+    scored = asked_blocks(spark, d).scores_of(benchmark_terms(spark, d), _best_docs(spark, d, 4), ["doc_id"])
     return _shown(R.top_k(scored, 10, by=R.score_order()))
 
 
