@@ -13,7 +13,7 @@ from quillstone.plans.common import (
     BLOCKS, INDEX, QUERY_TERMS, RANKED, WORDS_SQL, asked_blocks, asked_documents, benchmark_queries, benchmark_terms, block_rows, block_shelf, block_table, blocks_at, bm25_sql, files, longs,
     query_terms_of, table,
 )
-from quillstone.scratch import if_small
+from quillstone.scratch import if_small, written
 
 Q: dict = {}
 SQL: dict = {}
@@ -369,9 +369,9 @@ SELECT query_id, array_to_string(ts[greatest(1, pos - 12):greatest(1, pos - 12)
 
 def labelled_pack(spark: SparkSession, d: str) -> DataFrame:
     """Blocks under a label with their source, the label charged to the budget."""
-    found = block_table(spark, d)
+    found = block_rows(spark, d)
     label = F.concat(F.lit("[Source: "), F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("]\n"))
-    sizes = found.select(*KEYS, (F.length(label) + F.length("text")).cast("long").alias("chars"))
+    sizes = written(found.select(*KEYS, (F.length(label) + F.length("text")).cast("long").alias("chars")), "sizes")
     top = _top(spark, d, 30).select("query_id", *KEYS, F.col("rank").alias("place"))
     return R.greedy_pack(benchmark_queries(spark, d), top, sizes, budget=1000).select("query_id", "n_selected", "total_tokens")
 
