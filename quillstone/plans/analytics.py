@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import legacy_tokens
 from quillstone.operators import decide as D, messages as M, retrieval as R, telemetry as T
-from quillstone.plans.common import QUERY_TERMS, WORDS_SQL, benchmark_queries, benchmark_terms, document_shelf, table
+from quillstone.plans.common import QUERY_TERMS, WORDS_SQL, asked_documents, benchmark_queries, benchmark_terms, table
 from quillstone.scratch import if_small
 from quillstone.streaming.traces import event_windows
 
@@ -234,7 +234,7 @@ def _arms(spark: SparkSession, d: str) -> DataFrame:
     """Recall of each passage's document among the best 1, 2, 4, 8 by two arms: all terms, and long terms only."""
     terms, arm = benchmark_terms(spark, d), lambda n: (F.shiftleft(F.col("query_id").cast("long"), 1) + n).alias("query_id")
     both = terms.select(arm(0), "term").unionByName(terms.where(F.length("term") > 6).select(arm(1), "term"))  # documents are ranked in one pass
-    best = if_small(document_shelf(spark, d).top(both, 8))
+    best = if_small(asked_documents(spark, d).top(both, 8))
     name = F.when(F.col("query_id") % 2 == 0, "all").otherwise("long")
     rows = best.select(name.alias("arm"), F.shiftright("query_id", 1).alias("query_id"), "doc_id", "rank")
     out = table(spark, d, "documents").select("doc_id", "text").join(rows, "doc_id")
